@@ -13,6 +13,7 @@ Defined results: null text is empty text; an empty text has no ids; repeated row
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import heapq
 import re
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches, texts
 
-#: Pieces kept in one worker.
+#: Chunks kept in one worker: frequent ones come early.
 KEPT_CHUNKS = 400_000
 
 
@@ -33,86 +34,93 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
-def replay(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """The ids of each piece. Ties between equal pairs go to the left one, as in tokenizers of this kind.
+class Ranks(dict):
+    """Token bytes to rank, with the ways back and the pairs that make each token; made once in a worker."""
 
-    A piece in which a merge makes a pair of lower rank waits with its other positions until that pair is done;
-    so each piece sees its merges in just the order it would see alone.
+    def __init__(self, path_or_ranks: str | dict[bytes, int]):
+        super().__init__(path_or_ranks if isinstance(path_or_ranks, dict) else read_ranks(path_or_ranks))
+        self.spell = {r: token for token, r in self.items()}
+        self.step = max(self.spell) + 3
+        self.pairs = {}
+        for token, r in self.items():
+            for k in range(1, len(token)):
+                a, b = self.get(token[:k]), self.get(token[k:])
+                if a is not None and b is not None:
+                    self.pairs[a * self.step + b] = r
+        self.byte_rank = np.array([self.get(bytes([k]), -1) for k in range(256)], np.int64)
+
+
+def replay(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
+    """The ids of each piece as little-endian unsigned 32-bit integers.
+
+    All pieces stand in one row of symbols with a gap after each. `places` is the inverted index: merge to positions of its
+    pair. Ties between equal pairs go to the left one. A piece in which a merge makes a pair of lower rank waits with its
+    other positions until that pair is done; so each piece sees its merges in just the order it would see alone.
     """
-    symbols: list[bytes | None] = []
-    owner: list[int] = []
-    starts: list[int] = []
-    for k, piece in enumerate(pieces):
-        starts.append(len(symbols))
-        symbols.extend(piece[i : i + 1] for i in range(len(piece)))
-        owner.extend([k] * len(piece))
-    size = len(symbols)
-    right = list(range(1, size + 1))
-    left = list(range(-1, size - 1))
-    places: defaultdict[int, list[int]] = defaultdict(list)
-    rank_of = ranks.get
-    for i in range(size - 1):
-        if owner[i] == owner[i + 1] and (r := rank_of(symbols[i] + symbols[i + 1])) is not None:
-            places[r].append(i)
-    heap = list(places)
-    heapq.heapify(heap)
-    spell = {r: token for token, r in ranks.items()} if not hasattr(ranks, "spell") else ranks.spell
+    if not pieces:
+        return []
+    step, pair = ranks.step, ranks.pairs.get
+    gap, gone = step - 2, step - 1
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ends = np.cumsum(sizes + 1) - 1  # places of the gaps
+    row = np.full(int(ends[-1]) + 1, gap, np.int64)
+    inside = np.ones(len(row), bool)
+    inside[ends] = False
+    row[inside] = ranks.byte_rank[np.frombuffer(b"".join(pieces), np.uint8)]
+    symbols = row.tolist()
+    right = list(range(1, len(row) + 1))
+    left = list(range(-1, len(row) - 1))
+
+    # merges of two single bytes, by rank and position
+    keys, which = np.unique(row[:-1] * step + row[1:], return_inverse=True)
+    made = np.fromiter((pair(k, -1) for k in keys.tolist()), np.int64, len(keys))[which]
+    at = np.flatnonzero(made >= 0)
+    at = at[np.argsort(made[at], kind="stable")]
+    merges, first = np.unique(made[at], return_index=True)
+    places = defaultdict(list, {r: x.tolist() for r, x in zip(merges.tolist(), np.split(at, first[1:]), strict=True)} if len(at) else {})
+    heap = merges.tolist()
+
     while heap:
         r = heapq.heappop(heap)
-        here = places.pop(r, None)
-        if not here:
-            continue
+        here = places.pop(r)
         here.sort()
-        token = spell[r]
         waiting, later = set(), []
         for i in here:
-            k = owner[i]
-            if k in waiting:
-                later.append(i)
-                continue
-            a = symbols[i]
             j = right[i]
-            # stale: one of the two symbols has been merged meanwhile
-            if a is None or j >= size or owner[j] != k or (b := symbols[j]) is None or len(a) + len(b) != len(token) or a + b != token:
+            if pair(symbols[i] * step + symbols[j]) != r:
+                continue  # one of the two has been merged meanwhile
+            if waiting and bisect.bisect_left(ends, i) in waiting:
+                later.append(i)
                 continue
-            symbols[i], symbols[j] = token, None
-            after = right[j]
+            symbols[i], symbols[j] = r, gone
+            after, before = right[j], left[i]
             right[i] = after
-            if after < size:
-                left[after] = i
-                if owner[after] == k and (s := rank_of(token + symbols[after])) is not None:
-                    if s not in places:
-                        heapq.heappush(heap, s)
-                    places[s].append(i)
-                    if s < r:
-                        waiting.add(k)
-            before = left[i]
-            if before >= 0 and owner[before] == k and (s := rank_of(symbols[before] + token)) is not None:
+            left[after] = i
+            s = pair(r * step + symbols[after])
+            if s is not None:
                 if s not in places:
                     heapq.heappush(heap, s)
-                places[s].append(before)
+                places[s].append(i)
                 if s < r:
-                    waiting.add(k)
+                    waiting.add(bisect.bisect_left(ends, i))
+            if before >= 0:
+                s = pair(symbols[before] * step + r)
+                if s is not None:
+                    if s not in places:
+                        heapq.heappush(heap, s)
+                    places[s].append(before)
+                    if s < r:
+                        waiting.add(bisect.bisect_left(ends, i))
         if later:
             if r not in places:
                 heapq.heappush(heap, r)
             places[r].extend(later)
-    out = []
-    for k, piece in enumerate(pieces):
-        i, ids, end = starts[k], [], starts[k] + len(piece)
-        while i < end:
-            ids.append(ranks[symbols[i]])
-            i = right[i]
-        out.append(ids)
-    return out
 
-
-class Ranks(dict):
-    """Ranks with the way back, made once in a worker."""
-
-    def __init__(self, path: str):
-        super().__init__(read_ranks(path))
-        self.spell = {r: token for token, r in self.items()}
+    row = np.array(symbols, np.int64)
+    ids = row[row < gap].astype("<u4").tobytes()
+    counts = np.add.reduceat((row < gap).astype(np.int64), np.r_[0, ends[:-1] + 1])
+    stops = (4 * np.cumsum(counts)).tolist()
+    return [ids[a:b] for a, b in zip([0, *stops], stops)]
 
 
 _made: dict[tuple[str, str], Encoder] = {}
@@ -152,23 +160,21 @@ class Encoder:
             out.insert(0, first)
         return out
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[str]) -> dict[str, bytes]:
         cut = [self.pieces(x) for x in new]
         corpus = list(dict.fromkeys(p for x in cut for p in x))
-        ids = replay([p.encode("utf-8", "surrogatepass") for p in corpus], self.ranks)
-        packed = {p: np.array(x, "<u4").tobytes() for p, x in zip(corpus, ids, strict=True)}
-        for x, ps in zip(new, cut, strict=True):
-            self.known[x] = b"".join(packed[p] for p in ps)
+        packed = dict(zip(corpus, replay([p.encode("utf-8", "surrogatepass") for p in corpus], self.ranks), strict=True))
+        return {x: b"".join([packed[p] for p in ps]) for x, ps in zip(new, cut, strict=True)}
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned 32-bit integers. The first KEPT_CHUNKS chunks a worker meets stay known."""
         cut = [self.chunks(x) for x in batch]
-        new = list({c for x in cut for c in x if c not in self.known})
-        if len(self.known) + len(new) > KEPT_CHUNKS:
-            self.known.clear()
-            new = list({c for x in cut for c in x})
-        self.learn(new)
-        get = self.known.__getitem__
+        own = self.learn(list({c for x in cut for c in x}.difference(self.known)))
+        if len(self.known) < KEPT_CHUNKS:
+            self.known |= own
+            get = self.known.__getitem__
+        else:
+            get = lambda c, far=own.get, near=self.known.get: near(c) or far(c)
         return [b"".join(map(get, x)) for x in cut]
 
     def decode(self, ids: bytes) -> bytes:

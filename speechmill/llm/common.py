@@ -42,8 +42,19 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]], schema: str) -> DataFrame:
-    """mapInArrow: make() runs once in a task, what it returns turns each batch into columns of the schema."""
+#: Rows that a map step holds as Python objects at once, and bytes of them.
+ROWS, BYTES = 512, 4 << 20
+
+
+def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ROWS rows and about BYTES bytes; a larger row stands alone."""
+    rows = ROWS if batch.num_rows <= ROWS else max(1, min(ROWS, ROWS * BYTES * batch.num_rows // (ROWS * max(1, batch.nbytes))))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]], schema: str, whole: bool = False) -> DataFrame:
+    """mapInArrow: make() runs once in a task, what it returns turns each slice of a batch (whole: each batch) into columns of the schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -52,9 +63,10 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                out = step(batch)
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in ((out[f.name], f) for f in fields)], schema=fields)
+            for part in [batch] if whole else pieces_of(batch):
+                if part.num_rows:
+                    out = step(part)
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in ((out[f.name], f) for f in fields)], schema=fields)
 
     return df.mapInArrow(run, schema)
 

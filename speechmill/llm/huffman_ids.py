@@ -56,18 +56,19 @@ class Words:
             _made[path] = Words(path)
         return _made[path]
 
+    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        made = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
+        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, made, strict=True)}
+
     def encode(self, batch: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned 32-bit ids of each text. The first KEPT_CHUNKS chunks a worker meets stay known."""
         cut = [x.encode("utf-8", "replace").split() for x in batch]
-        new = list({c for x in cut for c in x if c not in self.known})
-        if len(self.known) + len(new) > KEPT_CHUNKS:
-            self.known.clear()
-            new = list({c for x in cut for c in x})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        own = self.learn(list({c for x in cut for c in x}.difference(self.known)))
+        if len(self.known) < KEPT_CHUNKS:
+            self.known |= own
+            get = self.known.__getitem__
+        else:
+            get = lambda c, far=own.get, near=self.known.get: near(c) or far(c, b"")
         return [b"".join(map(get, x)) for x in cut]
 
 
