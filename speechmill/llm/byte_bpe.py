@@ -22,10 +22,10 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_batches, texts
+from .common import looked_up, map_batches, texts
 
 #: Chunks kept in one worker: frequent ones come early.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -168,14 +168,7 @@ class Encoder:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. The first KEPT_CHUNKS chunks a worker meets stay known."""
-        cut = [self.chunks(x) for x in batch]
-        own = self.learn(list({c for x in cut for c in x}.difference(self.known)))
-        if len(self.known) < KEPT_CHUNKS:
-            self.known |= own
-            get = self.known.__getitem__
-        else:
-            get = lambda c, far=own.get, near=self.known.get: near(c) or far(c)
-        return [b"".join(map(get, x)) for x in cut]
+        return [b"".join(x) for x in looked_up([self.chunks(x) for x in batch], self.known, self.learn, KEPT_CHUNKS)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.ranks.spell.__getitem__, np.frombuffer(ids, "<u4").tolist()))
