@@ -18,20 +18,21 @@ their ids; null doc_id sorts first; other columns are not read; empty input give
 from __future__ import annotations
 
 import os
-import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, new_path, stored, texts
+from .common import looked_up, map_batches, new_path, stored, texts
 
 BLOCK = 256
 FRAME = 1 << 18
 MAX_BITS = 20
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 1_000_000
+MARKS = frozenset(b".,;:!?")
 _made: dict[str, Words] = {}
 
 
@@ -48,6 +49,8 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: two bytes an id where the vocabulary allows
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
 
     @staticmethod
@@ -56,46 +59,52 @@ class Words:
             _made[path] = Words(path)
         return _made[path]
 
+    def _library(self, new: list[bytes]) -> dict[bytes, bytes]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
+        stops = (np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) * np.dtype(self.kind).itemsize).tolist()
+        return {c: flat[a:b] for c, a, b in zip(new, [0, *stops], stops)}
+
     def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        made = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, made, strict=True)}
+        """ASCII is lower-cased here, and one mark after a letter or digit cut off: both leave the ids as they are and more chunks alike."""
+        parts = {}
+        for c in new:
+            plain = c.lower() if c.isascii() else c
+            parts[c] = (plain[:-1], plain[-1:]) if len(c) > 1 and c[-1] in MARKS and c[-2:-1].isalnum() else (plain,)
+        made = self._library(list({p for x in parts.values() for p in x}))
+        return {c: b"".join([made[p] for p in x]) for c, x in parts.items()}
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text. The first KEPT_CHUNKS chunks a worker meets stay known."""
+        """Ids of each text, packed as `kind`. The first KEPT_CHUNKS chunks a worker meets stay known."""
         cut = [x.encode("utf-8", "replace").split() for x in batch]
-        own = self.learn(list({c for x in cut for c in x}.difference(self.known)))
-        if len(self.known) < KEPT_CHUNKS:
-            self.known |= own
-            get = self.known.__getitem__
-        else:
-            get = lambda c, far=own.get, near=self.known.get: near(c) or far(c, b"")
-        return [b"".join(map(get, x)) for x in cut]
+        return [b"".join(x) for x in looked_up(cut, self.known, self.learn, KEPT_CHUNKS)]
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit, end id last)."""
-    end = np.array([end_id], "<u4").tobytes()
+    """doc_id, n_tokens, ids (packed as the tokenizer's kind, end id last)."""
+    kind = np.dtype(Words.of(tokenizer_path).kind)
+    end = np.array([end_id], kind).tobytes()
 
     def make():
         words = Words.of(tokenizer_path)
 
         def step(b):
             ids = [x + end for x in words.encode(texts(b))]
-            return {"doc_id": b.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
+            return {"doc_id": b.column(0), "n_tokens": [len(x) // kind.itemsize for x in ids], "ids": ids}
 
         return step
 
     return map_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), make, "doc_id long, n_tokens long, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
+def id_counts(tokens: DataFrame, kind: str) -> DataFrame:
     """id, n: each task counts its ids in an array before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
-                c = np.bincount(np.frombuffer(x, "<u4"))
+                c = np.bincount(np.frombuffer(x, kind))
                 if len(c) > len(total):
                     total = np.pad(total, (0, len(c) - len(total)))
                 total[: len(c)] += c
@@ -191,23 +200,24 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, shards:
     spark = docs.sparkSession
     tokens = stored(tokenize(docs, tokenizer_path, end_id), "ids", compression="zstd")
     # at most one row per id of the vocabulary
-    counts = id_counts(tokens).orderBy("id").toPandas()
+    kind = Words.of(tokenizer_path).kind
+    counts = id_counts(tokens, kind).orderBy("id").toPandas()
     bits = code_lengths(counts["n"].to_numpy(np.int64))
     spark.createDataFrame([(int(i), int(b)) for i, b in zip(counts["id"], bits, strict=True)], "id long, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     made = (counts["id"].to_numpy(np.int64), bits)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, frame = Codebook(*made), 0
+        book, frame, width = Codebook(*made), 0, np.dtype(kind).itemsize
         doc_ids: list = []
         parts: list[bytes] = []
         size, before, shard = 0, 0, 0
 
         def flush():
             nonlocal doc_ids, parts, size, frame, before
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.frombuffer(b"".join(parts), kind)
             points, payload = book.encode(ids)
-            row = [[shard], [frame], [before], [doc_ids], [[len(x) // 4 for x in parts]], [len(ids)], [points.tolist()], [payload]]
+            row = [[shard], [frame], [before], [doc_ids], [[len(x) // width for x in parts]], [len(ids)], [points.tolist()], [payload]]
             types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], ["shard", "frame", "before", "doc_ids", "doc_tokens", "n_tokens", "points", "payload"])
             doc_ids, parts, size, frame, before = [], [], 0, frame + 1, before + len(ids)
@@ -216,11 +226,11 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, shards:
         for b in batches:
             for s, d, x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 shard = s
-                if parts and size + len(x) // 4 > FRAME:
+                if parts and size + len(x) // width > FRAME:
                     yield flush()
                 doc_ids.append(d)
                 parts.append(x)
-                size += len(x) // 4
+                size += len(x) // width
         if parts:
             yield flush()
 
@@ -269,6 +279,3 @@ def digests(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     back = read(spark, write(docs, tokenizer_path, end_id, new_path(spark, "huffman")))
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
-
-def crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
