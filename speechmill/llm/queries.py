@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio_features, byte_bpe, huffman_ids, jaccard_join, license_scan, mixing, stream_dedup, toxicity, url_filter
+from . import audio_features, backoff_lm, byte_bpe, huffman_ids, jaccard_join, license_scan, mixing, stream_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op6_audio_features": op6_audio_features,
     "op7_huffman_ids": op7_huffman_ids,
     "op8_license_scan": op8_license_scan,
+    "op9_backoff_lm": op9_backoff_lm,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
