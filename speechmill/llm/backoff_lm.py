@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, mix, texts, word_hashes, words_of
+from .common import WORD, hashed_words, mix, texts
 
 ORDER, ALPHA, MIN_COUNT, FLOOR = 3, 0.4, 2, 1e-12
 #: Documents of a batch, and ranges of the hash.
@@ -66,9 +67,8 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, lis
 
 
 def _hashed(own: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    cut = [word_hashes(words_of(t)) for t in own]
-    sizes = np.array([len(x) for x in cut], np.int64)
-    grams, place = ngram_hashes(np.concatenate(cut) if cut else np.zeros(0, np.uint64), sizes, order)
+    words, sizes = hashed_words(own)
+    grams, place = ngram_hashes(words, sizes, order)
     return grams, place, sizes
 
 
@@ -168,10 +168,11 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     totals = total_rows(gram_rows(own, order, parts))
 
     def zipped(batches):
+        packer = zstandard.ZstdCompressor(level=1)
         for name, ids, part in _batches(batches):
-            cut = [words_of(t) for t in part]
-            data = zlib.compress(b" ".join(w for x in cut for w in x), 1)
-            row = [pa.array([name]), pa.array([[i or 0 for i in ids]], pa.list_(pa.int64())), pa.array([[i is None for i in ids]]), pa.array([[len(x) for x in cut]], pa.list_(pa.int64())), pa.array([data], pa.binary())]
+            _, sizes = hashed_words(part)
+            data = packer.compress("\n".join(part).encode("utf-8", "surrogatepass"))
+            row = [pa.array([name]), pa.array([[i or 0 for i in ids]], pa.list_(pa.int64())), pa.array([[i is None for i in ids]]), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([data], pa.binary())]
             yield pa.RecordBatch.from_arrays(row, ["batch", "ids", "none", "sizes", "words"])
 
     packs = own.mapInArrow(zipped, "batch string, ids array<long>, none array<boolean>, sizes array<long>, words binary")
@@ -184,7 +185,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
         # batches that are alike in all ids and texts share a name, and their totals come once for each: any of them will do
         for ids, none, sizes, data in zip(left["ids"], left["none"], left["sizes"], left["words"], strict=True):
             sizes = np.asarray(sizes, np.int64)
-            grams, place = ngram_hashes(word_hashes(zlib.decompress(data).split()), sizes, order)
+            grams, place = ngram_hashes(hashed_words([zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass")])[0], sizes, order)
             s = log_scores(grams, place, totals, n_words, alpha, min_count)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             out.append(pd.DataFrame({"doc_id": pd.arrays.IntegerArray(np.array(ids, np.int64), np.array(none, bool)), "n_tokens": sizes, "log_score": np.bincount(owner, weights=s, minlength=len(sizes))}))

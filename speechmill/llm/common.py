@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: The six characters that separate words in every contract of this folder.
@@ -76,56 +75,84 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-class Kept(dict):
-    """A dict that makes missing values by a function and starts anew when it holds `limit` entries."""
-
-    def __init__(self, make: Callable, limit: int = 400_000):
-        super().__init__()
-        self.make, self.limit = make, limit
+def mix(x: np.ndarray) -> np.ndarray:
+    """The finaliser of a public 64-bit hash (splitmix64): spreads the bits of a sum."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
 
+def _bytes_table() -> np.ndarray:
+    """A 64-bit value of each byte, A-Z as a-z; 0 for the six blanks."""
+    table = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+    table[65:91] = table[97:123]
+    table[[9, 10, 11, 12, 13, 32]] = 0
+    return table
 
-#: Lives as long as the Python worker, so later tasks find the words of earlier ones.
-_word_hash = Kept(xxhash.xxh3_64_intdigest)
 
+_BASE = 0x2545F4914F6CDD1D  # odd, so it has an inverse
+_TABLE = _bytes_table()
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-def words_of(text: str) -> list[bytes]:
-    """A-Z lower-cased, cut at the six blank characters; bytes.lower and bytes.split do just this."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
 
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, 0 to n - 1."""
+    if len(_powers[0]) < n:
+        with np.errstate(over="ignore"):
+            for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+                x = np.full(max(n, 1 << 16), base, np.uint64)
+                x[0] = 1
+                _powers[k] = np.multiply.accumulate(x)
+    return _powers
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_word_hash.__getitem__, words), np.uint64, len(words))
 
+def hashed_words(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all words of the texts in order, and how many each text has. A-Z count as a-z.
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of a public 64-bit hash (splitmix64): spreads the bits of a sum."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
-    """One 64-bit hash of each run of n words; the whole sequence as one run if it has fewer words."""
-    if not len(hashes):
-        return hashes
-    n = min(n, len(hashes))
-    size = len(hashes) - n + 1
-    total = np.full(size, n, np.uint64)
+    A word's hash is a polynomial over its bytes, taken from running sums over the whole batch: nothing is done word by word.
+    """
+    raw = [x.encode("utf-8", "surrogatepass") for x in batch]
+    data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
+    value = _TABLE[data]
+    inside = value != 0
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+    power, inverse = _powers_to(len(data))
+    with np.errstate(over="ignore"):
+        value *= power[: len(data)]
+        sums = np.cumsum(value, dtype=np.uint64)
+        hashes = mix((sums[ends - 1] - sums[starts - 1]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    bounds = np.cumsum([1] + [len(x) + 1 for x in raw])
+    return hashes, np.diff(np.searchsorted(starts, bounds))
+
+
+def shingle_sets(batch: list[str], n: int = 5) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its n-word shingles; the whole sequence where it has fewer words; empty without words."""
+    hashes, sizes = hashed_words(batch)
+    stops = np.cumsum(sizes)
+    total = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
-            total = mix(total + hashes[k : k + size])
-    return total
+            total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(total)]
+        total = mix(total)
+    out = []
+    for stop, size in zip(stops.tolist(), sizes.tolist(), strict=True):
+        if size >= n:
+            own = np.sort(total[stop - size : stop - n + 1])
+            out.append(own[np.r_[True, own[1:] != own[:-1]]])
+        elif size:
+            value = np.full(1, size, np.uint64)
+            with np.errstate(over="ignore"):
+                for h in hashes[stop - size : stop]:
+                    value = mix(value + h)
+            out.append(value)
+        else:
+            out.append(hashes[:0])
+    return out
 
 
 def shingle_set(text: str, n: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's n-word shingles. Empty for a text without words."""
-    return np.unique(rolled(word_hashes(words_of(text)), n))
+    return shingle_sets([text], n)[0]
 
 
 def looked_up(cut: list[list], known: dict, learn: Callable[[list], dict], limit: int) -> list[list]:
