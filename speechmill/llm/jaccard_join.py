@@ -4,8 +4,10 @@ Two texts link when 100 * |A and B| >= PERCENT * |A or B| of their sets of word
 
 1. Texts with the same set are one class; everything below runs over classes.
 2. A global order of tokens, rare ones first: tokens that are frequent in some batch get counts, the others count as
-   rare and stand in hash order. A class enters the matrix with the first n - ceil(0.8 n) + 1 tokens of its
-   set: of two linked sets these parts always share a token. The order only decides how much work there is, never what is found.
+   rare and stand in hash order. A class of n tokens enters the matrix with the first n - ceil(0.8 n) + k(n) of them,
+   k(n) = 1 + n / MORE: two linked sets share at least the smaller k of the two in these parts. (If x and y share m >= 0.8 |x|
+   tokens, the last m - k of these lie at or beyond the end of what is |x| - m + k long.) Classes and pairs that share fewer
+   go. The order only decides how much work there is, never what is found.
 3. Partition into groups: each class is compared with the most frequent leader of its tokens (the smallest class under
    a token); those that link hang on it. Connected classes are cut into groups of about GROUP members, which belong to one component by
    what was already verified. Large families of near copies so become a few groups after a linear number of comparisons.
@@ -28,10 +30,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, shingle_set, stored, texts
+from .common import map_batches, shingle_sets, stored, texts
 from .graph import components
 
 WORDS, PERCENT = 5, 80
+#: A token more for each so many of a set.
+MORE = 20
 #: Members of a group at most about this many.
 GROUP = 64
 #: Frequent in a batch: in so many different sets; the table of counts that all tasks get has a fixed size.
@@ -56,7 +60,7 @@ def profile(docs: DataFrame, words: int) -> DataFrame:
 
     def make():
         def step(b):
-            sets = [shingle_set(x, words) for x in texts(b)]
+            sets = shingle_sets(texts(b), words)
             key, key2 = _keys(sets)
             _, first = np.unique(key, return_index=True)
             tokens, counts = np.unique(np.concatenate([sets[i] for i in first]), return_counts=True)
@@ -84,7 +88,7 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
         known, counts = sent.value
 
         def step(b):
-            sets = [s for s in (shingle_set(x, words) for x in texts(b)) if len(s)]
+            sets = [s for s in shingle_sets(texts(b), words) if len(s)]
             if not sets:
                 return {"tokens": [], "often": [], "cid": [], "n": []}
             key, _ = _keys(sets)
@@ -92,7 +96,7 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: in
             tokens, often = [], []
             for i in first:
                 s = sets[i]
-                size = len(s) - -(-percent * len(s) // 100) + 1
+                size = min(len(s), len(s) - -(-percent * len(s) // 100) + 1 + len(s) // MORE)
                 weight = np.zeros(len(s), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -114,7 +118,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def make():
         def step(b):
-            sets = [s for s in (shingle_set(x, words) for x in texts(b)) if len(s)]
+            sets = [s for s in shingle_sets(texts(b), words) if len(s)]
             if not sets:
                 return {"cid": [], "s": []}
             return {"cid": _keys(sets)[0], "s": [_signed(s) for s in sets]}
@@ -142,6 +146,11 @@ def _relabel(classes: DataFrame, links: DataFrame) -> DataFrame:
     return stored(classes.join(labels, classes["comp"] == labels["node"], "left").select("cid", "n", F.coalesce("label", "comp").alias("comp")), "classes")
 
 
+def _least(n):
+    """k(n): tokens that a class of n has in common with any other it links with, if that one is no smaller."""
+    return F.floor(n / MORE) + 1
+
+
 def _candidates(posts: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The groups (cid, n, comp, sub), and the pairs of groups of different components that share a token."""
     sizes = classes.groupBy("comp").agg(F.count("*").alias("size"))
@@ -152,7 +161,8 @@ def _candidates(posts: DataFrame, classes: DataFrame, percent: int) -> tuple[Dat
     matrix = stored(matrix, "matrix")
     side = lambda p: matrix.select("token", *(F.col(c).alias(f"{c}_{p}") for c in ("comp", "sub", "low", "high")))
     fits = (F.col("comp_a") < F.col("comp_b")) & (100 * F.col("high_a") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low_a"))
-    pairs = side("a").join(side("b"), "token").where(fits).select("comp_a", "sub_a", "comp_b", "sub_b").distinct()
+    pairs = side("a").join(side("b"), "token").where(fits).groupBy("comp_a", "sub_a", "comp_b", "sub_b").agg(F.count("*").alias("k"), F.min("low_a").alias("low_a"), F.min("low_b").alias("low_b"))
+    pairs = pairs.where(F.col("k") >= _least(F.least("low_a", "low_b"))).drop("k", "low_a", "low_b")
     return members, stored(pairs, "pairs")
 
 
@@ -175,13 +185,20 @@ def link_classes(docs: DataFrame, classes: DataFrame, frequent: tuple[np.ndarray
     rare = rare.select("token", "cid", "n", F.min("cid").over(by).alias("lead"), F.max("cid").over(by).alias("last")).where("lead < last").drop("last")
     often = posts.where("often").select("token", "cid", "n").distinct()
     leads = often.groupBy("token").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead < last").drop("last")
-    posts = stored(rare.unionByName(often.join(leads, "token").select("token", "cid", "n", "lead")), "posts")
+    posts = stored(rare.unionByName(often.join(leads, "token").select("token", "cid", "n", "lead")).distinct(), "posts")
+    # a class needs k tokens in common with one of at least percent of its size
+    nodes = posts.groupBy("cid").agg(F.first("n").alias("n"), F.count("*").alias("shared")).where(F.col("shared") >= _least(F.floor(F.col("n") * percent / 100))).drop("shared")
+    posts = posts.join(nodes.select("cid"), "cid", "left_semi")
+    posts = posts.join(posts.groupBy("token").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("token"), "token", "left_semi")
+    posts = stored(posts, "posts")
+    # groups by leader: one comparison for each class that has enough in common with one
+    best = posts.where("cid <> lead").groupBy("cid", "lead").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    best = best.where(F.col("k") >= _least(F.floor(F.col("n") * percent / 100))).groupBy("cid").agg(F.max(F.struct("k", "lead")).alias("best"))
+    best = stored(best.select(F.col("cid").alias("a"), F.col("best.lead").alias("b")), "leaders")
     nodes = posts.groupBy("cid").agg(F.first("n").alias("n"))
     sets = stored(sets_of(docs, nodes.join(classes, "cid").select("rep").distinct(), words), "sets")
 
-    # groups by leader: one comparison for each class
-    best = posts.where("cid <> lead").groupBy("cid", "lead").agg(F.count("*").alias("k")).groupBy("cid").agg(F.max(F.struct("k", "lead")).alias("best"))
-    links = verified(best.select(F.col("cid").alias("a"), F.col("best.lead").alias("b")), sets, percent)
+    links = verified(best, sets, percent)
     now = _relabel(nodes.select("cid", "n", F.col("cid").alias("comp")), links)
 
     members, pairs = _candidates(posts, now, percent)
