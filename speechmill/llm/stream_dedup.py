@@ -29,6 +29,8 @@ SALT_ROWS = 256
 #: Groups with more than this share of all rows are joined by broadcast: there can't be more than its inverse.
 HOT_SHARE = 0.001
 FILES_PER_BATCH = 1000
+#: Of the bitmap of digests that occur more than once: 2 MB.
+BITS = 1 << 24
 
 
 def normalised(text: Column) -> Column:
@@ -42,12 +44,15 @@ def sha256(text: Column) -> Column:
 @contextmanager
 def _rocksdb(spark: SparkSession) -> Iterator[None]:
     key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    wanted = {key: ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 def landed(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
@@ -70,15 +75,29 @@ def run_stream(spark: SparkSession, path: str, schema, checkpoint: str, files_pe
     return held.select("key.digest", "key.n_bytes", F.col(f"value.`{value[0]}`").alias("first"), F.col(f"value.`{value[1]}`").alias("copies"))
 
 
+def _place(digest: Column) -> tuple[Column, Column]:
+    """Bucket and bit of a digest in the bitmap below."""
+    at = F.pmod(F.xxhash64(digest), F.lit(BITS)) + 1
+    return F.bitmap_bucket_number(at), F.bitmap_bit_position(at).cast("int")
+
+
 def _copies(docs: DataFrame, multi: DataFrame, total: int, digest: Callable[[Column], Column]) -> DataFrame:
-    """The rows of groups with more than one, with their normalised text."""
+    """The rows of groups with more than one, with their normalised text.
+
+    A bitmap of BITS bits, its size fixed, keeps most other texts out of the shuffle; the join decides.
+    """
     text = normalised(F.col("text"))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("norm")).withColumns({"digest": digest(F.col("norm")), "n_bytes": F.octet_length("norm")})
+    bucket, bit = _place(F.col("digest"))
+    bitmap = multi.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bitmap"))
+    near = rows.withColumns({"bucket": bucket, "bit": bit}).join(F.broadcast(bitmap), "bucket")
+    near = near.where(F.expr("shiftright(cast(conv(hex(substring(bitmap, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), bit % 8) & 1") == 1).drop("bucket", "bit", "bitmap")
     least = max(2, int(total * HOT_SHARE))
     hot = multi.where(F.col("copies") >= least)  # at most 1 / HOT_SHARE rows
     rest = multi.where(F.col("copies") < least)
     keys = ["digest", "n_bytes"]
-    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(rest, keys))
+    # the hint keeps the plan alike at every size
+    return near.join(F.broadcast(hot), keys).unionByName(near.join(rest.hint("merge"), keys))
 
 
 def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
@@ -103,7 +122,7 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
     parts = F.ceil(F.col("copies") / SALT_ROWS)
     keepers = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(*keys, "copies").agg(F.min("norm").alias("kept_text"))
     keepers = keepers.select(*keys, "kept_text", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"))
-    salted = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), parts))
+    salted = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), parts))
     same = F.col("norm") == F.col("kept_text")
     checked = salted.join(keepers, [*keys, "salt"]).select("doc_id", *keys, "keep_id", "copies", F.when(~same, F.col("norm")).alias("other"))
     checked = stored(checked, "checked", compression="zstd")
@@ -119,7 +138,7 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
         groups = groups.join(own, keys).select("doc_id", *keys, "keep_id", "copies", F.when(F.col("other").isNotNull(), sha256(F.col("other"))).otherwise(F.col("k.sha")).alias("sha"))
     nth = F.row_number().over(Window.partitionBy("sha", "doc_id").orderBy(F.lit(1)))
     copies = groups.select("doc_id", "keep_id", F.col("copies").alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (nth == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
-    single = land.join(multi.select(*keys), keys, "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256"))
+    single = land.join(multi.select(*keys).hint("merge"), keys, "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256"))
     return single.unionByName(copies)
 
 
