@@ -18,6 +18,8 @@ their ids; null doc_id sorts first; other columns are not read; empty input give
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,7 +34,10 @@ BLOCK = 256
 FRAME = 1 << 18
 MAX_BITS = 20
 KEPT_CHUNKS = 1_000_000
-MARKS = frozenset(b".,;:!?")
+#: Words of these letters are one piece in themselves, and composed already.
+#: ASCII marks after them, but for the apostrophe, are pieces of their own.
+WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+PROBES = ("Word", "a", "Stra\u00dfe", "\u00c9t\u00e9", "Na\u00efve", "\u00d8RE", "\u00ffz", "Isn", "thTHth", "x" * 60, "word.", "a%%%", "\u00e9t\u00e9**!", "x-", "b]`")
 _made: dict[str, Words] = {}
 
 
@@ -51,7 +56,16 @@ class Words:
         self.tokenizer.encode_special_tokens = True
         #: two bytes an id where the vocabulary allows
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
         self.known: dict[bytes, bytes] = {}
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+        # a tokenizer with another alphabet or other steps before its model takes the long way
+        self.direct = True
+        self.direct = self.learn([x.encode() for x in PROBES]) == self._encoded(PROBES)
+
+    def _encoded(self, batch) -> dict[bytes, bytes]:
+        return {k.encode(): v for k, v in self._library(list(batch)).items()}
 
     @staticmethod
     def of(path: str) -> Words:
@@ -59,19 +73,33 @@ class Words:
             _made[path] = Words(path)
         return _made[path]
 
-    def _library(self, new: list[bytes]) -> dict[bytes, bytes]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)]
+    def _library(self, new: list[str]) -> dict[str, bytes]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         flat = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
         stops = (np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) * np.dtype(self.kind).itemsize).tolist()
         return {c: flat[a:b] for c, a, b in zip(new, [0, *stops], stops)}
 
+    def _words(self, new: list[str]) -> dict[str, bytes]:
+        """Lower-cased words of WORD: straight to the library's model, in its alphabet of bytes."""
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        made = [array(self.code, [t.id for t in tokenize(c.encode().decode("latin-1").translate(letters))]).tobytes() for c in new]
+        return dict(zip(new, made, strict=True))
+
     def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """ASCII is lower-cased here, and one mark after a letter or digit cut off: both leave the ids as they are and more chunks alike."""
-        parts = {}
+        """A word is lower-cased here, and the marks after it cut off: both leave the ids as they are and make more chunks alike."""
+        parts, words, rest = {}, set(), set()
         for c in new:
-            plain = c.lower() if c.isascii() else c
-            parts[c] = (plain[:-1], plain[-1:]) if len(c) > 1 and c[-1] in MARKS and c[-2:-1].isalnum() else (plain,)
-        made = self._library(list({p for x in parts.values() for p in x}))
+            text = c.decode()
+            found = WORD.fullmatch(text) if self.direct else None
+            if found:
+                own = (found[1].lower(), found[2]) if found[2] else (found[1].lower(),)
+                words.add(own[0])
+                rest.update(own[1:])
+            else:
+                own = (text,)
+                rest.add(text)
+            parts[c] = own
+        made = self._words(list(words)) | self._library(list(rest))
         return {c: b"".join([made[p] for p in x]) for c, x in parts.items()}
 
     def encode(self, batch: list[str]) -> list[bytes]:
