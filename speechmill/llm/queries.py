@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..ship import ship
 from . import audio_features, backoff_lm, byte_bpe, huffman_ids, jaccard_join, license_scan, mixing, stream_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
