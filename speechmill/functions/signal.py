@@ -160,3 +160,26 @@ def dct_ii(x: Column, keep: int) -> Column:
         return s * F.sqrt(F.when(k == 0, 1.0 / n).otherwise(2.0 / n))
 
     return F.transform(F.sequence(F.lit(0), F.lit(keep - 1)), value)
+
+
+def mono(channels: Column) -> Column:
+    """The mean over channels (an array of equally long signals)."""
+    n = F.size(channels)
+    return F.transform(channels[0], lambda _, i: F.aggregate(channels, F.lit(0.0), lambda a, c: a + F.get(c, i)) / n)
+
+
+def gained(x: Column, level: Column, target: Column, least: float = 1e-6) -> Column:
+    """x times target / level, held within 1."""
+    return scaled(x, target / F.greatest(level, F.lit(least)))
+
+
+def conditioned(embedding: Column, dim: int, fallback: Column) -> Column:
+    """The embedding if it has the expected size, else the fallback."""
+    return F.when(F.size(embedding) == dim, embedding).otherwise(fallback)
+
+
+def sign_steps(x: Column, weights: Column, bias: float, target: float, steps: Column) -> Column:
+    """The smallest of the given step sizes at which moving each sample by its weight's sign takes a linear score past the target, else null."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, w: a + w)
+    score, pull = total(F.zip_with(x, weights, lambda a, w: a * w)) + bias, total(F.transform(weights, F.abs))
+    return F.array_min(F.filter(steps, lambda e: score - e * pull < target))

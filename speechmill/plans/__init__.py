@@ -1 +1,6 @@
-""""""
+"""Queries that apply the operators to the driver's tables, with the same in SQL."""
+
+from . import signal_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
