@@ -88,3 +88,6 @@ TTS_MODELS = {"en": "eng", "eng": "eng", "hi": "hin", "hin": "hin", "gu": "guj",
 
 #: A few entries of a lexicon, as a sample; whole lexicons come as tables (operators.translate.lexicon).
 SAMPLE_LEXICON = {"the": "તે", "and": "અને", "of": "નું", "to": "ને", "is": "છે", "in": "માં", "it": "તે", "for": "માટે", "on": "પર", "with": "સાથે", "hello": "નમસ્તે", "le": "લે", "de": "દે", "der": "દેર"}
+
+# Recogniser codes by segment label.
+RECOGNISER_CODES = {"hi": "hi", "en": "en", "sil": "en"}

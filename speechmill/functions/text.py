@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import tables as T
 
 
+#: A token of decimal digits of any script.
+DIGITS_OR_NONE = r"^\p{Nd}+$"
+
+
 def mapping(entries: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in entries.items() for x in pair))
 
@@ -22,7 +26,7 @@ def lm_tokens(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, T.SENTENCE_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, T.SENTENCE_END), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
 def token_kind(token: Column) -> Column:
@@ -206,6 +210,6 @@ def speech_chunks(text: Column, most: int = 220) -> Column:
         )
 
     packed = F.aggregate(units, start, step, lambda a: F.when(a["now"] != "", F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
-    good = F.filter(F.transform(packed, F.trim), speakable)
+    good = F.filter(F.transform(packed, lambda s: F.trim(s)), speakable)
     whole = F.when(speakable(clean), F.array(clean)).otherwise(F.array().cast("array<string>"))
     return F.when(F.length(clean) <= most, whole).when(F.size(good) > 0, good).otherwise(whole)

@@ -7,7 +7,6 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_FRAME = Window.partitionBy("utt_id").orderBy("frame_idx")
 WINDOW_SEC, HOP_SEC, LEAST_SEC = 0.5, 0.1, 0.2
 
 
@@ -65,8 +64,9 @@ def median_labels(frames: DataFrame, label: str = "lang", kernel: int = 5, one:
 
 def runs(frames: DataFrame, label: str = "lang") -> DataFrame:
     """frames(utt_id, frame_idx, start, end, label) to segments: a run ends where the next begins, the last one at its last frame's end."""
-    changed = F.lag(label).over(BY_FRAME)
-    marked = frames.withColumn("new", F.when(changed.isNull() | (changed != F.col(label)), 1).otherwise(0)).withColumn("seg_id", F.sum("new").over(BY_FRAME) - 1)
+    by_frame = Window.partitionBy("utt_id").orderBy("frame_idx")
+    changed = F.lag(label).over(by_frame)
+    marked = frames.withColumn("new", F.when(changed.isNull() | (changed != F.col(label)), 1).otherwise(0)).withColumn("seg_id", F.sum("new").over(by_frame) - 1)
     grouped = marked.groupBy("utt_id", "seg_id").agg(F.min("start").alias("start"), F.max_by("end", "frame_idx").alias("end"), F.first(label).alias("lang"), F.count("*").alias("n_frames"))
     after = F.lead("start").over(Window.partitionBy("utt_id").orderBy("seg_id"))
     return grouped.select("utt_id", F.col("seg_id").cast("int").alias("seg_id"), "start", F.coalesce(after, "end").alias("end"), "lang", "n_frames")
