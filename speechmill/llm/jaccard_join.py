@@ -8,8 +8,10 @@ Two texts link when 100 * |A and B| >= PERCENT * |A or B| of their sets of word
    k(n) = 1 + n / MORE: two linked sets share at least the smaller k of the two in these parts. (If x and y share m >= 0.8 |x|
    tokens, the last m - k of these lie at or beyond the end of what is |x| - m + k long.) Classes and pairs that share fewer
    go. The order only decides how much work there is, never what is found.
-3. Partition into groups: each class is compared with the most frequent leader of its tokens (the smallest class under
-   a token); those that link hang on it. Connected classes are cut into groups of about GROUP members, which belong to one component by
+   Sizes tell more: m shared tokens of a pair leave m - max(left out) in these parts, and a class that has fewer in common
+   with all classes of each range of sizes goes.
+3. Partition into groups: in each of ROUNDS rounds a class is compared with the most frequent leader of its tokens (a token's
+   leader is the class with the smallest hash under it); those that link hang on it. Connected classes are cut into groups of about GROUP members, which belong to one component by
    what was already verified. Large families of near copies so become a few groups after a linear number of comparisons.
 4. The matrix holds (token, group). Groups of different components that share a token are candidates. One pair of
    representatives is verified first (twice), which joins most of what belongs together and settles pairs of single classes.
@@ -26,6 +28,8 @@ other columns are not read; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +40,8 @@ from .graph import components
 WORDS, PERCENT = 5, 80
 #: A token more for each so many of a set.
 MORE = 20
+#: Rounds of leaders, and the logarithm of a range of sizes.
+ROUNDS, RANGE = 4, 0.03
 #: Members of a group at most about this many.
 GROUP = 64
 #: Frequent in a batch: in so many different sets; the table of counts that all tasks get has a fixed size.
@@ -151,6 +157,39 @@ def _least(n):
     return F.floor(n / MORE) + 1
 
 
+def _left_out(n, percent: int):
+    """Tokens of a class of n that don't enter the matrix."""
+    return F.greatest(F.lit(0), F.ceil(percent * n / 100) - 1 - F.floor(n / MORE))
+
+
+def _needed(low_a, high_a, low_b, high_b, percent: int):
+    """Tokens of the matrix that two linked classes of such sizes share: of m in common, those beyond the nearer end are at most what one of them left out."""
+    both = F.ceil(percent * (low_a + low_b) / (100 + percent)) - F.greatest(_left_out(high_a, percent), _left_out(high_b, percent))
+    return F.greatest(both, _least(F.least(low_a, low_b)))
+
+
+def _linkable(posts: DataFrame, percent: int) -> DataFrame:
+    """The rows of posts(token, cid, n) whose class shares enough tokens with classes of some range of sizes to link with one of them."""
+    size = F.floor(F.ln("n") / RANGE).cast("int").alias("size")
+    held = posts.groupBy("token", size).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("cid").alias("x"), F.max("cid").alias("y"))
+    near = posts.join(held, "token").where((F.col("x") != F.col("cid")) | (F.col("y") != F.col("cid")))
+    near = near.where((100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low")))
+    near = near.groupBy("cid", "n", "size").agg(F.count("*").alias("k"), F.min("low").alias("low"), F.max("high").alias("high"))
+    n = F.col("n")
+    good = near.where(F.col("k") >= _needed(n, n, F.col("low"), F.col("high"), percent)).select("cid").distinct()
+    return posts.join(good, "cid", "left_semi")
+
+
+def _led(posts: DataFrame, seed: int, percent: int) -> DataFrame:
+    """(a, b): each class with that leader of its tokens with which it has most in common, if that is enough. A token's leader depends on the seed."""
+    order = F.struct(F.xxhash64("cid", F.lit(seed)).alias("h"), F.col("cid").alias("lead"), F.col("n").alias("n_lead"))
+    leads = posts.groupBy("token").agg(F.min(order).alias("l")).select("token", "l.lead", "l.n_lead")
+    best = posts.join(leads, "token").where("cid <> lead").groupBy("cid", "lead").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("n_lead").alias("m"))
+    n, m = F.col("n"), F.col("m")
+    best = best.where(F.col("k") >= _needed(n, n, m, m, percent)).groupBy("cid").agg(F.max(F.struct("k", "lead")).alias("best"))
+    return best.select(F.col("cid").alias("a"), F.col("best.lead").alias("b"))
+
+
 def _candidates(posts: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The groups (cid, n, comp, sub), and the pairs of groups of different components that share a token."""
     sizes = classes.groupBy("comp").agg(F.count("*").alias("size"))
@@ -161,8 +200,9 @@ def _candidates(posts: DataFrame, classes: DataFrame, percent: int) -> tuple[Dat
     matrix = stored(matrix, "matrix")
     side = lambda p: matrix.select("token", *(F.col(c).alias(f"{c}_{p}") for c in ("comp", "sub", "low", "high")))
     fits = (F.col("comp_a") < F.col("comp_b")) & (100 * F.col("high_a") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low_a"))
-    pairs = side("a").join(side("b"), "token").where(fits).groupBy("comp_a", "sub_a", "comp_b", "sub_b").agg(F.count("*").alias("k"), F.min("low_a").alias("low_a"), F.min("low_b").alias("low_b"))
-    pairs = pairs.where(F.col("k") >= _least(F.least("low_a", "low_b"))).drop("k", "low_a", "low_b")
+    pairs = side("a").join(side("b"), "token").where(fits).groupBy("comp_a", "sub_a", "comp_b", "sub_b").agg(F.count("*").alias("k"), *(f(f"{c}_{p}").alias(f"{c}_{p}") for c, f in (("low", F.min), ("high", F.max)) for p in ("a", "b")))
+    sizes = [F.col(c) for c in ("low_a", "high_a", "low_b", "high_b")]
+    pairs = pairs.where(F.col("k") >= _needed(*sizes, percent)).drop("k", "low_a", "low_b", "high_a", "high_b")
     return members, stored(pairs, "pairs")
 
 
@@ -182,19 +222,16 @@ def link_classes(docs: DataFrame, classes: DataFrame, frequent: tuple[np.ndarray
     from pyspark.sql import Window
 
     by = Window.partitionBy("token")
-    rare = rare.select("token", "cid", "n", F.min("cid").over(by).alias("lead"), F.max("cid").over(by).alias("last")).where("lead < last").drop("last")
+    rare = rare.select("token", "cid", "n", F.min("cid").over(by).alias("x"), F.max("cid").over(by).alias("y")).where("x < y").drop("x", "y")
     often = posts.where("often").select("token", "cid", "n").distinct()
-    leads = often.groupBy("token").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead < last").drop("last")
-    posts = stored(rare.unionByName(often.join(leads, "token").select("token", "cid", "n", "lead")).distinct(), "posts")
+    several = often.groupBy("token").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("token")
+    posts = stored(rare.unionByName(often.join(several, "token", "left_semi")).distinct(), "posts")
     # a class needs k tokens in common with one of at least percent of its size
     nodes = posts.groupBy("cid").agg(F.first("n").alias("n"), F.count("*").alias("shared")).where(F.col("shared") >= _least(F.floor(F.col("n") * percent / 100))).drop("shared")
-    posts = posts.join(nodes.select("cid"), "cid", "left_semi")
-    posts = posts.join(posts.groupBy("token").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).where("x < y").select("token"), "token", "left_semi")
-    posts = stored(posts, "posts")
-    # groups by leader: one comparison for each class that has enough in common with one
-    best = posts.where("cid <> lead").groupBy("cid", "lead").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    best = best.where(F.col("k") >= _least(F.floor(F.col("n") * percent / 100))).groupBy("cid").agg(F.max(F.struct("k", "lead")).alias("best"))
-    best = stored(best.select(F.col("cid").alias("a"), F.col("best.lead").alias("b")), "leaders")
+    posts = stored(posts.join(nodes.select("cid"), "cid", "left_semi").select("token", "cid", "n"), "posts")
+    posts = stored(_linkable(posts, percent), "posts")
+    # groups by leader: in each round one comparison at most for each class
+    best = stored(reduce(DataFrame.unionByName, [_led(posts, seed, percent) for seed in range(ROUNDS)]).distinct(), "leaders")
     nodes = posts.groupBy("cid").agg(F.first("n").alias("n"))
     sets = stored(sets_of(docs, nodes.join(classes, "cid").select("rep").distinct(), words), "sets")
 
