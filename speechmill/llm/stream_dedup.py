@@ -44,7 +44,8 @@ def sha256(text: Column) -> Column:
 @contextmanager
 def _rocksdb(spark: SparkSession) -> Iterator[None]:
     key = "spark.sql.streaming.stateStore.providerClass"
-    wanted = {key: ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    options = {"changelogCheckpointing.enabled": "true", "allowFAllocate": "false", "trackTotalNumberOfRows": "false"}  # many small stores: no space set aside, no reads for a row count
+    wanted = {key: ROCKSDB} | {f"spark.sql.streaming.stateStore.rocksdb.{k}": v for k, v in options.items()}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
