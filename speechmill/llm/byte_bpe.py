@@ -22,7 +22,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import looked_up, map_batches, texts
+from .common import kept, looked_up, map_batches, texts
 
 #: Chunks kept in one worker: frequent ones come early.
 KEPT_CHUNKS = 600_000
@@ -123,7 +123,6 @@ def replay(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
     return [ids[a:b] for a, b in zip([0, *stops], stops)]
 
 
-_made: dict[tuple[str, str], Encoder] = {}
 
 
 class Encoder:
@@ -145,9 +144,7 @@ class Encoder:
 
     @staticmethod
     def of(path: str, pattern: str) -> Encoder:
-        if (path, pattern) not in _made:
-            _made[path, pattern] = Encoder(path, pattern)
-        return _made[path, pattern]
+        return kept((Encoder, path, pattern), lambda: Encoder(path, pattern))
 
     def chunks(self, text: str) -> list[str]:
         if not text:

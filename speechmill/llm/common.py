@@ -33,6 +33,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/speechmill/{uuid.uuid4().hex[:12]}-{name}"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with lines after it until df has no such column (in any case of letters)."""
+    known = {c.lower() for c in df.columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -52,6 +60,27 @@ def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+_kept: dict[object, object] = {}
+_asked: set[object] = set()
+
+
+def kept(key: object, make: Callable[[], object]):
+    """What a Python worker keeps from task to task under a key; made where it isn't there."""
+    _asked.add(key)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def alone(make: Callable[[], object]):
+    """make(); of what the worker keeps, only what make() asked for stays, so operators that share workers don't add up their memory."""
+    _asked.clear()
+    made = make()
+    for key in set(_kept) - _asked:
+        del _kept[key]
+    return made
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]], schema: str, whole: bool = False) -> DataFrame:
     """mapInArrow: make() runs once in a task, what it returns turns each slice of a batch (whole: each batch) into columns of the schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -60,7 +89,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     fields = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
+        step = alone(make)
         for batch in batches:
             for part in [batch] if whole else pieces_of(batch):
                 if part.num_rows:

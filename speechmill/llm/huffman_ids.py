@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import looked_up, map_batches, new_path, stored, texts
+from .common import kept, looked_up, map_batches, new_path, stored, texts
 
 BLOCK = 256
 FRAME = 1 << 18
@@ -38,7 +38,6 @@ KEPT_CHUNKS = 1_000_000
 #: ASCII marks after them, but for the apostrophe, are pieces of their own.
 WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 PROBES = ("Word", "a", "Stra\u00dfe", "\u00c9t\u00e9", "Na\u00efve", "\u00d8RE", "\u00ffz", "Isn", "thTHth", "x" * 60, "word.", "a%%%", "\u00e9t\u00e9**!", "x-", "b]`")
-_made: dict[str, Words] = {}
 
 
 class Words:
@@ -69,9 +68,7 @@ class Words:
 
     @staticmethod
     def of(path: str) -> Words:
-        if path not in _made:
-            _made[path] = Words(path)
-        return _made[path]
+        return kept((Words, path), lambda: Words(path))
 
     def _library(self, new: list[str]) -> dict[str, bytes]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]

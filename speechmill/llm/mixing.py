@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, fresh, stored
 
 DOMAIN_NAMES = ("web", "books", "news", "forums")
 DOMAIN_WEIGHTS = {"web": 0.3, "books": 0.3, "news": 0.2, "forums": 0.2}
@@ -110,11 +110,11 @@ def select(
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are selected, one for each epoch, columns as they are; the last document of a leaf stays whole."""
-    taken = select(docs, **options).groupBy("doc_id").agg(F.max("epoch").alias("speechmill_epoch"), F.count("*").alias("speechmill_n"))
+    epoch, one = fresh(docs, "epochs"), fresh(docs, "one")
+    taken = select(docs, **options).groupBy("doc_id").agg(F.max("epoch").alias(epoch))
     # rows that repeat a doc_id share its epochs
-    copies = F.explode(F.sequence(F.lit(0), F.col("speechmill_epoch")))
-    first = docs.join(taken, "doc_id").select(*docs.columns, copies.alias("speechmill_e"))
-    return first.drop("speechmill_e")
+    copies = F.explode(F.sequence(F.lit(0), F.col(epoch)))
+    return docs.join(taken, "doc_id").select(*docs.columns, copies.alias(one)).drop(one)
 
 
 def oracle(budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> str:

@@ -21,7 +21,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, new_path, stored
+from .common import BLANK, fresh, new_path, stored
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of one group that a keeper's text is sent to at once.
@@ -57,9 +57,10 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
 
 
 def landed(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """doc_id, digest, n_bytes, locator."""
+    """doc_id, digest, n_bytes, locator; with another digest than SHA-256 also sha."""
     text = normalised(F.col("text"))
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), digest(text).alias("digest"), F.octet_length(text).alias("n_bytes"), F.input_file_name().alias("locator"))
+    more = [] if digest is sha256 else [sha256(text).alias("sha")]
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), digest(text).alias("digest"), F.octet_length(text).alias("n_bytes"), F.input_file_name().alias("locator"), *more)
 
 
 def run_stream(spark: SparkSession, path: str, schema, checkpoint: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
@@ -105,8 +106,6 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
     """doc_id, keep_id, group_size, kept, text_sha256: a row for each row of docs."""
     spark = docs.sparkSession
     land = landed(docs, digest)
-    if digest is not sha256:
-        land = land.withColumn("sha", sha256(normalised(F.col("text"))))
     path = new_path(spark, "landed")
     land.write.parquet(path)
     land = spark.read.schema(land.schema).parquet(path)
@@ -153,10 +152,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     found = stored(deduplicate(docs).where("group_size > 1").select("doc_id", "kept", "text_sha256"), "copies")
     gone = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     gone = gone.where("not kept or n > 1")
-    marked = docs.withColumn("speechmill_sha", sha256(normalised(F.col("text"))))
-    match = marked["doc_id"].eqNullSafe(gone["doc_id"]) & (marked["speechmill_sha"] == gone["text_sha256"])
+    own = fresh(docs, "sha")
+    marked = docs.withColumn(own, sha256(normalised(F.col("text"))))
+    match = marked["doc_id"].eqNullSafe(gone["doc_id"]) & (marked[own] == gone["text_sha256"])
     whole = marked.join(gone, match, "left_anti").select(*docs.columns)
     repeated = gone.where("kept and n > 1")
-    match = marked["doc_id"].eqNullSafe(repeated["doc_id"]) & (marked["speechmill_sha"] == repeated["text_sha256"])
-    once = marked.join(repeated, match, "left_semi").dropDuplicates(["doc_id", "speechmill_sha"]).select(*docs.columns)
+    match = marked["doc_id"].eqNullSafe(repeated["doc_id"]) & (marked[own] == repeated["text_sha256"])
+    once = marked.join(repeated, match, "left_semi").dropDuplicates(["doc_id", own]).select(*docs.columns)
     return whole.unionByName(once)

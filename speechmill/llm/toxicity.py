@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, pieces_of, stored, texts
+from .common import alone, map_batches, pieces_of, stored, texts
 
 DIMS = 1 << 20
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4_000, 12_000, 4_096
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
         return fit([], [], 0.5)
 
     def count(batches):
-        every = np.ones(DIMS, bool)
+        every = alone(lambda: np.ones(DIMS, bool))
         totals = np.zeros((2, DIMS), np.int64)
         for b in batches:
             for part in pieces_of(b):
@@ -214,7 +214,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        own = Model(*sent.value)
+        own = alone(lambda: Model(*sent.value))
         for batch in batches:
             for b in pieces_of(batch):
                 yield b.filter(pa.array(own.scores([x or "" for x in b.column(at).to_pylist()]) < threshold))
