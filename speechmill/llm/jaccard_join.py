@@ -162,9 +162,15 @@ def _left_out(n, percent: int):
     return F.greatest(F.lit(0), F.ceil(percent * n / 100) - 1 - F.floor(n / MORE))
 
 
+def _most_left_out(low, high, percent: int):
+    """The most that a class of a size from low to high leaves out: it falls by one where k(n) rises, so the last size before that counts too (percent is 5 at least)."""
+    before = F.floor(high / MORE) * MORE - 1
+    return F.greatest(_left_out(high, percent), F.when(before >= low, _left_out(before, percent)).otherwise(0))
+
+
 def _needed(low_a, high_a, low_b, high_b, percent: int):
     """Tokens of the matrix that two linked classes of such sizes share: of m in common, those beyond the nearer end are at most what one of them left out."""
-    both = F.ceil(percent * (low_a + low_b) / (100 + percent)) - F.greatest(_left_out(high_a, percent), _left_out(high_b, percent))
+    both = F.ceil(percent * (low_a + low_b) / (100 + percent)) - F.greatest(_most_left_out(low_a, high_a, percent), _most_left_out(low_b, high_b, percent))
     return F.greatest(both, _least(F.least(low_a, low_b)))
 
 

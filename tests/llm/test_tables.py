@@ -68,6 +68,24 @@ def test_op2_brute_force(docs):
     assert len(got) == len(made()) and all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got)
 
 
+@pytest.mark.parametrize("n, m, shared", [(40, 39, 36), (100, 99, 89), (140, 139, 124)])
+def test_op2_sizes_where_less_is_left_out(spark, n, m, shared):
+    """The least overlap that links, with the own shingles of the smaller text first in the order of tokens."""
+    from speechmill.llm.common import shingle_sets
+
+    words = [f"c{i}" for i in range(shared + 4)]
+    least, small, k = min(shingle_sets([" ".join(words)], 5)[0]), list(words), 0
+    while len(small) < m + 4:
+        k += 1
+        if shingle_sets([" ".join([*small[-4:], f"s{k}"])], 5)[0][0] < least:
+            small.append(f"s{k}")
+    large = words + [f"l{i}" for i in range(n - shared)]
+    rows = [(1, " ".join(large)), (2, " ".join(small))]
+    assert 100 * shared >= 80 * (n + m - shared)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, n, 1), (2, m, 1)]
+
+
 def test_op3_brute_force(docs):
     groups = {}
     for r in made():
