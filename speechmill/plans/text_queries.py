@@ -60,14 +60,14 @@ _NAGARI = "अबचदएफगहिजकलमनोपकरसतुवव
 
 
 def nagari(text: Column) -> Column:
-    return F.translate(F.lower(F.substring(text, 1, 200)), _ROMAN, _NAGARI)
+    return F.translate(F.lower(text), _ROMAN, _NAGARI)
 
 
 _NAGARI_SQL = f"translate(lower(substring(text, 1, 200)), '{_ROMAN}', '{_NAGARI}')"
 _each("x8_hindi_to_ipa", lambda t: X.hindi_to_ipa(nagari(t)), None)
 _each("x9_hindi_rules", lambda t: X.hindi_rules(F.regexp_replace(F.substring(t, 1, 100), "e", "ə")), r"regexp_replace(regexp_replace(replace(substring(text, 1, 100), 'e', 'ə'), 'ə$', ''), 'ə([aːɪiʊueɛoɔæ])', '\1', 'g')")
 _each("x10_english_to_ipa", lambda t: F.array_join(F.transform(X.lm_tokens(t), X.english_to_ipa), " "), None)
-_each("x11_squash", lambda t: X.squash(F.regexp_replace(F.lower(F.substring(t, 1, 200)), "[aeiou]", "aa")), None)
+_each("x11_squash", lambda t: X.squash(F.regexp_replace(F.lower(t), "[aeiou]", "aa")), None)
 _each("x12_arpabet", lambda t: X.arpabet_to_ipa(F.transform(F.filter(X.lm_tokens(t), lambda w: F.length(w) <= 2), lambda w: F.concat(F.upper(w), F.lit("1")))),
       f"array_to_string(list_transform(list_filter({_lm('text')}, lambda w: length(w) <= 2), lambda w: coalesce({_sql_map(T.ARPABET)}[regexp_replace(upper(w) || '1', '[0-9]', '', 'g')], '?')), '')")
 _TIGHT = r"trim(regexp_replace(regexp_replace(regexp_replace({}, '\s+([,.;:!?])', '\1', 'g'), '\s+\|\s+', ' | ', 'g'), '\s{{2,}}', ' ', 'g'))"
@@ -75,10 +75,10 @@ _each("x13_join_ipa", lambda t: X.join_ipa(X.hinglish_tokens(t)), _TIGHT.format(
 _each("x14_text_to_ipa", X.text_to_ipa, None)
 _each("x16_translate", lambda t: translate.translated(t, T.SAMPLE_LEXICON), None)
 _each("x17_transliterate", lambda t: F.array_join(F.transform(X.lm_tokens(t), X.transliterate), " "), None)
-_each("x19_ipa_to_gujarati", lambda t: X.ipa_to_gujarati(X.text_to_ipa(F.substring(t, 1, 60), " ")), None)
+_each("x19_ipa_to_gujarati", lambda t: X.ipa_to_gujarati(X.text_to_ipa(t, " ")), None)
 _each("x20_latin_to_gujarati", lambda t: F.array_join(F.transform(X.lm_tokens(t), X.latin_to_gujarati), " "), None)
 _drop = "".join(T.DROPPED)
-_each("x21_devanagari_to_gujarati", lambda t: X.devanagari_to_gujarati(nagari(t)), f"translate({_NAGARI_SQL}, '{T.PARALLEL}{T.DROPPED}', '{T.GUJARATI_PARALLEL}')")
+_each("x21_devanagari_to_gujarati", lambda t: X.devanagari_to_gujarati(nagari(F.substring(t, 1, 200))), f"translate({_NAGARI_SQL}, '{T.PARALLEL}{T.DROPPED}', '{T.GUJARATI_PARALLEL}')")
 _each("x22_gujarati_digits", lambda t: X.gujarati_digits(F.concat(t, F.lit(" 0123456789"))), f"translate(text || ' 0123456789', '0123456789', '{T.GUJARATI_DIGITS}')")
 _JOIN = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(array_to_string({_TOK}, ' '), '\s+([,.;:!?])', '\1', 'g'), '\(\s+', '(', 'g'), '\s+\)', ')', 'g'), '\s{{2,}}', ' ', 'g'))"
 _each("x23_join_tokens", lambda t: X.join_tokens(X.hinglish_tokens(t)), _JOIN)
