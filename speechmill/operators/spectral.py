@@ -27,10 +27,9 @@ def subtracted(powers: DataFrame, over: float = 2.0, least: float = 0.002) -> Da
 
 
 def tones(signals: DataFrame, seconds: float = 0.25, rate: int = 16_000) -> DataFrame:
-    """vec_id, x: a stand-in for audio, made of the first values of a short signal as strengths of tones 120, 240, ... Hz."""
-    t = F.sequence(F.lit(0), F.lit(int(seconds * rate) - 1))
-    wave = lambda i: F.aggregate(F.transform(F.slice("x", 1, 6), lambda a, k: a * F.sin(i * (k + 1) * F.lit(2 * np.pi * 120 / rate))), F.lit(0.0), lambda s, v: s + v)
-    return signals.select("vec_id", F.transform(t, wave).alias("x"))
+    """vec_id, x: a stand-in for audio, made of the values of a short signal as strengths of tones 120, 240, ... Hz."""
+    t = np.arange(int(seconds * rate))[:, None] * (2 * np.pi * 120 / rate)
+    return _mapped(signals, lambda x: [((np.sin(t * np.arange(1, len(x) + 1)) @ x).tolist(),)], "x array<double>")
 
 
 def _framed(x: np.ndarray, size: int, hop: int) -> np.ndarray:

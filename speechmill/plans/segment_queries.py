@@ -250,10 +250,10 @@ def metric_bundle(spark, sf_dir):
 
 
 def pairs(spark, sf_dir) -> DataFrame:
-    """pair_id, a, b: each vector's first twelve values against eight of the next one of its label."""
+    """pair_id, a, b: each vector against the next one of its label."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
     after = F.lead("x").over(Window.partitionBy("label").orderBy("vec_id"))
-    return rows.select(F.col("vec_id").alias("pair_id"), F.slice("x", 1, 12).alias("a"), F.slice(after, 1, 8).alias("b")).where("b is not null")
+    return rows.select(F.col("vec_id").alias("pair_id"), F.col("x").alias("a"), after.alias("b")).where("b is not null")
 
 
 _PAIRS = "pairs AS (SELECT * FROM (SELECT vec_id AS pair_id, list_transform(embedding, lambda v: v::DOUBLE)[1:12] AS a, list_transform(lead(embedding) OVER (PARTITION BY label ORDER BY vec_id), lambda v: v::DOUBLE)[1:8] AS b FROM embeddings) WHERE b IS NOT NULL)"
@@ -261,7 +261,8 @@ _PAIRS = "pairs AS (SELECT * FROM (SELECT vec_id AS pair_id, list_transform(embe
 
 @query("j7_pairwise_distances", f"WITH {_PAIRS}, l AS (SELECT *, unnest(range(12)) AS i FROM pairs) SELECT pair_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(abs(a[i + 1] - b[j + 1]), 6) + 0.0::DOUBLE AS d FROM (SELECT *, unnest(range(8)) AS j FROM l)")
 def pairwise_distances(spark, sf_dir):
-    return align.pairwise_distances(pairs(spark, sf_dir)).select("pair_id", "i", "j", rounded("d").alias("d"))
+    heads = pairs(spark, sf_dir).select("pair_id", F.slice("a", 1, 12).alias("a"), F.slice("b", 1, 8).alias("b"))
+    return align.pairwise_distances(heads).select("pair_id", "i", "j", rounded("d").alias("d"))
 
 
 @query("m1_dtw_cost")
@@ -287,7 +288,7 @@ def distortion(spark, sf_dir):
 @query("j8_m13_warped_curve")
 def warped_curve(spark, sf_dir):
     curve = pairs(spark, sf_dir).select("pair_id", F.posexplode("a").alias("i", "v"))
-    n = pairs(spark, sf_dir).select("pair_id", F.lit(10).alias("n"))
+    n = pairs(spark, sf_dir).select("pair_id", F.size("b").alias("n"))
     return align.warped_curve(_paths(spark, sf_dir), curve, n)
 
 
@@ -320,7 +321,7 @@ def beam_search(spark, sf_dir):
     """Events of a user as a table of scores between nine tokens."""
     pair = candidates(spark, sf_dir).select("utt_id", (F.col("token_id") % 9).cast("int").alias("prev"), (F.col("token_id") / 9 % 10).cast("int").alias("token"), "logprob")
     rows = pair.groupBy("utt_id", "prev", "token").agg(F.max("logprob").alias("score")).withColumn("lm", F.lit(0.0))
-    return decode.beam_search(rows, 9, 3, 20).select("utt_id", "tokens", F.round("total", 6).alias("total"))
+    return decode.beam_search(rows, 9, 3).select("utt_id", "tokens", F.round("total", 6).alias("total"))
 
 
 _NEED = r"""t AS (SELECT conv_id AS utt_id, turn, role, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS ws FROM conversations)"""

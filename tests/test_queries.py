@@ -122,6 +122,37 @@ def test_dtw_against_dynamic_programming(spark):
         assert r.cost == pytest.approx(d[-1, -1])
 
 
+@pytest.fixture
+def long_vectors(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, 1, [1.0] * 12 + rng.random(52).tolist()) for i in range(3)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return str(tmp_path), [np.array(r[2]) for r in rows]
+
+
+def test_alignment_queries_read_whole_vectors(spark, long_vectors):
+    path, x = long_vectors
+    for r in QUERIES["m1_dtw_cost"](spark, path).collect():
+        a, b = x[r.pair_id], x[r.pair_id + 1]
+        d = np.full((65, 65), np.inf)
+        d[0, 0] = 0
+        for i in range(64):
+            for j in range(64):
+                d[i + 1, j + 1] = abs(a[i] - b[j]) + min(d[i, j], d[i, j + 1], d[i + 1, j])
+        assert r.cost == pytest.approx(d[-1, -1], abs=1e-5) and r.cost > 0
+    last = {r.pair_id: (r.i, r.j) for r in QUERIES["m1_dtw_path"](spark, path).orderBy("step").collect()}
+    assert last == {0: (63, 63), 1: (63, 63)}
+    assert QUERIES["j8_m13_warped_curve"](spark, path).count() == 2 * 64
+
+
+def test_tones_are_made_of_all_values(spark, long_vectors):
+    path, x = long_vectors
+    signals = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, x array<double>")
+    for r in spectral.tones(signals).collect():
+        t = np.arange(4000) / 16_000
+        assert r.x == pytest.approx(sum(v * np.sin(2 * np.pi * 120 * (k + 1) * t) for k, v in enumerate(x[r.vec_id])), abs=1e-9)
+
+
 def test_pitch_of_a_tone():
     t = np.arange(8000) / 16_000
     f0 = spectral.pitch(np.sin(2 * np.pi * 220 * t))
