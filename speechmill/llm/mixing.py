@@ -109,12 +109,12 @@ def select(
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are selected, one for each epoch, columns as they are; the last document of a leaf stays whole."""
-    epoch, one = fresh(docs, "epochs"), fresh(docs, "one")
-    taken = select(docs, **options).groupBy("doc_id").agg(F.max("epoch").alias(epoch))
+    """The rows of docs that are selected, one for each epoch, columns as they are; the last document of a leaf stays whole. Rows with a null doc_id are taken together, as rows that repeat one."""
+    epoch, one, key = fresh(docs, "epochs"), fresh(docs, "one"), fresh(docs, "key")
+    taken = select(docs, **options).groupBy(F.col("doc_id").alias(key)).agg(F.max("epoch").alias(epoch))
     # rows that repeat a doc_id share its epochs
     copies = F.explode(F.sequence(F.lit(0), F.col(epoch)))
-    return docs.join(taken, "doc_id").select(*docs.columns, copies.alias(one)).drop(one)
+    return docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken[key])).select(*docs.columns, copies.alias(one)).drop(one)
 
 
 def oracle(budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> str:
