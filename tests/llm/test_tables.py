@@ -169,6 +169,19 @@ def test_op8_finds_named_families(spark):
     assert got == {1: ("apache-2.0", 1, 1), 2: ("", 0, None), 3: ("", 0, None), 4: ("", 0, None)}
 
 
+def test_op8_finds_wrapped_licences(spark):
+    texts = {
+        1: "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy",
+        2: "                                 Apache License\n                           Version 2.0, January 2004",
+        4: "Apache License\n\nVersion 2.0, January 2004",
+    }
+    plain = [(100 + i, f"the river runs by house {i}\nand the men went home") for i in range(50)]
+    docs = spark.createDataFrame([*texts.items(), *plain], "doc_id long, text string")
+    got = {r.doc_id: (r.families, r.n_licensed, r.first_paragraph) for r in license_scan.scan(docs).collect()}
+    assert [got[k] for k in texts] == [("gpl-3.0", 1, 0), ("apache-2.0", 1, 0), ("", 0, None)]
+    assert all(got[k] == ("", 0, None) for k, _ in plain)
+
+
 def test_empty_tables(none):
     assert jaccard_join.near_duplicates(none).count() == 0
     assert stream_dedup.deduplicate(none).count() == 0
