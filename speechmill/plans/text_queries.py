@@ -75,7 +75,7 @@ _each("x13_join_ipa", lambda t: X.join_ipa(X.hinglish_tokens(t)), _TIGHT.format(
 _each("x14_text_to_ipa", X.text_to_ipa, None)
 _each("x16_translate", lambda t: translate.translated(t, T.SAMPLE_LEXICON), None)
 _each("x17_transliterate", lambda t: F.array_join(F.transform(X.lm_tokens(t), X.transliterate), " "), None)
-_each("x19_ipa_to_gujarati", lambda t: X.ipa_to_gujarati(X.text_to_ipa(t, " ")), None)
+_each("x19_ipa_to_gujarati", lambda t: F.array_join(F.transform(X.hinglish_tokens(t), lambda w: X.ipa_to_gujarati(X.text_to_ipa(w, " "))), ""), None)
 _each("x20_latin_to_gujarati", lambda t: F.array_join(F.transform(X.lm_tokens(t), X.latin_to_gujarati), " "), None)
 _drop = "".join(T.DROPPED)
 _each("x21_devanagari_to_gujarati", lambda t: X.devanagari_to_gujarati(nagari(F.substring(t, 1, 200))), f"translate({_NAGARI_SQL}, '{T.PARALLEL}{T.DROPPED}', '{T.GUJARATI_PARALLEL}')")
