@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The six characters that separate words in every contract of this folder.
 BLANK = r"[\x20\x09-\x0D]"
@@ -16,16 +16,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session.
+    """The folder all executors share: spark.checkpoint.dir of the session, else the checkpoint folder set on its context.
 
-    Only where that is unset, as in tests, a new local folder is made and set as the checkpoint folder.
+    Where neither is set there is no such folder: a local one would lose files with the machine that wrote them.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        known = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='speechmill-')}"
         if not held.isDefined():
-            spark.sparkContext.setCheckpointDir(known)
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        known = held.get()
     return known.rstrip("/")
 
 
@@ -49,6 +49,55 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame) -> tuple[DataFrame, Column]:
+    """docs and the locator of each row: struct(file, row), the Parquet file it stands in and its place there.
+
+    A table read from Parquet has these of its own. Any other one is first written to the shared folder, as its rows have no lasting place.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = stored(docs, "content", compression="zstd")
+    meta = docs.metadataColumn("_metadata")
+    return docs, F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row"))
+
+
+#: Bits of a bitmap of locators, and the most of them: 2 MB to 32 MB for each task, whatever there is to mark.
+BITS_LEAST, BITS_MOST = 1 << 24, 1 << 28
+
+
+class Marks:
+    """A set of row locators as a bitmap whose size is bounded: rows it doesn't mark are surely not in the set, so they need no join."""
+
+    def __init__(self, rows: DataFrame, at: Column, count: int):
+        self.bits = BITS_LEAST
+        while self.bits < min(BITS_MOST, 16 * count):
+            self.bits *= 2
+        bucket, bit = self._place(at)
+        self.bitmap = rows.groupBy(bucket.alias("mark_bucket")).agg(F.bitmap_construct_agg(bit).alias("mark_bits"))
+
+    def _place(self, at: Column) -> tuple[Column, Column]:
+        place = F.pmod(F.xxhash64(at), F.lit(self.bits)) + 1
+        return F.bitmap_bucket_number(place), F.bitmap_bit_position(place).cast("int")
+
+    def split(self, docs: DataFrame, at: Column, columns: list[Column]) -> tuple[DataFrame, DataFrame]:
+        """The rows that may be in the set, and those that surely aren't; both with these columns."""
+        bucket, bit = self._place(at)
+        mark, bits = fresh(docs, "mark"), fresh(docs, "mark_bits")
+        held = self.bitmap.withColumnRenamed("mark_bits", bits)
+        rows = docs.select(*columns, F.struct(bucket.alias("bucket"), bit.alias("bit")).alias(mark))
+        rows = rows.join(F.broadcast(held), rows[mark]["bucket"] == held["mark_bucket"], "left").drop(held["mark_bucket"])
+        marked = F.coalesce(F.expr(f"shiftright(cast(conv(hex(substring({bits}, cast({mark}.bit div 8 as int) + 1, 1)), 16, 10) as int), {mark}.bit % 8) & 1 = 1"), F.lit(False))
+        return rows.where(marked).drop(mark, bits), rows.where(~marked).drop(mark, bits)
+
+
+def without_rows(docs: DataFrame, at: Column, gone: DataFrame) -> DataFrame:
+    """docs (as located() gives them) without the rows whose locator is in gone(at). Rows that surely stay are not shuffled."""
+    gone = stored(gone, "gone")
+    own = fresh(docs, "at")
+    may, stay = Marks(gone, F.col("at"), gone.count()).split(docs, at, [*(docs[c] for c in docs.columns), at.alias(own)])
+    left = may.join(gone.hint("merge"), may[own] == gone["at"], "left_anti")
+    return stay.select(*docs.columns).unionByName(left.select(*docs.columns))
+
+
 #: Rows that a map step holds as Python objects at once, and bytes of them.
 ROWS, BYTES = 512, 4 << 20
 

@@ -31,10 +31,11 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, shingle_sets, stored, texts
+from .common import located, map_batches, shingle_sets, stored, texts, without_rows
 from .graph import components
 
 WORDS, PERCENT = 5, 80
@@ -61,8 +62,8 @@ def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def profile(docs: DataFrame, words: int) -> DataFrame:
-    """kind 0: a row per document (doc_id, n, key, key2); kind 1: a token (key) frequent in a batch, with its count (n)."""
+def profile(docs: DataFrame, at: Column, words: int) -> DataFrame:
+    """kind 0: a row per document (doc_id, at, n, key, key2); kind 1: a token (key) frequent in a batch, with its count (n)."""
 
     def make():
         def step(b):
@@ -75,7 +76,8 @@ def profile(docs: DataFrame, words: int) -> DataFrame:
             k, zeros = len(tokens), np.zeros(len(tokens), np.int64)
             return {
                 "kind": np.r_[np.zeros(len(sets), np.int32), np.ones(k, np.int32)],
-                "doc_id": [*b.column(0).to_pylist(), *[None] * k],
+                "doc_id": pa.concat_arrays([b.column(0), pa.nulls(k, pa.int64())]),
+                "at": pa.concat_arrays([b.column(1), pa.nulls(k, b.column(1).type)]),
                 "n": np.r_[np.array([len(s) for s in sets], np.int64), counts],
                 "key": np.r_[key, tokens],
                 "key2": np.r_[key2, zeros],
@@ -83,7 +85,8 @@ def profile(docs: DataFrame, words: int) -> DataFrame:
 
         return step
 
-    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), make, "kind int, doc_id long, n long, key long, key2 long")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), at.alias("at"), docs["text"])
+    return map_batches(rows, make, "kind int, doc_id long, at struct<file: string, row: bigint>, n long, key long, key2 long")
 
 
 def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int, percent: int) -> DataFrame:
@@ -281,10 +284,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, frequent: tuple[np.ndarray
     return _relabel(now, found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select("cid", "comp")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links, itself included."""
-    seen = stored(profile(docs, words), "profile")
-    rows = seen.where("kind = 0").select("doc_id", "n", "key", "key2")
+def _grouped(docs: DataFrame, at: Column, words: int, percent: int) -> DataFrame:
+    """doc_id, at, n, group (of texts that links connect; null for those that link with nothing), name (its smallest doc_id): a row for each row of docs."""
+    seen = stored(profile(docs, at, words), "profile")
+    rows = seen.where("kind = 0").select("doc_id", "at", "n", "key", "key2")
     top = seen.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_LEAST).orderBy(F.desc("n"), "key").limit(FREQUENT_MAX).toPandas()
     tokens, counts = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(tokens)
@@ -293,12 +296,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     joined = classes.join(comps, classes["key"] == comps["cid"], "left")
     names = joined.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("name"))
     # classes of one row that link with nothing need no entry
-    known = joined.where("copies > 1 or comp is not null").select("key", "key2", "rep", "comp").join(names, "comp", "left").select("key", "key2", F.coalesce("name", "rep").alias("name"))
-    out = rows.join(known, ["key", "key2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("name", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    known = joined.where("copies > 1 or comp is not null").select("key", "key2", "rep", "comp").join(names, "comp", "left")
+    known = known.select("key", "key2", F.coalesce("name", "rep").alias("name"), F.when(F.col("comp").isNotNull(), F.struct(F.lit(0).cast("long").alias("more"), F.col("comp").alias("key"))).otherwise(F.struct(F.col("key2").alias("more"), "key")).alias("group"))
+    return rows.join(known, ["key", "key2"], "left")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links, itself included."""
+    found = _grouped(*located(docs), words, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("name", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs without those whose component has a smaller doc_id."""
-    found = stored(near_duplicates(docs, words, percent).where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each group of linked texts: that with the smallest doc_id, null ids last, then the first by its locator.
+
+    Rows go by their locator: rows that repeat a doc_id are judged one by one, and rows with null ids like others. Texts without
+    words (null ones too) link with nothing and all stay; an empty table stays empty; columns of any name are kept.
+    """
+    docs, at = located(docs)
+    found = stored(_grouped(docs, at, words, percent).where("group is not null").select("at", "group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at").alias("rank")), "grouped")
+    first = found.groupBy("group").agg(F.min("rank").alias("first"))
+    return without_rows(docs, at, found.join(first, "group").where(F.col("at") != F.col("first.at")).select("at"))

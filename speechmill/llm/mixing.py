@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, stored
+from .common import WORD, fresh, located, stored
 
 DOMAIN_NAMES = ("web", "books", "news", "forums")
 DOMAIN_WEIGHTS = {"web": 0.3, "books": 0.3, "news": 0.2, "forums": 0.2}
@@ -50,11 +50,15 @@ def weight_of(name: Column, weights: dict[str, float]) -> Column:
     return out
 
 
-def counted(docs: DataFrame) -> DataFrame:
+def _named(docs: DataFrame) -> list[Column]:
     """doc_id, domain, lang, source, n_tokens."""
-    lang, source = (F.coalesce(F.col(c), F.lit("")) for c in ("lang", "source"))
-    words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"), words.alias("n_tokens"))
+    lang, source = (F.coalesce(docs[c], F.lit("")) for c in ("lang", "source"))
+    words = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD)).cast("long")
+    return [docs["doc_id"].cast("long").alias("doc_id"), domain_of(source).alias("domain"), lang.alias("lang"), source.alias("source"), words.alias("n_tokens")]
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    return docs.select(*_named(docs))
 
 
 def shared_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
@@ -82,39 +86,67 @@ def leaf_budgets(leaves: DataFrame, budget_share: float, max_epochs: int, weight
     return shared_out(low, ["domain", "lang"], "source").select(*LEAF, "tokens", F.floor(F.col("share") + 1e-6).cast("long").alias("budget"))
 
 
-def select(
-    docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, weights: tuple[dict, dict, dict] = (DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS)
-) -> DataFrame:
-    """doc_id, domain, lang, source, epoch, n_tokens, taken: a row per document and epoch that gives tokens; taken < n_tokens for the last one of a leaf."""
-    rows = stored(counted(docs), "counted")
+def _place(seed: int) -> Column:
+    """Where a document stands in its leaf's part epoch `full`."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+
+
+def _budgets(rows: DataFrame, budget_share: float, max_epochs: int, weights: tuple[dict, dict, dict]) -> tuple[DataFrame, bool]:
+    """Each leaf's budget as whole epochs (`full`) and what is left of it (`rest`); and whether there are few enough leaves to send to all tasks."""
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
     budgets = stored(leaf_budgets(leaves, budget_share, max_epochs, weights), "budgets")
-    if budgets.count() <= MAX_BROADCAST_LEAVES:
-        budgets = F.broadcast(budgets)
-    own = rows.where("n_tokens > 0").join(budgets, LEAF)
-    own = own.withColumn("full", F.floor(F.col("budget") / F.col("tokens")).cast("int")).withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens"))
-    whole = own.where("full > 0").select("doc_id", *LEAF, F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("epoch"), "n_tokens", F.col("n_tokens").alias("taken"))
+    full = F.floor(F.col("budget") / F.col("tokens")).cast("int")
+    budgets, few = budgets.select(*LEAF, full.alias("full"), (F.col("budget") - full * F.col("tokens")).alias("rest")), budgets.count() <= MAX_BROADCAST_LEAVES
+    return (F.broadcast(budgets) if few else budgets), few
 
-    part = own.where("rest > 0").withColumn("place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    part = part.withColumn("bucket", F.substring("place", 1, DIGITS)).drop("tokens", "budget")
+
+def _part_epoch(own: DataFrame, seed: int, ties: list[str]) -> DataFrame:
+    """The rows whose start in their leaf's part epoch lies before its rest, with `place` and `start`."""
+    part = own.where("rest > 0").withColumn("place", _place(seed))
+    part = part.withColumn("bucket", F.substring("place", 1, DIGITS))
     sums = part.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("s"))
     ordered = Window.partitionBy(*LEAF).orderBy("bucket")
     sums = sums.withColumn("before", F.sum("s").over(ordered) - F.col("s")).drop("s")
-    within = Window.partitionBy(*LEAF, "bucket").orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(*LEAF, "bucket").orderBy("place", "doc_id", "n_tokens", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = part.join(sums, [*LEAF, "bucket"]).where("before < rest")
-    start = F.col("before") + F.sum("n_tokens").over(within) - F.col("n_tokens")
-    near = near.withColumn("start", start).where("start < rest")
+    return near.withColumn("start", F.col("before") + F.sum("n_tokens").over(within) - F.col("n_tokens")).where("start < rest")
+
+
+def select(
+    docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, weights: tuple[dict, dict, dict] = (DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS)
+) -> DataFrame:
+    """doc_id, domain, lang, source, epoch, n_tokens, taken: a row per document and epoch that gives tokens; taken < n_tokens for the last one of a leaf."""
+    rows = stored(counted(docs), "counted")
+    budgets, _ = _budgets(rows, budget_share, max_epochs, weights)
+    own = rows.where("n_tokens > 0").join(budgets, LEAF)
+    whole = own.where("full > 0").select("doc_id", *LEAF, F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("epoch"), "n_tokens", F.col("n_tokens").alias("taken"))
+    near = _part_epoch(own, seed, [])
     near = near.select("doc_id", *LEAF, F.col("full").alias("epoch"), "n_tokens", F.least("n_tokens", F.col("rest") - F.col("start")).alias("taken"))
     return whole.unionByName(near)
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are selected, one for each epoch, columns as they are; the last document of a leaf stays whole. Rows with a null doc_id are taken together, as rows that repeat one."""
-    epoch, one, key = fresh(docs, "epochs"), fresh(docs, "one"), fresh(docs, "key")
-    taken = select(docs, **options).groupBy(F.col("doc_id").alias(key)).agg(F.max("epoch").alias(epoch))
-    # rows that repeat a doc_id share its epochs
-    copies = F.explode(F.sequence(F.lit(0), F.col(epoch)))
-    return docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken[key])).select(*docs.columns, copies.alias(one)).drop(one)
+def mix(
+    docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, weights: tuple[dict, dict, dict] = (DOMAIN_WEIGHTS, LANG_WEIGHTS, SOURCE_WEIGHTS)
+) -> DataFrame:
+    """The rows of docs that select() takes, one for each epoch, columns as they are; the last document of a leaf stays whole.
+
+    A leaf's part epoch is a prefix of an order, so the last row of it decides on all others: one such row for each leaf goes to
+    all tasks, and no text is shuffled. The order ends in the row's locator: rows that repeat a doc_id and rows with null ids are taken
+    one by one. Null or blank texts have no tokens and are never taken; an empty table stays empty; columns of any name are kept.
+    """
+    docs, at = located(docs)
+    rows = stored(docs.select(*_named(docs), at.alias("at")), "counted")
+    budgets, few = _budgets(rows, budget_share, max_epochs, weights)
+    order = F.struct("place", "doc_id", "n_tokens", "at")
+    near = _part_epoch(rows.where("n_tokens > 0").join(budgets, LEAF), seed, ["at"])
+    last = near.groupBy(*LEAF).agg(F.max(order).alias("last"))
+    leaves = stored(budgets.join(last, LEAF, "left"), "leaves")
+    own = fresh(docs, "own")
+    inner = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias(own), *_named(docs), at.alias("at")).where("n_tokens > 0")
+    taken = inner.join(F.broadcast(leaves) if few else leaves, LEAF).withColumn("place", _place(seed))
+    copies = F.col("full") + F.when(order <= F.col("last"), 1).otherwise(0)
+    taken = taken.withColumn("copies", copies).where("copies > 0").select(own, F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*(F.col(own)[c].alias(c) for c in docs.columns))
 
 
 def oracle(budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> str:

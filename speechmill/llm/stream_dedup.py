@@ -1,16 +1,17 @@
 """Exact deduplication as a stateful stream with disk-backed state.
 
 The documents' digests land as a narrow table; a structured stream reads it and keeps, for each digest and length, the
-smallest doc_id with its content locator (the file it came from) and the number of rows. The state lives in RocksDB, has no
+smallest doc_id with its content locator (file and place of the row) and the number of rows. The state lives in RocksDB, has no
 watermark and never expires, so a later run of the stream with the same checkpoint goes on where this one ended. Rows are
 aggregated in the tasks before the shuffle, so a text that a third of all rows share arrives as a row per task.
 
-Hits (digests with more than one row) are checked by full bytes: each row's normalised text against that of the row its
-state points to. Rows that differ (clashes of the digest) are grouped by the full text instead.
+Hits (digests with more than one row) are checked by full bytes: the locator in the state leads to the content of the row
+that stays, and each hit's normalised text is compared with it. Rows that differ (clashes of the digest) are grouped by the
+full text instead. Texts of rows that aren't hits are never shuffled.
 
 Defined results: null text is empty; texts are equal when identical after each run of blanks is one space; of rows that repeat one
-doc_id with one text exactly one is kept; null doc_ids come last, as they can't be smallest unless alone; other columns are not read; an
-empty table gives an empty table.
+doc_id with one text exactly one is kept, the first by its locator; null doc_ids come last, as they can't be smallest unless alone; other
+columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,16 +22,20 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, fresh, new_path, stored
+from .common import BLANK, Marks, located, new_path, stored, without_rows
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Rows of one group that a keeper's text is sent to at once.
+#: Rows of one group that a keeper's text is sent to at once; larger groups are split.
 SALT_ROWS = 256
-#: Groups with more than this share of all rows are joined by broadcast: there can't be more than its inverse.
-HOT_SHARE = 0.001
+#: Split groups also have this share of all rows: there can't be more than its inverse of them, and their narrow list goes to all tasks.
+HOT_SHARE = 1e-5
 FILES_PER_BATCH = 1000
-#: Of the bitmap of digests that occur more than once: 2 MB.
-BITS = 1 << 24
+KEYS = ["digest", "n_bytes"]
+
+
+def _rank() -> Column:
+    """The row that stays is the least by this: a null id sorts last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
 
 
 def normalised(text: Column) -> Column:
@@ -56,20 +61,18 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
-def landed(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """doc_id, digest, n_bytes, locator; with another digest than SHA-256 also sha."""
-    text = normalised(F.col("text"))
+def landed(docs: DataFrame, at: Column, digest: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, digest, n_bytes, at (the locator); with another digest than SHA-256 also sha."""
+    text = normalised(docs["text"])
     more = [] if digest is sha256 else [sha256(text).alias("sha")]
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), digest(text).alias("digest"), F.octet_length(text).alias("n_bytes"), F.input_file_name().alias("locator"), *more)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), digest(text).alias("digest"), F.octet_length(text).alias("n_bytes"), at.alias("at"), *more)
 
 
 def run_stream(spark: SparkSession, path: str, schema, checkpoint: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """Take in what is new under path; gives the state: digest, n_bytes, first (doc_id, locator), copies."""
+    """Take in what is new under path; gives the state: digest, n_bytes, first (doc_id, at), copies."""
     with _rocksdb(spark):
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-        # a null id sorts last: the flag stands before the id
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "locator"))
-        state = rows.groupBy("digest", "n_bytes").agg(first.alias("first"), F.count("*").alias("copies"))
+        state = rows.groupBy("digest", "n_bytes").agg(F.min(_rank()).alias("first"), F.count("*").alias("copies"))
         query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         held = spark.read.format("statestore").load(checkpoint)
@@ -77,86 +80,67 @@ def run_stream(spark: SparkSession, path: str, schema, checkpoint: str, files_pe
     return held.select("key.digest", "key.n_bytes", F.col(f"value.`{value[0]}`").alias("first"), F.col(f"value.`{value[1]}`").alias("copies"))
 
 
-def _place(digest: Column) -> tuple[Column, Column]:
-    """Bucket and bit of a digest in the bitmap below."""
-    at = F.pmod(F.xxhash64(digest), F.lit(BITS)) + 1
-    return F.bitmap_bucket_number(at), F.bitmap_bit_position(at).cast("int")
-
-
-def _copies(docs: DataFrame, multi: DataFrame, total: int, digest: Callable[[Column], Column]) -> DataFrame:
-    """The rows of groups with more than one, with their normalised text.
-
-    A bitmap of BITS bits, its size fixed, keeps most other texts out of the shuffle; the join decides.
-    """
-    text = normalised(F.col("text"))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("norm")).withColumns({"digest": digest(F.col("norm")), "n_bytes": F.octet_length("norm")})
-    bucket, bit = _place(F.col("digest"))
-    bitmap = multi.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bitmap"))
-    near = rows.withColumns({"bucket": bucket, "bit": bit}).join(F.broadcast(bitmap), "bucket")
-    near = near.where(F.expr("shiftright(cast(conv(hex(substring(bitmap, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), bit % 8) & 1") == 1).drop("bucket", "bit", "bitmap")
-    least = max(2, int(total * HOT_SHARE))
-    hot = multi.where(F.col("copies") >= least)  # at most 1 / HOT_SHARE rows
-    rest = multi.where(F.col("copies") < least)
-    keys = ["digest", "n_bytes"]
-    # the hint keeps the plan alike at every size
-    return near.join(F.broadcast(hot), keys).unionByName(near.join(rest.hint("merge"), keys))
+def _checked(docs: DataFrame, at: Column, hits: DataFrame, multi: DataFrame, hot: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, at, digest, n_bytes, first, copies, sha of each hit, and `other`: its text where it isn't that of the row that stays."""
+    text = normalised(docs["text"])
+    # the content of the rows that stay, by their locators
+    keepers = multi.select(*KEYS, "first", "copies")
+    may, _ = Marks(keepers, F.col("first.at"), keepers.count()).split(docs, at, [docs["text"], at.alias("at")])
+    keepers = keepers.join(may.select("at", normalised(F.col("text")).alias("kept_text")).hint("merge"), F.col("first.at") == F.col("at")).drop("at")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("copies") / SALT_ROWS)).cast("long")
+    keepers = keepers.join(F.broadcast(hot.select(*KEYS, F.lit(True).alias("hot"))), KEYS, "left")
+    keepers = keepers.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.lit(0).cast("long"))))).drop("hot")
+    # the hits' own texts
+    may, _ = Marks(hits, F.col("at"), hits.count()).split(docs, at, [docs["doc_id"].cast("long").alias("doc_id"), text.alias("norm"), at.alias("at")])
+    may = may.withColumns({"digest": digest(F.col("norm")), "n_bytes": F.octet_length("norm")})
+    may = may.join(F.broadcast(hot.select(*KEYS, parts.alias("parts"))), KEYS, "left").withColumn("salt", F.pmod(F.xxhash64("at"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    both = may.join(keepers.hint("merge"), [*KEYS, "salt"])
+    same = F.col("norm") == F.col("kept_text")
+    sha = F.col("digest") if digest is sha256 else sha256(F.col("norm"))
+    return both.select("doc_id", "at", *KEYS, "first", "copies", sha.alias("sha"), F.when(~same, F.col("norm")).alias("other"))
 
 
-def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: a row for each row of docs."""
+def _judged(docs: DataFrame, at: Column, digest: Callable[[Column], Column], files_per_batch: int) -> DataFrame:
+    """doc_id, at, first (of its group), copies, sha: a row for each row of docs."""
     spark = docs.sparkSession
-    land = landed(docs, digest)
+    land = landed(docs, at, digest)
     path = new_path(spark, "landed")
     land.write.parquet(path)
     land = spark.read.schema(land.schema).parquet(path)
     sha = F.col("digest") if digest is sha256 else F.col("sha")
+    alone = land.select("doc_id", "at", _rank().alias("first"), F.lit(1).cast("long").alias("copies"), sha.alias("sha"))
     total = land.count()
     if not total:
-        return land.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256"))
+        return alone
     state = run_stream(spark, path, land.schema, new_path(spark, "dedup-state"), files_per_batch)
-    multi = stored(state.where("copies > 1").select("digest", "n_bytes", F.col("first.doc_id").alias("keep_id"), "copies"), "groups")
-
-    # full bytes of each hit against the text its state points to
-    keys = ["digest", "n_bytes"]
-    hits = stored(_copies(docs, multi, total, digest), "hits", compression="zstd")
-    parts = F.ceil(F.col("copies") / SALT_ROWS)
-    keepers = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(*keys, "copies").agg(F.min("norm").alias("kept_text"))
-    keepers = keepers.select(*keys, "kept_text", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"))
-    salted = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), parts))
-    same = F.col("norm") == F.col("kept_text")
-    checked = salted.join(keepers, [*keys, "salt"]).select("doc_id", *keys, "keep_id", "copies", F.when(~same, F.col("norm")).alias("other"))
-    checked = stored(checked, "checked", compression="zstd")
-    if checked.where("other is not null").isEmpty():
-        groups = checked.drop("other").withColumn("sha", F.col("digest"))
-        if digest is not sha256:
-            groups = _with_sha(groups, land)
-    else:
-        # clashes: what differs from its keeper is grouped by full text
-        part = Window.partitionBy(*keys, "other")
-        groups = checked.withColumns({"copies": F.count("*").over(part), "keep_id": F.min("doc_id").over(part)})
-        own = land.join(multi.select(*keys), keys).groupBy(*keys).agg(F.min(F.struct("doc_id", "sha")).alias("k"))
-        groups = groups.join(own, keys).select("doc_id", *keys, "keep_id", "copies", F.when(F.col("other").isNotNull(), sha256(F.col("other"))).otherwise(F.col("k.sha")).alias("sha"))
-    nth = F.row_number().over(Window.partitionBy("sha", "doc_id").orderBy(F.lit(1)))
-    copies = groups.select("doc_id", "keep_id", F.col("copies").alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (nth == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
-    single = land.join(multi.select(*keys).hint("merge"), keys, "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256"))
-    return single.unionByName(copies)
-
-
-def _with_sha(groups: DataFrame, land: DataFrame) -> DataFrame:
-    first = land.groupBy("digest", "n_bytes").agg(F.min("sha").alias("own"))
-    return groups.join(first, ["digest", "n_bytes"]).drop("sha").withColumnRenamed("own", "sha")
+    multi = stored(state.where("copies > 1"), "groups")
+    hot = multi.where(F.col("copies") > max(SALT_ROWS, int(total * HOT_SHARE))).select(*KEYS, "copies")  # at most 1 / HOT_SHARE narrow rows
+
+    rest = land.join(F.broadcast(hot), KEYS, "left_anti")
+    few = multi.join(F.broadcast(hot), KEYS, "left_anti").select(*KEYS)
+    hits = land.join(F.broadcast(hot), KEYS, "left_semi").select("at").unionByName(rest.join(few.hint("merge"), KEYS, "left_semi").select("at"))
+    checked = stored(_checked(docs, at, stored(hits, "hits"), multi, hot, digest), "checked", compression="zstd")
+    single = rest.join(few.hint("merge"), KEYS, "left_anti").select("doc_id", "at", _rank().alias("first"), F.lit(1).cast("long").alias("copies"), sha.alias("sha"))
+    groups = checked
+    if not checked.where("other is not null").isEmpty():
+        # clashes: what differs from the row that stays is grouped by full text
+        part = Window.partitionBy(*KEYS, "other")
+        groups = checked.withColumns({"copies": F.count("*").over(part), "first": F.min(_rank()).over(part)})
+    return single.unionByName(groups.select("doc_id", "at", "first", "copies", "sha"))
+
+
+def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: a row for each row of docs."""
+    found = _judged(*located(docs), digest, files_per_batch)
+    return found.select("doc_id", F.col("first.doc_id").alias("keep_id"), F.col("copies").alias("group_size"), (F.col("at") == F.col("first.at")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of equal texts, columns as they are. Rows that repeat both doc_id and text become one."""
-    found = stored(deduplicate(docs).where("group_size > 1").select("doc_id", "kept", "text_sha256"), "copies")
-    gone = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    gone = gone.where("not kept or n > 1")
-    own = fresh(docs, "sha")
-    marked = docs.withColumn(own, sha256(normalised(F.col("text"))))
-    match = marked["doc_id"].eqNullSafe(gone["doc_id"]) & (marked[own] == gone["text_sha256"])
-    whole = marked.join(gone, match, "left_anti").select(*docs.columns)
-    repeated = gone.where("kept and n > 1")
-    match = marked["doc_id"].eqNullSafe(repeated["doc_id"]) & (marked[own] == repeated["text_sha256"])
-    once = marked.join(repeated, match, "left_semi").dropDuplicates(["doc_id", own]).select(*docs.columns)
-    return whole.unionByName(once)
+    """docs with one row of each group of equal texts, columns as they are.
+
+    Rows go by their locator, so it matters neither that doc_ids repeat nor that they are null: of null ones with an equal text one stays.
+    Null texts are empty ones; an empty table stays empty; columns of any name are kept.
+    """
+    docs, at = located(docs)
+    found = _judged(docs, at, sha256, FILES_PER_BATCH)
+    return without_rows(docs, at, found.where(F.col("at") != F.col("first.at")).select("at"))

@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from speechmill.llm import backoff_lm, jaccard_join, license_scan, mixing, stream_dedup, toxicity, url_filter
 
@@ -203,3 +205,67 @@ def test_pipeline_stages(spark, docs):
     assert left.columns == docs.columns and {r.doc_id for r in left.select("doc_id").collect()} == {d for d, (_, c) in want.items() if c == d}
     assert mixing.mix(docs, max_epochs=1).columns == docs.columns
     assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "n-gram Jaccard join", "mixing sources to target weights", "byte-level BPE encoding and decoding"]
+
+
+def test_rows_that_repeat_or_miss_their_ids(spark):
+    """Stages go by rows, not by doc_id: nothing is lost with an id that repeats or is null."""
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text, "at1"), (2, text + " thirteen", "at2"), (2, "something else that stands alone here", "at3"), (None, text, "at4"), (None, None, "at5"), (None, "", "at6"), (7, "with no id the next ones differ", "at7"), (7, "with no id the next ones differ", "at8")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at string").withColumns({"lang": F.lit("en"), "source": F.lit("src1"), "mark": F.lit(1), "_metadata": F.lit("own")})
+    once = stream_dedup.keep_first(docs)
+    assert once.columns == docs.columns
+    got = {r["at"] for r in once.collect()}
+    assert {"at1", "at2", "at3"} <= got and len(got & {"at7", "at8"}) == 1 and len(got & {"at5", "at6"}) == 1 and len(got) == 5
+    left = jaccard_join.keep_first(docs)
+    assert left.columns == docs.columns
+    got = {r["at"] for r in left.collect()}
+    assert {"at1", "at3", "at5", "at6"} <= got and len(got & {"at7", "at8"}) == 1 and len(got) == 5
+    mixed = mixing.mix(docs, budget_share=1.0, max_epochs=1)
+    assert mixed.columns == docs.columns and sorted(r["at"] for r in mixed.collect()) == ["at1", "at2", "at3", "at4", "at7", "at8"]
+    part = mixing.mix(docs, budget_share=0.5, max_epochs=1).collect()
+    assert 0 < len(part) < 6
+    for stage in (stream_dedup.keep_first, jaccard_join.keep_first, mixing.mix):
+        assert stage(docs.limit(0)).count() == 0
+
+
+def test_mix_keeps_what_select_takes(docs):
+    for options in ({"budget_share": 0.9, "max_epochs": 1}, {}):
+        ids = sorted(r.doc_id for r in mixing.select(docs, **options).collect())
+        assert ids == sorted(r.doc_id for r in mixing.mix(docs, **options).collect())
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() on small tables: toxic ones by the scores of op5, copies and near copies by plain sets, mixing by its SQL, ids by the library."""
+    import base64
+
+    import duckdb
+    import public_tokenizers as P
+    import tiktoken
+
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    copies = small.where("doc_id % 7 = 0").select((F.col("doc_id") + 100000).alias("doc_id"), F.concat("text", F.lit(" ")).alias("text"), "lang", "source", "n_chars")
+    odd = spark.createDataFrame([(200000, None, None, None, 0), (200001, "", "en", "src3", 0)], small.schema)
+    small.unionByName(copies).unionByName(odd).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))).where("predicted = 0")
+    kept = {r.doc_id for r in kept.collect()}
+    rows = sorted((r for r in docs.collect() if r.doc_id in kept), key=lambda r: r.doc_id)
+    assert 0 < len(rows) < docs.count()
+    seen, once = set(), []
+    for r in rows:
+        text = re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")
+        if text not in seen:
+            seen.add(text)
+            once.append(r)
+    near = classes([(r.doc_id, r.text) for r in once])
+    left = [r for r in once if near[r.doc_id][1] == r.doc_id]
+    con = duckdb.connect()
+    spark.createDataFrame(left, docs.schema).coalesce(1).write.parquet(f"{tmp_path}/left.parquet")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/left.parquet/*.parquet'")
+    chosen = {r[0] for r in con.execute(f"SELECT doc_id FROM ({mixing.oracle(0.9, 1)})").fetchall()}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = sorted((r.doc_id, len(x := enc.encode_ordinary(r.text)), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()) for r in left if r.doc_id in chosen)
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want and len(got) > 20
