@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next one's docs.
 All but the last return the columns of docs. ORACLE_SQL is None: the learnt classifier and the tokenizer's merges are not SQL;
-the tests hold run() against a brute-force version instead.
+tests/llm/test_tables.py holds run() against a brute-force version instead.
+
+Null ids, repeated ids and repeated rows go row by row in each stage; null texts are empty ones, which the first three stages treat like
+others and mixing never takes; an empty table gives an empty table; other columns pass through whatever their names.
 """
 
 from __future__ import annotations
