@@ -74,6 +74,14 @@ def seconds(x: Column, start: Column, stop: Column, rate: int, pad: float = 0.0)
     return F.slice(x, a + 1, F.greatest(F.lit(0), b - a))
 
 
+def slice_or_error(x: Column, start: Column, long: Column, rate: int) -> Column:
+    """`long` seconds from `start`; an error where the signal doesn't have all of them."""
+    a, n = F.floor(start * rate).cast("int"), F.floor(long * rate).cast("int")
+    cut = F.slice(x, a + 1, n)
+    empty, short = F.raise_error(F.lit("the slice is empty")).cast("array<double>"), F.raise_error(F.lit("the slice is shorter than asked for")).cast("array<double>")
+    return F.when(F.size(cut) == 0, empty).when(F.size(cut) < n, short).otherwise(cut)
+
+
 def first_seconds(x: Column, most: float, rate: int) -> Column:
     return F.slice(x, 1, int(most * rate))
 
@@ -133,11 +141,11 @@ def joined(parts: Column, gap: int) -> Column:
 
 
 def renormalised(p: Column) -> Column:
-    """Scores to probabilities: exponentials if any is negative, no value under 0, sum 1."""
+    """Scores to probabilities: exponentials if any is negative, held within 0 and 1, then divided by their sum."""
     e = F.when(F.array_min(p) < 0, F.transform(p, F.exp)).otherwise(p)
-    c = F.transform(e, lambda v: F.greatest(v, F.lit(0.0)))
-    total = _sum(c)
-    return F.transform(c, lambda v: v / F.greatest(total, F.lit(1e-12)))
+    c = F.transform(e, lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
+    total = _sum(c) + F.lit(1e-12)
+    return F.transform(c, lambda v: v / total)
 
 
 def pooled(x: Column) -> Column:
@@ -174,10 +182,25 @@ def gained(x: Column, level: Column, target: Column, least: float = 1e-6) -> Col
 
 
 def conditioned(embedding: Column, dim: int, fallback: Column) -> Column:
-    """The embedding if it has the expected size, else the fallback."""
+    """The embedding (array<double>) if it has the expected size, else the fallback."""
     return F.when(F.size(embedding) == dim, embedding).otherwise(fallback)
 
 
+def unstacked(stack: Column, depth: int) -> Column:
+    """The one embedding in a stack of arrays: depth 1 is itself, depth 2 the only row, depth 3 the only row of the only matrix; else null."""
+    only = lambda a: F.when(F.size(a) == 1, F.get(a, F.lit(0)))
+    for _ in range(depth - 1):
+        stack = only(stack)
+    return stack
+
+
+def perturbed(x: Column, weights: Column, epsilon: Column, snr: float) -> Column:
+    """One step of at most epsilon against the sign of a linear score's gradient, within an SNR budget and within 1."""
+    power = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / F.size(x)
+    step = F.least(epsilon, F.sqrt(power / F.pow(F.lit(10.0), F.lit(snr / 10.0))) * 0.999)
+    return F.zip_with(x, weights, lambda v, w: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v - step * F.signum(w))))
+
+
 def sign_steps(x: Column, weights: Column, bias: float, target: float, steps: Column) -> Column:
     """The smallest of the given step sizes at which moving each sample by its weight's sign takes a linear score past the target, else null."""
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, w: a + w)

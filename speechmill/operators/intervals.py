@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 BUCKET_SEC = 10.0
 
 
+def _near(end):
+    """How far from the last end a time still counts as being there."""
+    return F.lit(1e-8) + F.lit(1e-5) * F.abs(end)
+
+
 def _bucket(t):
     return F.floor(t / BUCKET_SEC).cast("long")
 
@@ -16,9 +21,9 @@ def label_at(times: DataFrame, segments: DataFrame) -> DataFrame:
     """times(utt_id, t) with lang: of the first segment that holds t (start <= t < end; the last segment also holds its end, nearly)."""
     last = F.max("seg_id").over(Window.partitionBy("utt_id"))
     # a segment is listed under each bucket of time it touches
-    spans = segments.withColumn("is_last", F.col("seg_id") == last).select("*", F.explode(F.sequence(_bucket(F.col("start")), _bucket(F.col("end") + 1e-6))).alias("bucket"))
+    spans = segments.withColumn("is_last", F.col("seg_id") == last).select("*", F.explode(F.sequence(_bucket(F.col("start")), _bucket(F.col("end") + _near(F.col("end"))))).alias("bucket"))
     asked = times.select("utt_id", "t").distinct().withColumn("bucket", _bucket(F.col("t")))
-    near_end = F.col("is_last") & (F.abs(F.col("t") - F.col("end")) <= F.greatest(F.lit(1e-9) * F.greatest(F.abs("t"), F.abs("end")), F.lit(1e-9)))
+    near_end = F.col("is_last") & (F.abs(F.col("t") - F.col("end")) <= _near(F.col("end")))
     inside = ((F.col("start") <= F.col("t")) & (F.col("t") < F.col("end"))) | near_end
     found = asked.join(spans, ["utt_id", "bucket"]).where(inside).groupBy("utt_id", "t").agg(F.min_by("lang", "seg_id").alias("lang"))
     return times.join(found, ["utt_id", "t"], "left")
@@ -66,11 +71,13 @@ def or_whole(segments: DataFrame, signals: DataFrame, rate: int, lang: str = "hi
     return segments.select("utt_id", "seg_id", "start", "end", "lang").unionByName(whole)
 
 
-def word_times(segments: DataFrame, text: str = "text") -> DataFrame:
-    """The words of a segment at even times."""
-    words = segments.select("utt_id", "seg_id", "start", "end", F.filter(F.split(text, r"\s+"), lambda w: w != "").alias("words"))
-    step = (F.col("end") - F.col("start")) / F.size("words")
-    rows = words.select("utt_id", "seg_id", "start", step.alias("step"), F.posexplode("words").alias("pos", "word"))
+def word_times(segments: DataFrame, text: str = "text", frames: str | None = None) -> DataFrame:
+    """The words of a segment at even times. Where a segment has no duration, `frames` (of 10 ms) give one of at most 30 s."""
+    long = F.col("end") - F.col("start")
+    if frames:
+        long = F.when(long > 0, long).otherwise(F.least(F.col(frames) / 100, F.lit(30.0)))
+    words = segments.select("utt_id", "seg_id", "start", long.alias("long"), F.filter(F.split(text, r"\s+"), lambda w: w != "").alias("words"))
+    rows = words.select("utt_id", "seg_id", "start", (F.col("long") / F.size("words")).alias("step"), F.posexplode("words").alias("pos", "word"))
     return rows.select("utt_id", "seg_id", "pos", "word", (F.col("start") + F.col("pos") * F.col("step")).alias("word_start"), (F.col("start") + (F.col("pos") + 1) * F.col("step")).alias("word_end"))
 
 

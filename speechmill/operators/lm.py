@@ -16,22 +16,43 @@ def sentence_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("doc_id", "pos", lm_tokens(F.col("sentence")).alias("tokens")).where(F.size("tokens") > 0)
 
 
-def _runs(tokens: Column, n: int) -> Column:
-    places = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(F.slice(tokens, i, n - 1).alias("ctx"), F.element_at(tokens, i + n - 1).alias("word")))
+def _runs(tokens: Column, order: int) -> Column:
+    """All 1..order-grams: each place ends one of every size it has room for."""
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - n + 1)), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n - 1), " ").alias("ctx"), F.try_element_at(tokens, i + n - 1).alias("word")))
+    return F.filter(F.flatten(F.array(*(grams(n) for n in range(1, order + 1)))), lambda g: g["word"].isNotNull())
 
 
 def counts(rows: DataFrame, order: int = 3, padded: bool = False) -> DataFrame:
-    """Counts of all 1..order-grams of rows(tokens); padded: with order - 1 marks at either end. The map side counts first."""
+    """Counts of all 1..order-grams of rows(tokens): n, ctx (its words joined by blanks, as tokens have none), word, cnt; padded: with order - 1 marks at either end.
+
+    One pass over the text and one shuffle for all orders; the map side counts first.
+    """
     tokens = F.col("tokens")
-    if padded:
+    if padded and order > 1:
         pad = lambda m: F.array(*[F.lit(m)] * (order - 1))
-        tokens = F.concat(pad(START), tokens, pad(END)) if order > 1 else tokens
-    out = None
-    for n in range(1, order + 1):
-        one = rows.select(F.explode(_runs(tokens, n)).alias("g")).groupBy("g.ctx", "g.word").agg(F.count("*").alias("cnt")).select(F.lit(n).alias("n"), "ctx", "word", "cnt")
-        out = one if out is None else out.unionByName(one)
-    return out
+        tokens = F.concat(pad(START), tokens, pad(END))
+    grams = rows.select(F.explode(_runs(tokens, order)).alias("g")).select("g.n", "g.ctx", "g.word")
+    return grams.groupBy("n", "ctx", "word").agg(F.count("*").alias("cnt"))
+
+
+def train_lines(corpus: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, pos, tokens of a corpus in which every sentence counts, and every line once more."""
+    once = sentence_tokens(corpus, text)
+    lines = corpus.select("doc_id", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    again = lines.select("doc_id", F.col("pos"), lm_tokens(F.trim("line")).alias("tokens")).where(F.size("tokens") > 0)
+    return once.unionByName(again)
+
+
+#: What a decoder is made with.
+DECODER = {"order": 3, "smoothing": "laplace", "alpha": 1.5, "beta": 0.05, "beam": 3}
+
+
+def decoder_tables(corpus: DataFrame | None, vocabulary: DataFrame, settings: dict = DECODER) -> tuple[DataFrame, DataFrame] | None:
+    """The count table and the bias of each token for constrained decoding; None (plain decoding) without a corpus or with an unknown smoothing."""
+    if corpus is None or settings["smoothing"] != "laplace":
+        return None
+    grams = counts(train_lines(corpus), settings["order"])
+    return grams, token_bias(vocabulary, grams, settings["alpha"])
 
 
 def context_totals(grams: DataFrame) -> DataFrame:
@@ -53,28 +74,30 @@ def queries_of(rows: DataFrame, order: int) -> DataFrame:
     """Each word of rows(doc_id, pos, tokens) with its context, shorter at the start of a sentence."""
     placed = rows.select("doc_id", "pos", "tokens", F.posexplode("tokens").alias("place", "word"))
     size = F.least(F.col("place"), F.lit(order - 1))
-    return placed.select("doc_id", "pos", "place", "word", F.slice("tokens", F.col("place") - size + 1, size).alias("ctx"))
+    return placed.select("doc_id", "pos", "place", "word", F.array_join(F.slice("tokens", F.col("place") - size + 1, size), " ").alias("ctx"))
+
+
+def _counted(asked: DataFrame, grams: DataFrame) -> DataFrame:
+    """asked(..., word, ctx) with cnt and total (null where unseen). Words without a context, a large share of all, take their total from one row."""
+    own = grams.select(F.col("ctx").alias("g_ctx"), F.col("word").alias("g_word"), "cnt")
+    totals = grams.where("ctx <> ''").groupBy("ctx").agg(F.sum("cnt").alias("total")).withColumnRenamed("ctx", "t_ctx")
+    empty = grams.where("ctx = ''").agg(F.sum("cnt").alias("all_words"), F.count("*").alias("kinds"))  # one row
+    known = asked.join(own, (asked["ctx"] == own["g_ctx"]) & (F.lower(asked["word"]) == own["g_word"]), "left").drop("g_ctx", "g_word")
+    lone = known.where("ctx = ''").withColumn("total", F.lit(None).cast("long"))
+    after = known.where("ctx <> '' or ctx is null").join(totals, F.col("ctx") == F.col("t_ctx"), "left").drop("t_ctx")
+    return lone.unionByName(after).crossJoin(F.broadcast(empty)).withColumn("total", F.when(F.col("ctx") == "", F.col("all_words")).otherwise(F.col("total")))
 
 
 def laplace(asked: DataFrame, grams: DataFrame) -> DataFrame:
     """asked(..., word, ctx) with logp = ln((count + 1) / (context total + kinds of words)); unseen counts are 0."""
-    own = grams.select(F.col("ctx").alias("g_ctx"), F.col("word").alias("g_word"), "cnt")
-    totals = grams.groupBy("ctx").agg(F.sum("cnt").alias("total")).withColumnRenamed("ctx", "t_ctx")
-    kinds = grams.where("n = 1").agg(F.count("*").alias("kinds"))  # one row
-    word = F.lower("word")
-    out = asked.join(own, (asked["ctx"] == own["g_ctx"]) & (F.lower(asked["word"]) == own["g_word"]), "left").join(totals, F.col("ctx") == F.col("t_ctx"), "left").crossJoin(F.broadcast(kinds))
-    del word
     p = (F.coalesce("cnt", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + F.col("kinds"))
-    return out.select(*asked.columns, F.ln(p).alias("logp"))
+    return _counted(asked, grams).select(*asked.columns, F.ln(p).alias("logp"))
 
 
 def maximum_likelihood(asked: DataFrame, grams: DataFrame, floor: float = 1e-12) -> DataFrame:
     """logp = ln(count / context total), at least ln(floor)."""
-    own = grams.select(F.col("ctx").alias("g_ctx"), F.col("word").alias("g_word"), "cnt")
-    totals = grams.groupBy("ctx").agg(F.sum("cnt").alias("total")).withColumnRenamed("ctx", "t_ctx")
-    out = asked.join(own, (asked["ctx"] == own["g_ctx"]) & (asked["word"] == own["g_word"]), "left").join(totals, F.col("ctx") == F.col("t_ctx"), "left")
     p = F.coalesce(F.col("cnt") / F.col("total"), F.lit(0.0))
-    return out.select(*asked.columns, F.ln(F.greatest(p, F.lit(floor))).alias("logp"))
+    return _counted(asked, grams).select(*asked.columns, F.ln(F.greatest(p, F.lit(floor))).alias("logp"))
 
 
 def kneser_ney(bigrams: DataFrame, discount: float = 0.1) -> DataFrame:
@@ -95,18 +118,20 @@ def perplexity(scored: DataFrame) -> DataFrame:
 
 
 def token_bias(vocabulary: DataFrame, grams: DataFrame, alpha: float = 1.5, floor: float = -10.0) -> DataFrame:
-    """vocabulary(token_id, token) with bias = alpha * max(logp of its first word, floor), for words the model has seen."""
-    first = F.element_at(F.concat(lm_tokens(F.col("token")), F.array(F.lit(None).cast("string"))), 1)
-    asked = vocabulary.select("token_id", first.alias("word"), F.array().cast("array<string>").alias("ctx")).where("word is not null")
+    """vocabulary(token_id, token) with bias = alpha * max(logp of its first word, floor), for tokens whose first word the model has seen; none for tokens that begin with '<'."""
+    token = F.trim(F.regexp_replace(F.lower("token"), r"\s+", " "))
+    asked = vocabulary.select("token_id", F.element_at(F.split(token, " "), 1).alias("word"), F.lit("").alias("ctx"), token.alias("t")).where("word <> '' and t not like '<%'").drop("t")
     known = asked.join(grams.where("n = 1").select("word"), "word", "left_semi")
-    return laplace(known, grams).select("token_id", "word", (F.greatest("logp", F.lit(floor)) * F.lit(alpha)).alias("bias"))
+    return laplace(known, grams).select("token_id", "word", (F.greatest("logp", F.lit(floor)) * F.lit(alpha)).alias("bias")).where("bias <> 0")
 
 
 def contextual_bias(logits: DataFrame, bias: DataFrame, grams: DataFrame, alpha: float = 1.5, floor: float = -10.0) -> DataFrame:
-    """logits(hyp_id, token_id, logit, ctx array of the last words) plus bias; where the model knows the word after the last two words, that score instead."""
-    base = logits.join(bias.select("token_id", "word", "bias"), "token_id", "left")
-    tri = laplace(base.where("word is not null").select("hyp_id", "token_id", "word", F.slice("ctx", -2, 2).alias("ctx")), grams)
-    seen = grams.where("n = 3").select(F.col("ctx").alias("s_ctx"), F.col("word").alias("s_word"))
-    tri = tri.join(seen, (tri["ctx"] == seen["s_ctx"]) & (tri["word"] == seen["s_word"]), "left_semi").select("hyp_id", "token_id", (F.greatest("logp", F.lit(floor)) * F.lit(alpha)).alias("near"))
-    out = base.join(tri, ["hyp_id", "token_id"], "left")
+    """logits(hyp_id, token_id, token, logit, ctx array of the last words) plus the bias of the token. Where there are words before it and the
+    token is one word of the model, it is that word's score after the last two of them instead, seen there or not."""
+    word = F.trim(F.lower("token"))
+    base = logits.join(bias.select("token_id", "bias"), "token_id", "left")
+    asked = base.where(F.col("bias").isNotNull() & (F.size("ctx") > 0)).select("hyp_id", "token_id", word.alias("word"), F.array_join(F.slice("ctx", F.greatest(F.lit(1), F.size("ctx") - 1), 2), " ").alias("ctx"))
+    asked = asked.join(grams.where("n = 1").select("word"), "word", "left_semi")
+    near = laplace(asked, grams).select("hyp_id", "token_id", (F.greatest("logp", F.lit(floor)) * F.lit(alpha)).alias("near"))
+    out = base.join(near, ["hyp_id", "token_id"], "left")
     return out.select("hyp_id", "token_id", (F.col("logit") + F.coalesce("near", "bias", F.lit(0.0))).alias("logit"))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Points of a curve, and ranges of an order, that one task sorts at once.
+BLOCK, RANGES = 4096, 1024
+
+
 def roc(scores: DataFrame, buckets: int = 64) -> DataFrame:
     """scores(label 0/1, score) to the points of the ROC, a row per distinct score from the highest down: k, score, fpr, tpr.
 
@@ -30,9 +34,14 @@ def roc(scores: DataFrame, buckets: int = 64) -> DataFrame:
 def equal_error_rate(scores: DataFrame) -> DataFrame:
     """eer, threshold: mean of the two error rates where they are closest; the first such point. Inner points of straight runs don't count."""
     points = roc(scores)
-    around = Window.orderBy("k")  # the distinct scores; points of a curve have one order
+    # blocks of neighbours; the points at the edges of a block also go to the next one, so no task orders all points
+    block = lambda k: F.floor(k / BLOCK)
+    k = F.col("k")
+    points = points.withColumn("block", F.explode(F.array_distinct(F.array(block(k - 1), block(k), block(k + 1)))))
+    around = Window.partitionBy("block").orderBy("k")
     second = lambda c: F.lead(c).over(around) - 2 * F.col(c) + F.coalesce(F.lag(c).over(around), F.lit(0))
     bend = points.withColumn("straight", (second("fp") == 0) & (second("tp_n") == 0))
+    bend = bend.where(F.col("block") == block(k))
     kept = bend.where(F.coalesce(~F.col("straight"), F.lit(True))).select("k", "score", "fpr", "tpr")
     start = points.sparkSession.createDataFrame([(0, None, 0.0, 0.0)], "k long, score double, fpr double, tpr double")
     fnr = 1 - F.col("tpr")
@@ -53,18 +62,21 @@ def decision(p: Column, threshold: float = 0.5) -> Column:
 
 
 def stratified_split(rows: DataFrame, label: str, order: str, train_share: float = 0.75) -> DataFrame:
-    """rows with `part`: of each label the first share in order trains (rounded half to even, at least 1, at most all but one); a lone row is in both.
+    """rows with `part`: of each label the first share in order (a number) trains (rounded half to even, at least 1, at most all but one); a lone row is in both. An error where there is only one label.
 
-    The place within a label is counted in ranges of the order first, so a label that has most rows isn't one task's.
+    The place within a label is counted in even ranges of the order first, so a label that has most rows isn't one task's.
     """
-    sized = rows.groupBy(label).agg(F.count("*").alias("size"))
+    o = F.col(order).cast("double")
+    sized = rows.groupBy(label).agg(F.count("*").alias("size"), F.min(o).alias("low"), F.max(o).alias("high"))
+    both = sized.agg(F.count("*").alias("labels"))  # one row
     cut = F.greatest(F.lit(1), F.least(F.bround(F.col("size") * train_share, 0).cast("long"), F.col("size") - 1))
-    ranged = rows.repartitionByRange(F.col(label), F.col(order)).withColumn("range_id", F.spark_partition_id())
-    from_range = ranged.groupBy(label, "range_id").agg(F.count("*").alias("c"))
+    sized = sized.crossJoin(F.broadcast(both)).withColumn("cut", F.when(F.col("labels") < 2, F.raise_error(F.lit("a split needs rows of both labels"))).otherwise(cut))
+    place = F.least(F.lit(RANGES - 1), F.floor((o - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-300)) * RANGES))
+    ranged = rows.join(sized, label).withColumn("range_id", place)
     before = F.coalesce(F.sum("c").over(Window.partitionBy(label).orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = from_range.select(label, "range_id", before.alias("offset"))
-    place = F.col("offset") + F.row_number().over(Window.partitionBy(label, "range_id").orderBy(order))
-    placed = ranged.join(offsets, [label, "range_id"]).join(sized.withColumn("cut", cut), label).withColumn("place", place)
+    offsets = ranged.groupBy(label, "range_id").agg(F.count("*").alias("c")).select(label, "range_id", before.alias("offset"))
+    nth = F.col("offset") + F.row_number().over(Window.partitionBy(label, "range_id").orderBy(order))
+    placed = ranged.join(offsets, [label, "range_id"]).withColumn("place", nth)
     part = F.when(F.col("size") == 1, F.array(F.lit("train"), F.lit("val"))).when(F.col("place") <= F.col("cut"), F.array(F.lit("train"))).otherwise(F.array(F.lit("val")))
     return placed.select(*rows.columns, F.explode(part).alias("part"))
 
@@ -84,9 +96,10 @@ def word_error_rate(pairs: DataFrame, reference: str = "reference", hypothesis:
 
 
 def snr_estimate(powers: DataFrame) -> DataFrame:
-    """powers(utt_id, power): 10 log10 of the 95th over the 5th percentile."""
+    """powers(utt_id, power): 10 log10 of the 95th over the 5th percentile, which gets 1e-12 more; 0 without powers, minus infinity for silence."""
     p = lambda q: F.percentile("power", F.lit(q))
-    return powers.groupBy("utt_id").agg((F.lit(10.0) * F.log10(p(0.95) / F.greatest(p(0.05), F.lit(1e-12)))).alias("snr_db"))
+    ratio = p(0.95) / (p(0.05) + F.lit(1e-12))
+    return powers.groupBy("utt_id").agg(F.when(ratio.isNull(), 0.0).when(ratio <= 0, F.lit(float("-inf"))).otherwise(F.lit(10.0) * F.log10(ratio)).alias("snr_db"))
 
 
 def metric_bundle(spark, **metrics: DataFrame | None) -> DataFrame:

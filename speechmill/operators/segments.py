@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,40 +27,44 @@ def gaussian_weights(window: int) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def _mirror(place: Column, n: Column, edge: bool) -> Column:
-    """A place outside 0..n-1 reflected into it; with `edge` the last value is repeated first."""
-    if edge:
-        period = n * 2
-        r = F.pmod(place, period)
-        return F.when(r < n, r).otherwise(period - 1 - r)
-    period = F.greatest(n * 2 - 2, F.lit(1))
-    r = F.pmod(place, period)
-    return F.when(n == 1, F.lit(0)).when(r < n, r).otherwise(period - r)
+def _mirrored(frames: DataFrame, value: Column, half: int, edge: bool, name: str, of: Callable[[Callable[[int], Column]], Column]) -> DataFrame:
+    """(utt_id, frame_idx, name): `of` makes a column from at(k), the value k places away, mirrored at the ends (edge: the last value is repeated first).
 
+    One sort by frame gives all of it. Frames of utterances shorter than half meet more than one mirror, so the place is
+    computed; it never lies farther away than 2 * half places.
+    """
+    by = Window.partitionBy("utt_id").orderBy("frame_idx")
+    whole = Window.partitionBy("utt_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    i, n = F.row_number().over(by) - 1, F.count("*").over(whole)
+    near = {k: F.lag(value, -k).over(by) for k in range(-2 * half, 2 * half + 1)}
+    rows = frames.select("utt_id", "frame_idx", i.alias("i"), n.alias("n"), *(c.alias(f"v{k + 2 * half}") for k, c in near.items()))
 
-def _neighbours(frames: DataFrame, half: int, edge: bool, *values: str) -> DataFrame:
-    """Each frame with the values up to `half` places away, mirrored at the ends: (utt_id, frame_idx, k, value...)."""
-    sized = frames.withColumn("n", F.count("*").over(Window.partitionBy("utt_id")))
-    # inside, neighbours are window offsets; a join by the mirrored place gives the ends the same way
-    wide = sized.select("utt_id", "frame_idx", "n", F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("k"))
-    wide = wide.withColumn("at", _mirror(F.col("frame_idx") + F.col("k"), F.col("n"), edge).cast("int"))
-    source = frames.select("utt_id", F.col("frame_idx").alias("at"), *values)
-    return wide.join(source, ["utt_id", "at"])
+    def at(k: int) -> Column:
+        place, size = F.col("i") + k, F.col("n").cast("int")
+        if edge:
+            r = F.pmod(place, size * 2)
+            target = F.when(r < size, r).otherwise(size * 2 - 1 - r)
+        else:
+            period = F.greatest(size * 2 - 2, F.lit(1))
+            r = F.pmod(place, period)
+            target = F.when(size == 1, F.lit(0)).when(r < size, r).otherwise(period - r)
+        return F.element_at(F.array(*(F.col(f"v{j}") for j in range(4 * half + 1))), target - F.col("i") + 2 * half + 1)
+
+    return rows.select("utt_id", "frame_idx", of(at).alias(name))
 
 
 def gaussian_smoothed(frames: DataFrame, value: str = "prob_hi", window: int = 7) -> DataFrame:
     """(utt_id, frame_idx, smooth): Gaussian moving average over mirrored ends (the last value isn't repeated)."""
     w = gaussian_weights(window)
     half = len(w) // 2
-    weight = F.element_at(F.array(*map(F.lit, w)), F.col("k") + half + 1)
-    return _neighbours(frames, half, False, value).groupBy("utt_id", "frame_idx").agg(F.sum(weight * F.col(value)).alias("smooth"))
+    return _mirrored(frames, F.col(value), half, False, "smooth", lambda at: reduce(Column.__add__, [F.lit(x) * at(k - half) for k, x in enumerate(w)]))
 
 
 def median_labels(frames: DataFrame, label: str = "lang", kernel: int = 5, one: str = "en", zero: str = "hi") -> DataFrame:
     """(utt_id, frame_idx, label): the more frequent of two labels around a frame, over mirrored ends with the last value repeated."""
-    size = kernel if kernel % 2 else kernel + 1
-    votes = F.sum(F.when(F.col(label) == one, 1).otherwise(0))
-    return _neighbours(frames, size // 2, True, label).groupBy("utt_id", "frame_idx").agg(F.when(votes > size // 2, one).otherwise(zero).alias(label))
+    half = (kernel if kernel % 2 else kernel + 1) // 2
+    vote = F.when(F.col(label) == one, 1).otherwise(0)
+    return _mirrored(frames, vote, half, True, label, lambda at: F.when(reduce(Column.__add__, [at(k) for k in range(-half, half + 1)]) > half, one).otherwise(zero))
 
 
 def runs(frames: DataFrame, label: str = "lang") -> DataFrame:
@@ -81,72 +86,91 @@ def merged(segments: DataFrame) -> DataFrame:
     return grouped.withColumnRenamed("run", "seg_id")
 
 
-Segment = list  # start, end, lang, n_frames
+#: A segment in a fold. `mark` says what a fold has still to do with what follows.
+_SEGMENT = "struct<start:double,end:double,lang:string,mark:int>"
 
 
-def _join_equal(segments: Iterable[Segment]) -> list[Segment]:
-    out: list[Segment] = []
-    for s in segments:
-        if out and out[-1][2] == s[2]:
-            out[-1][1] = s[1]
-            out[-1][3] += s[3]
-        else:
-            out.append(list(s))
-    return out
-
-
-def absorb_short(segments: list[Segment], least: float = LEAST_SEC) -> list[Segment]:
-    """From left to right, a short segment goes to its longer neighbour (the left one if equal), until none is short. What the right one takes moves its start at once."""
-    again = len(segments) > 1
-    while again:
-        again, kept = False, []
-        several = len(segments) > 1
-        for i, s in enumerate(segments):
-            if not several or s[1] - s[0] >= least:
-                kept.append(s)
-                continue
-            after = segments[i + 1] if i + 1 < len(segments) else None
-            left = kept[-1][1] - kept[-1][0] if kept else -1.0
-            right = after[1] - after[0] if after else -1.0
-            again = True
-            if kept and (after is None or left >= right):
-                kept[-1][1] = s[1]
-            elif after is not None:
-                after[0] = s[0]
-            else:
-                kept.append(s)
-        segments = _join_equal(kept)
-    return segments
-
-
-def drop_flicker(segments: list[Segment], least: float = 2 * LEAST_SEC) -> list[Segment]:
-    """A short segment between two of one label joins them; triples don't overlap within a pass; until none is left."""
-    again = True
-    while again:
-        again, kept, i = False, [], 0
-        while i < len(segments):
-            three = segments[i : i + 3]
-            if len(three) == 3 and three[0][2] == three[2][2] and three[1][1] - three[1][0] < least:
-                kept.append([three[0][0], three[2][1], three[0][2], sum(t[3] for t in three)])
-                again, i = True, i + 3
-            else:
-                kept.append(segments[i])
-                i += 1
-        segments = _join_equal(kept)
-    return segments
+def _segment(start: Column, end: Column, lang: Column, mark: int | Column = 0) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), lang.alias("lang"), (F.lit(mark) if isinstance(mark, int) else mark).cast("int").alias("mark"))
 
 
-def refined(segments: DataFrame, least: float = LEAST_SEC) -> DataFrame:
-    """Short segments absorbed, then flicker dropped, times to 3 places. One utterance is one group; both rules look at what they changed before."""
+def _folded(segments: Column, step: Callable[[Column, Column, Column], Column]) -> Column:
+    """A fold over places 0.. of an array of segments: step(what is done, the last of it or null, the place)."""
+    none = F.array().cast(f"array<{_SEGMENT}>")
+    return F.aggregate(F.sequence(F.lit(0), F.size(segments) - 1), none, lambda done, i: step(done, F.try_element_at(done, F.lit(-1)), i))
+
+
+def _but_last(done: Column) -> Column:
+    return F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))
+
+
+def _long(s: Column) -> Column:
+    return s["end"] - s["start"]
+
+
+def equal_joined(segments: Column) -> Column:
+    """Neighbours of one label as one segment."""
+
+    def step(done, last, i):
+        s = F.get(segments, i)
+        widened = F.concat(_but_last(done), F.array(_segment(last["start"], s["end"], last["lang"])))
+        return F.when(last["lang"] == s["lang"], widened).otherwise(F.concat(done, F.array(_segment(s["start"], s["end"], s["lang"]))))
+
+    return _folded(segments, step)
 
-    def one(key, pdf):
-        import pandas as pd
 
-        rows = [list(r) for r in pdf.sort_values("seg_id")[["start", "end", "lang", "n_frames"]].itertuples(index=False)]
-        out = drop_flicker(absorb_short(_join_equal(rows), least), 2 * least)
-        return pd.DataFrame([(key[0], i, round(float(s[0]), 3), round(float(s[1]), 3), s[2]) for i, s in enumerate(out)], columns=["utt_id", "seg_id", "start", "end", "lang"])
+def short_absorbed_once(segments: Column, least: float) -> Column:
+    """One sweep: a segment under `least` widens the longer of its neighbours, the one before it if equal. The one before it counts as it
+    is by then, the one after it as it was; a segment that is to be widened to the left waits as mark 1."""
 
-    return segments.groupBy("utt_id").applyInPandas(one, "utt_id long, seg_id int, start double, end double, lang string")
+    def step(done, last, i):
+        s, after = F.get(segments, i), F.get(segments, i + 1)
+        waits = F.coalesce(last["mark"] == 1, F.lit(False))
+        start = F.when(waits, last["start"]).otherwise(s["start"])
+        done = F.when(waits, _but_last(done)).otherwise(done)
+        before = F.try_element_at(done, F.lit(-1))
+        whole = F.concat(done, F.array(_segment(start, s["end"], s["lang"])))
+        left = F.concat(_but_last(done), F.array(_segment(before["start"], s["end"], before["lang"])))
+        right = F.concat(done, F.array(_segment(start, s["end"], s["lang"], 1)))
+        to_left = before.isNotNull() & (after.isNull() | (_long(before) >= _long(after)))
+        return F.when(s["end"] - start >= least, whole).when(to_left, left).when(after.isNotNull(), right).otherwise(whole)
+
+    return _folded(segments, step)
+
+
+def flicker_dropped_once(segments: Column, least: float) -> Column:
+    """One sweep: three segments a b a whose middle is under `least` become one; the next three begin after them. `mark` counts those to pass over."""
+
+    def step(done, last, i):
+        s, middle, after = F.get(segments, i), F.get(segments, i + 1), F.get(segments, i + 2)
+        passed = F.concat(_but_last(done), F.array(_segment(last["start"], last["end"], last["lang"], last["mark"] - 1)))
+        three = F.concat(done, F.array(_segment(s["start"], after["end"], s["lang"], 2)))
+        return F.when(last["mark"] > 0, passed).when(_flickers(s, middle, after, least), three).otherwise(F.concat(done, F.array(s)))
+
+    return _folded(segments, step)
+
+
+def _flickers(s: Column, middle: Column, after: Column, least: float) -> Column:
+    return F.coalesce((s["lang"] == after["lang"]) & (_long(middle) < least), F.lit(False))
+
+
+def _until_still(segments: Column, moves: Callable[[Column], Column], sweep: Callable[[Column], Column]) -> Column:
+    """Sweeps while something moves: each takes a segment away at least, so there are fewer of them than segments."""
+    return F.aggregate(F.sequence(F.lit(1), F.size(segments)), segments, lambda now, _: F.when(moves(now), sweep(now)).otherwise(now))
+
+
+def refined(segments: DataFrame, least: float = LEAST_SEC) -> DataFrame:
+    """Short segments absorbed, then flicker dropped, times to 3 places: folds over the ordered segments of an utterance."""
+    own = F.array_sort(F.collect_list(F.struct("seg_id", "start", "end", "lang")))  # the segments of one utterance
+    rows = segments.groupBy("utt_id").agg(own.alias("all"))
+    rows = rows.select("utt_id", F.transform("all", lambda s: _segment(s["start"].cast("double"), s["end"].cast("double"), s["lang"])).alias("s"))
+    rows = rows.withColumn("s", equal_joined(F.col("s")))
+    short = lambda now: (F.size(now) > 1) & F.exists(now, lambda s: _long(s) < least)
+    rows = rows.withColumn("s", _until_still(F.col("s"), short, lambda now: equal_joined(short_absorbed_once(now, least))))
+    flickers = lambda now: F.exists(F.sequence(F.lit(0), F.size(now) - 1), lambda i: _flickers(F.get(now, i), F.get(now, i + 1), F.get(now, i + 2), 2 * least))
+    rows = rows.withColumn("s", _until_still(F.col("s"), flickers, lambda now: equal_joined(flicker_dropped_once(now, 2 * least))))
+    out = rows.select("utt_id", F.posexplode("s").alias("seg_id", "s"))
+    return out.select("utt_id", "seg_id", F.round("s.start", 3).alias("start"), F.round("s.end", 3).alias("end"), "s.lang")
 
 
 def utterance_probabilities(frames: DataFrame) -> DataFrame:
@@ -163,10 +187,10 @@ def zscores(rows: DataFrame, value: str, key: str = "utt_id") -> DataFrame:
     return rows.withColumn("z", F.when(std < 1e-8, 0.0).otherwise((F.col(value) - F.avg(value).over(by)) / std))
 
 
-def forward_filled(rows: DataFrame, value: str, order: str, key: str = "utt_id") -> DataFrame:
-    """Missing values take the last one before, 0 at the start; if all are about 0, the mean of what was there."""
+def forward_filled(rows: DataFrame, value: str, order: str, key: str = "utt_id", source: str | None = None) -> DataFrame:
+    """Missing values take the last one before, 0 at the start; if all are about 0, the mean of the source curve (its column; else of what was there)."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = rows.withColumn("filled", F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(0.0)))
     by = Window.partitionBy(key)
     flat = F.max(F.abs("filled")).over(by) < 1e-8
-    return filled.withColumn("filled", F.when(flat, F.coalesce(F.avg(value).over(by), F.lit(0.0))).otherwise(F.col("filled")))
+    return filled.withColumn("filled", F.when(flat, F.coalesce(F.avg(source or value).over(by), F.lit(0.0))).otherwise(F.col("filled")))

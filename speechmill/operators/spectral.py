@@ -5,6 +5,7 @@ A row is one signal; a task holds one signal and its frames at a time.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -77,11 +78,16 @@ def dct_rows(x: np.ndarray, keep: int) -> np.ndarray:
     return x @ basis.T
 
 
+KINDS = ("mfcc", "lfcc", "cqcc")
+
+
 def cepstra(x: np.ndarray, kind: str, rate: int = 16_000) -> np.ndarray:
-    """Frames by coefficients. mfcc: 40 mel bands, 12 coefficients after the first; lfcc: 40 even bands; cqcc: 84 log-spaced frequencies."""
-    keep = {"mfcc": 13, "lfcc": 20, "cqcc": 20}[kind]
+    """Frames by coefficients. mfcc: 40 mel bands, 13 coefficients after the first, no frames for a signal too short; lfcc: 40 even bands; cqcc: 84 log-spaced frequencies."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown features {kind!r}: one of {', '.join(KINDS)}")
+    keep = {"mfcc": 14, "lfcc": 20, "cqcc": 20}[kind]
     if len(x) < N_FFT // 2 + 1:
-        return np.zeros((1, keep - (kind == "mfcc")))
+        return np.zeros((0, keep - 1)) if kind == "mfcc" else np.zeros((1, keep))
     power = np.abs(spectrum(x)) ** 2
     freqs = np.fft.rfftfreq(N_FFT, 1 / rate)
     if kind == "cqcc":
@@ -117,8 +123,11 @@ def _mapped(signals: DataFrame, one: Callable[[np.ndarray], list[tuple]], column
 
 
 def features(signals: DataFrame, kind: str) -> DataFrame:
-    """vec_id, frame_idx, coefficients: normalised cepstra."""
-    return _mapped(signals, lambda x: [(i, row.tolist()) for i, row in enumerate(normalised(cepstra(x, kind)))], "frame_idx int, coefficients array<double>")
+    """vec_id, frame_idx, coefficients: normalised cepstra; mfcc, which distances are taken of, as they are."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown features {kind!r}: one of {', '.join(KINDS)}")
+    finish = (lambda m: m) if kind == "mfcc" else normalised
+    return _mapped(signals, lambda x: [(i, row.tolist()) for i, row in enumerate(finish(cepstra(x, kind)))], "frame_idx int, coefficients array<double>")
 
 
 def resample(x: np.ndarray, source: int, target: int, zeros: int = 16) -> np.ndarray:
@@ -148,8 +157,18 @@ def denoise(x: np.ndarray, first: int = 10, over: float = 2.0, least: float = 0.
     return inverse(np.sqrt(kept) * np.exp(1j * np.angle(spec)), len(x), 512, 512, 128)
 
 
-def denoised(signals: DataFrame) -> DataFrame:
-    return _mapped(signals, lambda x: [(denoise(x).tolist(),)], "y array<double>")
+STRATEGIES = {"spectral": denoise, "none": lambda x: x}
+
+
+def denoised(signals: DataFrame, strategy: str | None = None) -> DataFrame:
+    """vec_id, y. The strategy is one of STRATEGIES; the variable DENOISE_BACKEND of the driver goes before the argument."""
+    strategy = os.environ.get("DENOISE_BACKEND") or strategy or "spectral"
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown way to denoise {strategy!r}: one of {', '.join(STRATEGIES)}")
+    if strategy == "none":
+        return signals.select("vec_id", F.col("x").alias("y"))
+    one = STRATEGIES[strategy]
+    return _mapped(signals, lambda x: [(one(x).tolist(),)], "y array<double>")
 
 
 def pitch(x: np.ndarray, rate: int = 16_000, low: float = 50.0, high: float = 500.0, size: int = 1024, hop: int = 256, limit: float = 0.15) -> np.ndarray:

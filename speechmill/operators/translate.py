@@ -26,6 +26,17 @@ def overlaid(*dictionaries: DataFrame) -> DataFrame:
     return every.groupBy("word").agg(F.max_by("target", "priority").alias("target"))
 
 
+LEAST_ENTRIES = 500
+
+
+def section_lexicon(sections: DataFrame, least: int = LEAST_ENTRIES) -> DataFrame:
+    """sections(section, word, target) as one lexicon: of a word's entries that of the last section wins, words with blanks go; an error where fewer than `least` are left."""
+    words = sections.where("word not rlike '\\\\s'").groupBy("word").agg(F.max_by("target", "section").alias("target"))
+    size = words.agg(F.count("*").alias("n"))  # one row
+    checked = F.when(F.col("n") < least, F.raise_error(F.lit(f"a lexicon needs {least} entries")).cast("string")).otherwise(F.col("target"))
+    return words.crossJoin(F.broadcast(size)).select("word", checked.alias("target"))
+
+
 def looked_up(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """tokens(..., token) with target, null where the dictionary lacks it. The dictionary is broadcast behind a count."""
     words = words.withColumnRenamed("word", "lex_word")
@@ -46,6 +57,11 @@ def recogniser_code(lang: Column) -> Column:
     return F.coalesce(mapping(T.RECOGNISER_CODES)[lang], F.lit("hi"))
 
 
+def class_labels(spark: SparkSession, labels: list[str] | None = None) -> DataFrame:
+    """idx, label of the classes of a model; without its own list the list of codes in tables, which is shorter than the classes some models have."""
+    return spark.createDataFrame(list(enumerate(labels or T.CLASS_CODES)), "idx int, label string")
+
+
 def class_index(labels: DataFrame) -> DataFrame:
     """labels(label, idx) to code, idx: the first class of each code; what follows a hyphen doesn't count."""
     code = F.split(F.trim(F.lower("label")), "-")[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import align, decode, intervals, scoring, segments
+from ..operators import align, decode, intervals, scoring, segments, spectral
 from .registry import FRAMES, frames, query, rounded, run_sql, table
 
 def _times(df: DataFrame, *more: str) -> DataFrame:
@@ -57,11 +57,11 @@ def cmvn(spark, sf_dir):
 
 @query(
     "a5_forward_fill",
-    f"WITH {FRAMES}, h AS (SELECT utt_id, frame_idx, CASE WHEN event = 'error' OR frame_idx < 2 THEN NULL ELSE prob_hi END AS v FROM frames), g AS (SELECT *, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY utt_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), 0) AS f FROM h) SELECT utt_id, frame_idx, round(CASE WHEN max(abs(f)) OVER (PARTITION BY utt_id) < 1e-8 THEN coalesce(avg(v) OVER (PARTITION BY utt_id), 0) ELSE f END, 6) AS filled FROM g",
+    f"WITH {FRAMES}, h AS (SELECT utt_id, frame_idx, prob_hi AS curve, CASE WHEN event = 'error' OR frame_idx < 2 THEN NULL ELSE prob_hi END AS v FROM frames), g AS (SELECT *, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY utt_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING), 0) AS f FROM h) SELECT utt_id, frame_idx, round(CASE WHEN max(abs(f)) OVER (PARTITION BY utt_id) < 1e-8 THEN avg(curve) OVER (PARTITION BY utt_id) ELSE f END, 6) AS filled FROM g",
 )
 def forward_fill(spark, sf_dir):
-    holes = frames(spark, sf_dir).select("utt_id", "frame_idx", F.when((F.col("event") == "error") | (F.col("frame_idx") < 2), F.lit(None)).otherwise(F.col("prob_hi")).alias("v"))
-    return segments.forward_filled(holes, "v", "frame_idx").select("utt_id", "frame_idx", F.round("filled", 6).alias("filled"))
+    holes = frames(spark, sf_dir).select("utt_id", "frame_idx", F.col("prob_hi").alias("curve"), F.when((F.col("event") == "error") | (F.col("frame_idx") < 2), F.lit(None)).otherwise(F.col("prob_hi")).alias("v"))
+    return segments.forward_filled(holes, "v", "frame_idx", source="curve").select("utt_id", "frame_idx", F.round("filled", 6).alias("filled"))
 
 
 def raw_runs(spark, sf_dir) -> DataFrame:
@@ -88,12 +88,58 @@ def merge_equal(spark, sf_dir):
     return _times(segments.merged(raw_runs(spark, sf_dir).where("not (lang = 'en' and n_frames = 1)")), "n_frames")
 
 
-@query("g2_g5_refine")
+def _list_fold(step: str, of: str = "s") -> str:
+    """A fold over lists of one segment each; `a` is what is done, `x` the next."""
+    return f"CASE WHEN len({of}) = 0 THEN [] ELSE list_reduce(list_prepend([], list_transform({of}, lambda v: [v])), lambda a, x: {step}) END"
+
+
+_SEG = "{{'start': {0}, 'end': {1}, 'lang': {2}, 'mark': {3}, 'i': {4}}}"
+_X, _L = "x[1]", "a[len(a)]"
+#: Each segment with its place, so that a step can look at those after it.
+_PLACED = f"list_transform(s, lambda v, i: {_SEG.format('v.start', 'v.end', 'v.lang', '0', 'i')})"
+_JOINED = _list_fold(f"CASE WHEN len(a) > 0 AND {_L}.lang = {_X}.lang THEN a[:len(a) - 1] || [{_SEG.format(f'{_L}.start', f'{_X}.end', f'{_L}.lang', '0', '0')}] ELSE a || x END", "t")
+_B = "(CASE WHEN len(a) > 0 AND a[len(a)].mark = 1 THEN a[:len(a) - 1] ELSE a END)"
+_START = f"(CASE WHEN len(a) > 0 AND {_L}.mark = 1 THEN {_L}.start ELSE {_X}.start END)"
+_AFTER = f"q[{_X}.i + 1]"
+_ABSORB = _list_fold(
+    f"""CASE WHEN {_X}.end - {_START} >= 0.2::DOUBLE THEN {_B} || [{_SEG.format(_START, f'{_X}.end', f'{_X}.lang', '0', '0')}]
+  WHEN len({_B}) > 0 AND ({_X}.i = len(q) OR {_B}[len({_B})].end - {_B}[len({_B})].start >= {_AFTER}.end - {_AFTER}.start) THEN {_B}[:len({_B}) - 1] || [{_SEG.format(f'{_B}[len({_B})].start', f'{_X}.end', f'{_B}[len({_B})].lang', '0', '0')}]
+  WHEN {_X}.i < len(q) THEN {_B} || [{_SEG.format(_START, f'{_X}.end', f'{_X}.lang', '1', '0')}] ELSE {_B} || [{_SEG.format(_START, f'{_X}.end', f'{_X}.lang', '0', '0')}] END""",
+    "q",
+)
+_FLICKERS = "q[{0}].lang = q[{0} + 2].lang AND q[{0} + 1].end - q[{0} + 1].start < 0.4::DOUBLE"
+_DROP = _list_fold(
+    f"""CASE WHEN len(a) > 0 AND {_L}.mark > 0 THEN a[:len(a) - 1] || [{_SEG.format(f'{_L}.start', f'{_L}.end', f'{_L}.lang', f'{_L}.mark - 1', '0')}]
+  WHEN {_X}.i + 2 <= len(q) AND {_FLICKERS.format(f'{_X}.i')} THEN a || [{_SEG.format(f'{_X}.start', f'q[{_X}.i + 2].end', f'{_X}.lang', '2', '0')}] ELSE a || x END""",
+    "q",
+)
+
+
+def refine_sql(source: str) -> str:
+    """Common table expressions that end in `refined`: sweeps by recursion, each a fold."""
+    cast = "STRUCT(start DOUBLE, \"end\" DOUBLE, lang VARCHAR, mark INTEGER, i BIGINT)[]"
+    return f"""listed AS (SELECT utt_id, list({_SEG.format('start', '"end"', 'lang', '0', '0')} ORDER BY seg_id)::{cast} AS t FROM {source} GROUP BY utt_id),
+once AS (SELECT utt_id, ({_JOINED})::{cast} AS s FROM listed),
+absorbed AS (SELECT utt_id, 0 AS round, s FROM once UNION ALL SELECT utt_id, round + 1, ({_JOINED})::{cast} FROM (SELECT utt_id, round, ({_ABSORB})::{cast} AS t FROM (SELECT utt_id, round, ({_PLACED})::{cast} AS q FROM absorbed WHERE len(s) > 1 AND len(list_filter(s, lambda v: v.end - v.start < 0.2::DOUBLE)) > 0))),
+still AS (SELECT utt_id, arg_max(s, round) AS s FROM absorbed GROUP BY utt_id),
+dropped AS (SELECT utt_id, 0 AS round, s FROM still UNION ALL SELECT utt_id, round + 1, ({_JOINED})::{cast} FROM (SELECT utt_id, round, ({_DROP})::{cast} AS t FROM (SELECT utt_id, round, ({_PLACED})::{cast} AS q FROM dropped) WHERE len(list_filter(range(1, len(q) - 1), lambda k: {_FLICKERS.format('k')})) > 0)),
+last AS (SELECT utt_id, arg_max(s, round) AS s FROM dropped GROUP BY utt_id),
+refined AS (SELECT utt_id, CAST(k - 1 AS INTEGER) AS seg_id, round(s[k].start, 3) AS start, round(s[k].end, 3) AS "end", s[k].lang AS lang FROM (SELECT utt_id, s, unnest(range(1, len(s) + 1)) AS k FROM last))"""
+
+
+@query("g2_g5_refine", f"WITH RECURSIVE {FRAMES}, {RAW}, {refine_sql('raw')} SELECT * FROM refined")
 def refine(spark, sf_dir):
     return segments.refined(raw_runs(spark, sf_dir))
 
 
-@query("g6_predict")
+_G6 = _smooth_sql("prob_hi", 3, False).replace("frames", "pair_shares").replace("sized", "g_sized").replace("wide", "g_wide").replace("near", "g_near")
+_G6 = f"""pair_shares AS (SELECT utt_id, frame_idx, start, "end", prob_hi / (prob_hi + 0.93::DOUBLE + 1e-12::DOUBLE) AS prob_hi FROM frames),
+{_G6}, smoothed AS (SELECT utt_id, frame_idx, sum(v * [{', '.join(f'{w!r}::DOUBLE' for w in _W)}][k + 4]) AS smooth FROM g_near GROUP BY utt_id, frame_idx),
+labelled AS (SELECT utt_id, frame_idx, CASE WHEN smooth >= 0.5::DOUBLE THEN 'hi' ELSE 'en' END AS lang FROM smoothed),
+{_MEDIAN.replace('frames', 'labelled')}, voted AS (SELECT b.utt_id, b.frame_idx, b.start, b."end", m.lang FROM pair_shares b JOIN median m USING (utt_id, frame_idx)), {run_sql('voted', 'lang', 'predicted')}"""
+
+
+@query("g6_predict", f"WITH RECURSIVE {FRAMES}, {_G6}, {refine_sql('predicted')} SELECT * FROM refined")
 def predict(spark, sf_dir):
     """Frame probabilities to smoothed, refined segments of one language each."""
     rows = frames(spark, sf_dir)
@@ -110,7 +156,7 @@ cells AS (SELECT utt_id, start, "end", (start + "end") / 2 AS t FROM (SELECT utt
 
 
 def _at(source: str) -> str:
-    return f"(SELECT s.lang FROM {source} s WHERE s.utt_id = c.utt_id AND s.start <= c.t AND c.t < s.\"end\" ORDER BY s.seg_id LIMIT 1)"
+    return f"(SELECT s.lang FROM {source} s WHERE s.utt_id = c.utt_id AND s.start <= c.t AND c.t < s.\"end\" ORDER BY s.seg_id LIMIT 1)"  # a middle of a cell is never at the last end
 
 
 @query("j6_boundary_cells", f"WITH {FRAMES}, {RAW}, {SMOOTH}, {_CELLS} SELECT utt_id, round(start, 6) AS start, round(\"end\", 6) AS \"end\", round(t, 6) AS t FROM cells")
@@ -175,7 +221,15 @@ def word_times(spark, sf_dir):
     return intervals.word_times(turns(spark, sf_dir)).select("utt_id", "seg_id", "pos", "word", F.round("word_start", 6).alias("word_start"), F.round("word_end", 6).alias("word_end"))
 
 
-@query("g8_deduplicated_words")
+_SAID = "lower({0}.word) = lower({1}.word) AND {1}.e > {1}.b AND (least({0}.e, {1}.e) - greatest({0}.b, {1}.b)) / ({1}.e - {1}.b) > 0.5::DOUBLE"
+
+
+@query(
+    "g8_deduplicated_words",
+    f"WITH {_TURNS}, {_WORDS}, listed AS (SELECT utt_id, list({{'word': word, 'b': word_start, 'e': word_end, 'seg_id': seg_id, 'pos': pos}} ORDER BY word_start, seg_id, pos, word_end, word) AS ws FROM words GROUP BY utt_id), "
+    f"kept AS (SELECT utt_id, unnest(list_reduce(list_transform(ws, lambda w: [w]), lambda a, x: CASE WHEN {_SAID.format('a[len(a)]', 'x[1]')} THEN a ELSE a || x END)) AS w FROM listed) "
+    "SELECT utt_id, w.b AS word_start, w.seg_id AS seg_id, w.pos AS pos, w.e AS word_end, w.word AS word FROM kept",
+)
 def deduplicated_words(spark, sf_dir):
     return intervals.deduplicated_words(intervals.word_times(turns(spark, sf_dir)))
 
@@ -235,7 +289,16 @@ def bag_union(spark, sf_dir):
     return rows.where("label = 0").select("doc_id", "label").unionByName(rows.where("score < 0.5").select("doc_id", "label"))
 
 
-@query("m4_word_error_rate")
+_COST = "(CASE WHEN h[{j}] = r[i + 1] THEN 0 ELSE 1 END)"
+
+
+@query(
+    "m4_word_error_rate",
+    rf"""WITH RECURSIVE {_TURNS}, w AS (SELECT utt_id, seg_id, list_filter(regexp_split_to_array(text, '\s+'), lambda v: v <> '') AS r, lead(list_filter(regexp_split_to_array(text, '\s+'), lambda v: v <> '')) OVER (PARTITION BY utt_id ORDER BY seg_id) AS h FROM turns),
+p AS (SELECT * FROM w WHERE h IS NOT NULL), e AS (SELECT utt_id, seg_id, 0 AS i, CAST(range(len(h) + 1) AS BIGINT[]) AS row FROM p UNION ALL
+SELECT e.utt_id, e.seg_id, i + 1, list_reduce(list_prepend([CAST(i + 1 AS BIGINT)], list_transform(h, lambda v, j: [CAST(least(row[j + 1] + 1, row[j] + {_COST.format(j='j')}) AS BIGINT)])), lambda acc, x: acc || [least(x[1], acc[len(acc)] + 1)]) FROM e JOIN p ON e.utt_id = p.utt_id AND e.seg_id = p.seg_id WHERE i < len(r))
+SELECT e.utt_id, e.seg_id, CAST(row[len(row)] AS INTEGER) AS edits, CAST(len(r) AS INTEGER) AS n_words, CASE WHEN len(r) > 0 THEN round(row[len(row)] / len(r), 6) END AS wer FROM e JOIN p ON e.utt_id = p.utt_id AND e.seg_id = p.seg_id WHERE i = len(r)""",
+)
 def word_error_rate(spark, sf_dir):
     """Each turn against the next one."""
     after = F.lead("text").over(Window.partitionBy("utt_id").orderBy("seg_id"))
@@ -243,10 +306,23 @@ def word_error_rate(spark, sf_dir):
     return scoring.word_error_rate(pairs).select("utt_id", "seg_id", "edits", "n_words", F.round("wer", 6).alias("wer"))
 
 
-@query("r14_metric_bundle", f"WITH {_SCORED} SELECT CAST(NULL AS DOUBLE) AS mcd, round(avg(score), 6) AS mean_score, CAST(count(*) AS DOUBLE) AS n FROM scored")
+_BUNDLE = ("wer", "mcd", "eer", "lid_switching_accuracy", "snr_db", "epsilon")
+
+
+@query(
+    "r14_metric_bundle",
+    f"WITH {FRAMES}, {RAW}, {SMOOTH}, {_CELLS}, {_SCORED}, {_ROC}, both_labels AS (SELECT c.*, {_at('raw')} AS a, {_at('smooth')} AS b FROM cells c), bend AS (SELECT *, lead(fp) OVER w - 2 * fp + coalesce(lag(fp) OVER w, 0) AS df, lead(tp) OVER w - 2 * tp + coalesce(lag(tp) OVER w, 0) AS dt FROM rates WINDOW w AS (ORDER BY k)), kept AS (SELECT 0 AS k, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr UNION ALL SELECT k, fpr, tpr FROM bend WHERE coalesce(NOT (df = 0 AND dt = 0), true)) "
+    "SELECT CAST(NULL AS DOUBLE) AS wer, CAST(NULL AS DOUBLE) AS mcd, (SELECT round((1 - tpr + fpr) / 2, 6) FROM kept ORDER BY abs(1 - tpr - fpr), k LIMIT 1) AS eer, (SELECT round(sum(CASE WHEN a IS NOT DISTINCT FROM b THEN \"end\" - start ELSE 0 END) / sum(\"end\" - start), 6) FROM both_labels WHERE a IS NOT NULL) AS lid_switching_accuracy, "
+    "(SELECT round(10 * log10(quantile_cont(prob_hi, 0.95) / (quantile_cont(prob_hi, 0.05) + 1e-12)), 6) FROM frames) AS snr_db, CAST(NULL AS DOUBLE) AS epsilon",
+)
 def metric_bundle(spark, sf_dir):
-    rows = scored(spark, sf_dir)
-    return scoring.metric_bundle(spark, mcd=None, mean_score=rows.agg(F.round(F.avg("score"), 6)), n=rows.agg(F.count("*")))
+    """All six metrics in one row; those without inputs here are null."""
+    cells = intervals.compared(raw_runs(spark, sf_dir), smooth_runs(spark, sf_dir)).where("ref_lang is not null")
+    long = F.col("end") - F.col("start")
+    accuracy = cells.agg(F.round(F.sum(F.when(F.col("ref_lang").eqNullSafe(F.col("pred_lang")), long).otherwise(0.0)) / F.sum(long), 6).alias("accuracy"))
+    powers = frames(spark, sf_dir).select(F.lit(0).alias("utt_id"), F.col("prob_hi").alias("power"))
+    have = {"eer": scoring.equal_error_rate(scored(spark, sf_dir)).select(F.round("eer", 6)), "lid_switching_accuracy": accuracy, "snr_db": scoring.snr_estimate(powers).select(F.round("snr_db", 6))}
+    return scoring.metric_bundle(spark, **{name: have.get(name) for name in _BUNDLE})
 
 
 def pairs(spark, sf_dir) -> DataFrame:
@@ -265,7 +341,16 @@ def pairwise_distances(spark, sf_dir):
     return align.pairwise_distances(heads).select("pair_id", "i", "j", rounded("d").alias("d"))
 
 
-@query("m1_dtw_cost")
+_WHOLE = "pairs AS (SELECT * FROM (SELECT vec_id AS pair_id, list_transform(embedding, lambda v: v::DOUBLE) AS a, list_transform(lead(embedding) OVER (PARTITION BY label ORDER BY vec_id), lambda v: v::DOUBLE) AS b FROM embeddings) WHERE b IS NOT NULL)"
+
+
+@query(
+    "m1_dtw_cost",
+    # one row of costs after the other; in a row, each cell adds to the best of its left, upper and diagonal neighbours
+    f"WITH RECURSIVE {_WHOLE}, r AS (SELECT pair_id, 1 AS i, list_transform(b, lambda y, j: list_sum(list_transform(b[:j], lambda z: abs(a[1] - z)))) AS costs FROM pairs UNION ALL "
+    "SELECT r.pair_id, i + 1, list_reduce(list_prepend([]::DOUBLE[], list_transform(b, lambda y, j: [abs(a[i + 1] - y), CASE WHEN j > 1 THEN least(costs[j], costs[j - 1]) ELSE costs[j] END])), lambda acc, x: acc || [x[1] + CASE WHEN len(acc) = 0 THEN x[2] ELSE least(x[2], acc[len(acc)]) END]) "
+    "FROM r JOIN pairs p ON r.pair_id = p.pair_id WHERE i < len(a)) SELECT pair_id, round(costs[len(costs)], 6) + 0.0::DOUBLE AS cost FROM r JOIN pairs USING (pair_id) WHERE i = len(a)",
+)
 def dtw_cost(spark, sf_dir):
     return pairs(spark, sf_dir).select("pair_id", rounded(align.dtw_cost(F.col("a"), F.col("b"))).alias("cost"))
 
@@ -282,7 +367,13 @@ def dtw_path(spark, sf_dir):
 
 @query("m3_mel_cepstral_distortion")
 def distortion(spark, sf_dir):
-    return align.mel_cepstral_distortion(_paths(spark, sf_dir))
+    """Mel cepstra of the tones of each vector against those of the next one of its label."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    frames = spectral.features(spectral.tones(rows), "mfcc").groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", "coefficients"))), lambda r: r["coefficients"]).alias("c"))  # the frames of one signal
+    after = F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id"))
+    both = table(spark, sf_dir, "embeddings").select("vec_id", after.alias("other")).where("other is not null")
+    both = both.join(frames.withColumnRenamed("c", "a"), "vec_id").join(frames.select(F.col("vec_id").alias("other"), F.col("c").alias("b")), "other")
+    return align.mel_cepstral_distortion(align.dtw_paths(both.select(F.col("vec_id").alias("pair_id"), "a", "b")))
 
 
 @query("j8_m13_warped_curve")

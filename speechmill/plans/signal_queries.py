@@ -41,7 +41,7 @@ _long(
 _long(
     "p12_probabilities",
     S.renormalised,
-    "list_transform(CASE WHEN list_min(x) < 0 THEN list_transform(x, lambda v: exp(v)) ELSE x END, lambda v: v / list_sum(CASE WHEN list_min(x) < 0 THEN list_transform(x, lambda u: exp(u)) ELSE x END))",
+    "list_transform(CASE WHEN list_min(x) < 0 THEN list_transform(x, lambda v: exp(v)) ELSE x END, lambda v: least(1, greatest(0, v)) / (list_sum(list_transform(CASE WHEN list_min(x) < 0 THEN list_transform(x, lambda u: exp(u)) ELSE x END, lambda w: least(1, greatest(0, w)))) + 1e-12::DOUBLE))",
 )
 _long("p16_align_length", lambda x: S.aligned(F.slice(x, 1, 60 + F.col("label")), F.lit(66)), "CASE WHEN 60 + label >= 66 THEN x[1:least(64, 60 + label)] ELSE x[1:60 + label] END || list_transform(range(66 - least(64, 60 + label)), lambda i: x[least(64, 60 + label)])")
 _long("p18_checked_embedding", lambda x: S.conditioned(F.when(F.col("label") < 5, x).otherwise(F.slice(x, 1, 32)), 64, F.array_repeat(F.lit(0.5), 64)), "CASE WHEN label < 5 THEN x ELSE list_transform(x, lambda v: 0.5::DOUBLE) END")

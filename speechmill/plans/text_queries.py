@@ -148,12 +148,12 @@ def unigrams(spark, sf_dir):
 
 @query("r2_ngrams", f"WITH {_COUNTS} SELECT CAST(n AS INTEGER) AS n, ctx, word, cnt FROM grams")
 def ngrams(spark, sf_dir):
-    return lm.counts(sentences(spark, sf_dir), 3).select("n", F.array_join("ctx", " ").alias("ctx"), "word", "cnt")
+    return lm.counts(sentences(spark, sf_dir), 3).select("n", "ctx", "word", "cnt")
 
 
 @query("r3_context_totals", f"WITH {_COUNTS} SELECT CAST(n AS INTEGER) AS n, ctx, CAST(sum(cnt) AS BIGINT) AS total, count(*) AS kinds FROM grams GROUP BY n, ctx")
 def context_totals(spark, sf_dir):
-    return lm.context_totals(lm.counts(sentences(spark, sf_dir), 3)).select("n", F.array_join("ctx", " ").alias("ctx"), "total", "kinds")
+    return lm.context_totals(lm.counts(sentences(spark, sf_dir), 3)).select("n", "ctx", "total", "kinds")
 
 
 _PAD = "(['<s>', '<s>'] || tokens || ['</s>', '</s>'])"
@@ -161,7 +161,7 @@ _PAD = "(['<s>', '<s>'] || tokens || ['</s>', '</s>'])"
 
 @query("r4_padded_ngrams", f"WITH {_ROWS} {' UNION ALL '.join(_grams(n, _PAD) for n in (1, 2, 3))}")
 def padded_ngrams(spark, sf_dir):
-    return lm.counts(sentences(spark, sf_dir), 3, True).select("n", F.array_join("ctx", " ").alias("ctx"), "word", "cnt")
+    return lm.counts(sentences(spark, sf_dir), 3, True).select("n", "ctx", "word", "cnt")
 
 
 @query("k1_top_words", f"WITH {_ROWS} SELECT word, count(*) AS cnt FROM (SELECT doc_id, pos, unnest(range(len(tokens))) AS place, unnest(tokens) AS word FROM lines) GROUP BY word ORDER BY cnt DESC, min({{'a': doc_id, 'b': pos, 'c': place}}) LIMIT 50")
@@ -199,19 +199,27 @@ def perplexity(spark, sf_dir):
 @query("m15_kneser_ney", f"WITH {_ROWS}, b AS ({_grams(2)}), h AS (SELECT ctx, sum(cnt) AS total, count(*) AS kinds FROM b GROUP BY ctx), w AS (SELECT word, count(*) AS contexts FROM b GROUP BY word) SELECT ctx, word, round(greatest(cnt - 0.1::DOUBLE, 0) / total + 0.1::DOUBLE * kinds / total * contexts / (SELECT count(*) FROM b), 6) AS p FROM b JOIN h USING (ctx) JOIN w USING (word)")
 def kneser_ney(spark, sf_dir):
     found = lm.kneser_ney(lm.counts(sentences(spark, sf_dir), 2))
-    return found.select(F.array_join("ctx", " ").alias("ctx"), "word", F.round("p", 6).alias("p"))
+    return found.select("ctx", "word", F.round("p", 6).alias("p"))
 
 
 _VOCAB = "vocab AS (SELECT item_id * 1000 + pos AS token_id, ws[pos + 1] AS token FROM (SELECT item_id, ws, unnest(range(len(ws))) AS pos FROM (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark)))"
 
 
-@query("j9_m17_token_bias", f"WITH {_COUNTS}, {_VOCAB}, a AS (SELECT token_id, {_lm('token')}[1] AS word FROM vocab), u AS (SELECT word, cnt FROM grams WHERE n = 1), v AS (SELECT sum(cnt) AS total, count(*) AS kinds FROM u) SELECT token_id, word, round(greatest(ln((cnt + 1) / (total + kinds)), -10) * 1.5::DOUBLE, 6) AS bias FROM a JOIN u USING (word) CROSS JOIN v")
+@query("j9_m17_token_bias", f"WITH {_COUNTS}, {_VOCAB}, a AS (SELECT token_id, regexp_split_to_array(trim(lower(token)), '\\s+')[1] AS word FROM vocab WHERE trim(token) <> '' AND trim(token) NOT LIKE '<%'), u AS (SELECT word, cnt FROM grams WHERE n = 1), v AS (SELECT sum(cnt) AS total, count(*) AS kinds FROM u) SELECT token_id, word, round(greatest(ln((cnt + 1) / (total + kinds)), -10) * 1.5::DOUBLE, 6) AS bias FROM a JOIN u USING (word) CROSS JOIN v")
 def token_bias(spark, sf_dir):
     vocab = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("pos", "token")).select((F.col("item_id") * 1000 + F.col("pos")).alias("token_id"), "token")
     return lm.token_bias(vocab, lm.counts(sentences(spark, sf_dir), 3)).select("token_id", "word", rounded("bias").alias("bias"))
 
 
-@query("m18_contextual_bias")
+_NEXT = "cand AS (SELECT item_id AS hyp_id, item_id * 1000 + pos AS token_id, lower(ws[pos + 1]) AS word, {lm} AS ctx FROM (SELECT item_id, ws, pos, array_to_string(ws[greatest(pos - 1, 1):pos], ' ') AS before FROM (SELECT item_id, ws, unnest(range(len(ws))) AS pos FROM (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark))))".replace("{lm}", _lm("before"))
+
+
+@query(
+    "m18_contextual_bias",
+    f"WITH {_COUNTS}, {_NEXT}, u AS (SELECT word, cnt FROM grams WHERE n = 1), v AS (SELECT sum(cnt) AS total, count(*) AS kinds FROM u), t AS (SELECT ctx, sum(cnt) AS total FROM grams GROUP BY ctx), c AS (SELECT *, array_to_string(ctx[-2:], ' ') AS last FROM cand) "
+    "SELECT hyp_id, token_id, round(CASE WHEN u.word IS NULL THEN 0 ELSE 1.5::DOUBLE * greatest(-10, CASE WHEN len(c.ctx) = 0 THEN ln((u.cnt + 1) / (v.total + kinds)) ELSE ln((coalesce(g.cnt, 0) + 1) / (coalesce(t.total, 0) + kinds)) END) END, 6) + 0.0::DOUBLE AS logit "
+    "FROM c CROSS JOIN v LEFT JOIN u ON u.word = c.word LEFT JOIN grams g ON g.ctx = c.last AND g.word = c.word AND g.n > 1 LEFT JOIN t ON t.ctx = c.last",
+)
 def contextual_bias(spark, sf_dir):
     """Each word of the benchmark as a candidate after its two predecessors."""
     words = F.split("text", " ")
@@ -219,4 +227,4 @@ def contextual_bias(spark, sf_dir):
     logits = rows.select(F.col("item_id").alias("hyp_id"), (F.col("item_id") * 1000 + F.col("pos")).alias("token_id"), F.lit(0.0).alias("logit"), X.lm_tokens(F.array_join(F.slice("ws", F.greatest(F.lit(1), F.col("pos") - 1), F.least(F.lit(2), F.col("pos"))), " ")).alias("ctx"), "token")
     grams = lm.counts(sentences(spark, sf_dir), 3)
     bias = lm.token_bias(logits.select("token_id", "token"), grams)
-    return lm.contextual_bias(logits.drop("token"), bias, grams).select("hyp_id", "token_id", rounded("logit").alias("logit"))
+    return lm.contextual_bias(logits, bias, grams).select("hyp_id", "token_id", rounded("logit").alias("logit"))

@@ -1 +1 @@
-""""""
+"""Readers and writers: WAV files, text and JSON, curves, manifests."""
