@@ -7,14 +7,17 @@
 Kept are n-grams of order 2 and more that occur MIN_COUNT times or more in the whole corpus, so a text isn't certain of what
 it alone says. Counts cover all documents.
 
-Relations. Each batch of documents lists its distinct n-grams once (their 64-bit hash, in ascending order, cut into PARTS ranges of
-the hash) with the batch's counts: rows (part, batch, order, hashes, counts). They are partitioned by (order, part). There the count table of
-that hash range is the sum over all rows, and the join of each row with it gives the row's total counts in the row's own order: rows
-(batch, order, part, totals). Those go back to their batch, where each document's sum of log scores is taken by position.
-
-Why rows of hashes instead of a row per occurrence: an occurrence needs some 20 bytes in a shuffle, a hash in a sorted range
-compresses to about 6; a frequent n-gram comes once per batch, so no key is hot; the join needs no sort. The number of ranges grows
-with the input (PART_BYTES), so what one task adds up stays bounded.
+Relations.
+1. Count tables, partitioned by hash: the map step lists the distinct n-grams of a part of the documents with their counts and the hashes of their
+   context (all words but the last) and their shorter n-gram (all but the first); a shuffle by the n-gram's hash sums them up.
+2. Weights: each count table joins the one of the next lower order twice, by context and by shorter n-gram. A word's log score is that of its
+   unigram, plus log ALPHA for each longer n-gram that has room before it, plus what each kept n-gram that ends there changes:
+   weight = log S of the n-gram - log ALPHA - log S of its shorter one.
+3. Documents' n-grams, one row for each distinct one of a document, join the weights by hash, and the sums are taken for each document.
+
+N-grams that have HOT_SHARE of all occurrences or more, of which there can be no more than its inverse for each order, are added up in the map
+step from a broadcast table, so no hash is hot in the join. Rows are named by file and place, so neither order nor partitions of a
+second pass matter, and rows that share an id are scored one by one.
 
 Defined results: null text is empty; without words: n_tokens 0, log_score 0, mean null; repeated rows are scored one by one and both
 count; other columns are not read; an empty table gives an empty table.
@@ -22,22 +25,17 @@ count; other columns are not read; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, hashed_words, mix, texts
+from .common import hashed_words, located, map_batches, mix, stored, texts
 
 ORDER, ALPHA, MIN_COUNT, FLOOR = 3, 0.4, 2, 1e-12
-#: Documents of a batch, and ranges of the hash.
-BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
-PARTS_LEAST, PART_BYTES = 8, 64 << 20
+HOT_SHARE = 1e-5
+#: Text of a part whose n-grams are counted together before the shuffle.
+PART_BYTES = 8 << 20
 
 
 def ngram_hashes(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -50,147 +48,132 @@ def ngram_hashes(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[list
                 last = mix(words + np.uint64(1))
             else:
                 # the (k-1)-gram one word back, then this word
-                before = np.r_[np.zeros(1, np.uint64), last[:-1]] if len(words) else last
-                last = np.where(place >= k - 1, mix(before * np.uint64(31) + words + np.uint64(k)), np.uint64(0))
+                last = np.where(place >= k - 1, mix(_back(last) * np.uint64(31) + words + np.uint64(k)), np.uint64(0))
             out.append(last)
     return out, place
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list, list[str]]]:
-    """Batches of documents with a name made from their ids and texts' lengths: the same input split gives the same batches."""
-    for b in batches:
-        rows = max(1, min(BATCH_ROWS, BATCH_BYTES * b.num_rows // max(1, b.nbytes)))
-        for at in range(0, b.num_rows, rows):
-            part = b.slice(at, rows)
-            ids, own = part.column(0).to_pylist(), texts(part)
-            yield hashlib.blake2b(repr([(i, len(t), zlib.crc32(t.encode("utf-8", "surrogatepass"))) for i, t in zip(ids, own, strict=True)]).encode(), digest_size=12).hexdigest(), ids, own
-
-
-def _hashed(own: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    words, sizes = hashed_words(own)
-    grams, place = ngram_hashes(words, sizes, order)
-    return grams, place, sizes
-
-
-def _cuts(parts: int) -> np.ndarray:
-    """Starts of the ranges of the hash, but the first."""
-    return (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
-
-
-def _packed(hashes: np.ndarray) -> bytes:
-    """Ascending 64-bit integers as the bytes of their gaps, lowest bytes of all first, so that zero bytes stand together."""
-    gaps = np.diff(hashes, prepend=np.uint64(0))
-    return np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    gaps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-    return np.cumsum(gaps, dtype=np.uint64)
+def _back(x: np.ndarray) -> np.ndarray:
+    """What stands one word back."""
+    return np.concatenate([np.zeros(min(1, len(x)), x.dtype), x[:-1]])
 
 
-def _narrow(x: np.ndarray) -> bytes:
-    """Counts with a leading byte for their width."""
-    top = int(x.max()) if len(x) else 0
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+def gram_counts(docs: DataFrame, order: int) -> DataFrame:
+    """k, h, context, shorter, n: the distinct n-grams of each part of the documents."""
 
-
-def _wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
-
-
-def gram_rows(docs: DataFrame, order: int, parts: int) -> DataFrame:
-    """part, batch, k, hashes, counts: each batch's distinct k-grams."""
-    cuts = _cuts(parts)
-
-    def run(batches):
-        for name, _, own in _batches(batches):
-            grams, place, _ = _hashed(own, order)
+    def make():
+        def step(b):
+            words, sizes = hashed_words(texts(b))
+            grams, place = ngram_hashes(words, sizes, order)
+            out = {"k": [], "h": [], "context": [], "shorter": [], "n": []}
+            for k, g in enumerate(grams, 1):
+                own = place >= k - 1
+                h, first, n = np.unique(g[own], return_index=True, return_counts=True)
+                zero = np.zeros(len(h), np.uint64)
+                out["k"].append(np.full(len(h), k, np.int32))
+                out["h"].append(h)
+                out["context"].append(_back(grams[k - 2])[own][first] if k > 1 else zero)
+                out["shorter"].append(grams[k - 2][own][first] if k > 1 else zero)
+                out["n"].append(n.astype(np.int64))
+            return {c: (x := np.concatenate(v)).view(np.int64) if c != "k" else np.concatenate(v) for c, v in out.items()}
+
+        return step
+
+    return map_batches(docs.select(docs["text"]), make, "k int, h long, context long, shorter long, n long", part_bytes=PART_BYTES)
+
+
+def count_tables(docs: DataFrame, order: int, min_count: int) -> DataFrame:
+    """k, h, context, shorter, c: all words, and the longer n-grams that occur min_count times."""
+    grams = gram_counts(docs, order).groupBy("h").agg(F.first("k").alias("k"), F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.sum("n").alias("c"))
+    return grams.where((F.col("k") == 1) | (F.col("c") >= min_count))
+
+
+def weights(tables: DataFrame, n_words: int, order: int, alpha: float) -> DataFrame:
+    """h, c, w: what one occurrence of an n-gram adds to the log score."""
+    score = F.ln(F.greatest(F.col("c") / F.lit(float(max(1, n_words))), F.lit(FLOOR)))
+    below = tables.where("k = 1").select("h", "c", score.alias("s"))
+    out = below.select("h", "c", F.col("s").alias("w"))
+    for k in range(2, order + 1):
+        own = tables.where(F.col("k") == k)
+        own = own.join(below.select(F.col("h").alias("context"), F.col("c").alias("context_c")), "context").withColumn("s", F.ln(F.col("c") / F.col("context_c")))
+        both = stored(own.join(below.select(F.col("h").alias("shorter"), F.col("s").alias("shorter_s")), "shorter").select("h", "c", "s", (F.col("s") - F.lit(float(np.log(alpha))) - F.col("shorter_s")).alias("w")), f"order{k}")
+        out, below = out.unionByName(both.select("h", "c", "w")), both.select("h", "c", "s")
+    return out
+
+
+def document_grams(docs: DataFrame, at: Column, order: int, alpha: float, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """file, row, h, n: the distinct n-grams of each document but the hot ones; and one row more for it (n = 0) with doc_id, n_tokens and base, the score so far."""
+    sent = docs.sparkSession.sparkContext.broadcast(hot)  # at most order / HOT_SHARE entries
+
+    def make():
+        known, weight = sent.value
+
+        def step(b):
+            words, sizes = hashed_words(texts(b))
+            grams, place = ngram_hashes(words, sizes, order)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            base = np.zeros(len(sizes))
+            hs, owners, counts = [], [], []
             for k, g in enumerate(grams, 1):
-                distinct, counts = np.unique(g[place >= k - 1], return_counts=True)
-                bounds = [0, *np.searchsorted(distinct, cuts).tolist(), len(distinct)]
-                rows = [(p, a, b) for p, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p for p, _, _ in rows], pa.int32()), pa.array([name] * len(rows)), pa.array([k] * len(rows), pa.int32()),
-                     pa.array([_packed(distinct[a:b]) for _, a, b in rows], pa.binary()), pa.array([_narrow(counts[a:b]) for _, a, b in rows], pa.binary())],
-                    ["part", "batch", "k", "hashes", "counts"],
-                )
-
-    return docs.mapInArrow(run, "part int, batch string, k int, hashes binary, counts binary")
-
-
-def total_rows(rows: DataFrame) -> DataFrame:
-    """batch, k, part, totals: for each hash of a row its count over all rows of that range, in the row's order."""
-
-    def join(key, pdf):
-        import pandas as pd
-
-        lists, own = [_unpacked(x) for x in pdf["hashes"]], [_wide(x) for x in pdf["counts"]]
-        hashes, counts = np.concatenate(lists), np.concatenate(own)
-        order = np.argsort(hashes, kind="stable")
-        ascending = hashes[order]
-        first = np.flatnonzero(np.r_[True, ascending[1:] != ascending[:-1]])
-        sums = np.add.reduceat(counts[order], first)
-        totals = np.empty(len(hashes), np.int64)
-        totals[order] = np.repeat(sums, np.diff(np.r_[first, len(hashes)]))
-        ends = np.cumsum([len(x) for x in lists])[:-1]
-        return pd.DataFrame({"batch": pdf["batch"], "k": pdf["k"], "part": pdf["part"], "totals": [_narrow(x) for x in np.split(totals, ends)]})
-
-    return rows.groupBy("k", "part").applyInPandas(join, "batch string, k int, part int, totals binary")
-
-
-def log_scores(grams: list[np.ndarray], place: np.ndarray, totals: list[np.ndarray], n_words: int, alpha: float, min_count: int) -> np.ndarray:
-    """log S of each word. totals: of each order the whole corpus's counts in ascending order of the batch's distinct hashes."""
-    counts = []
-    for k, (g, t) in enumerate(zip(grams, totals, strict=True), 1):
-        known = place >= k - 1
-        c = np.zeros(len(g), np.int64)
-        _, which = np.unique(g[known], return_inverse=True)
-        c[known] = t[which]
-        counts.append(c)
-    score = np.log(np.maximum(counts[0] / max(1, n_words), FLOOR))
-    for k in range(2, len(grams) + 1):
-        context = np.r_[np.zeros(1, np.int64), counts[k - 2][:-1]]
-        kept = (place >= k - 1) & (counts[k - 1] >= min_count)
-        # a word without room for a longer context doesn't back off
-        score = np.where(kept, np.log(np.maximum(counts[k - 1], 1) / np.maximum(context, 1)), score + np.where(place >= k - 1, np.log(alpha), 0.0))
-    return score
+                own = place >= k - 1
+                h, o = g[own], owner[own]
+                if k > 1:
+                    base += np.bincount(o, minlength=len(sizes)) * np.log(alpha)
+                if len(known):
+                    where = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    held = known[where] == h
+                    base += np.bincount(o[held], weights=weight[where[held]], minlength=len(sizes))
+                    h, o = h[~held], o[~held]
+                order_ = np.lexsort((h, o))
+                h, o = h[order_], o[order_]
+                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])]) if len(h) else np.zeros(0, np.int64)
+                hs.append(h[first])
+                owners.append(o[first])
+                counts.append(np.diff(np.r_[first, len(h)]))
+            h, o, n = np.concatenate(hs), np.concatenate(owners), np.concatenate(counts)
+            file, row = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            d = len(sizes)
+            nulls = pa.nulls(len(h), pa.int64())
+            return {
+                "file": np.r_[file, file[o]], "row": np.r_[row, row[o]],
+                # the rows of the documents themselves are spread by a hash that meets no n-gram
+                "h": np.r_[mix(file.astype(np.int64).view(np.uint64) ^ mix(row.astype(np.int64).view(np.uint64))), h].view(np.int64),
+                "n": np.r_[np.zeros(d, np.int64), n], "base": np.r_[base, np.zeros(len(h))],
+                "doc_id": pa.concat_arrays([b.column(0), nulls]), "n_tokens": pa.concat_arrays([pa.array(sizes, pa.int64()), nulls]),
+            }
+
+        return step
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(at["file"]).alias("file"), at["row"].alias("row"), docs["text"])
+    return map_batches(rows, make, "file long, row long, h long, n long, base double, doc_id long, n_tokens long")
 
 
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
     """doc_id, n_tokens, log_score (sum over words of log S), mean_log_score, perplexity."""
-    spark = docs.sparkSession
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
-    sums = own.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(words).alias("words")).first()
-    size, n_words = sums.bytes or 0, sums.words or 0
-    parts = max(PARTS_LEAST, -(-2 * size // PART_BYTES), -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // order))
-    totals = total_rows(gram_rows(own, order, parts))
-
-    def zipped(batches):
-        packer = zstandard.ZstdCompressor(level=1)
-        for name, ids, part in _batches(batches):
-            _, sizes = hashed_words(part)
-            data = packer.compress("\n".join(part).encode("utf-8", "surrogatepass"))
-            row = [pa.array([name]), pa.array([[i or 0 for i in ids]], pa.list_(pa.int64())), pa.array([[i is None for i in ids]]), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([data], pa.binary())]
-            yield pa.RecordBatch.from_arrays(row, ["batch", "ids", "none", "sizes", "words"])
-
-    packs = own.mapInArrow(zipped, "batch string, ids array<long>, none array<boolean>, sizes array<long>, words binary")
-    def finish(key, left, right):
-        import pandas as pd
-
-        out = []
-        tables = {(int(k), int(p)): t for k, p, t in zip(right["k"], right["part"], right["totals"], strict=True)}
-        totals = [np.concatenate([np.zeros(0, np.int64), *(_wide(tables[x]) for x in sorted(tables) if x[0] == k)]) for k in range(1, order + 1)]
-        # batches that are alike in all ids and texts share a name, and their totals come once for each: any of them will do
-        for ids, none, sizes, data in zip(left["ids"], left["none"], left["sizes"], left["words"], strict=True):
-            sizes = np.asarray(sizes, np.int64)
-            grams, place = ngram_hashes(hashed_words([zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass")])[0], sizes, order)
-            s = log_scores(grams, place, totals, n_words, alpha, min_count)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            out.append(pd.DataFrame({"doc_id": pd.arrays.IntegerArray(np.array(ids, np.int64), np.array(none, bool)), "n_tokens": sizes, "log_score": np.bincount(owner, weights=s, minlength=len(sizes))}))
-        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "n_tokens": [], "log_score": []})
-
-    scored = packs.groupBy("batch").cogroup(totals.groupBy("batch")).applyInPandas(finish, "doc_id long, n_tokens long, log_score double")
+    docs, at = located(docs)
+    tables = stored(count_tables(docs, order, min_count), "counts")
+    n_words = tables.where("k = 1").agg(F.sum("c")).first()[0] or 0
+    known = stored(weights(tables, n_words, order, alpha), "weights")
+    hot = known.where(F.col("c") >= max(1.0, n_words * HOT_SHARE)).select("h", "w").toPandas() if n_words else None
+    keys = hot["h"].to_numpy(np.int64).view(np.uint64) if n_words else np.zeros(0, np.uint64)
+    sort = np.argsort(keys)
+    grams = document_grams(docs, at, order, alpha, (keys[sort], hot["w"].to_numpy(float)[sort] if n_words else np.zeros(0)))
+    rest = known.where(F.col("c") < max(1.0, n_words * HOT_SHARE)).select("h", "w")
+    joined = grams.join(rest.hint("merge"), "h", "left")
+    part = F.col("base") + F.when(F.col("n") > 0, F.col("n") * F.coalesce("w", F.lit(0.0))).otherwise(0.0)
+    scored = joined.groupBy("file", "row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(part).alias("log_score"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens"))
     return scored.select("doc_id", "n_tokens", "log_score", mean.alias("mean_log_score"), F.exp(-mean).alias("perplexity"))
+
+
+def oracle(alpha: float = ALPHA, min_count: int = MIN_COUNT) -> str:
+    """The scores of order 3 in DuckDB's SQL over the view documents, to 4 places."""
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+g AS (SELECT rid, w[i] AS g1, w[i - 1] || ' ' || w[i] AS g2, w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] AS g3, CASE WHEN i > 1 THEN w[i - 1] END AS p1, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] END AS p2, i FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c1 AS (SELECT g1 AS k, count(*) AS c FROM g GROUP BY g1), c2 AS (SELECT g2 AS k, count(*) AS c FROM g WHERE i > 1 GROUP BY g2), c3 AS (SELECT g3 AS k, count(*) AS c FROM g WHERE i > 2 GROUP BY g3), n AS (SELECT sum(c) AS n FROM c1),
+s AS (SELECT g.rid, CASE WHEN i > 2 AND c3.c >= {min_count} THEN ln(c3.c / q2.c) ELSE CASE WHEN i > 2 THEN ln({alpha!r}) ELSE 0 END
+  + CASE WHEN i > 1 AND c2.c >= {min_count} THEN ln(c2.c / q1.c) ELSE CASE WHEN i > 1 THEN ln({alpha!r}) ELSE 0 END + ln(greatest(c1.c / n.n, {FLOOR!r})) END END AS s
+  FROM g CROSS JOIN n JOIN c1 ON c1.k = g1 LEFT JOIN c2 ON i > 1 AND c2.k = g2 LEFT JOIN c3 ON i > 2 AND c3.k = g3 LEFT JOIN c1 q1 ON q1.k = p1 LEFT JOIN c2 q2 ON q2.k = p2),
+t AS (SELECT rid, sum(s) AS s FROM s GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(s, 0), 4) + 0.0::DOUBLE AS log_score, round(s / len(w), 4) AS mean_log_score FROM d LEFT JOIN t USING (rid)"""

@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding by replaying merges over the words of a corpus.
 
-Method: the distinct pieces of a corpus are laid out as one row of symbols. An inverted index leads from each
-merge (the token a pair makes) to the positions where the pair stands. A heap gives the merges by rank; each is
-applied to all its positions at once and only the pairs with the two neighbours change. The corpus of one replay is
-the new pieces of one Arrow batch: pieces seen before in the worker are kept (bounded), so text is never shuffled.
-A table of all pieces of the whole input would have to be joined to each token occurrence or be sent whole to
-every task; both grow with the data, and the ids would be the same.
+Method: the documents of a task are taken in parts of about PART_BYTES of text, and each part is one corpus: its distinct
+pieces are laid out as one row of symbols. An inverted index leads from each merge (the token a pair makes) to the positions
+where the pair stands. A heap gives the merges by rank; each is applied to all its positions at once and only the pairs with the
+two neighbours change. The ids of a part's pieces are then looked up for its documents, and nothing is kept from part to part: the
+work for a GB and the memory of a task are the same however large the input is.
+
+One corpus of the whole input would need either all distinct pieces in every task or a row per piece occurrence in a join; the
+first has no bound and the second shuffles several times the input. The ids are the same, as a merge never reaches beyond its piece.
 
 Defined results: null text is empty text; an empty text has no ids; repeated rows are encoded one by one; columns other than the id and the text are not read; a null id stays null.
 """
@@ -17,15 +19,15 @@ import bisect
 import hashlib
 import heapq
 import re
-from collections import defaultdict
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import kept, looked_up, map_batches, texts
+from .common import kept, map_batches, texts
 
-#: Chunks kept in one worker: frequent ones come early.
-KEPT_CHUNKS = 1_000_000
+#: Text of one corpus, about; a longer document stands alone.
+PART_BYTES = 8 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,22 +69,30 @@ def replay(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
     inside = np.ones(len(row), bool)
     inside[ends] = False
     row[inside] = ranks.byte_rank[np.frombuffer(b"".join(pieces), np.uint8)]
-    symbols = row.tolist()
-    right = list(range(1, len(row) + 1))
-    left = list(range(-1, len(row) - 1))
+    # arrays of small integers: lists would hold an object for each
+    symbols = array("i", row.astype(np.int32).tobytes())
+    right = array("i", np.arange(1, len(row) + 1, dtype=np.int32).tobytes())
+    left = array("i", np.arange(-1, len(row) - 1, dtype=np.int32).tobytes())
 
     # merges of two single bytes, by rank and position
     keys, which = np.unique(row[:-1] * step + row[1:], return_inverse=True)
+    del row
     made = np.fromiter((pair(k, -1) for k in keys.tolist()), np.int64, len(keys))[which]
     at = np.flatnonzero(made >= 0)
     at = at[np.argsort(made[at], kind="stable")]
     merges, first = np.unique(made[at], return_index=True)
-    places = defaultdict(list, {r: x.tolist() for r, x in zip(merges.tolist(), np.split(at, first[1:]), strict=True)} if len(at) else {})
+    # the index of the start is a slice of `at` until its merge is due; `places` has what is added meanwhile
+    start = dict(zip(merges.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(at)]), strict=True))
+    places: dict[int, list[int]] = {r: [] for r in start}
     heap = merges.tolist()
+    del made, which
 
     while heap:
         r = heapq.heappop(heap)
         here = places.pop(r)
+        if r in start:
+            a, b = start.pop(r)
+            here += at[a:b].tolist()
         here.sort()
         waiting, later = set(), []
         for i in here:
@@ -100,6 +110,7 @@ def replay(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
             if s is not None:
                 if s not in places:
                     heapq.heappush(heap, s)
+                    places[s] = []
                 places[s].append(i)
                 if s < r:
                     waiting.add(bisect.bisect_left(ends, i))
@@ -108,25 +119,25 @@ def replay(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
                 if s is not None:
                     if s not in places:
                         heapq.heappush(heap, s)
+                        places[s] = []
                     places[s].append(before)
                     if s < r:
                         waiting.add(bisect.bisect_left(ends, i))
         if later:
             if r not in places:
                 heapq.heappush(heap, r)
+                places[r] = []
             places[r].extend(later)
 
-    row = np.array(symbols, np.int64)
+    row = np.frombuffer(symbols, np.int32)
     ids = row[row < gap].astype("<u4").tobytes()
     counts = np.add.reduceat((row < gap).astype(np.int64), np.r_[0, ends[:-1] + 1])
     stops = (4 * np.cumsum(counts)).tolist()
     return [ids[a:b] for a, b in zip([0, *stops], stops)]
 
 
-
-
 class Encoder:
-    """Texts to ids by replay; chunks seen before come from a bounded dict.
+    """Texts to ids by replay.
 
     A chunk is what lies between two places where a space stands before a non-blank: the pattern always cuts there
     (a space followed by a non-blank begins a piece), so the pieces of the chunks are the pieces of the text.
@@ -140,7 +151,6 @@ class Encoder:
 
         self.ranks = Ranks(path)
         self.pieces = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
 
     @staticmethod
     def of(path: str, pattern: str) -> Encoder:
@@ -164,8 +174,12 @@ class Encoder:
         return {x: b"".join([packed[p] for p in ps]) for x, ps in zip(new, cut, strict=True)}
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers. The first KEPT_CHUNKS chunks a worker meets stay known."""
-        return [b"".join(x) for x in looked_up([self.chunks(x) for x in batch], self.known, self.learn, KEPT_CHUNKS)]
+        """Ids of each text as little-endian unsigned 32-bit integers; the texts are one corpus."""
+        known: set[str] = set()
+        for x in batch:
+            known.update(self.chunks(x))
+        ids = self.learn(list(known)).__getitem__
+        return [b"".join(map(ids, self.chunks(x))) for x in batch]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.ranks.spell.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -178,7 +192,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         encoder = Encoder.of(ranks_path, pattern)
         return lambda b: {"id": b.column(0), "ids": encoder.encode(texts(b, "text"))}
 
-    return map_batches(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")), make, "id long, ids binary").withColumnRenamed("id", id_col)
+    return map_batches(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")), make, "id long, ids binary", part_bytes=PART_BYTES).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -208,4 +222,4 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
         return step
 
-    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", part_bytes=PART_BYTES)

@@ -2,37 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import new_path
+
 #: The six characters that separate words in every contract of this folder.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, else the checkpoint folder set on its context.
-
-    Where neither is set there is no such folder: a local one would lose files with the machine that wrote them.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not known:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not held.isDefined():
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        known = held.get()
-    return known.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/speechmill/{uuid.uuid4().hex[:12]}-{name}"
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """The name, with lines after it until df has no such column (in any case of letters)."""
     known = {c.lower() for c in df.columns}
@@ -99,14 +83,27 @@ def without_rows(docs: DataFrame, at: Column, gone: DataFrame) -> DataFrame:
 
 
 #: Rows that a map step holds as Python objects at once, and bytes of them.
-ROWS, BYTES = 512, 4 << 20
+ROWS, BYTES = 512, 2 << 20
+
+
+def pieces_of(batch: pa.RecordBatch, rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most so many rows and about so many bytes; a larger row stands alone."""
+    ends = np.cumsum(np.full(batch.num_rows, 16, np.int64) + _row_bytes(batch))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
-def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of at most ROWS rows and about BYTES bytes; a larger row stands alone."""
-    rows = ROWS if batch.num_rows <= ROWS else max(1, min(ROWS, ROWS * BYTES * batch.num_rows // (ROWS * max(1, batch.nbytes))))
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of the strings and binaries of each row."""
+    total = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            total += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return total
 
 
 _kept: dict[object, object] = {}
@@ -130,8 +127,8 @@ def alone(make: Callable[[], object]):
     return made
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]], schema: str, whole: bool = False) -> DataFrame:
-    """mapInArrow: make() runs once in a task, what it returns turns each slice of a batch (whole: each batch) into columns of the schema."""
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]], schema: str, part_bytes: int | None = None) -> DataFrame:
+    """mapInArrow: make() runs once in a task, what it returns turns each slice of a batch (of ROWS rows, or of part_bytes) into columns of the schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -140,7 +137,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = alone(make)
         for batch in batches:
-            for part in [batch] if whole else pieces_of(batch):
+            for part in pieces_of(batch, batch.num_rows, part_bytes) if part_bytes else pieces_of(batch):
                 if part.num_rows:
                     out = step(part)
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in ((out[f.name], f) for f in fields)], schema=fields)
@@ -170,11 +167,21 @@ def _bytes_table() -> np.ndarray:
 
 _BASE = 0x2545F4914F6CDD1D  # odd, so it has an inverse
 _TABLE = _bytes_table()
+#: Powers that a worker keeps; a longer text makes its own.
+POWERS_KEPT = 1 << 22
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers_to(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, 0 to n - 1."""
+    if n > POWERS_KEPT:
+        out = []
+        with np.errstate(over="ignore"):
+            for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+                x = np.full(n, base, np.uint64)
+                x[0] = 1
+                out.append(np.multiply.accumulate(x))
+        return out
     if len(_powers[0]) < n:
         with np.errstate(over="ignore"):
             for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):

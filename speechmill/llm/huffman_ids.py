@@ -11,6 +11,8 @@ in ascending order, frames ascend within a shard.
 The counts behind the codes cover all documents. What the driver gets is bounded: one count per vocabulary id, and one
 token sum per shard.
 
+Special tokens that stand in a text get their ids, as the library does when it is loaded as it is.
+
 Defined results: null text is empty; an empty text has only the end id; rows with equal doc_id stand side by side, ordered by
 their ids; null doc_id sorts first; other columns are not read; empty input gives empty tables.
 """
@@ -33,6 +35,7 @@ from .common import kept, looked_up, map_batches, new_path, stored, texts
 BLOCK = 256
 FRAME = 1 << 18
 MAX_BITS = 20
+SHARD_BYTES = 64 << 20
 KEPT_CHUNKS = 1_000_000
 #: Words of these letters are one piece in themselves, and composed already.
 #: ASCII marks after them, but for the apostrophe, are pieces of their own.
@@ -52,7 +55,6 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         #: two bytes an id where the vocabulary allows
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
@@ -230,7 +232,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, shards:
     bits = code_lengths(counts["n"].to_numpy(np.int64))
     spark.createDataFrame([(int(i), int(b)) for i, b in zip(counts["id"], bits, strict=True)], "id long, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     made = (counts["id"].to_numpy(np.int64), bits)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # enough shards that a task sorts about SHARD_BYTES
+    size = int(counts["n"].sum()) * np.dtype(kind).itemsize
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, frame, width = Codebook(*made), 0, np.dtype(kind).itemsize

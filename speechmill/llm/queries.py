@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..ship import ship
 from . import audio_features, backoff_lm, byte_bpe, huffman_ids, jaccard_join, license_scan, mixing, stream_dedup, toxicity, url_filter
@@ -47,7 +48,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_lm.score(table(spark, sf_dir, "documents"))
+    found = backoff_lm.score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", (F.round("log_score", 4) + F.lit(0.0)).alias("log_score"), F.round("mean_log_score", 4).alias("mean_log_score"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +76,7 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
 FROM n""",
     "op4_mixing": mixing.oracle(),
+    "op9_backoff_lm": backoff_lm.oracle(),
     "op2_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]

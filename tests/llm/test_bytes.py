@@ -14,18 +14,18 @@ from speechmill.llm import huffman_ids as H
 
 TEXTS = [
     "", None, " ", "  ", "a", "Hello, world!  Two  spaces\n\n new\tline ", "naïve café — “quotes” don't 123 4567", " x　y   z", "日本語 テキスト हिन्दी",
-    "a  b   c\n d \n  e", "x" * 3000, "word " * 2000, "İSTANBUL ΟΔΟΣ é ́", "<|endoftext|> <|startoftext|>", "\x1c\x1d a\x85b\x0b c", "Hello, world!  Two  spaces\n\n new\tline ",
+    "a  b   c\n d \n  e", "x" * 3000, "word " * 2000, "İSTANBUL ΟΔΟΣ é ́", "<|endoftext|> <|startoftext|>", "a<|endoftext|>b word<|startoftext|> x <|ENDOFTEXT|>", "\x1c\x1d a\x85b\x0b c", "Hello, world!  Two  spaces\n\n new\tline ",
 ]
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i * 3 % 17, t, "en", "ids-clash", 1, 2) for i, t in enumerate(TEXTS)] + [(None, "no id here", None, None, None, None)]
+    rows = [(i * 5 % 19, t, "en", "ids-clash", 1, 2) for i, t in enumerate(TEXTS)] + [(None, "no id here", None, None, None, None)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, ids string, n_tokens int, id int")
 
 
 def whole():
-    return [(i * 3 % 17, t or "") for i, t in enumerate(TEXTS)] + [(None, "no id here")]
+    return [(i * 5 % 19, t or "") for i, t in enumerate(TEXTS)] + [(None, "no id here")]
 
 
 def test_byte_bpe_equals_library(spark, docs):
@@ -59,6 +59,13 @@ def test_replay_order_with_lower_ranks_made_late():
     assert [np.frombuffer(x, "<u4").tolist() for x in B.replay(pieces, B.Ranks(ranks))] == [plain(p) for p in pieces]
 
 
+def test_parts_of_any_size_give_the_same_ids():
+    e = B.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    texts = [t or "" for t in TEXTS]
+    assert e.encode(texts) == [e.encode([t])[0] for t in texts]
+    assert [e.decode(x).decode() for x in e.encode(texts)] == texts
+
+
 def test_byte_bpe_real_rows(spark):
     import tiktoken
 
@@ -75,7 +82,6 @@ def test_huffman_files_hold_the_ids(spark, docs):
 
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rows = [(d, np.array(tok.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes()) for d, t in whole()]
     rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     want, start = [], 0
@@ -91,7 +97,6 @@ def test_huffman_real_rows(spark):
 
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     start, want = 0, []
     for r in sorted(docs.collect(), key=lambda r: r.doc_id):
