@@ -85,8 +85,18 @@ def replay(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
     start = dict(zip(merges.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(at)]), strict=True))
     places: dict[int, list[int]] = {r: [] for r in start}
     heap = merges.tolist()
+    # the merge of the pair that begins at each position, -1 for none: tells which entries of the index still hold
+    due = array("i", np.append(made, -1).astype(np.int32).tobytes())
     del made, which
 
+    def wait(merge: int, i: int) -> None:
+        found = places.get(merge)
+        if found is None:
+            heapq.heappush(heap, merge)
+            places[merge] = [i]
+        else:
+            found.append(i)
+
     while heap:
         r = heapq.heappop(heap)
         here = places.pop(r)
@@ -94,40 +104,31 @@ def replay(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
             a, b = start.pop(r)
             here += at[a:b].tolist()
         here.sort()
-        waiting, later = set(), []
+        waiting, later, r_step = set(), [], r * step
         for i in here:
-            j = right[i]
-            if pair(symbols[i] * step + symbols[j]) != r:
+            if due[i] != r:
                 continue  # one of the two has been merged meanwhile
             if waiting and bisect.bisect_left(ends, i) in waiting:
                 later.append(i)
                 continue
-            symbols[i], symbols[j] = r, gone
+            j = right[i]
             after, before = right[j], left[i]
+            symbols[i], symbols[j], due[j] = r, gone, -1
             right[i] = after
             left[after] = i
-            s = pair(r * step + symbols[after])
-            if s is not None:
-                if s not in places:
-                    heapq.heappush(heap, s)
-                    places[s] = []
-                places[s].append(i)
+            due[i] = s = pair(r_step + symbols[after], -1)
+            if s >= 0:
+                wait(s, i)
                 if s < r:
                     waiting.add(bisect.bisect_left(ends, i))
             if before >= 0:
-                s = pair(symbols[before] * step + r)
-                if s is not None:
-                    if s not in places:
-                        heapq.heappush(heap, s)
-                        places[s] = []
-                    places[s].append(before)
+                due[before] = s = pair(symbols[before] * step + r, -1)
+                if s >= 0:
+                    wait(s, before)
                     if s < r:
                         waiting.add(bisect.bisect_left(ends, i))
-        if later:
-            if r not in places:
-                heapq.heappush(heap, r)
-                places[r] = []
-            places[r].extend(later)
+        for i in later:
+            wait(r, i)
 
     row = np.frombuffer(symbols, np.int32)
     ids = row[row < gap].astype("<u4").tobytes()
