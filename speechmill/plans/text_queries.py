@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as T
 from ..functions import text as X
 from ..operators import lm, translate
+from . import text_sql as Q
 from .registry import query, rounded, table
 
 _TURN = ("conv_id", "turn")
@@ -63,32 +64,32 @@ def nagari(text: Column) -> Column:
     return F.translate(F.lower(text), _ROMAN, _NAGARI)
 
 
-_NAGARI_SQL = f"translate(lower(substring(text, 1, 200)), '{_ROMAN}', '{_NAGARI}')"
-_each("x8_hindi_to_ipa", lambda t: X.hindi_to_ipa(nagari(t)), None)
-_each("x9_hindi_rules", lambda t: X.hindi_rules(F.regexp_replace(F.substring(t, 1, 100), "e", "ə")), r"regexp_replace(regexp_replace(replace(substring(text, 1, 100), 'e', 'ə'), 'ə$', ''), 'ə([aːɪiʊueɛoɔæ])', '\1', 'g')")
-_each("x10_english_to_ipa", lambda t: F.array_join(F.transform(X.lm_tokens(t), X.english_to_ipa), " "), None)
-_each("x11_squash", lambda t: X.squash(F.regexp_replace(F.lower(t), "[aeiou]", "aa")), None)
+_NAGARI_SQL = f"translate(lower(text), '{_ROMAN}', '{_NAGARI}')"
+_each("x8_hindi_to_ipa", lambda t: X.hindi_to_ipa(nagari(t)), Q.hindi_to_ipa(_NAGARI_SQL))
+_each("x9_hindi_rules", lambda t: X.hindi_rules(F.regexp_replace(t, "e", "ə")), Q.hindi_rules("replace(text, 'e', 'ə')"))
+_each("x10_english_to_ipa", lambda t: F.array_join(F.transform(X.lm_tokens(t), X.english_to_ipa), " "), Q.joined(f"list_transform({_lm('text')}, lambda w: {Q.english_to_ipa('w')})", " "))
+_each("x11_squash", lambda t: X.squash(F.regexp_replace(F.lower(t), "[aeiou]", "aa")), Q.squash("regexp_replace(lower(text), '[aeiou]', 'aa', 'g')"))
 _each("x12_arpabet", lambda t: X.arpabet_to_ipa(F.transform(F.filter(X.lm_tokens(t), lambda w: F.length(w) <= 2), lambda w: F.concat(F.upper(w), F.lit("1")))),
       f"array_to_string(list_transform(list_filter({_lm('text')}, lambda w: length(w) <= 2), lambda w: coalesce({_sql_map(T.ARPABET)}[regexp_replace(upper(w) || '1', '[0-9]', '', 'g')], '?')), '')")
 _TIGHT = r"trim(regexp_replace(regexp_replace(regexp_replace({}, '\s+([,.;:!?])', '\1', 'g'), '\s+\|\s+', ' | ', 'g'), '\s{{2,}}', ' ', 'g'))"
 _each("x13_join_ipa", lambda t: X.join_ipa(X.hinglish_tokens(t)), _TIGHT.format(f"array_to_string({_TOK}, ' ')"))
-_each("x14_text_to_ipa", X.text_to_ipa, None)
-_each("x16_translate", lambda t: translate.translated(t, T.SAMPLE_LEXICON), None)
-_each("x17_transliterate", lambda t: F.array_join(F.transform(X.lm_tokens(t), X.transliterate), " "), None)
-_each("x19_ipa_to_gujarati", lambda t: F.array_join(F.transform(X.hinglish_tokens(t), lambda w: X.ipa_to_gujarati(X.text_to_ipa(w, " "))), ""), None)
-_each("x20_latin_to_gujarati", lambda t: F.array_join(F.transform(X.lm_tokens(t), X.latin_to_gujarati), " "), None)
+_each("x14_text_to_ipa", X.text_to_ipa, Q.text_to_ipa("text"))
+_each("x16_translate", lambda t: translate.translated(t, T.SAMPLE_LEXICON), Q.translated("text", T.SAMPLE_LEXICON))
+_each("x17_transliterate", lambda t: F.array_join(F.transform(X.lm_tokens(t), X.transliterate), " "), Q.joined(f"list_transform({_lm('text')}, lambda w: {Q.transliterate('w')})", " "))
+_each("x19_ipa_to_gujarati", lambda t: F.array_join(F.transform(X.hinglish_tokens(t), lambda w: X.ipa_to_gujarati(X.text_to_ipa(w, " "))), ""), Q.joined(f"list_transform({_TOK}, lambda w: {Q.ipa_to_gujarati(Q.text_to_ipa('w', ' '))})"))
+_each("x20_latin_to_gujarati", lambda t: F.array_join(F.transform(X.lm_tokens(t), X.latin_to_gujarati), " "), Q.joined(f"list_transform({_lm('text')}, lambda w: {Q.latin_to_gujarati('w')})", " "))
 _drop = "".join(T.DROPPED)
-_each("x21_devanagari_to_gujarati", lambda t: X.devanagari_to_gujarati(nagari(F.substring(t, 1, 200))), f"translate({_NAGARI_SQL}, '{T.PARALLEL}{T.DROPPED}', '{T.GUJARATI_PARALLEL}')")
+_each("x21_devanagari_to_gujarati", lambda t: X.devanagari_to_gujarati(nagari(t)), Q.devanagari_to_gujarati(_NAGARI_SQL))
 _each("x22_gujarati_digits", lambda t: X.gujarati_digits(F.concat(t, F.lit(" 0123456789"))), f"translate(text || ' 0123456789', '0123456789', '{T.GUJARATI_DIGITS}')")
 _JOIN = rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(array_to_string({_TOK}, ' '), '\s+([,.;:!?])', '\1', 'g'), '\(\s+', '(', 'g'), '\s+\)', ')', 'g'), '\s{{2,}}', ' ', 'g'))"
 _each("x23_join_tokens", lambda t: X.join_tokens(X.hinglish_tokens(t)), _JOIN)
-_each("x25_speech_chunks", lambda t: _joined(X.speech_chunks(t)), None)
+_each("x25_speech_chunks", lambda t: _joined(X.speech_chunks(t)), Q.speech_chunks("text"))
 _each("x26_speakable", X.speakable, f"regexp_matches(text, '[A-Za-z0-9{T.DEVANAGARI}]')")
 _n = lambda cls: f"length(regexp_replace(text, '[^{cls}]', '', 'g'))"
 _SCRIPT = f"CASE WHEN greatest({_n(T.GUJARATI)}, {_n(T.DEVANAGARI)}, {_n('A-Za-z')}) = 0 THEN 'unknown' WHEN {_n(T.GUJARATI)} >= greatest({_n(T.DEVANAGARI)}, {_n('A-Za-z')}) THEN 'gujarati' WHEN {_n(T.DEVANAGARI)} >= {_n('A-Za-z')} THEN 'devanagari' ELSE 'latin' END"
 _each("r12_dominant_script", X.dominant_script, _SCRIPT)
 _each("x27_speech_model", lambda t: X.speech_model(t, F.element_at(F.array(F.lit("hi"), F.lit("xx"), F.lit(None)), (F.col("turn") % 3 + 1).cast("int"))), f"CASE {_SCRIPT} WHEN 'gujarati' THEN 'guj' WHEN 'devanagari' THEN 'hin' ELSE CASE turn % 3 WHEN 0 THEN 'hin' ELSE 'eng' END END")
-_each("a7_language_switches", lambda t: F.size(F.split(X.text_to_ipa(t), r"\|")) - 1, None)
+_each("a7_language_switches", lambda t: F.size(F.split(X.text_to_ipa(t), r"\|")) - 1, Q.let("ipa", Q.text_to_ipa("text"), "CAST(length(ipa) - length(replace(ipa, '|', '')) AS INTEGER)"))
 _each("j3_in_dictionary", lambda t: F.size(F.filter(X.lm_tokens(t), lambda w: w.isin([*T.LOANWORDS, *T.OVERRIDES, *T.PRONUNCIATIONS]))), f"CAST(len(list_filter({_lm('text')}, lambda w: w IN ({_in([*T.LOANWORDS, *T.OVERRIDES, *T.PRONUNCIATIONS])}))) AS INTEGER)")
 
 
