@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import align, decode, intervals, scoring, segments, spectral
+from . import align_sql as A
 from .registry import FRAMES, frames, query, rounded, run_sql, table
 
 def _times(df: DataFrame, *more: str) -> DataFrame:
@@ -332,16 +333,14 @@ def pairs(spark, sf_dir) -> DataFrame:
     return rows.select(F.col("vec_id").alias("pair_id"), F.col("x").alias("a"), after.alias("b")).where("b is not null")
 
 
-_PAIRS = "pairs AS (SELECT * FROM (SELECT vec_id AS pair_id, list_transform(embedding, lambda v: v::DOUBLE)[1:12] AS a, list_transform(lead(embedding) OVER (PARTITION BY label ORDER BY vec_id), lambda v: v::DOUBLE)[1:8] AS b FROM embeddings) WHERE b IS NOT NULL)"
+_WHOLE = "pairs AS (SELECT * FROM (SELECT vec_id AS pair_id, list_transform(embedding, lambda v: v::DOUBLE) AS a, list_transform(lead(embedding) OVER (PARTITION BY label ORDER BY vec_id), lambda v: v::DOUBLE) AS b FROM embeddings) WHERE b IS NOT NULL)"
 
 
-@query("j7_pairwise_distances", f"WITH {_PAIRS}, l AS (SELECT *, unnest(range(12)) AS i FROM pairs) SELECT pair_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(abs(a[i + 1] - b[j + 1]), 6) + 0.0::DOUBLE AS d FROM (SELECT *, unnest(range(8)) AS j FROM l)")
+@query("j7_pairwise_distances", f"WITH {_WHOLE}, l AS (SELECT pair_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS x, b FROM pairs) SELECT pair_id, CAST(i - 1 AS INTEGER) AS i, count(*) AS n, round(min(d), 6) + 0.0::DOUBLE AS nearest, round(max(d), 6) AS farthest, round(sum(d), 5) AS total FROM (SELECT pair_id, i, unnest(list_transform(b, lambda y: abs(x - y))) AS d FROM l) GROUP BY pair_id, i")
 def pairwise_distances(spark, sf_dir):
-    heads = pairs(spark, sf_dir).select("pair_id", F.slice("a", 1, 12).alias("a"), F.slice("b", 1, 8).alias("b"))
-    return align.pairwise_distances(heads).select("pair_id", "i", "j", rounded("d").alias("d"))
-
-
-_WHOLE = "pairs AS (SELECT * FROM (SELECT vec_id AS pair_id, list_transform(embedding, lambda v: v::DOUBLE) AS a, list_transform(lead(embedding) OVER (PARTITION BY label ORDER BY vec_id), lambda v: v::DOUBLE) AS b FROM embeddings) WHERE b IS NOT NULL)"
+    """All distances of each pair, summed up for each place of its first signal."""
+    rows = align.pairwise_distances(pairs(spark, sf_dir)).groupBy("pair_id", "i")
+    return rows.agg(F.count("*").alias("n"), rounded(F.min("d")).alias("nearest"), F.round(F.max("d"), 6).alias("farthest"), F.round(F.sum("d"), 5).alias("total"))
 
 
 @query(
@@ -360,7 +359,10 @@ def _paths(spark, sf_dir) -> DataFrame:
     return align.dtw_paths(pairs(spark, sf_dir).select("pair_id", two("a").alias("a"), two("b").alias("b")))
 
 
-@query("m1_dtw_path")
+_SQUARES = A.paths("sqrt((x - y) * (x - y) + (x * x - y * y) * (x * x - y * y))")
+
+
+@query("m1_dtw_path", f"WITH {_WHOLE}, {_SQUARES} {A.steps()}")
 def dtw_path(spark, sf_dir):
     return _paths(spark, sf_dir).select("pair_id", F.posexplode("path").alias("step", "p")).select("pair_id", "step", "p.i", "p.j")
 
@@ -376,11 +378,11 @@ def distortion(spark, sf_dir):
     return align.mel_cepstral_distortion(align.dtw_paths(both.select(F.col("vec_id").alias("pair_id"), "a", "b")))
 
 
-@query("j8_m13_warped_curve")
+@query("j8_m13_warped_curve", f"WITH {_WHOLE}, {_SQUARES} SELECT pair_id, CAST(p[2] - 1 AS INTEGER) AS j, round(avg(a[p[1]]), 6) + 0.0::DOUBLE AS v FROM (SELECT pair_id, a, unnest(path) AS p FROM paths) GROUP BY pair_id, p[2]")
 def warped_curve(spark, sf_dir):
     curve = pairs(spark, sf_dir).select("pair_id", F.posexplode("a").alias("i", "v"))
     n = pairs(spark, sf_dir).select("pair_id", F.size("b").alias("n"))
-    return align.warped_curve(_paths(spark, sf_dir), curve, n)
+    return align.warped_curve(_paths(spark, sf_dir), curve, n).select("pair_id", "j", rounded("v").alias("v"))
 
 
 #: Scores of tokens: events of a user are hypotheses, kinds of events tokens.

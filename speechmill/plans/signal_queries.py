@@ -53,8 +53,8 @@ _one("p23_epsilon_for_snr", lambda x: S.epsilon_for_snr(x, 0.05, 20.0), "least(0
 _long("w2_overlapping_chunks", lambda x: F.flatten(S.chunks(x, 24, 8)), "flatten(list_transform(range(0, n - 24 + 1, 8), lambda a: x[a + 1:a + 24]))")
 _long("w3_frame_powers", lambda x: S.frame_powers(x, 8), "list_transform(range(0, n - 8, 8), lambda a: list_sum(list_transform(x[a + 1:a + 8], lambda v: v * v)) / 8)")
 _long("w4_centred_rms", lambda x: S.centred_rms(x, 16, 8), "list_transform(range(0, n + 1, 8), lambda a: sqrt(list_sum(list_transform(x[greatest(1, a - 7):least(n, a + 8)], lambda v: v * v)) / 16))")
-_long("w6_sample_curve", lambda x: S.sample_curve(F.slice(x, 1, 8), F.lit(70), 8), "list_transform(range(70), lambda i: x[least(i // 8, 7) + 1] + (x[least(i // 8 + 1, 7) + 1] - x[least(i // 8, 7) + 1]) * (i / 8.0::DOUBLE - i // 8))")
-_long("w7_join_with_gaps", lambda x: S.joined(F.array(F.slice(x, 1, 10), F.slice(x, 11, 6)), 4), "x[1:10] || [0, 0, 0, 0]::DOUBLE[] || x[11:16]")
+_long("w6_sample_curve", lambda x: S.sample_curve(x, F.size(x) * 8 + 6, 8), "list_transform(range(n * 8 + 6), lambda i: x[least(i // 8, n - 1) + 1] + (x[least(i // 8 + 1, n - 1) + 1] - x[least(i // 8, n - 1) + 1]) * (i / 8.0::DOUBLE - i // 8))")
+_long("w7_join_with_gaps", lambda x: S.joined(F.array(F.slice(x, 1, 40), F.slice(x, 41, F.size(x))), 4), "x[1:40] || [0, 0, 0, 0]::DOUBLE[] || x[41:]")
 _long("m7_dct_ii", lambda x: S.dct_ii(x, 20), "list_transform(range(20), lambda k: list_sum(list_transform(x, lambda v, i: v * cos(3.141592653589793::DOUBLE * k * (i * 2 - 1) / (n * 2)))) * sqrt(CASE WHEN k = 0 THEN 1.0::DOUBLE / n ELSE 2.0::DOUBLE / n END))")
 _one("l10_least_flipping_step", lambda x: S.sign_steps(x, F.transform(x, lambda v, i: F.when(i % 2 == 0, 0.5).otherwise(-0.25)), 1.0, 0.0, F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: k * F.lit(0.005))),
      "list_min(list_filter(list_transform(range(1, 41), lambda k: k * 0.005::DOUBLE), lambda s: list_sum(list_transform(x, lambda v, i: v * CASE WHEN i % 2 = 1 THEN 0.5::DOUBLE ELSE -0.25::DOUBLE END)) + 1 - s * 24 < 0))")

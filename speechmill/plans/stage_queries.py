@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signal as S
+from ..functions import tables as T
 from ..operators import detect, lm, prosody, spectral, transcribe, translate
 from ..shared import new_path
 from ..sources import audio, tables
+from . import align_sql as A
 from .registry import FRAMES, SIGNALS, frames, query, rounded, run_sql, signals, table
+from .segment_queries import _WHOLE as PAIRS
 from .segment_queries import RAW, _SCORED, _TURNS, raw_runs, scored, turns
 from .text_queries import _ROWS, _SENT, _lm
 
@@ -103,7 +106,7 @@ def dump(spark, sf_dir):
     return turns(spark, sf_dir).select("utt_id", "seg_id", tables.dump(F.col("text"), F.col("end"), F.array(word)).alias("dump"))
 
 
-@query("p15_class_labels")
+@query("p15_class_labels", f"SELECT CAST(k - 1 AS INTEGER) AS idx, codes[k] AS label FROM (SELECT codes, unnest(range(1, len(codes) + 1)) AS k FROM (SELECT string_split('{' '.join(T.CLASS_CODES)}', ' ') AS codes))")
 def class_labels(spark, sf_dir):
     return translate.class_labels(spark)
 
@@ -140,7 +143,14 @@ def train_lines(spark, sf_dir):
     return lm.unigrams(lm.train_lines(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")))
 
 
-@query("m23_decoder_tables")
+_TRAIN = f"s AS (SELECT unnest({_SENT}) AS line FROM benchmark UNION ALL SELECT trim(unnest(string_split(text, chr(10)))) FROM benchmark), g AS (SELECT word, count(*) AS cnt FROM (SELECT unnest({_lm('line')}) AS word FROM s) GROUP BY word), v AS (SELECT sum(cnt) AS total, count(*) AS kinds FROM g)"
+
+
+@query(
+    "m23_decoder_tables",
+    f"WITH {_TRAIN}, e AS (SELECT item_id * 1000 + pos AS token_id, trim(lower(ws[pos + 1])) AS word FROM (SELECT item_id, ws, unnest(range(len(ws))) AS pos FROM (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark))) "
+    "SELECT token_id, word, round(1.5::DOUBLE * greatest(ln((cnt + 1) / (total + kinds)), -10), 6) AS bias FROM e JOIN g USING (word) CROSS JOIN v WHERE word <> '' AND word NOT LIKE '<%'",
+)
 def decoder_tables(spark, sf_dir):
     corpus = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     vocabulary = corpus.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "token")).select((F.col("doc_id") * 1000 + F.col("pos")).alias("token_id"), "token")
@@ -172,7 +182,26 @@ def _prosody(spark, sf_dir) -> DataFrame:
     return both.select(F.col("vec_id").alias("pair_id"), half("x", 0).alias("f0_a"), half("x", 1).alias("energy_a"), half("y", 0).alias("f0_b"), half("y", 1).alias("energy_b"), F.transform("y", lambda v: v / 4).alias("x"))
 
 
-@query("m2_prosody_paths")
+def _half(c: str, k: int) -> str:
+    return f"list_transform({c}[{32 * k + 1}:{32 * k + 32}], lambda v: abs(v) * {200 if k == 0 else 1})"
+
+
+def _standard(values: str) -> str:
+    """Mean 0 and deviation 1; a constant gives 0."""
+    less = f"list_transform([{values}], lambda w: list_transform([{A.total('w')} / len(w)], lambda m: list_transform(w, lambda v: v - m))[1])[1]"
+    return f"list_transform([{less}], lambda w: list_transform([sqrt({A.total('list_transform(w, lambda v: v * v)')} / len(w))], lambda d: list_transform(w, lambda v: CASE WHEN d < 1e-8 THEN 0 ELSE v / d END))[1])[1]"
+
+
+def _prosody_frames(c: str) -> str:
+    pitch = _standard(f"list_transform({_half(c, 0)}, lambda v: CASE WHEN v > 1 THEN ln(v + 1e-6) ELSE 0 END)")
+    return f"list_transform(list_zip({pitch}, {_standard(_half(c, 1))}), lambda z: [z[1], z[2]])"
+
+
+_PROSODY = f"""{PAIRS}, pairs_p AS MATERIALIZED (SELECT pair_id, a AS x, b AS y, {_prosody_frames('a')} AS a, {_prosody_frames('b')} AS b FROM pairs),
+{A.paths("sqrt((x[1] - y[1]) * (x[1] - y[1]) + (x[2] - y[2]) * (x[2] - y[2]))", "pairs_p")}"""
+
+
+@query("m2_prosody_paths", f"WITH {_PROSODY} {A.steps()}")
 def prosody_paths(spark, sf_dir):
     return prosody.prosody_paths(_prosody(spark, sf_dir)).select("pair_id", F.posexplode("path").alias("step", "p")).select("pair_id", "step", "p.i", "p.j")
 
