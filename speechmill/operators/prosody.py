@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signal
-from .align import dtw_paths, warped_curve
+from .align import dtw_paths
+from .segments import forward_filled
 
 
 def _less(mean: str):
@@ -44,15 +45,15 @@ def mapped_prosody(pairs: DataFrame, hop: int) -> DataFrame:
 
     The pitch of the samples stays: there is no vocoder.
     """
-    paths = prosody_paths(pairs)
-    n = pairs.select("pair_id", F.size("f0_b").alias("n"))
-    curves = None
+    rows = prosody_paths(pairs).select("pair_id", "path").join(pairs.select("pair_id", "f0_a", "energy_a"), "pair_id")
+    steps = rows.select("pair_id", "f0_a", "energy_a", F.explode("path").alias("p")).select("pair_id", "p.j", F.get("f0_a", "p.i").alias("f0"), F.get("energy_a", "p.i").alias("energy"))
+    curves = steps.groupBy("pair_id", "j").agg(F.avg("f0").alias("f0"), F.avg("energy").alias("energy"))  # a path meets every frame of b
     for name in ("f0", "energy"):
-        curve = pairs.select("pair_id", F.posexplode(f"{name}_a").alias("i", "v"))
-        warped = warped_curve(paths, curve, n).groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias(name))  # the frames of one utterance
-        curves = warped if curves is None else curves.join(warped, "pair_id")
-    rows = pairs.select("pair_id", "energy_b", "x").join(curves, "pair_id")
-    gain = F.zip_with("energy", "energy_b", lambda a, b: a / F.greatest(b, F.lit(1e-6)))
-    each = signal.sample_curve(gain, F.size("x"), hop)
+        curves = forward_filled(curves, name, "j", "pair_id").drop(name).withColumnRenamed("filled", name)
+    curves = curves.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("j", "f0", "energy"))).alias("frames"))  # the frames of one utterance
+    rows = pairs.select("pair_id", "energy_b", "x").join(curves.select("pair_id", "frames.f0", "frames.energy"), "pair_id")
+    # a column first, so that the lambda doesn't work it out again for each sample
+    rows = rows.withColumn("gain", F.zip_with("energy", "energy_b", lambda a, b: a / F.greatest(b, F.lit(1e-6))))
+    each = signal.sample_curve(F.col("gain"), F.size("x"), hop)
     held = F.zip_with("x", each, lambda v, g: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v * g)))
     return rows.select("pair_id", F.transform("f0", lambda v: F.when(v > 1, v).otherwise(0.0)).alias("f0"), "energy", held.alias("x"))

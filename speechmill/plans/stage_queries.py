@@ -206,9 +206,22 @@ def prosody_paths(spark, sf_dir):
     return prosody.prosody_paths(_prosody(spark, sf_dir)).select("pair_id", F.posexplode("path").alias("step", "p")).select("pair_id", "step", "p.i", "p.j")
 
 
-@query("m13_mapped_prosody")
+_GAINED = f"""{_PROSODY}, warped AS (SELECT pair_id, p[2] AS j, avg(f0[p[1]]) AS f0, avg(energy[p[1]]) AS energy FROM (SELECT pair_id, {_half('pairs.a', 0)} AS f0, {_half('pairs.a', 1)} AS energy, unnest(path) AS p FROM paths JOIN pairs USING (pair_id)) GROUP BY pair_id, p[2]),
+curves AS (SELECT pair_id, list(f0 ORDER BY j) AS f0, list(energy ORDER BY j) AS energy FROM warped GROUP BY pair_id),
+gains AS (SELECT pair_id, b, f0, energy, list_transform(energy, lambda e, j: e / greatest(abs(b[32 + j]), 1e-6)) AS g FROM curves JOIN pairs USING (pair_id)),
+samples AS (SELECT *, i // 2 AS k, least(i // 2 + 1, 31) AS after FROM (SELECT *, unnest(range(len(b))) AS i FROM gains))"""
+
+
+@query(
+    "m13_mapped_prosody",
+    f"WITH {_GAINED} SELECT pair_id, CAST(i AS INTEGER) AS i, round(CASE WHEN f0[k + 1] > 1 THEN f0[k + 1] ELSE 0 END, 6) AS f0, round(energy[k + 1], 6) AS energy, "
+    "round(greatest(-1::DOUBLE, least(1::DOUBLE, b[i + 1] / 4 * (g[k + 1] + (g[after + 1] - g[k + 1]) * (i / 2.0::DOUBLE - k)))), 6) + 0.0::DOUBLE AS v FROM samples",
+)
 def mapped_prosody(spark, sf_dir):
-    return prosody.mapped_prosody(_prosody(spark, sf_dir), 2)
+    """Each sample with the pitch and energy of its frame of two samples."""
+    rows = prosody.mapped_prosody(_prosody(spark, sf_dir), 2).select("pair_id", "f0", "energy", F.posexplode("x").alias("i", "v"))
+    at = lambda c: F.round(F.get(c, F.floor(F.col("i") / 2).cast("int")), 6).alias(c)
+    return rows.select("pair_id", "i", at("f0"), at("energy"), rounded("v").alias("v"))
 
 
 def _labelled(spark, sf_dir) -> DataFrame:
