@@ -238,13 +238,3 @@ def shingle_sets(batch: list[str], n: int = 5) -> list[np.ndarray]:
 
 def shingle_set(text: str, n: int = 5) -> np.ndarray:
     return shingle_sets([text], n)[0]
-
-
-def looked_up(cut: list[list], known: dict, learn: Callable[[list], dict], limit: int) -> list[list]:
-    """Each entry's value: from `known`, else from learn() of all that are new; `known` takes these up to its limit."""
-    found = [list(map(known.get, x)) for x in cut]
-    new = {c for x, got in zip(cut, found, strict=True) if None in got for c, v in zip(x, got, strict=True) if v is None}
-    own = learn(list(new)) if new else {}
-    if len(known) < limit:
-        known |= own
-    return [[own[c] if v is None else v for c, v in zip(x, got, strict=True)] if None in got else got for x, got in zip(cut, found, strict=True)]

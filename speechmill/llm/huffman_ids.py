@@ -20,26 +20,28 @@ their ids; null doc_id sorts first; other columns are not read; empty input give
 from __future__ import annotations
 
 import os
-import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, looked_up, map_batches, new_path, stored, texts
+from .common import kept, map_batches, new_path, stored
 
 BLOCK = 256
 FRAME = 1 << 18
 MAX_BITS = 20
 SHARD_BYTES = 64 << 20
 KEPT_CHUNKS = 1_000_000
+#: Text whose chunks are looked up together.
+PART_BYTES = 8 << 20
 #: Words of these letters are one piece in themselves, and composed already.
 #: ASCII marks after them, but for the apostrophe, are pieces of their own.
-WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+WORD = "^(?P<word>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
 PROBES = ("Word", "a", "Stra\u00dfe", "\u00c9t\u00e9", "Na\u00efve", "\u00d8RE", "\u00ffz", "Isn", "thTHth", "x" * 60, "word.", "a%%%", "\u00e9t\u00e9**!", "x-", "b]`")
 
 
@@ -63,48 +65,61 @@ class Words:
         self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
         # a tokenizer with another alphabet or other steps before its model takes the long way
         self.direct = True
-        self.direct = self.learn([x.encode() for x in PROBES]) == self._encoded(PROBES)
-
-    def _encoded(self, batch) -> dict[bytes, bytes]:
-        return {k.encode(): v for k, v in self._library(list(batch)).items()}
+        probes = [x.encode() for x in PROBES]
+        plain = self._library(probes)
+        self.direct = self.encode(pa.array(PROBES)) == [plain[c] for c in probes]
+        self.known.clear()
 
     @staticmethod
     def of(path: str) -> Words:
         return kept((Words, path), lambda: Words(path))
 
-    def _library(self, new: list[str]) -> dict[str, bytes]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+    def _library(self, new: list[bytes]) -> dict[bytes, bytes]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)]
         flat = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
         stops = (np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) * np.dtype(self.kind).itemsize).tolist()
         return {c: flat[a:b] for c, a, b in zip(new, [0, *stops], stops)}
 
-    def _words(self, new: list[str]) -> dict[str, bytes]:
-        """Lower-cased words of WORD: straight to the library's model, in its alphabet of bytes."""
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        made = [array(self.code, [t.id for t in tokenize(c.encode().decode("latin-1").translate(letters))]).tobytes() for c in new]
-        return dict(zip(new, made, strict=True))
-
-    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """A word is lower-cased here, and the marks after it cut off: both leave the ids as they are and make more chunks alike."""
-        parts, words, rest = {}, set(), set()
-        for c in new:
-            text = c.decode()
-            found = WORD.fullmatch(text) if self.direct else None
-            if found:
-                own = (found[1].lower(), found[2]) if found[2] else (found[1].lower(),)
-                words.add(own[0])
-                rest.update(own[1:])
-            else:
-                own = (text,)
-                rest.add(text)
-            parts[c] = own
-        made = self._words(list(words)) | self._library(list(rest))
-        return {c: b"".join([made[p] for p in x]) for c, x in parts.items()}
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Ids of each text, packed as `kind`. The first KEPT_CHUNKS chunks a worker meets stay known."""
-        cut = [x.encode("utf-8", "replace").split() for x in batch]
-        return [b"".join(x) for x in looked_up(cut, self.known, self.learn, KEPT_CHUNKS)]
+    def _words(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Lower-cased words of WORD: straight to the library's model, in its alphabet of bytes, where ASCII letters stand for themselves."""
+        tokenize, letters, code = self.tokenizer.model.tokenize, self.letters, self.code
+        spelt = [c.decode() if c.isascii() else c.decode("latin-1").translate(letters) for c in new]
+        return {c: array(code, [t.id for t in tokenize(x)]).tobytes() for c, x in zip(new, spelt, strict=True)}
+
+    def _looked_up(self, values: pa.Array, learn: Callable[[list[bytes]], dict[bytes, bytes]]) -> pa.Array:
+        """Ids of each value, null of a null. The first KEPT_CHUNKS values a worker meets stay known, others for one call."""
+        cut, known = values.dictionary_encode(), self.known
+        keys = cut.dictionary.cast(pa.large_binary()).to_pylist()
+        new = [k for k in keys if k not in known]
+        own = learn(new) if new else {}
+        known |= own
+        ids = pa.array([known[k] for k in keys], pa.large_binary()).take(cut.indices)
+        if len(known) > KEPT_CHUNKS:
+            for k in own:
+                del known[k]
+        return ids
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text, packed as `kind`.
+
+        Distinct chunks are cut into a word and the marks after it, and the word is lower-cased: both leave the ids as they are and
+        make more chunks alike. All this is done on Arrow arrays; only distinct words, marks and other chunks become Python objects.
+        """
+        lists = pc.ascii_split_whitespace(pc.fill_null(column, "").cast(pa.large_string()))
+        cut = lists.flatten().dictionary_encode()
+        other, ids = cut.dictionary, None
+        if self.direct:
+            parts = pc.extract_regex(other, WORD)
+            word, marks = pc.utf8_lower(pc.struct_field(parts, "word")), pc.struct_field(parts, "marks")
+            ids = pc.binary_join_element_wise(self._looked_up(word, self._words), self._looked_up(marks, self._library), pa.scalar(b"", pa.large_binary()))
+            other = pc.if_else(pc.is_null(parts), other, pa.scalar(None, pa.large_string()))
+        rest = self._looked_up(other, self._library)
+        ids = (rest if ids is None else pc.coalesce(ids, rest)).take(cut.indices)
+        stops = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        at = lists.offsets.to_numpy()
+        at = stops[at - at[0]].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        return [bytes(data[x:y]) for x, y in zip(at, at[1:], strict=False)]
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,12 +131,12 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
         words = Words.of(tokenizer_path)
 
         def step(b):
-            ids = [x + end for x in words.encode(texts(b))]
+            ids = [x + end for x in words.encode(b.column(1))]
             return {"doc_id": b.column(0), "n_tokens": [len(x) // kind.itemsize for x in ids], "ids": ids}
 
         return step
 
-    return map_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), make, "doc_id long, n_tokens long, ids binary")
+    return map_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), make, "doc_id long, n_tokens long, ids binary", part_bytes=PART_BYTES)
 
 
 def id_counts(tokens: DataFrame, kind: str) -> DataFrame:
