@@ -7,7 +7,7 @@
 Kept are n-grams of order 2 and more that occur MIN_COUNT times or more in the whole corpus, so a text isn't certain of what
 it alone says. Counts cover all documents.
 
-Relations.
+Relations. Counts and joins take one of PARTS ranges of hashes after another, whose shuffle files are deleted before the next.
 1. Count tables, partitioned by hash: the map step lists the distinct n-grams of a part of the documents with their counts and the hashes of their
    context (all words but the last) and their shorter n-gram (all but the first); a shuffle by the n-gram's hash sums them up.
 2. Weights: each count table joins the one of the next lower order twice, by context and by shorter n-gram. A word's log score is that of its
@@ -25,17 +25,21 @@ count; other columns are not read; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, located, map_batches, mix, stored, texts
+from .common import discard, hashed_words, located, map_batches, mix, stored, texts
 
 ORDER, ALPHA, MIN_COUNT, FLOOR = 3, 0.4, 2, 1e-12
 HOT_SHARE = 1e-5
 #: Text of a part whose n-grams are counted together before the shuffle.
 PART_BYTES = 8 << 20
+#: Ranges of hashes, taken one after another. Each reads all texts again and shuffles its own n-grams alone, so disk for shuffles is 1 / PARTS of one for all.
+PARTS = 8
 
 
 def ngram_hashes(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -58,110 +62,136 @@ def _back(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(min(1, len(x)), x.dtype), x[:-1]])
 
 
-def gram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """k, h, context, shorter, n: the distinct n-grams of each part of the documents."""
+def _in_range(h: np.ndarray, part: int, parts: int) -> np.ndarray:
+    return (h >> np.uint64(40)) % np.uint64(parts) == np.uint64(part)
+
+
+def gram_counts(docs: DataFrame, k: int, part: int, parts: int) -> DataFrame:
+    """h, context, shorter, n: the distinct k-grams of each part of the documents whose hash is in a range; no context and shorter of single words."""
 
     def make():
         def step(b):
             words, sizes = hashed_words(texts(b))
-            grams, place = ngram_hashes(words, sizes, order)
-            out = {"k": [], "h": [], "context": [], "shorter": [], "n": []}
-            for k, g in enumerate(grams, 1):
-                own = place >= k - 1
-                h, first, n = np.unique(g[own], return_index=True, return_counts=True)
-                zero = np.zeros(len(h), np.uint64)
-                out["k"].append(np.full(len(h), k, np.int32))
-                out["h"].append(h)
-                out["context"].append(_back(grams[k - 2])[own][first] if k > 1 else zero)
-                out["shorter"].append(grams[k - 2][own][first] if k > 1 else zero)
-                out["n"].append(n.astype(np.int64))
-            return {c: (x := np.concatenate(v)).view(np.int64) if c != "k" else np.concatenate(v) for c, v in out.items()}
+            grams, place = ngram_hashes(words, sizes, k)
+            own = np.flatnonzero((place >= k - 1) & _in_range(grams[-1], part, parts))
+            h, first, n = np.unique(grams[-1][own], return_index=True, return_counts=True)
+            at = own[first]
+            longer = {"context": grams[k - 2][at - 1].view(np.int64), "shorter": grams[k - 2][at].view(np.int64)} if k > 1 else {}
+            return {"h": h.view(np.int64), "n": n.astype(np.int64), **longer}
 
         return step
 
-    return map_batches(docs.select(docs["text"]), make, "k int, h long, context long, shorter long, n long", part_bytes=PART_BYTES)
+    return map_batches(docs.select(docs["text"]), make, "h long, n long" + (", context long, shorter long" if k > 1 else ""), part_bytes=PART_BYTES)
 
 
-def count_tables(docs: DataFrame, order: int, min_count: int) -> DataFrame:
-    """k, h, context, shorter, c: all words, and the longer n-grams that occur min_count times."""
-    grams = gram_counts(docs, order).groupBy("h").agg(F.first("k").alias("k"), F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.sum("n").alias("c"))
-    return grams.where((F.col("k") == 1) | (F.col("c") >= min_count))
+def counted(docs: DataFrame, k: int, min_count: int, parts: int) -> DataFrame:
+    """h, c, and for k > 1 context and shorter: all words, or the k-grams that occur min_count times. One range of hashes after another."""
+    ranges = []
+    for part in range(parts):
+        grams = gram_counts(docs, k, part, parts)
+        longer = [F.first(c).alias(c) for c in ("context", "shorter")] if k > 1 else []
+        found = grams.groupBy("h").agg(F.sum("n").alias("c"), *longer)
+        ranges.append(stored(found.where(F.col("c") >= min_count) if k > 1 else found, f"counts{k}"))
+    return reduce(DataFrame.unionByName, ranges)
 
 
-def weights(tables: DataFrame, n_words: int, order: int, alpha: float) -> DataFrame:
-    """h, c, w: what one occurrence of an n-gram adds to the log score."""
-    score = F.ln(F.greatest(F.col("c") / F.lit(float(max(1, n_words))), F.lit(FLOOR)))
-    below = tables.where("k = 1").select("h", "c", score.alias("s"))
+def weights(docs: DataFrame, order: int, alpha: float, min_count: int, parts: int) -> tuple[DataFrame, int]:
+    """h, c, w: what one occurrence of an n-gram adds to the log score; and the number of words."""
+    words = counted(docs, 1, 1, 1)
+    n_words = words.agg(F.sum("c")).first()[0] or 0
+    below = words.withColumn("s", F.ln(F.greatest(F.col("c") / F.lit(float(max(1, n_words))), F.lit(FLOOR))))
     out = below.select("h", "c", F.col("s").alias("w"))
     for k in range(2, order + 1):
-        own = tables.where(F.col("k") == k)
-        own = own.join(below.select(F.col("h").alias("context"), F.col("c").alias("context_c")), "context").withColumn("s", F.ln(F.col("c") / F.col("context_c")))
-        both = stored(own.join(below.select(F.col("h").alias("shorter"), F.col("s").alias("shorter_s")), "shorter").select("h", "c", "s", (F.col("s") - F.lit(float(np.log(alpha))) - F.col("shorter_s")).alias("w")), f"order{k}")
-        out, below = out.unionByName(both.select("h", "c", "w")), both.select("h", "c", "s")
-    return out
+        own = counted(docs, k, min_count, parts)
+        context = below.select(F.col("h").alias("context"), F.col("c").alias("context_c"))
+        scored = stored(own.join(context, "context").select("h", "c", "shorter", F.ln(F.col("c") / F.col("context_c")).alias("s")), f"scores{k}")
+        discard(own)
+        shorter = below.select(F.col("h").alias("shorter"), F.col("s").alias("shorter_s"))
+        both = stored(scored.join(shorter, "shorter").select("h", "c", "s", (F.col("s") - F.lit(float(np.log(alpha))) - F.col("shorter_s")).alias("w")), f"order{k}")
+        discard(scored)
+        out, below = out.unionByName(both.select("h", "c", "w")), both
+    return out, n_words
 
 
-def document_grams(docs: DataFrame, at: Column, order: int, alpha: float, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """file, row, h, n: the distinct n-grams of each document but the hot ones; and one row more for it (n = 0) with doc_id, n_tokens and base, the score so far."""
-    sent = docs.sparkSession.sparkContext.broadcast(hot)  # at most order / HOT_SHARE entries
+def _hot_places(h: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each hash its place in the sorted table of hot ones, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    where = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return where, known[where] == h
+
+
+def document_bases(rows: DataFrame, order: int, alpha: float, hot: Broadcast) -> DataFrame:
+    """file, row, doc_id, n_tokens, base: a row for each document with what hot n-grams and room for longer ones add to its score."""
 
     def make():
-        known, weight = sent.value
+        known, weight = hot.value
 
         def step(b):
             words, sizes = hashed_words(texts(b))
             grams, place = ngram_hashes(words, sizes, order)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             base = np.zeros(len(sizes))
-            hs, owners, counts = [], [], []
             for k, g in enumerate(grams, 1):
                 own = place >= k - 1
                 h, o = g[own], owner[own]
                 if k > 1:
                     base += np.bincount(o, minlength=len(sizes)) * np.log(alpha)
+                where, held = _hot_places(h, known)
                 if len(known):
-                    where = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    held = known[where] == h
                     base += np.bincount(o[held], weights=weight[where[held]], minlength=len(sizes))
-                    h, o = h[~held], o[~held]
-                order_ = np.lexsort((h, o))
-                h, o = h[order_], o[order_]
-                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])]) if len(h) else np.zeros(0, np.int64)
-                hs.append(h[first])
-                owners.append(o[first])
-                counts.append(np.diff(np.r_[first, len(h)]))
-            h, o, n = np.concatenate(hs), np.concatenate(owners), np.concatenate(counts)
+            return {"file": b.column(1), "row": b.column(2), "doc_id": b.column(0), "n_tokens": sizes.astype(np.int64), "base": base}
+
+        return step
+
+    return map_batches(rows, make, "file long, row long, doc_id long, n_tokens long, base double")
+
+
+def document_grams(rows: DataFrame, order: int, hot: Broadcast, part: int, parts: int) -> DataFrame:
+    """file, row, h, n: the distinct n-grams of each document whose hash is in a range, but the hot ones."""
+
+    def make():
+        known, _ = hot.value
+
+        def step(b):
+            words, sizes = hashed_words(texts(b))
+            grams, place = ngram_hashes(words, sizes, order)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            hs, owners = [], []
+            for k, g in enumerate(grams, 1):
+                own = np.flatnonzero((place >= k - 1) & _in_range(g, part, parts))
+                own = own[~_hot_places(g[own], known)[1]]
+                hs.append(g[own])
+                owners.append(owner[own])
+            h, o = np.concatenate(hs), np.concatenate(owners)
+            sort = np.lexsort((h, o))
+            h, o = h[sort], o[sort]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])]) if len(h) else np.zeros(0, np.int64)
             file, row = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            d = len(sizes)
-            nulls = pa.nulls(len(h), pa.int64())
-            return {
-                "file": np.r_[file, file[o]], "row": np.r_[row, row[o]],
-                # the rows of the documents themselves are spread by a hash that meets no n-gram
-                "h": np.r_[mix(file.astype(np.int64).view(np.uint64) ^ mix(row.astype(np.int64).view(np.uint64))), h].view(np.int64),
-                "n": np.r_[np.zeros(d, np.int64), n], "base": np.r_[base, np.zeros(len(h))],
-                "doc_id": pa.concat_arrays([b.column(0), nulls]), "n_tokens": pa.concat_arrays([pa.array(sizes, pa.int64()), nulls]),
-            }
+            return {"file": file[o[first]], "row": row[o[first]], "h": h[first].view(np.int64), "n": np.diff(np.r_[first, len(h)])}
 
         return step
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(at["file"]).alias("file"), at["row"].alias("row"), docs["text"])
-    return map_batches(rows, make, "file long, row long, h long, n long, base double, doc_id long, n_tokens long")
+    return map_batches(rows, make, "file long, row long, h long, n long")
 
 
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, parts: int = PARTS) -> DataFrame:
     """doc_id, n_tokens, log_score (sum over words of log S), mean_log_score, perplexity."""
     docs, at = located(docs)
-    tables = stored(count_tables(docs, order, min_count), "counts")
-    n_words = tables.where("k = 1").agg(F.sum("c")).first()[0] or 0
-    known = stored(weights(tables, n_words, order, alpha), "weights")
-    hot = known.where(F.col("c") >= max(1.0, n_words * HOT_SHARE)).select("h", "w").toPandas() if n_words else None
-    keys = hot["h"].to_numpy(np.int64).view(np.uint64) if n_words else np.zeros(0, np.uint64)
+    known, n_words = weights(docs, order, alpha, min_count, parts)
+    is_hot = F.col("c") >= max(1.0, n_words * HOT_SHARE)
+    hot = known.where(is_hot).select("h", "w").toPandas()  # at most order / HOT_SHARE rows
+    keys = hot["h"].to_numpy(np.int64).view(np.uint64)
     sort = np.argsort(keys)
-    grams = document_grams(docs, at, order, alpha, (keys[sort], hot["w"].to_numpy(float)[sort] if n_words else np.zeros(0)))
-    rest = known.where(F.col("c") < max(1.0, n_words * HOT_SHARE)).select("h", "w")
-    joined = grams.join(rest.hint("merge"), "h", "left")
-    part = F.col("base") + F.when(F.col("n") > 0, F.col("n") * F.coalesce("w", F.lit(0.0))).otherwise(0.0)
-    scored = joined.groupBy("file", "row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(part).alias("log_score"))
+    sent = docs.sparkSession.sparkContext.broadcast((keys[sort], hot["w"].to_numpy(float)[sort]))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(at["file"]).alias("file"), at["row"].alias("row"), docs["text"])
+    sums = document_bases(rows, order, alpha, sent)
+    for part in range(parts):
+        own = known.where(~is_hot & (F.pmod(F.shiftrightunsigned("h", 40), F.lit(parts)) == part)).select("h", "w")
+        joined = document_grams(rows, order, sent, part, parts).join(own.hint("merge"), "h")
+        added = stored(joined.groupBy("file", "row").agg(F.sum(F.col("n") * F.col("w")).alias("base")), "sums")
+        sums = sums.unionByName(added, allowMissingColumns=True)
+    scored = sums.groupBy("file", "row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("base").alias("log_score"))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens"))
     return scored.select("doc_id", "n_tokens", "log_score", mean.alias("mean_log_score"), F.exp(-mean).alias("perplexity"))
 
@@ -169,7 +199,8 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
 def oracle(alpha: float = ALPHA, min_count: int = MIN_COUNT) -> str:
     """The scores of order 3 in DuckDB's SQL over the view documents, to 4 places."""
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 g AS (SELECT rid, w[i] AS g1, w[i - 1] || ' ' || w[i] AS g2, w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] AS g3, CASE WHEN i > 1 THEN w[i - 1] END AS p1, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] END AS p2, i FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 c1 AS (SELECT g1 AS k, count(*) AS c FROM g GROUP BY g1), c2 AS (SELECT g2 AS k, count(*) AS c FROM g WHERE i > 1 GROUP BY g2), c3 AS (SELECT g3 AS k, count(*) AS c FROM g WHERE i > 2 GROUP BY g3), n AS (SELECT sum(c) AS n FROM c1),
 s AS (SELECT g.rid, CASE WHEN i > 2 AND c3.c >= {min_count} THEN ln(c3.c / q2.c) ELSE CASE WHEN i > 2 THEN ln({alpha!r}) ELSE 0 END

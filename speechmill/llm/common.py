@@ -25,14 +25,32 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: The setting by which a query's shuffle files go when it ends, not when the driver next collects garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors. Its shuffle files are deleted once it is written."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() made and nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def located(docs: DataFrame) -> tuple[DataFrame, Column]:
     """docs and the locator of each row: struct(file, row), the Parquet file it stands in and its place there.
 
