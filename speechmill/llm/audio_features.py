@@ -5,7 +5,7 @@ each recording is resampled by a polyphase filter (up/down), cut into overlapped
 filterbank rows, and segmented by frame energy with two thresholds (hysteresis). The log-mel rows are stored as
 tensors of fixed shape TENSOR = (frames, bands) with the time span of each; the last one is padded with the floor.
 
-Memory is bounded by one recording's bytes plus a block of frames, since frames are made block by block.
+Memory: one recording at a time, its samples as floats and all its log-mel rows; spectra are made block by block.
 
 Defined results: null text is an empty text, whose payload is one unit of padding; other columns are not read; repeated rows give repeated rows.
 """
