@@ -100,6 +100,24 @@ def without_rows(docs: DataFrame, at: Column, gone: DataFrame) -> DataFrame:
     return stay.select(*docs.columns).unionByName(left.select(*docs.columns))
 
 
+#: A group with more than this share of all rows is a hot one: there can't be more than its inverse of them, so a narrow list of them goes to all tasks.
+HOT_SHARE = 1e-5
+
+
+def with_group_values(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows with the columns of groups(key, size, ...), a row for each key of rows; nulls are a key like others.
+
+    Groups above HOT_SHARE of total come by broadcast (at most 1 / HOT_SHARE rows), so their rows stay where they are; the others by a merge join,
+    in which no key then has many rows. rows and groups are read twice: they should be stored.
+    """
+    own = fresh(rows, "group_key")
+    groups, hot = groups.withColumnRenamed(key, own), F.col(size) > int(total * HOT_SHARE)
+    many, few = F.broadcast(groups.where(hot)), groups.where(~hot)
+    on = lambda g: rows[key].eqNullSafe(g[own])
+    rest = rows.join(many.select(own), on(many), "left_anti")
+    return rows.join(many, on(many)).drop(own).unionByName(rest.join(few.hint("merge"), rest[key].eqNullSafe(few[own])).drop(own))
+
+
 #: Rows that a map step holds as Python objects at once, and bytes of them.
 ROWS, BYTES = 512, 2 << 20
 
@@ -175,16 +193,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _bytes_table() -> np.ndarray:
-    """A 64-bit value of each byte, A-Z as a-z; 0 for the six blanks."""
+def _bytes_table(fold: bool) -> np.ndarray:
+    """A 64-bit value of each byte, A-Z as a-z if fold; 0 for the six blanks."""
     table = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
-    table[65:91] = table[97:123]
+    if fold:
+        table[65:91] = table[97:123]
     table[[9, 10, 11, 12, 13, 32]] = 0
     return table
 
 
 _BASE = 0x2545F4914F6CDD1D  # odd, so it has an inverse
-_TABLE = _bytes_table()
+_TABLES = {fold: _bytes_table(fold) for fold in (True, False)}
 #: Powers that a worker keeps; a longer text makes its own.
 POWERS_KEPT = 1 << 22
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -209,14 +228,14 @@ def _powers_to(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def hashed_words(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hashes of all words of the texts in order, and how many each text has. A-Z count as a-z.
+def hashed_words(batch: list[str], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all words of the texts in order, and how many each text has. A-Z count as a-z if fold.
 
     A word's hash is a polynomial over its bytes, taken from running sums over the whole batch: nothing is done word by word.
     """
     raw = [x.encode("utf-8", "surrogatepass") for x in batch]
     data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
-    value = _TABLE[data]
+    value = _TABLES[fold][data]
     inside = value != 0
     starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
     ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
