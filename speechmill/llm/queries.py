@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import audio_features, backoff_lm, byte_bpe, host_rules, huffman_ids, jaccard_join, license_scan, mixing, stream_dedup, toxicity, url_filter
+from . import audio_features, backoff_lm, byte_bpe, host_rules, huffman_ids, jaccard_join, license_scan, mixing, stream_dedup, toxicity, url_filter, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_jaccard_join": op2_jaccard_join,
@@ -72,6 +76,7 @@ QUERIES = {
     "op9_backoff_lm": op9_backoff_lm,
     "op10_byte_bpe": op10_byte_bpe,
     "op12_host_rules": op12_host_rules,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL = {
@@ -83,6 +88,7 @@ FROM n""",
     "op4_mixing": mixing.oracle(),
     "op9_backoff_lm": backoff_lm.oracle(),
     "op12_host_rules": host_rules.oracle(),
+    "op13_vector_codes": vector_codes.oracle(),
     "op2_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
