@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import audio_features, backoff_lm, byte_bpe, host_rules, huffman_ids, jaccard_join, license_scan, mixing, stream_dedup, toxicity, url_filter, vector_codes
+from . import audio_features, backoff_lm, byte_bpe, hard_negatives, host_rules, huffman_ids, jaccard_join, license_scan, mixing, stream_dedup, toxicity, url_filter, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.of_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_backoff_lm": op9_backoff_lm,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_host_rules": op12_host_rules,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -87,6 +92,7 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM n""",
     "op4_mixing": mixing.oracle(),
     "op9_backoff_lm": backoff_lm.oracle(),
+    "op11_hard_negatives": hard_negatives.oracle(),
     "op12_host_rules": host_rules.oracle(),
     "op13_vector_codes": vector_codes.oracle(),
     "op2_jaccard_join": r"""
