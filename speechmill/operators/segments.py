@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 WINDOW_SEC, HOP_SEC, LEAST_SEC = 0.5, 0.1, 0.2
@@ -77,100 +77,119 @@ def runs(frames: DataFrame, label: str = "lang") -> DataFrame:
     return grouped.select("utt_id", F.col("seg_id").cast("int").alias("seg_id"), "start", F.coalesce(after, "end").alias("end"), "lang", "n_frames")
 
 
-def merged(segments: DataFrame) -> DataFrame:
-    """Neighbours of one label become one segment."""
-    order = Window.partitionBy("utt_id").orderBy("seg_id")
-    before = F.lag("lang").over(order)
-    marked = segments.withColumn("new", F.when(before.isNull() | (before != F.col("lang")), 1).otherwise(0)).withColumn("run", (F.sum("new").over(order) - 1).cast("int"))
-    grouped = marked.groupBy("utt_id", "run").agg(F.min_by("start", "seg_id").alias("start"), F.max_by("end", "seg_id").alias("end"), F.first("lang").alias("lang"), F.sum("n_frames").alias("n_frames"))
-    return grouped.withColumnRenamed("run", "seg_id")
-
-
-#: A segment in a fold. `mark` says what a fold has still to do with what follows.
-_SEGMENT = "struct<start:double,end:double,lang:string,mark:int>"
-
-
-def _segment(start: Column, end: Column, lang: Column, mark: int | Column = 0) -> Column:
-    return F.struct(start.alias("start"), end.alias("end"), lang.alias("lang"), (F.lit(mark) if isinstance(mark, int) else mark).cast("int").alias("mark"))
-
-
-def _folded(segments: Column, step: Callable[[Column, Column, Column], Column]) -> Column:
-    """A fold over places 0.. of an array of segments: step(what is done, the last of it or null, the place)."""
-    none = F.array().cast(f"array<{_SEGMENT}>")
-    return F.aggregate(F.sequence(F.lit(0), F.size(segments) - 1), none, lambda done, i: step(done, F.try_element_at(done, F.lit(-1)), i))
-
-
-def _but_last(done: Column) -> Column:
-    return F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))
+def _contracted(segments: DataFrame, joins: Column, *more: Column) -> DataFrame:
+    """Each segment for which `joins` holds becomes part of the one before it, which keeps its start and label. Segments are numbered anew."""
+    run = F.sum(F.when(joins, 0).otherwise(1)).over(_order())
+    marked = segments.withColumn("run", run)
+    grouped = marked.groupBy("utt_id", "run").agg(F.min_by("start", "seg_id").alias("start"), F.max_by("end", "seg_id").alias("end"), F.min_by("lang", "seg_id").alias("lang"), *more)
+    return grouped.select("utt_id", (F.dense_rank().over(Window.partitionBy("utt_id").orderBy("run")) - 1).alias("seg_id"), *(c for c in grouped.columns if c not in ("utt_id", "run")))
 
 
-def _long(s: Column) -> Column:
-    return s["end"] - s["start"]
+def _order() -> WindowSpec:
+    return Window.partitionBy("utt_id").orderBy("seg_id")
 
 
-def equal_joined(segments: Column) -> Column:
-    """Neighbours of one label as one segment."""
+def _before() -> WindowSpec:
+    return _order().rowsBetween(Window.unboundedPreceding, -1)
 
-    def step(done, last, i):
-        s = F.get(segments, i)
-        widened = F.concat(_but_last(done), F.array(_segment(last["start"], s["end"], last["lang"])))
-        return F.when(last["lang"] == s["lang"], widened).otherwise(F.concat(done, F.array(_segment(s["start"], s["end"], s["lang"]))))
 
-    return _folded(segments, step)
+def _equal_before() -> Column:
+    return F.coalesce(F.lag("lang").over(_order()) == F.col("lang"), F.lit(False))
 
 
-def short_absorbed_once(segments: Column, least: float) -> Column:
-    """One sweep: a segment under `least` widens the longer of its neighbours, the one before it if equal. The one before it counts as it
-    is by then, the one after it as it was; a segment that is to be widened to the left waits as mark 1."""
-
-    def step(done, last, i):
-        s, after = F.get(segments, i), F.get(segments, i + 1)
-        waits = F.coalesce(last["mark"] == 1, F.lit(False))
-        start = F.when(waits, last["start"]).otherwise(s["start"])
-        done = F.when(waits, _but_last(done)).otherwise(done)
-        before = F.try_element_at(done, F.lit(-1))
-        whole = F.concat(done, F.array(_segment(start, s["end"], s["lang"])))
-        left = F.concat(_but_last(done), F.array(_segment(before["start"], s["end"], before["lang"])))
-        right = F.concat(done, F.array(_segment(start, s["end"], s["lang"], 1)))
-        to_left = before.isNotNull() & (after.isNull() | (_long(before) >= _long(after)))
-        return F.when(s["end"] - start >= least, whole).when(to_left, left).when(after.isNotNull(), right).otherwise(whole)
-
-    return _folded(segments, step)
-
+def merged(segments: DataFrame) -> DataFrame:
+    """Neighbours of one label become one segment."""
+    rows = segments.withColumn("equal", _equal_before())
+    return _contracted(rows, F.col("equal"), F.sum("n_frames").alias("n_frames"))
 
-def flicker_dropped_once(segments: Column, least: float) -> Column:
-    """One sweep: three segments a b a whose middle is under `least` become one; the next three begin after them. `mark` counts those to pass over."""
 
-    def step(done, last, i):
-        s, middle, after = F.get(segments, i), F.get(segments, i + 1), F.get(segments, i + 2)
-        passed = F.concat(_but_last(done), F.array(_segment(last["start"], last["end"], last["lang"], last["mark"] - 1)))
-        three = F.concat(done, F.array(_segment(s["start"], after["end"], s["lang"], 2)))
-        return F.when(last["mark"] > 0, passed).when(_flickers(s, middle, after, least), three).otherwise(F.concat(done, F.array(s)))
+def _last(value: Column | str, window: WindowSpec) -> Column:
+    return F.last(value, ignorenulls=True).over(window)
 
-    return _folded(segments, step)
 
+def _sure(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
 
-def _flickers(s: Column, middle: Column, after: Column, least: float) -> Column:
-    return F.coalesce((s["lang"] == after["lang"]) & (_long(middle) < least), F.lit(False))
 
+def short_absorbed(segments: DataFrame, least: float) -> DataFrame:
+    """Segments under `least` widen a neighbour: the longer one, the one before if equal, where the one before counts as wide as it is by then.
 
-def _until_still(segments: Column, moves: Callable[[Column], Column], sweep: Callable[[Column], Column]) -> Column:
-    """Sweeps while something moves: each takes a segment away at least, so there are fewer of them than segments."""
-    return F.aggregate(F.sequence(F.lit(1), F.size(segments)), segments, lambda now, _: F.when(moves(now), sweep(now)).otherwise(now))
+    What is at least that long stays. Before the first that does, everything goes forward, until what has gathered is long enough. Between two that stay,
+    the one before is always longer than a short one that follows, so all short ones but the last go back. The last goes on if the one before it is
+    narrower than the next, which depends on whether that one was itself widened backwards: a width more can only turn `on` into `back`. So each gap
+    has a fixed answer or the opposite of the gap before, and the answers are the last fixed one and the parity of the changes since.
+    """
+    long = lambda: F.col("end") - F.col("start")
+    rows = segments.withColumns({"reaches": (F.col("end") - F.first("start").over(_order()) >= least) | F.lead(F.lit(1)).over(_order()).isNull(), "end_before": F.lag("end").over(_order())})
+    rows = rows.withColumn("reached", F.coalesce(F.max("reaches").over(_before()), F.lit(False)))
+    rows = rows.withColumn("stays", F.when(F.col("reached"), long() >= least).otherwise(F.col("reaches")))
+    rows = rows.withColumn("own", F.greatest(F.sum(F.col("stays").cast("long")).over(_order()), F.lit(1)))
+    stays = lambda c: F.max(F.when(F.col("stays"), c))
+    gaps = rows.groupBy("utt_id", "own").agg(
+        F.min_by("start", "seg_id").alias("start"), stays(F.col("lang")).alias("lang"), stays(long()).alias("width"), F.max(F.when(F.col("reached") & ~F.col("stays"), True)).alias("gap"),
+        F.max_by("start", "seg_id").alias("tail"), F.max_by("end", "seg_id").alias("end"), F.max_by("end_before", "seg_id").alias("end_before"),
+    )
+    order = Window.partitionBy("utt_id").orderBy("own")
+    goes_on = lambda start: _sure(F.col("gap") & ~(F.col("end_before") - start >= F.lead("width").over(order)))
+    gaps = gaps.withColumn("tail_before", F.lag("tail").over(order))
+    gaps = gaps.withColumns({"on": goes_on(F.col("start")), "on_if_wider": goes_on(F.coalesce("tail_before", "start"))})
+    gaps = gaps.withColumn("turns", F.sum((F.col("on") != F.col("on_if_wider")).cast("long")).over(order))
+    fixed = F.col("on") == F.col("on_if_wider")
+    gaps = gaps.withColumn("on", (_last(F.when(fixed, F.col("on").cast("long") - F.col("turns")), order) + F.col("turns")) % 2 != 0)
+    wider = F.coalesce(F.lag("on").over(order), F.lit(False))
+    return gaps.select("utt_id", F.col("own").alias("seg_id"), F.when(wider, F.col("tail_before")).otherwise(F.col("start")).alias("start"), F.when(F.col("on"), F.col("end_before")).otherwise(F.col("end")).alias("end"), "lang")
+
+
+def flicker_dropped(segments: DataFrame, least: float) -> DataFrame:
+    """Three segments a b a whose middle is under `least` become one, until there are no such three. Neighbours have different labels, and none is
+    under half of `least`.
+
+    The first sweep takes such threes from the left, each after the one before. In a run of places that begin such a three, every third is taken,
+    from the first or, if the last three of the run before reaches into it, from the second. It can only where one place lies between them, and
+    does so if the run before, less what reaches into it, has one place more than a multiple of three: a run of 3k + 1 places turns the answer round, one of
+    3k + 2 hands it on, one of 3k ends it. After it a three is left only where its first is one that was taken, and what was taken is too
+    long to be a middle; so the threes that are left meet only at their ends, and each chain of them becomes one.
+    """
+    middle = F.lead("end").over(_order()) - F.lead("start").over(_order())
+    rows = segments.withColumns({"begins": _sure((F.lead("lang", 2).over(_order()) == F.col("lang")) & (middle < least)), "i": F.row_number().over(_order())})
+    rows = rows.withColumn("i_before", _last(F.when(F.col("begins"), F.col("i")), _before()))
+    rows = rows.withColumn("opens", F.col("begins") & F.coalesce(F.col("i") - F.col("i_before") > 1, F.lit(True)))
+    opened = F.when(F.col("opens"), F.col("i"))
+    rows = rows.withColumns({"first": _last(opened, _order()), "first_before": _last(opened, _before())})
+    places = (F.col("i_before") - F.col("first_before") + 1) % 3
+    near = F.col("opens") & _sure(F.col("i") - F.col("i_before") == 2)
+    rows = rows.withColumns({"turns": F.sum((near & (places == 1)).cast("long")).over(_order()), "fresh": F.col("opens") & ~(near & (places != 0))})
+    skipped = (F.col("turns") - _last(F.when(F.col("fresh"), F.col("turns")), _order())) % 2
+    rows = rows.withColumn("place", F.col("i") - F.col("first") - skipped)
+    rows = rows.withColumn("taken", _sure(F.col("begins") & (F.col("place") >= 0) & (F.col("place") % 3 == 0)))
+    rows = rows.withColumn("joins", F.lag("taken", 1, False).over(_order()) | F.lag("taken", 2, False).over(_order()))
+    rows = _contracted(rows, F.col("joins"))
+    rows = rows.withColumn("middle", _sure((F.lag("lang").over(_order()) == F.lead("lang").over(_order())) & (F.col("end") - F.col("start") < least)))
+    rows = rows.withColumn("joins", F.col("middle") | F.lag("middle", 1, False).over(_order()))
+    return _contracted(rows, F.col("joins"))
+
+
+def to_places(x: Column, places: int = 3) -> Column:
+    """x to so many decimal places as its exact binary value rounds, ties to even: 1.0005, a little under the tie, becomes 1.0."""
+    scale = 10.0**places
+    a = F.abs(x)
+    n = F.floor(a * scale)
+    # 2 * scale * a - (2 n + 1) without rounding: a in two parts of 26 bits, whose products are exact
+    high = a * 134217729.0 - (a * 134217729.0 - a)
+    over = (high * (2 * scale) - (2 * n + 1)) + (a - high) * (2 * scale)
+    up = (over > 0) | ((over == 0) & (n % 2 == 1))
+    return F.signum(x) * F.when(up, n + 1).otherwise(n) / F.lit(scale)
 
 
 def refined(segments: DataFrame, least: float = LEAST_SEC) -> DataFrame:
-    """Short segments absorbed, then flicker dropped, times to 3 places: folds over the ordered segments of an utterance."""
-    own = F.array_sort(F.collect_list(F.struct("seg_id", "start", "end", "lang")))  # the segments of one utterance
-    rows = segments.groupBy("utt_id").agg(own.alias("all"))
-    rows = rows.select("utt_id", F.transform("all", lambda s: _segment(s["start"].cast("double"), s["end"].cast("double"), s["lang"])).alias("s"))
-    rows = rows.withColumn("s", equal_joined(F.col("s")))
-    short = lambda now: (F.size(now) > 1) & F.exists(now, lambda s: _long(s) < least)
-    rows = rows.withColumn("s", _until_still(F.col("s"), short, lambda now: equal_joined(short_absorbed_once(now, least))))
-    flickers = lambda now: F.exists(F.sequence(F.lit(0), F.size(now) - 1), lambda i: _flickers(F.get(now, i), F.get(now, i + 1), F.get(now, i + 2), 2 * least))
-    rows = rows.withColumn("s", _until_still(F.col("s"), flickers, lambda now: equal_joined(flicker_dropped_once(now, 2 * least))))
-    out = rows.select("utt_id", F.posexplode("s").alias("seg_id", "s"))
-    return out.select("utt_id", "seg_id", F.round("s.start", 3).alias("start"), F.round("s.end", 3).alias("end"), "s.lang")
+    """Short segments absorbed, equal neighbours merged, flicker dropped, times to 3 places.
+
+    Each step is a fixed number of windows and groupings by utterance over segments as rows: no loop, and no array that grows with an utterance.
+    """
+    rows = segments.select("utt_id", "seg_id", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "lang")
+    rows = short_absorbed(rows, least).withColumn("equal", _equal_before())
+    out = flicker_dropped(_contracted(rows, F.col("equal")), 2 * least)
+    return out.select("utt_id", F.col("seg_id").cast("int").alias("seg_id"), to_places(F.col("start")).alias("start"), to_places(F.col("end")).alias("end"), "lang")
 
 
 def utterance_probabilities(frames: DataFrame) -> DataFrame:
