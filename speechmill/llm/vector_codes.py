@@ -148,10 +148,10 @@ def encode(vectors: DataFrame) -> tuple[DataFrame, np.ndarray]:
         discard(before)
         if k < ROUNDS:
             books = moved(blocks, books)
-    each = F.explode(F.arrays_zip("ids", "labels", "errors", F.sequence(F.lit(0), F.size("ids") - 1).alias("place")))
-    out = blocks.select(each.alias("e"), F.hex("codes").alias("codes"))
-    code = F.lower(F.substring("codes", 2 * PARTS * F.col("e.place") + 1, F.lit(2 * PARTS)))
-    return out.select(F.col("e.ids").alias("vec_id"), F.col("e.labels").alias("label"), code.alias("code"), F.col("e.errors").alias("error")), books
+    place = F.sequence(F.lit(0), F.size("ids") - 1)
+    codes = F.transform(place, lambda i: F.lower(F.hex(F.substring("codes", i * PARTS + 1, F.lit(PARTS)))))
+    out = blocks.select(F.explode(F.arrays_zip("ids", "labels", codes.alias("code"), "errors")).alias("e"))
+    return out.select(F.col("e.ids").alias("vec_id"), F.col("e.labels").alias("label"), F.col("e.code").alias("code"), F.col("e.errors").alias("error")), books
 
 
 def digest(books: np.ndarray) -> str:
