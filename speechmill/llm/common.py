@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,12 @@ RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors. Its shuffle files are deleted once it is written."""
+    """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors. Shuffle files are deleted once their
+    query has ended; the session's setting for that is turned on and stays on, so that queries that run side by side don't turn it off for each other."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(RELEASE, "false")
     spark.conf.set(RELEASE, "true")
-    try:
-        df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(RELEASE, before)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,40 +49,58 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _from_parquet(docs: DataFrame) -> bool:
+    """Whether docs are a Parquet relation as read, whose rows know their file and place. Rows of other formats, databases and views don't."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+
+
 def located(docs: DataFrame) -> tuple[DataFrame, Column]:
     """docs and the locator of each row: struct(file, row), the Parquet file it stands in and its place there.
 
-    A table read from Parquet has these of its own. Any other one is first written to the shared folder, as its rows have no lasting place.
+    A table read from Parquet has these of its own. Any other one (JSON, CSV, ORC, JDBC, a catalog's table, a view, a query) is first written to the
+    shared folder, as its rows have no lasting place.
     """
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+    if not _from_parquet(docs):
         docs = stored(docs, "content", compression="zstd")
     meta = docs.metadataColumn("_metadata")
     return docs, F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row"))
 
 
-#: Bits of a bitmap of locators, and the most of them: 2 MB to 32 MB for each task, whatever there is to mark.
-BITS_LEAST, BITS_MOST = 1 << 24, 1 << 28
+#: Bits of a bitmap of locators, and the most of them: 2 MB to 32 MB for each task, whatever there is to mark. What needs more bits is cut into ranges
+#: of files, each with a bitmap of its own; there are so many ranges at most, enough for 4e9 marked rows at 4 bits each.
+BITS_LEAST, BITS_MOST, RANGES_MOST = 1 << 24, 1 << 28, 64
 
 
 class Marks:
-    """A set of row locators as a bitmap whose size is bounded: rows it doesn't mark are surely not in the set, so they need no join."""
+    """A set of row locators as bitmaps of bounded size: rows that they don't mark are surely not in the set, so they need no join."""
 
     def __init__(self, rows: DataFrame, at: Column, count: int):
-        self.bits = BITS_LEAST
+        self.rows, self.at, self.bits = rows, at, BITS_LEAST
         while self.bits < min(BITS_MOST, 16 * count):
             self.bits *= 2
-        bucket, bit = self._place(at)
-        self.bitmap = rows.groupBy(bucket.alias("mark_bucket")).agg(F.bitmap_construct_agg(bit).alias("mark_bits"))
+        self.ranges = max(1, min(RANGES_MOST, 16 * count // BITS_MOST))
 
     def _place(self, at: Column) -> tuple[Column, Column]:
         place = F.pmod(F.xxhash64(at), F.lit(self.bits)) + 1
         return F.bitmap_bucket_number(place), F.bitmap_bit_position(place).cast("int")
 
     def split(self, docs: DataFrame, at: Column, columns: list[Column]) -> tuple[DataFrame, DataFrame]:
-        """The rows that may be in the set, and those that surely aren't; both with these columns."""
+        """The rows that may be in the set, and those that surely aren't; both with these columns. A range reads its own files only."""
+        if self.ranges == 1:
+            return self._split(docs, self.rows, at, columns)
+        own = lambda x, k: F.pmod(F.xxhash64(x["file"]), F.lit(self.ranges)) == k
+        parts = [self._split(docs.where(own(at, k)), self.rows.where(own(self.at, k)), at, columns) for k in range(self.ranges)]
+        return reduce(DataFrame.unionByName, [p[0] for p in parts]), reduce(DataFrame.unionByName, [p[1] for p in parts])
+
+    def _split(self, docs: DataFrame, marked_rows: DataFrame, at: Column, columns: list[Column]) -> tuple[DataFrame, DataFrame]:
+        bucket, bit = self._place(self.at)
+        bitmap = marked_rows.groupBy(bucket.alias("mark_bucket")).agg(F.bitmap_construct_agg(bit).alias("mark_bits"))
         bucket, bit = self._place(at)
         mark, bits = fresh(docs, "mark"), fresh(docs, "mark_bits")
-        held = self.bitmap.withColumnRenamed("mark_bits", bits)
+        held = bitmap.withColumnRenamed("mark_bits", bits)
         rows = docs.select(*columns, F.struct(bucket.alias("bucket"), bit.alias("bit")).alias(mark))
         rows = rows.join(F.broadcast(held), rows[mark]["bucket"] == held["mark_bucket"], "left").drop(held["mark_bucket"])
         marked = F.coalesce(F.expr(f"shiftright(cast(conv(hex(substring({bits}, cast({mark}.bit div 8 as int) + 1, 1)), 16, 10) as int), {mark}.bit % 8) & 1 = 1"), F.lit(False))
