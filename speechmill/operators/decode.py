@@ -1,12 +1,14 @@
-"""Decoding over tables of token scores: beam steps, coverage, and a bounded beam search. A table takes the place of a neural scorer."""
+"""Decoding over tables of token scores: beam steps, coverage, and a beam search by steps. A table takes the place of a neural scorer."""
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def top_tokens(candidates: DataFrame, beam: int) -> DataFrame:
     """candidates(utt_id, hyp_id, token_id, logprob): of each hypothesis the best tokens; ties by id."""
@@ -38,38 +40,72 @@ def missing_words(required: DataFrame, spoken: DataFrame) -> DataFrame:
     return required.select("utt_id", F.lower("word").alias("word")).distinct().join(spoken.select("utt_id", F.lower("word").alias("word")).distinct(), ["utt_id", "word"], "left_anti")
 
 
-def search(start: list[int], scores: dict[tuple[int, int], float], lm: dict[tuple[int, int], float], end: int, beam: int = 3, most: int = 444, alpha: float = 1.0) -> tuple[list[int], float]:
-    """Beam search of one utterance over scores[previous, token] with lm[previous, token] added at alpha; the best score a token wins."""
-    follow: dict[int, list[tuple[int, float]]] = {}
-    for (a, b), s in scores.items():
-        follow.setdefault(a, []).append((b, s))
-    biased = {a: [(b, s + alpha * lm.get((a, b), 0.0)) for b, s in xs] for a, xs in follow.items()}
-    normal = {a: (xs, math.log(sum(math.exp(s) for _, s in xs))) for a, xs in biased.items()}
-    live, done = [(list(start), 0.0)], []
-    for _ in range(most):
-        grown = []
-        for tokens, total in live:
-            xs, norm = normal.get(tokens[-1], ([(end, 0.0)], 0.0))
-            for b, s in sorted(xs, key=lambda x: (-x[1], x[0]))[:beam]:
-                grown.append(([*tokens, b], total + s - norm))
-        grown.sort(key=lambda h: -h[1])
-        best = grown[:beam]
-        done += [h for h in best if h[0][-1] == end]
-        live = [h for h in best if h[0][-1] != end]
-        if not live:
+def _moves(scores: DataFrame, start: int, end: int, beam: int, alpha: float, floor: float) -> DataFrame:
+    """utt_id, prev, rank, token, logp, lm, word: of each token that may come before, the best `beam` that follow, by log-softmax of what the scorer and
+    the language model say. A token after which the scorer knows nothing is followed by the end."""
+    model = lambda c: F.when(F.col(c).isNotNull(), F.lit(alpha) * F.greatest(F.col(c), F.lit(floor))).otherwise(0.0)
+    by = Window.partitionBy("utt_id", "prev")
+    logits = scores.withColumn("z", F.col("logit") + model("lm")).withColumn("top", F.max("z").over(by))
+    logp = F.col("z") - F.col("top") - F.ln(F.sum(F.exp(F.col("z") - F.col("top"))).over(by))
+    ranked = logits.select("utt_id", "prev", "token", logp.alias("logp"), model("lm_own").alias("lm"), F.when(F.col("lm").isNotNull(), F.lower("word")).alias("word"))
+    ranked = ranked.withColumn("rank", F.row_number().over(by.orderBy(F.desc("logp"), "token"))).where(F.col("rank") <= beam)
+    reached = scores.select("utt_id", F.col("token").alias("prev")).union(scores.select("utt_id", F.lit(start).alias("prev"))).distinct()
+    alone = reached.where(F.col("prev") != end).join(scores.select("utt_id", "prev").distinct(), ["utt_id", "prev"], "left_anti")
+    alone = alone.select("utt_id", "prev", F.lit(end).alias("token"), F.lit(0.0).alias("logp"), F.lit(0.0).alias("lm"), F.lit(None).cast("string").alias("word"), F.lit(1).alias("rank"))
+    return ranked.unionByName(alone)
+
+
+def beam_search(scores: DataFrame, required: DataFrame, end: int, start: int = 0, prompt: int = 4, beam: int = 3, most: int = 444, alpha: float = 1.5, beta: float = 0.05, floor: float = -10.0) -> DataFrame:
+    """utt_id, tokens (without prompt and end), mean_logp, combined, ended: the best hypothesis of each utterance of scores.
+
+    scores(utt_id, prev, token, logit, lm, lm_own, word) stands in for the neural scorer: a row for each pair of neighbours, with what the language model
+    says of the token after prev, and after prev and itself; null lm: not a word of the model. required(utt_id, word): words that an utterance should have.
+
+    A step is a join of the frontier, the live hypotheses as rows, with the moves of their last tokens. An end goes to the pool at once, whatever its
+    score; of the others the best `beam` of an utterance stay live, by combined score: log-probabilities, plus alpha times the model's, less beta times the share
+    of required words that are missing. A node holds the place of the node before it and a token, so hypotheses share what they begin with. The
+    choice is over pool and live ones, by combined score over length with the prompt; ties go to what ended first. An utterance leaves the frontier when
+    none of its live hypotheses can still be better than the best of its pool: steps only lower the score, but for missing words, and at the most `most` tokens share it.
+    Each step is written, so a lost executor costs a step at most and the plan does not grow.
+    """
+    moves = written(_moves(scores, start, end, beam, alpha, floor), "moves")
+    need = required.select("utt_id", F.lower("word").alias("word")).groupBy("utt_id").agg(F.array_sort(F.collect_set("word")).alias("missing"))
+    none = F.array().cast("array<string>")
+    first = moves.select("utt_id").distinct().join(need, "utt_id", "left").withColumn("missing", F.coalesce("missing", none))
+    zero = F.lit(0.0)
+    live = first.select("utt_id", F.lit(0).alias("place"), F.lit(start).alias("token"), zero.alias("logp"), zero.alias("lm"), "missing", F.size("missing").alias("n_need"))
+    steps, pool = [], None
+    for step in range(1, most + 1):
+        rows = live.withColumnsRenamed({"token": "prev", "logp": "logp_before", "lm": "lm_before", "place": "parent"}).join(moves, ["utt_id", "prev"])
+        logp, model = F.col("logp_before") + F.col("logp"), F.col("lm_before") + F.col("lm")
+        missing = F.when(F.col("word").isNotNull(), F.array_remove("missing", F.col("word"))).otherwise(F.col("missing"))
+        rows = rows.select("utt_id", "parent", "rank", "token", logp.alias("logp"), model.alias("lm"), missing.alias("missing"), "n_need")
+        lost = F.when(F.col("n_need") > 0, F.lit(beta) * F.size("missing") / F.col("n_need")).otherwise(0.0)
+        rows = rows.withColumns({"step": F.lit(step), "ended": F.col("token") == end, "combined": F.col("logp") + F.col("lm") - lost, "lost": lost})
+        order = Window.partitionBy("utt_id", "ended").orderBy(F.desc("combined"), "parent", "rank")
+        rows = rows.withColumn("place", F.row_number().over(order) - 1).where(F.col("ended") | (F.col("place") < beam))
+        rows = written(rows, f"step{step}")
+        steps.append(rows)
+        best = rows.where("ended").groupBy("utt_id").agg(F.max(F.col("combined") / (prompt + step)).alias("best"))
+        pool = best if pool is None else written(pool.unionByName(best).groupBy("utt_id").agg(F.max("best").alias("best")), "pool")
+        reach = F.greatest(*((F.col("combined") + F.col("lost")) / (prompt + n) for n in (step + 1, max(most, step + 1))))
+        live = rows.where("not ended").join(pool, "utt_id", "left")
+        hope = F.max(reach >= F.coalesce("best", F.lit(-float("inf")))).over(Window.partitionBy("utt_id"))
+        live = live.withColumn("hope", hope).where("hope").select("utt_id", "place", "token", "logp", "lm", "missing", "n_need")
+        if live.isEmpty():
             break
-    pool = done or live
-    return max(pool, key=lambda h: h[1] / max(1, len(h[0])))
-
-
-def beam_search(utterances: DataFrame, end: int, beam: int = 3, most: int = 444, alpha: float = 1.0) -> DataFrame:
-    """utterances(utt_id, prev, token, score, lm): one row per pair of tokens that an utterance's scorer allows; starts at token 0. Gives utt_id, tokens, total."""
-
-    def one(key, pdf):
-        import pandas as pd
-
-        pairs = list(zip(pdf["prev"].tolist(), pdf["token"].tolist(), strict=True))
-        tokens, total = search([0], dict(zip(pairs, pdf["score"], strict=True)), dict(zip(pairs, pdf["lm"], strict=True)), end, beam, most, alpha)
-        return pd.DataFrame({"utt_id": [key[0]], "tokens": [tokens], "total": [total]})
-
-    return utterances.groupBy("utt_id").applyInPandas(one, "utt_id long, tokens array<int>, total double")
+    nodes = reduce(DataFrame.unionByName, [s.select("utt_id", "step", "place", "parent", "rank", "token", "logp", "combined", "ended") for s in steps])
+    last = Window.partitionBy("utt_id")
+    nodes = nodes.withColumn("steps", F.max("step").over(last))
+    # what ended first, then what was still live; live nodes of steps before the last are only ways there
+    choice = F.struct((F.col("combined") / (prompt + F.col("step"))).alias("mean"), F.col("ended").alias("ended"), (-F.col("step")).alias("early"), (-F.col("parent")).alias("a"), F.when(F.col("ended"), -F.col("rank")).otherwise(-F.col("place")).alias("b"))
+    node = F.struct("step", "place", "parent", "token", "logp", "combined", "ended")
+    best = nodes.where(F.col("ended") | (F.col("step") == F.col("steps"))).groupBy("utt_id").agg(F.max_by(node, choice).alias("best"))
+    # from the last step to the first: the node whose place is asked for hands on its token and asks for its parent
+    ways = nodes.where("not ended").groupBy("utt_id").agg(F.sort_array(F.collect_list(F.struct("step", "place", "parent", "token")), asc=False).alias("ways"))
+    begun = F.struct((F.col("best.step") - 1).alias("step"), F.col("best.parent").alias("place"), F.when(F.col("best.ended"), F.array().cast("array<int>")).otherwise(F.array("best.token")).alias("tokens"))
+    wanted = lambda at, way: (way["step"] == at["step"]) & (way["place"] == at["place"])
+    taken = lambda at, way: F.struct((at["step"] - 1).alias("step"), way["parent"].alias("place"), F.concat(F.array(way["token"]), at["tokens"]).alias("tokens"))
+    path = F.aggregate(F.coalesce("ways", F.array().cast("array<struct<step:int,place:int,parent:int,token:int>>")), begun, lambda at, way: F.when(wanted(at, way), taken(at, way)).otherwise(at))
+    out = best.join(ways, "utt_id", "left").select("utt_id", "best", path["tokens"].alias("tokens"))
+    return out.select("utt_id", "tokens", (F.col("best.logp") / F.greatest(F.size("tokens"), F.lit(1))).alias("mean_logp"), F.col("best.combined").alias("combined"), F.col("best.ended").alias("ended"))

@@ -95,20 +95,61 @@ def laplace(asked: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def maximum_likelihood(asked: DataFrame, grams: DataFrame, floor: float = 1e-12) -> DataFrame:
-    """logp = ln(count / context total), at least ln(floor)."""
+    """logp = ln(count / context total) by counts of padded sentences, at least ln(floor)."""
     p = F.coalesce(F.col("cnt") / F.col("total"), F.lit(0.0))
     return _counted(asked, grams).select(*asked.columns, F.ln(F.greatest(p, F.lit(floor))).alias("logp"))
 
 
-def kneser_ney(bigrams: DataFrame, discount: float = 0.1) -> DataFrame:
-    """Interpolated Kneser-Ney of bigrams(n = 2): ctx, word, p. Lower order: in how many contexts a word stands."""
-    pairs = bigrams.where("n = 2")
-    held = context_totals(pairs).select("ctx", "total", "kinds")
-    stands = pairs.groupBy("word").agg(F.count("*").alias("contexts"))
-    all_pairs = pairs.agg(F.count("*").alias("pairs"))  # one row
-    rows = pairs.join(held, "ctx").join(stands, "word").crossJoin(F.broadcast(all_pairs))
-    p = F.greatest(F.col("cnt") - F.lit(discount), F.lit(0.0)) / F.col("total") + F.lit(discount) * F.col("kinds") / F.col("total") * F.col("contexts") / F.col("pairs")
-    return rows.select("ctx", "word", p.alias("p"))
+def add_one(asked: DataFrame, grams: DataFrame) -> DataFrame:
+    """logp by counts of padded sentences: (count + 1) / (context total + size of the vocabulary, in which the marks and one unknown word count)."""
+    p = (F.coalesce("cnt", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + F.col("kinds") + 1)
+    return _counted(asked, grams).select(*asked.columns, F.ln(p).alias("logp"))
+
+
+def _without_first(ctx: str) -> Column:
+    return F.when(F.instr(ctx, " ") > 0, F.substring(ctx, F.instr(ctx, " ") + 1, F.lit(1 << 30))).otherwise("")
+
+
+def kneser_ney_tables(grams: DataFrame, order: int = 3, discount: float = 0.1) -> list[tuple[DataFrame, DataFrame | None]]:
+    """Interpolated Kneser-Ney of counts of padded sentences, one entry for each size of n-gram from 1 to order: what is left of each seen n-gram
+    (ctx, word, alpha), and what each seen context hands down (ctx, gamma); the first entry has the share of each word (word, alpha) alone.
+
+    The highest order counts occurrences, the lower ones count in how many different contexts an n-gram stands.
+    """
+    follows = grams.where("n = 2").groupBy("word").agg(F.count("*").alias("c"))
+    pairs = grams.where("n = 2").agg(F.count("*").alias("pairs"))  # one row
+    tables: list[tuple[DataFrame, DataFrame | None]] = [(follows.crossJoin(F.broadcast(pairs)).select("word", (F.col("c") / F.col("pairs")).alias("alpha")), None)]
+    for k in range(2, order + 1):
+        own = grams.where(F.col("n") == k)
+        longer = grams.where(F.col("n") == k + 1).groupBy(_without_first("ctx").alias("ctx"), "word").agg(F.count("*").alias("c"))
+        counted = own.select("ctx", "word", F.col("cnt").alias("c")) if k == order else longer
+        held = counted.groupBy("ctx").agg(F.sum("c").alias("total")).join(own.groupBy("ctx").agg(F.count("*").alias("kinds")), "ctx")
+        left = counted.join(held.select("ctx", "total"), "ctx").select("ctx", "word", (F.greatest(F.col("c") - F.lit(discount), F.lit(0.0)) / F.col("total")).alias("alpha"))
+        tables.append((left, held.select("ctx", (F.lit(discount) * F.col("kinds") / F.col("total")).alias("gamma"))))
+    return tables
+
+
+def kneser_ney(asked: DataFrame, grams: DataFrame, order: int = 3, discount: float = 0.1, floor: float = 1e-12) -> DataFrame:
+    """asked(..., word, ctx) with logp, at least ln(floor), by interpolated Kneser-Ney of the last order - 1 words of ctx.
+
+    From the share of the word alone upwards: p = alpha(ctx, word) + gamma(ctx) * p of the shorter context; a context that was never seen, or for which there
+    are too few words, hands p on as it is. Unknown words have no share. Rows without a long enough context get a key of their own, so they don't meet in one task.
+    """
+    lowest, *higher = kneser_ney_tables(grams, order, discount)
+    words = F.filter(F.split("ctx", " "), lambda w: w != "")
+    rows = asked.select(*asked.columns, F.lower(F.trim("word")).alias("kn_word"), words.alias("kn_words"))
+    share = lowest[0].withColumnRenamed("word", "kn_known")
+    rows = rows.join(share, rows["kn_word"] == share["kn_known"], "left").select(*rows.columns, F.coalesce("alpha", F.lit(0.0)).alias("kn_p"))
+    for k, (left, held) in enumerate(higher, 2):
+        tail = F.when(F.size("kn_words") >= k - 1, F.array_join(F.slice("kn_words", -(k - 1), k - 1), " "))
+        rows = rows.withColumn("kn_ctx", F.coalesce(tail, F.concat(F.lit("\0"), F.xxhash64(*asked.columns).cast("string"))))
+        held = held.withColumnRenamed("ctx", "kn_held")
+        left = left.select(F.col("ctx").alias("kn_left"), F.col("word").alias("kn_known"), "alpha")
+        rows = rows.join(held, rows["kn_ctx"] == held["kn_held"], "left").drop("kn_held")
+        rows = rows.join(left, (rows["kn_ctx"] == left["kn_left"]) & (rows["kn_word"] == left["kn_known"]), "left")
+        p = F.when(F.col("gamma").isNull(), F.col("kn_p")).otherwise(F.coalesce("alpha", F.lit(0.0)) + F.col("gamma") * F.col("kn_p"))
+        rows = rows.select(*asked.columns, "kn_word", "kn_words", p.alias("kn_p"))
+    return rows.select(*asked.columns, F.ln(F.greatest("kn_p", F.lit(floor))).alias("logp"))
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

@@ -409,12 +409,35 @@ def best_per_token(spark, sf_dir):
     return decode.best_per_token(sums).select("utt_id", "hyp_id", F.round("total", 6).alias("total"), "n_tokens")
 
 
-@query("m20_beam_search")
+_BEAM = """pairs AS (SELECT utt_id, CAST(prev AS INTEGER) AS prev, CAST(prev + 1 + token_id // 9 % (9 - prev) AS INTEGER) AS token, max(logprob) AS logit FROM (SELECT *, token_id % 9 AS prev FROM cand) GROUP BY ALL),
+scores AS (SELECT *, CASE WHEN token % 3 > 0 AND token < 9 THEN -(1 + (prev + token) % 5) / 4::DOUBLE END AS lm, CASE WHEN token % 3 > 0 AND token < 9 THEN -(2 + token % 4) / 5::DOUBLE END AS lm_own, 'W' || token AS word FROM pairs),
+need AS (SELECT DISTINCT utt_id, 'w' || token_id % 9 AS word FROM cand WHERE token_id % 4 = 1)"""
+_MOVES = """z AS (SELECT *, logit + CASE WHEN lm IS NULL THEN 0 ELSE 1.5::DOUBLE * greatest(lm, -10) END AS z FROM scores),
+ranked AS (SELECT utt_id, prev, token, z - ln(sum(exp(z)) OVER w) AS logp, CASE WHEN lm_own IS NULL THEN 0 ELSE 1.5::DOUBLE * greatest(lm_own, -10) END AS lm, CASE WHEN lm IS NOT NULL THEN lower(word) END AS word FROM z WINDOW w AS (PARTITION BY utt_id, prev)),
+moves AS (SELECT *, CAST(row_number() OVER (PARTITION BY utt_id, prev ORDER BY logp DESC, token) AS INTEGER) AS rank FROM ranked QUALIFY rank <= 3
+  UNION ALL SELECT utt_id, prev, 9, 0, 0, NULL, 1 FROM (SELECT DISTINCT utt_id, token AS prev FROM scores WHERE token <> 9 UNION SELECT utt_id, 0 FROM scores) r WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.utt_id = r.utt_id AND s.prev = r.prev)),
+lists AS (SELECT utt_id, list(word) AS missing, count(*) AS n_need FROM need GROUP BY utt_id),
+search AS (SELECT DISTINCT m.utt_id, 0 AS step, 0 AS parent, 0 AS rank, 0 AS place, 0 AS token, 0::DOUBLE AS logp, 0::DOUBLE AS lm, coalesce(missing, []) AS missing, coalesce(n_need, 0) AS n_need, 0::DOUBLE AS combined, false AS ended, []::INTEGER[] AS tokens FROM moves m LEFT JOIN lists USING (utt_id)
+  UNION ALL SELECT * FROM (SELECT utt_id, step, parent, rank, CAST(row_number() OVER (PARTITION BY utt_id, ended ORDER BY combined DESC, parent, rank) - 1 AS INTEGER) AS place, token, logp, lm, missing, n_need, combined, ended, tokens
+    FROM (SELECT *, logp + lm - CASE WHEN n_need > 0 THEN 0.05::DOUBLE * len(missing) / n_need ELSE 0 END AS combined, token = 9 AS ended
+      FROM (SELECT s.utt_id, s.step + 1 AS step, s.place AS parent, m.rank, m.token, s.logp + m.logp AS logp, s.lm + m.lm AS lm, list_filter(s.missing, lambda w: w IS DISTINCT FROM m.word) AS missing, s.n_need, CASE WHEN m.token = 9 THEN s.tokens ELSE list_append(s.tokens, m.token) END AS tokens
+        FROM search s JOIN moves m ON s.utt_id = m.utt_id AND s.token = m.prev WHERE NOT s.ended AND s.step < 444))) WHERE ended OR place < 3)"""
+
+
+@query(
+    "m20_beam_search",
+    f"WITH RECURSIVE {_CAND}, {_BEAM}, {_MOVES} SELECT utt_id, array_to_string(tokens, ' ') AS tokens, round(logp / greatest(len(tokens), 1), 6) AS mean_logp, round(combined, 6) AS combined, ended FROM search WHERE ended OR step = 444 QUALIFY row_number() OVER (PARTITION BY utt_id ORDER BY combined / (4 + step) DESC, step, parent, rank) = 1",
+)
 def beam_search(spark, sf_dir):
-    """Events of a user as a table of scores between nine tokens."""
-    pair = candidates(spark, sf_dir).select("utt_id", (F.col("token_id") % 9).cast("int").alias("prev"), (F.col("token_id") / 9 % 10).cast("int").alias("token"), "logprob")
-    rows = pair.groupBy("utt_id", "prev", "token").agg(F.max("logprob").alias("score")).withColumn("lm", F.lit(0.0))
-    return decode.beam_search(rows, 9, 3).select("utt_id", "tokens", F.round("total", 6).alias("total"))
+    """Events of a user as a scorer over ten tokens, each of which leads to later ones only; two of three tokens are words of a language model."""
+    rows = candidates(spark, sf_dir).withColumn("prev", (F.col("token_id") % 9).cast("int"))
+    token = (F.col("prev") + 1 + F.floor(F.col("token_id") / 9) % (9 - F.col("prev"))).cast("int")
+    pairs = rows.groupBy("utt_id", "prev", token.alias("token")).agg(F.max("logprob").alias("logit"))
+    known = (F.col("token") % 3 > 0) & (F.col("token") < 9)
+    model = {"lm": F.when(known, -(1 + (F.col("prev") + F.col("token")) % 5) / 4), "lm_own": F.when(known, -(2 + F.col("token") % 4) / 5), "word": F.concat(F.lit("W"), "token")}
+    need = rows.where("token_id % 4 = 1").select("utt_id", F.concat(F.lit("w"), (F.col("token_id") % 9).cast("string")).alias("word"))
+    found = decode.beam_search(pairs.withColumns(model), need, 9)
+    return found.select("utt_id", F.array_join("tokens", " ").alias("tokens"), rounded("mean_logp").alias("mean_logp"), rounded("combined").alias("combined"), "ended")
 
 
 _NEED = r"""t AS (SELECT conv_id AS utt_id, turn, role, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS ws FROM conversations)"""

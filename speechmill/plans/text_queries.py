@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tables as T
 from ..functions import text as X
 from ..operators import lm, translate
+from ..shared import written
 from . import text_sql as Q
 from .registry import query, rounded, table
 
@@ -185,10 +186,21 @@ def laplace(spark, sf_dir):
     return lm.laplace(asked(spark, sf_dir), grams).select("doc_id", "pos", "place", rounded("logp").alias("logp"))
 
 
-@query("m15_maximum_likelihood", f"WITH {_COUNTS}, {_ASKED}, t AS (SELECT ctx, sum(cnt) AS total FROM grams GROUP BY ctx) SELECT a.doc_id, a.pos, CAST(place AS INTEGER) AS place, round(ln(greatest(coalesce(cnt / total, 0), 1e-12)), 6) AS logp FROM asked a LEFT JOIN grams g ON a.ctx = g.ctx AND a.word = g.word LEFT JOIN t ON a.ctx = t.ctx")
+_PADDED = f"{_ROWS}, grams AS ({' UNION ALL '.join(_grams(n, _PAD) for n in (1, 2, 3))})"
+
+
+def padded(spark, sf_dir) -> DataFrame:
+    return written(lm.counts(sentences(spark, sf_dir), 3, True), "padded-counts")
+
+
+@query("m15_maximum_likelihood", f"WITH {_PADDED}, {_ASKED}, t AS (SELECT ctx, sum(cnt) AS total FROM grams GROUP BY ctx) SELECT a.doc_id, a.pos, CAST(place AS INTEGER) AS place, round(ln(greatest(coalesce(cnt / total, 0), 1e-12)), 6) AS logp FROM asked a LEFT JOIN grams g ON a.ctx = g.ctx AND a.word = g.word LEFT JOIN t ON a.ctx = t.ctx")
 def maximum_likelihood(spark, sf_dir):
-    grams = lm.counts(sentences(spark, sf_dir), 3)
-    return lm.maximum_likelihood(asked(spark, sf_dir), grams).select("doc_id", "pos", "place", rounded("logp").alias("logp"))
+    return lm.maximum_likelihood(asked(spark, sf_dir), padded(spark, sf_dir)).select("doc_id", "pos", "place", rounded("logp").alias("logp"))
+
+
+@query("m15_add_one", f"WITH {_PADDED}, {_ASKED}, t AS (SELECT ctx, sum(cnt) AS total FROM grams GROUP BY ctx), v AS (SELECT count(*) + 1 AS kinds FROM grams WHERE n = 1) SELECT a.doc_id, a.pos, CAST(place AS INTEGER) AS place, round(ln((coalesce(cnt, 0) + 1) / (coalesce(total, 0) + kinds)), 6) AS logp FROM asked a LEFT JOIN grams g ON a.ctx = g.ctx AND a.word = g.word LEFT JOIN t ON a.ctx = t.ctx CROSS JOIN v")
+def add_one(spark, sf_dir):
+    return lm.add_one(asked(spark, sf_dir), padded(spark, sf_dir)).select("doc_id", "pos", "place", rounded("logp").alias("logp"))
 
 
 @query("r6_perplexity", f"WITH {_COUNTS}, {_ASKED}, t AS (SELECT ctx, sum(cnt) AS total FROM grams GROUP BY ctx), v AS (SELECT count(*) AS kinds FROM grams WHERE n = 1) SELECT round(exp(-avg(ln((coalesce(cnt, 0) + 1) / (coalesce(total, 0) + kinds)))), 4) AS perplexity, count(*) AS n_words FROM asked a LEFT JOIN grams g ON a.ctx = g.ctx AND a.word = g.word LEFT JOIN t ON a.ctx = t.ctx CROSS JOIN v")
@@ -197,10 +209,19 @@ def perplexity(spark, sf_dir):
     return lm.perplexity(lm.laplace(asked(spark, sf_dir), grams)).select(F.round("perplexity", 4).alias("perplexity"), "n_words")
 
 
-@query("m15_kneser_ney", f"WITH {_ROWS}, b AS ({_grams(2)}), h AS (SELECT ctx, sum(cnt) AS total, count(*) AS kinds FROM b GROUP BY ctx), w AS (SELECT word, count(*) AS contexts FROM b GROUP BY word) SELECT ctx, word, round(greatest(cnt - 0.1::DOUBLE, 0) / total + 0.1::DOUBLE * kinds / total * contexts / (SELECT count(*) FROM b), 6) AS p FROM b JOIN h USING (ctx) JOIN w USING (word)")
+@query(
+    "m15_kneser_ney",
+    f"""WITH {_PADDED}, {_ASKED}, share AS (SELECT word, count(*) / (SELECT count(*)::DOUBLE FROM grams WHERE n = 2) AS p FROM grams WHERE n = 2 GROUP BY word),
+c2 AS (SELECT split_part(ctx, ' ', 2) AS ctx, word, count(*) AS c FROM grams WHERE n = 3 GROUP BY ALL), h2 AS (SELECT ctx, total, kinds FROM (SELECT ctx, sum(c) AS total FROM c2 GROUP BY ctx) JOIN (SELECT ctx, count(*) AS kinds FROM grams WHERE n = 2 GROUP BY ctx) USING (ctx)),
+h3 AS (SELECT ctx, sum(cnt) AS total, count(*) AS kinds FROM grams WHERE n = 3 GROUP BY ctx),
+one AS (SELECT a.*, string_split(ctx, ' ') AS cs, coalesce(p, 0) AS p1 FROM asked a LEFT JOIN share USING (word)),
+two AS (SELECT o.*, CASE WHEN h.ctx IS NULL THEN p1 ELSE greatest(coalesce(c, 0) - 0.1::DOUBLE, 0) / total + 0.1::DOUBLE * kinds / total * p1 END AS p2 FROM one o LEFT JOIN h2 h ON o.ctx <> '' AND h.ctx = cs[-1] LEFT JOIN c2 ON c2.ctx = cs[-1] AND c2.word = o.word),
+three AS (SELECT t.*, CASE WHEN h.ctx IS NULL THEN p2 ELSE greatest(coalesce(cnt, 0) - 0.1::DOUBLE, 0) / total + 0.1::DOUBLE * kinds / total * p2 END AS p3 FROM two t LEFT JOIN h3 h ON h.ctx = t.ctx LEFT JOIN grams g ON g.n = 3 AND g.ctx = t.ctx AND g.word = t.word)
+SELECT doc_id, pos, CAST(place AS INTEGER) AS place, round(ln(greatest(p3, 1e-12)), 6) AS logp FROM three""",
+)
 def kneser_ney(spark, sf_dir):
-    found = lm.kneser_ney(lm.counts(sentences(spark, sf_dir), 2))
-    return found.select("ctx", "word", F.round("p", 6).alias("p"))
+    """Each word of the turns after the two words before it, by a model of the documents."""
+    return lm.kneser_ney(asked(spark, sf_dir), padded(spark, sf_dir)).select("doc_id", "pos", "place", rounded("logp").alias("logp"))
 
 
 _VOCAB = "vocab AS (SELECT item_id * 1000 + pos AS token_id, ws[pos + 1] AS token FROM (SELECT item_id, ws, unnest(range(len(ws))) AS pos FROM (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark)))"

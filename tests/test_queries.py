@@ -10,7 +10,7 @@ import pytest
 
 from speechmill.functions import signal as S
 from speechmill.functions import text as X
-from speechmill.operators import decode, detect, intervals, lm, prosody, scoring, segments, spectral, translate
+from speechmill.operators import detect, intervals, lm, prosody, scoring, segments, spectral, translate
 from speechmill.plans import ORACLE_SQL, QUERIES
 from speechmill.sources import audio
 
@@ -311,9 +311,3 @@ def test_resample_keeps_a_slow_tone():
     x = np.sin(2 * np.pi * 100 * np.arange(4000) / 16_000)
     y = spectral.resample(x, 16_000, 8_000)
     assert len(y) == 2000 and np.abs(y[100:-100] - np.sin(2 * np.pi * 100 * np.arange(2000) / 8_000)[100:-100]).max() < 0.01
-
-
-def test_beam_search_ends():
-    scores = {(0, 1): -0.1, (0, 2): -2.0, (1, 9): -0.1, (2, 9): -0.1}
-    tokens, _ = decode.search([0], scores, {}, end=9)
-    assert tokens[-1] == 9 and tokens[1] in (1, 2)
