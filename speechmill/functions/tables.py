@@ -93,8 +93,10 @@ SAMPLE_LEXICON = {"the": "તે", "and": "અને", "of": "નું", "to":
 RECOGNISER_CODES = {"hi": "hi", "en": "en", "sil": "en"}
 
 # Codes of the language classes, in the order of their indices.
-CLASS_CODES = (
-    "ab af am ar as az ba be bg bn bo br bs ca ceb cs cy da de el en eo es et eu fa fi fo fr gl gn gu ha haw hi ht hu hy ia "
-    "id is it iw ja jw ka kk km kn ko la lb ln lo lt lv mg mi mk ml mn mr ms mt my ne nl nn no oc pa pl ps pt ro ru sa si "
-    "sk sl sn so sq sr su sv sw ta te tg th tk tl tr tt uk ur uz vi vo war yi yo zh"
-).split()
+CLASS_CODES = [
+    "ab", "af", "am", "ar", "as", "az", "ba", "be", "bg", "bn", "bo", "br", "bs", "ca", "ceb", "cs", "cy", "da", "de", "el", "en", "eo", "es", "et",
+    "eu", "fa", "fi", "fo", "fr", "gl", "gn", "gu", "ha", "haw", "hi", "ht", "hu", "hy", "ia", "id", "is", "it", "iw", "ja", "jw", "ka", "kk", "km",
+    "kn", "ko", "la", "lb", "ln", "lo", "lt", "lv", "mg", "mi", "mk", "ml", "mn", "mr", "ms", "mt", "my", "ne", "nl", "nn", "no", "oc", "pa", "pl",
+    "ps", "pt", "ro", "ru", "sa", "si", "sk", "sl", "sn", "so", "sq", "sr", "su", "sv", "sw", "ta", "te", "tg", "th", "tk", "tl", "tr", "tt", "uk",
+    "ur", "uz", "vi", "vo", "war", "yi", "yo", "zh",
+]

@@ -71,31 +71,37 @@ def or_whole(segments: DataFrame, signals: DataFrame, rate: int, lang: str = "hi
     return segments.select("utt_id", "seg_id", "start", "end", "lang").unionByName(whole)
 
 
-def word_times(segments: DataFrame, text: str = "text", frames: str | None = None) -> DataFrame:
-    """The words of a segment at even times. Where a segment has no duration, `frames` (of 10 ms) give one of at most 30 s."""
+def word_times(segments: DataFrame, text: str = "text", frames: str | None = None, carried: dict[str, Column] | None = None) -> DataFrame:
+    """The words of a segment at even times, with the carried columns of their segment. Where a segment has no duration, `frames` (of 10 ms) give one of at most 30 s."""
     long = F.col("end") - F.col("start")
     if frames:
         long = F.when(long > 0, long).otherwise(F.least(F.col(frames) / 100, F.lit(30.0)))
-    words = segments.select("utt_id", "seg_id", "start", long.alias("long"), F.filter(F.split(text, r"\s+"), lambda w: w != "").alias("words"))
-    rows = words.select("utt_id", "seg_id", "start", (F.col("long") / F.size("words")).alias("step"), F.posexplode("words").alias("pos", "word"))
-    return rows.select("utt_id", "seg_id", "pos", "word", (F.col("start") + F.col("pos") * F.col("step")).alias("word_start"), (F.col("start") + (F.col("pos") + 1) * F.col("step")).alias("word_end"))
+    more = carried or {}
+    words = segments.select("utt_id", "seg_id", *(c.alias(name) for name, c in more.items()), "start", long.alias("long"), F.filter(F.split(text, r"\s+"), lambda w: w != "").alias("words"))
+    rows = words.select("utt_id", "seg_id", *more, "start", (F.col("long") / F.size("words")).alias("step"), F.posexplode("words").alias("pos", "word"))
+    return rows.select("utt_id", "seg_id", "pos", "word", (F.col("start") + F.col("pos") * F.col("step")).alias("word_start"), (F.col("start") + (F.col("pos") + 1) * F.col("step")).alias("word_end"), *more)
 
 
 def deduplicated_words(words: DataFrame) -> DataFrame:
-    """words(utt_id, word_start, word_end, word, ...): a word goes if the last kept one has the same text and overlaps more than half of it."""
+    """words(utt_id, word_start, word_end, word, ...): a word goes if the last kept one has the same text and overlaps more than half of it.
+
+    What is dropped has the text of the last kept one, so a word of another text than its neighbour's is always kept: the rule is applied within runs of
+    one text, each a group of its own and a fold that remembers the last kept word.
+    """
+    order = Window.partitionBy("utt_id").orderBy("word_start", "seg_id", "pos", "word_end", "word")
+    fresh = F.when(F.lag(F.lower("word")).over(order) == F.lower("word"), 0).otherwise(1)
     entry = F.struct("word_start", F.col("seg_id"), F.col("pos"), "word_end", "word")
-    listed = words.groupBy("utt_id").agg(F.array_sort(F.collect_list(entry)).alias("all"))  # the words of one utterance
+    runs = words.withColumn("run", F.sum(fresh).over(order)).groupBy("utt_id", "run").agg(F.array_sort(F.collect_list(entry)).alias("all"))  # one word said again and again
     kind = "array<struct<word_start:double,seg_id:int,pos:int,word_end:double,word:string>>"
 
     def step(kept, w):
         last = F.try_element_at(kept, F.lit(-1))
         overlap = F.least(last["word_end"], w["word_end"]) - F.greatest(last["word_start"], w["word_start"])
         own = w["word_end"] - w["word_start"]
-        twin = (F.lower(last["word"]) == F.lower(w["word"])) & (own > 0) & (overlap / own > 0.5)
-        return F.when(F.coalesce(twin, F.lit(False)), kept).otherwise(F.concat(kept, F.array(w)))
+        return F.when(F.coalesce(last.isNotNull() & (own > 0) & (overlap / own > 0.5), F.lit(False)), kept).otherwise(F.concat(kept, F.array(w)))
 
-    kept = F.aggregate(F.col("all").cast(kind), F.array().cast(kind), step)
-    return listed.select("utt_id", F.explode(kept).alias("w")).select("utt_id", "w.*")
+    kept = F.when(F.size("all") == 1, F.col("all").cast(kind)).otherwise(F.aggregate(F.col("all").cast(kind), F.array().cast(kind), step))
+    return runs.select("utt_id", F.explode(kept).alias("w")).select("utt_id", "w.*")
 
 
 def switch_text(segments: DataFrame, text: str = "text", mark: str = " ‖ ") -> DataFrame:

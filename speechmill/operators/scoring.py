@@ -106,6 +106,6 @@ def metric_bundle(spark, **metrics: DataFrame | None) -> DataFrame:
     """One row of metrics, each the only value of a one-row DataFrame, or null where it couldn't be had."""
     out = spark.range(1).select()
     for name, df in metrics.items():
-        one = df.select(F.col(df.columns[0]).cast("double").alias(name)) if df is not None else spark.range(1).select(F.lit(None).cast("double").alias(name))
+        one = df.toDF(name).select(F.col(name).cast("double")) if df is not None else spark.range(1).select(F.lit(None).cast("double").alias(name))
         out = out.crossJoin(F.broadcast(one))  # one row each
     return out

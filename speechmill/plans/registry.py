@@ -27,9 +27,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one of fewer partitions than cores (a small file is one) is dealt over all of them."""
-    df, cores = ship(spark).read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """A table, in the partitions that Spark's own settings (spark.sql.files.maxPartitionBytes, minPartitionNum) cut its files into."""
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def rounded(c: Column | str, places: int = 6) -> Column:

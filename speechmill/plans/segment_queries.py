@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import signal
 from ..operators import align, decode, intervals, scoring, segments, spectral
 from . import align_sql as A
 from .registry import FRAMES, frames, query, rounded, run_sql, table
@@ -291,46 +292,30 @@ def bag_union(spark, sf_dir):
 
 
 _COST = "(CASE WHEN h[{j}] = r[i + 1] THEN 0 ELSE 1 END)"
+_WER = rf"""{_TURNS}, w AS (SELECT utt_id, seg_id, list_filter(regexp_split_to_array(text, '\s+'), lambda v: v <> '') AS r, lead(list_filter(regexp_split_to_array(text, '\s+'), lambda v: v <> '')) OVER (PARTITION BY utt_id ORDER BY seg_id) AS h FROM turns),
+p AS (SELECT * FROM w WHERE h IS NOT NULL), e AS (SELECT utt_id, seg_id, 0 AS i, CAST(range(len(h) + 1) AS BIGINT[]) AS row FROM p UNION ALL
+SELECT e.utt_id, e.seg_id, i + 1, list_reduce(list_prepend([CAST(i + 1 AS BIGINT)], list_transform(h, lambda v, j: [CAST(least(row[j + 1] + 1, row[j] + {_COST.format(j='j')}) AS BIGINT)])), lambda acc, x: acc || [least(x[1], acc[len(acc)] + 1)]) FROM e JOIN p ON e.utt_id = p.utt_id AND e.seg_id = p.seg_id WHERE i < len(r)),
+wers AS (SELECT e.utt_id, e.seg_id, CAST(row[len(row)] AS INTEGER) AS edits, CAST(len(r) AS INTEGER) AS n_words, CASE WHEN len(r) > 0 THEN round(row[len(row)] / len(r), 6) END AS wer FROM e JOIN p ON e.utt_id = p.utt_id AND e.seg_id = p.seg_id WHERE i = len(r))"""
 
 
-@query(
-    "m4_word_error_rate",
-    rf"""WITH RECURSIVE {_TURNS}, w AS (SELECT utt_id, seg_id, list_filter(regexp_split_to_array(text, '\s+'), lambda v: v <> '') AS r, lead(list_filter(regexp_split_to_array(text, '\s+'), lambda v: v <> '')) OVER (PARTITION BY utt_id ORDER BY seg_id) AS h FROM turns),
-p AS (SELECT * FROM w WHERE h IS NOT NULL), e AS (SELECT utt_id, seg_id, 0 AS i, CAST(range(len(h) + 1) AS BIGINT[]) AS row FROM p UNION ALL
-SELECT e.utt_id, e.seg_id, i + 1, list_reduce(list_prepend([CAST(i + 1 AS BIGINT)], list_transform(h, lambda v, j: [CAST(least(row[j + 1] + 1, row[j] + {_COST.format(j='j')}) AS BIGINT)])), lambda acc, x: acc || [least(x[1], acc[len(acc)] + 1)]) FROM e JOIN p ON e.utt_id = p.utt_id AND e.seg_id = p.seg_id WHERE i < len(r))
-SELECT e.utt_id, e.seg_id, CAST(row[len(row)] AS INTEGER) AS edits, CAST(len(r) AS INTEGER) AS n_words, CASE WHEN len(r) > 0 THEN round(row[len(row)] / len(r), 6) END AS wer FROM e JOIN p ON e.utt_id = p.utt_id AND e.seg_id = p.seg_id WHERE i = len(r)""",
-)
-def word_error_rate(spark, sf_dir):
+def _turn_pairs(spark, sf_dir) -> DataFrame:
     """Each turn against the next one."""
     after = F.lead("text").over(Window.partitionBy("utt_id").orderBy("seg_id"))
-    pairs = turns(spark, sf_dir).select("utt_id", "seg_id", F.col("text").alias("reference"), after.alias("hypothesis")).where("hypothesis is not null")
-    return scoring.word_error_rate(pairs).select("utt_id", "seg_id", "edits", "n_words", F.round("wer", 6).alias("wer"))
-
+    return turns(spark, sf_dir).select("utt_id", "seg_id", F.col("text").alias("reference"), after.alias("hypothesis")).where("hypothesis is not null")
 
-_BUNDLE = ("wer", "mcd", "eer", "lid_switching_accuracy", "snr_db", "epsilon")
 
-
-@query(
-    "r14_metric_bundle",
-    f"WITH {FRAMES}, {RAW}, {SMOOTH}, {_CELLS}, {_SCORED}, {_ROC}, both_labels AS (SELECT c.*, {_at('raw')} AS a, {_at('smooth')} AS b FROM cells c), bend AS (SELECT *, lead(fp) OVER w - 2 * fp + coalesce(lag(fp) OVER w, 0) AS df, lead(tp) OVER w - 2 * tp + coalesce(lag(tp) OVER w, 0) AS dt FROM rates WINDOW w AS (ORDER BY k)), kept AS (SELECT 0 AS k, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr UNION ALL SELECT k, fpr, tpr FROM bend WHERE coalesce(NOT (df = 0 AND dt = 0), true)) "
-    "SELECT CAST(NULL AS DOUBLE) AS wer, CAST(NULL AS DOUBLE) AS mcd, (SELECT round((1 - tpr + fpr) / 2, 6) FROM kept ORDER BY abs(1 - tpr - fpr), k LIMIT 1) AS eer, (SELECT round(sum(CASE WHEN a IS NOT DISTINCT FROM b THEN \"end\" - start ELSE 0 END) / sum(\"end\" - start), 6) FROM both_labels WHERE a IS NOT NULL) AS lid_switching_accuracy, "
-    "(SELECT round(10 * log10(quantile_cont(prob_hi, 0.95) / (quantile_cont(prob_hi, 0.05) + 1e-12)), 6) FROM frames) AS snr_db, CAST(NULL AS DOUBLE) AS epsilon",
-)
-def metric_bundle(spark, sf_dir):
-    """All six metrics in one row; those without inputs here are null."""
-    cells = intervals.compared(raw_runs(spark, sf_dir), smooth_runs(spark, sf_dir)).where("ref_lang is not null")
-    long = F.col("end") - F.col("start")
-    accuracy = cells.agg(F.round(F.sum(F.when(F.col("ref_lang").eqNullSafe(F.col("pred_lang")), long).otherwise(0.0)) / F.sum(long), 6).alias("accuracy"))
-    powers = frames(spark, sf_dir).select(F.lit(0).alias("utt_id"), F.col("prob_hi").alias("power"))
-    have = {"eer": scoring.equal_error_rate(scored(spark, sf_dir)).select(F.round("eer", 6)), "lid_switching_accuracy": accuracy, "snr_db": scoring.snr_estimate(powers).select(F.round("snr_db", 6))}
-    return scoring.metric_bundle(spark, **{name: have.get(name) for name in _BUNDLE})
+@query("m4_word_error_rate", f"WITH RECURSIVE {_WER} SELECT * FROM wers")
+def word_error_rate(spark, sf_dir):
+    return scoring.word_error_rate(_turn_pairs(spark, sf_dir)).select("utt_id", "seg_id", "edits", "n_words", F.round("wer", 6).alias("wer"))
 
 
 def pairs(spark, sf_dir) -> DataFrame:
-    """pair_id, a, b: each vector against the next one of its label."""
+    """pair_id, a, b: each vector against the next one of its label. Only ids go through the window; vectors are joined to them."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
-    after = F.lead("x").over(Window.partitionBy("label").orderBy("vec_id"))
-    return rows.select(F.col("vec_id").alias("pair_id"), F.col("x").alias("a"), after.alias("b")).where("b is not null")
+    after = F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id"))
+    ids = rows.select("vec_id", after.alias("next_id")).where("next_id is not null")
+    one = ids.join(rows.select("vec_id", F.col("x").alias("a")), "vec_id")
+    return one.join(rows.select(F.col("vec_id").alias("next_id"), F.col("x").alias("b")), "next_id").select(F.col("vec_id").alias("pair_id"), "a", "b")
 
 
 _WHOLE = "pairs AS (SELECT * FROM (SELECT vec_id AS pair_id, list_transform(embedding, lambda v: v::DOUBLE) AS a, list_transform(lead(embedding) OVER (PARTITION BY label ORDER BY vec_id), lambda v: v::DOUBLE) AS b FROM embeddings) WHERE b IS NOT NULL)"
@@ -378,6 +363,57 @@ def distortion(spark, sf_dir):
     return align.mel_cepstral_distortion(align.dtw_paths(both.select(F.col("vec_id").alias("pair_id"), "a", "b")))
 
 
+_BUNDLE = ("wer", "mcd", "eer", "lid_switching_accuracy", "anti_spoof_accuracy", "anti_spoof_validation_loss", "snr_db", "epsilon")
+_EIGHTHS = "list_transform(range(0, len({0}), 8), lambda k8: {0}[k8 + 1:k8 + 8])"
+_FAR = "sqrt(list_sum(list_transform(range(1, 9), lambda ax: (x[ax] - y[ax]) * (x[ax] - y[ax]))))"
+_CEPSTRA = f"""cepstra AS (SELECT pair_id, {_EIGHTHS.format('a')} AS a, {_EIGHTHS.format('b')} AS b FROM pairs), {A.paths(_FAR, "cepstra", "aligned")},
+stepped AS (SELECT pair_id, len(path) AS n, list_sum(list_transform(path, lambda st: sqrt(list_sum(list_transform(range(1, 9), lambda ax: pow(a[st[1]][ax] - b[st[2]][ax], 2)))))) AS cost FROM aligned),
+distorted AS (SELECT pair_id, {align.MCD_FACTOR!r}::DOUBLE * cost / n AS mcd FROM stepped)"""
+
+
+def cepstral_pairs(spark, sf_dir) -> DataFrame:
+    """pair_id, a, b: each vector, and the next one of its label, as eight frames of eight cepstral coefficients."""
+    eighths = lambda c: F.transform(F.sequence(F.lit(1), F.size(c), F.lit(8)), lambda at: F.slice(c, at, 8))
+    return pairs(spark, sf_dir).select("pair_id", eighths("a").alias("a"), eighths("b").alias("b"))
+
+
+@query("m3_distortion_of_cepstra", f"WITH {_WHOLE}, {_CEPSTRA} SELECT pair_id, round(mcd, 6) AS mcd FROM distorted")
+def distortion_of_cepstra(spark, sf_dir):
+    return align.mel_cepstral_distortion(align.dtw_paths(cepstral_pairs(spark, sf_dir))).select("pair_id", F.round("mcd", 6).alias("mcd"))
+
+
+@query(
+    "r14_metric_bundle",
+    f"WITH RECURSIVE {FRAMES}, {RAW}, {SMOOTH}, {_CELLS}, {_SCORED}, {_ROC}, {_WER}, {_WHOLE}, {_CEPSTRA}, both_labels AS (SELECT c.*, {_at('raw')} AS a, {_at('smooth')} AS b FROM cells c), bend AS (SELECT *, lead(fp) OVER w - 2 * fp + coalesce(lag(fp) OVER w, 0) AS df, lead(tp) OVER w - 2 * tp + coalesce(lag(tp) OVER w, 0) AS dt FROM rates WINDOW w AS (ORDER BY k)), kept AS (SELECT 0 AS k, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr UNION ALL SELECT k, fpr, tpr FROM bend WHERE coalesce(NOT (df = 0 AND dt = 0), true)), "
+    "judged AS (SELECT avg(CASE WHEN (score >= 0.5) = (label = 1) THEN 1.0::DOUBLE ELSE 0 END) AS accuracy, avg(-(label * ln(p) + (1 - label) * ln(1 - p))) AS loss FROM (SELECT label, score, greatest(1e-7, least(1 - 1e-7, score)) AS p FROM scored)), "
+    "ratios AS (SELECT 10 * log10(quantile_cont(prob_hi, 0.95) / (quantile_cont(prob_hi, 0.05) + 1e-12::DOUBLE)) AS snr FROM frames GROUP BY utt_id), power AS (SELECT list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE)) / len(embedding) AS p FROM embeddings) "
+    "SELECT (SELECT round(sum(edits) / sum(n_words), 6) FROM wers) AS wer, (SELECT round(avg(mcd), 6) FROM distorted) AS mcd, (SELECT round((1 - tpr + fpr) / 2, 6) FROM kept ORDER BY abs(1 - tpr - fpr), k LIMIT 1) AS eer, "
+    "(SELECT round(sum(CASE WHEN a IS NOT DISTINCT FROM b THEN \"end\" - start ELSE 0 END) / sum(\"end\" - start), 6) FROM both_labels WHERE a IS NOT NULL) AS lid_switching_accuracy, (SELECT round(accuracy, 6) FROM judged) AS anti_spoof_accuracy, (SELECT round(loss, 6) FROM judged) AS anti_spoof_validation_loss, "
+    "(SELECT round(avg(snr), 6) FROM ratios) AS snr_db, (SELECT round(min(least(0.05::DOUBLE, sqrt(p / 100) * 0.999::DOUBLE)), 6) FROM power) AS epsilon",
+)
+def metric_bundle(spark, sf_dir):
+    """All metrics in one row: words of turns against the next ones, cepstra of vectors, scores of documents, labels of frames, and what noise each vector bears.
+    Signal to noise is estimated by utterance and averaged, so no estimate is one task's."""
+    cells = intervals.compared(raw_runs(spark, sf_dir), smooth_runs(spark, sf_dir)).where("ref_lang is not null")
+    long = F.col("end") - F.col("start")
+    same = F.when(F.col("ref_lang").eqNullSafe(F.col("pred_lang")), long).otherwise(0.0)
+    edits = scoring.word_error_rate(_turn_pairs(spark, sf_dir))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("x"))
+    judged = scoring.accuracy_and_loss(scored(spark, sf_dir).withColumnRenamed("score", "p"))
+    have = {
+        "wer": edits.agg(F.sum("edits") / F.sum("n_words")),
+        "mcd": align.mel_cepstral_distortion(align.dtw_paths(cepstral_pairs(spark, sf_dir))).agg(F.avg("mcd")),
+        "eer": scoring.equal_error_rate(scored(spark, sf_dir)).select("eer"),
+        "lid_switching_accuracy": cells.agg(F.sum(same) / F.sum(long)),
+        "anti_spoof_accuracy": judged.select("accuracy"),
+        "anti_spoof_validation_loss": judged.select("loss"),
+        "snr_db": scoring.snr_estimate(frames(spark, sf_dir).select("utt_id", F.col("prob_hi").alias("power"))).agg(F.avg("snr_db")),
+        "epsilon": rows.agg(F.min(signal.epsilon_for_snr(F.col("x"), 0.05, 20.0))),
+    }
+    bundle = scoring.metric_bundle(spark, **{name: have[name] for name in _BUNDLE})
+    return bundle.select(*(F.round(name, 6).alias(name) for name in _BUNDLE))
+
+
 @query("j8_m13_warped_curve", f"WITH {_WHOLE}, {_SQUARES} SELECT pair_id, CAST(p[2] - 1 AS INTEGER) AS j, round(avg(a[p[1]]), 6) + 0.0::DOUBLE AS v FROM (SELECT pair_id, a, unnest(path) AS p FROM paths) GROUP BY pair_id, p[2]")
 def warped_curve(spark, sf_dir):
     curve = pairs(spark, sf_dir).select("pair_id", F.posexplode("a").alias("i", "v"))

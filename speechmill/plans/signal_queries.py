@@ -98,7 +98,7 @@ def pooled(spark, sf_dir):
 
 @query(
     "r7_snr_estimate",
-    f"WITH {FRAMES} SELECT utt_id, round(10 * log10(quantile_cont(prob_hi, 0.95) / greatest(quantile_cont(prob_hi, 0.05), 1e-12)), 6) + 0.0::DOUBLE AS snr_db FROM frames GROUP BY utt_id",
+    f"WITH {FRAMES} SELECT utt_id, round(10 * log10(quantile_cont(prob_hi, 0.95) / (quantile_cont(prob_hi, 0.05) + 1e-12::DOUBLE)), 6) + 0.0::DOUBLE AS snr_db FROM frames GROUP BY utt_id",
 )
 def snr_estimate(spark, sf_dir):
     found = scoring.snr_estimate(frames(spark, sf_dir).select("utt_id", F.col("prob_hi").alias("power")))

@@ -34,10 +34,26 @@ def _stored_wav(spark, sf_dir, kind: str) -> DataFrame:
 _HELD = "greatest(-1::DOUBLE, least(1::DOUBLE, v / 4))"
 
 
-@query("s1_s5_wav_pcm16", f"WITH {SIGNALS} SELECT CAST(vec_id AS VARCHAR) AS name, 16000 AS rate, CAST(i - 1 AS INTEGER) AS i, CAST(round({_HELD} * 32767) AS BIGINT) AS v FROM (SELECT vec_id, unnest(range(1, n + 1)) AS i, unnest(x) AS v FROM s)")
+# a sample is written as the integer nearest to 32767 times it, and read as that integer over 32768
+_PCM16 = f"SELECT CAST(vec_id AS VARCHAR) AS name, 16000 AS rate, CAST(i - 1 AS INTEGER) AS i, round(CAST(round({_HELD} * 32767) AS BIGINT) / 32768.0::DOUBLE, 9) + 0.0::DOUBLE AS v FROM (SELECT vec_id, unnest(range(1, n + 1)) AS i, unnest(x) AS v FROM s)"
+
+
+def _samples(back: DataFrame) -> DataFrame:
+    return back.select("name", "rate", F.posexplode("x").alias("i", "v")).select("name", "rate", "i", rounded("v", 9).alias("v"))
+
+
+@query("s1_s5_wav_pcm16", f"WITH {SIGNALS} {_PCM16}")
 def wav_pcm16(spark, sf_dir):
-    back = _stored_wav(spark, sf_dir, "pcm16")
-    return back.select("name", "rate", F.posexplode("x").alias("i", "v")).select("name", "rate", "i", F.round(F.col("v") * 32767).cast("long").alias("v"))
+    return _samples(_stored_wav(spark, sf_dir, "pcm16"))
+
+
+@query("s1_read_wav", f"WITH {SIGNALS} {_PCM16}")
+def read_wav(spark, sf_dir):
+    """WAV files in the shared folder, written and read as files."""
+    folder = new_path(spark, "wav-files").removeprefix("file://")
+    files = audio.export_wav(audio.to_wav(_named(spark, sf_dir), 16_000), folder)
+    files.write.parquet(new_path(spark, "wav-manifest"))
+    return _samples(audio.read_wav(spark, folder))
 
 
 @query("s6_wav_float", f"WITH {SIGNALS} SELECT CAST(vec_id AS VARCHAR) AS name, CAST(n AS INTEGER) AS n, round(list_sum(list_transform(x, lambda v: (v / 4)::FLOAT::DOUBLE)), 5) + 0.0::DOUBLE AS total FROM s")
@@ -106,9 +122,15 @@ def dump(spark, sf_dir):
     return turns(spark, sf_dir).select("utt_id", "seg_id", tables.dump(F.col("text"), F.col("end"), F.array(word)).alias("dump"))
 
 
-@query("p15_class_labels", f"SELECT CAST(k - 1 AS INTEGER) AS idx, codes[k] AS label FROM (SELECT codes, unnest(range(1, len(codes) + 1)) AS k FROM (SELECT string_split('{' '.join(T.CLASS_CODES)}', ' ') AS codes))")
+_CODES = ", ".join(f"'{c}'" for c in T.CLASS_CODES)
+
+
+@query("p15_class_labels", f"SELECT vec_id, label AS idx, [{_CODES}][label + 1] AS code FROM embeddings")
 def class_labels(spark, sf_dir):
-    return translate.class_labels(spark)
+    """The code of the class that each vector's label is the index of."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("idx"))
+    classes = translate.class_labels(spark).withColumnRenamed("label", "code")
+    return rows.join(F.broadcast(classes), "idx", "left").select("vec_id", "idx", "code")
 
 
 _DECODED = f"decoded AS (SELECT *, ln((seg_id % 7 + 1) / 8.0::DOUBLE) AS avg_logprob, (length(text) % 10) / 10.0::DOUBLE AS no_speech_prob FROM turns)"
@@ -133,9 +155,15 @@ def decoded_words(spark, sf_dir):
 _KEPT_TURNS = f"{_TURNS}, {_DECODED}, k AS (SELECT * FROM decoded WHERE no_speech_prob <= 0.6::DOUBLE AND \"end\" - start >= 0.3::DOUBLE)"
 
 
-@query("m22_transcripts", f"WITH {_KEPT_TURNS}, t AS (SELECT *, lag(lang) OVER (PARTITION BY utt_id ORDER BY seg_id) AS before FROM k WHERE trim(text) <> '') SELECT utt_id, string_agg(CASE WHEN before IS NULL THEN '' WHEN before <> lang THEN ' ‖ ' ELSE ' ' END || trim(text), '' ORDER BY seg_id) AS full_text, max(\"end\") AS duration FROM t GROUP BY utt_id")
+@query(
+    "m22_transcripts",
+    rf"""WITH {_KEPT_TURNS}, t AS (SELECT *, lag(lang) OVER (PARTITION BY utt_id ORDER BY seg_id) AS before FROM k WHERE trim(text) <> ''), f AS (SELECT utt_id, string_agg(CASE WHEN before IS NULL THEN '' WHEN before <> lang THEN ' ‖ ' ELSE ' ' END || trim(text), '' ORDER BY seg_id) AS full_text FROM t GROUP BY utt_id)
+SELECT c.utt_id, coalesce(full_text, '') AS full_text, c.duration FROM (SELECT utt_id, max("end") + 1 AS duration FROM turns GROUP BY utt_id) c LEFT JOIN f USING (utt_id)""",
+)
 def transcripts(spark, sf_dir):
-    return transcribe.transcripts(decoded(spark, sf_dir)).select("utt_id", "full_text", "duration")
+    """Each conversation as the audio of an utterance that goes on for a second after its last turn."""
+    audio_of = turns(spark, sf_dir).groupBy("utt_id").agg((F.max("end") + 1).alias("duration"))
+    return transcribe.transcripts(decoded(spark, sf_dir), audio_of).select("utt_id", "full_text", "duration")
 
 
 @query("m16_train_lines", f"WITH s AS (SELECT unnest({_SENT}) AS line FROM benchmark UNION ALL SELECT trim(unnest(string_split(text, chr(10)))) FROM benchmark), t AS (SELECT {_lm('line')} AS tokens FROM s) SELECT word, count(*) AS cnt FROM (SELECT unnest(tokens) AS word FROM t) GROUP BY word")

@@ -62,7 +62,7 @@ def decoded(content: bytes) -> tuple[np.ndarray, int]:
         raw = np.frombuffer(body[: len(body) // 3 * 3], np.uint8).reshape(-1, 3).astype(np.int32)
         x = (((raw[:, 0] << 8) | (raw[:, 1] << 16) | (raw[:, 2] << 24)) >> 8) / float(1 << 23)
     elif kind in (1, 0xFFFE) and bits in (16, 32):
-        x = np.frombuffer(body, f"<i{bits // 8}").astype(float) / (32767 if bits == 16 else 2147483647)
+        x = np.frombuffer(body, f"<i{bits // 8}").astype(float) / float(1 << (bits - 1))
     else:
         raise ValueError(f"samples of form {kind} with {bits} bits")
     return x[: len(x) // channels * channels].reshape(-1, channels).mean(1), rate
