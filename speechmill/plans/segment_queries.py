@@ -336,7 +336,8 @@ def pairwise_distances(spark, sf_dir):
     "FROM r JOIN pairs p ON r.pair_id = p.pair_id WHERE i < len(a)) SELECT pair_id, round(costs[len(costs)], 6) + 0.0::DOUBLE AS cost FROM r JOIN pairs USING (pair_id) WHERE i = len(a)",
 )
 def dtw_cost(spark, sf_dir):
-    return pairs(spark, sf_dir).select("pair_id", rounded(align.dtw_cost(F.col("a"), F.col("b"))).alias("cost"))
+    frames_of = lambda c: F.transform(c, lambda v: F.array(v)).alias(c)
+    return align.dtw_paths(pairs(spark, sf_dir).select("pair_id", frames_of("a"), frames_of("b"))).select("pair_id", rounded("cost").alias("cost"))
 
 
 def _paths(spark, sf_dir) -> DataFrame:
@@ -352,6 +353,19 @@ def dtw_path(spark, sf_dir):
     return _paths(spark, sf_dir).select("pair_id", F.posexplode("path").alias("step", "p")).select("pair_id", "step", "p.i", "p.j")
 
 
+_BY_LABEL = "frames_of AS (SELECT label, list([embedding[1]::DOUBLE, embedding[2]::DOUBLE] ORDER BY vec_id) AS f FROM embeddings GROUP BY label), long_pairs AS (SELECT p.label AS pair_id, p.f AS a, q.f AS b FROM frames_of p JOIN frames_of q ON q.label = p.label + 1)"
+
+
+@query("m1_tiled_path", f"WITH {_BY_LABEL}, {A.paths('sqrt((x[1] - y[1]) * (x[1] - y[1]) + (x[2] - y[2]) * (x[2] - y[2]))', 'long_pairs')} SELECT pair_id, CAST(p[1] - 1 AS INTEGER) AS i, CAST(p[2] - 1 AS INTEGER) AS j FROM (SELECT pair_id, unnest(path) AS p FROM paths)")
+def tiled_path(spark, sf_dir):
+    """All vectors of a label, in order, as the frames of one signal against those of the next label; frames are rows, the matrix goes by tiles."""
+    v = F.array(*(F.get("embedding", i).cast("double") for i in (0, 1)))
+    rows = table(spark, sf_dir, "embeddings").select("label", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("k"), v.alias("v"))
+    left = rows.join(rows.select((F.col("label") - 1).alias("label")).distinct(), "label", "left_semi").withColumnRenamed("label", "pair_id")
+    right = rows.withColumn("label", F.col("label") - 1).join(rows.select("label").distinct(), "label", "left_semi").withColumnRenamed("label", "pair_id")
+    return align.tiled_paths(left, right, 32).select("pair_id", "i", "j")
+
+
 @query("m3_mel_cepstral_distortion")
 def distortion(spark, sf_dir):
     """Mel cepstra of the tones of each vector against those of the next one of its label."""
