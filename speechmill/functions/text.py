@@ -37,8 +37,13 @@ def token_kind(token: Column) -> Column:
 def latin_language(token: Column) -> Column:
     """hi or en for a Latin token: word lists first, then a hint inside and a vowel at the end."""
     low = F.lower(token)
-    hint = low.rlike("|".join(T.HINDI_HINTS)) & low.rlike("[aeiou]$")
-    return F.when(low.isin(list(T.LOANWORDS)), "hi").when(low.isin([*T.OVERRIDES, *T.PRONUNCIATIONS]), "en").when(hint, "hi").otherwise("en")
+    return F.when(low.isin(list(T.LOANWORDS)), "hi").when(low.isin([*T.OVERRIDES, *T.PRONUNCIATIONS]), "en").otherwise(hinted_language(token))
+
+
+def hinted_language(token: Column) -> Column:
+    """hi or en for a Latin token that is in no word list: a hint inside and a vowel at the end make it hi."""
+    low = F.lower(token)
+    return F.when(low.rlike("|".join(T.HINDI_HINTS)) & low.rlike("[aeiou]$"), "hi").otherwise("en")
 
 
 def script_runs(token: Column) -> Column:

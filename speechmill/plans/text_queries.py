@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions import text as X
-from ..operators import lm, translate
-from ..shared import written
+from ..operators import lm, pronounce, translate
+from ..shared import new_path, written
 from . import text_sql as Q
 from .registry import query, rounded, table
 
@@ -250,3 +250,61 @@ def contextual_bias(spark, sf_dir):
     grams = lm.counts(sentences(spark, sf_dir), 3)
     bias = lm.token_bias(logits.select("token_id", "token"), grams)
     return lm.contextual_bias(logits, bias, grams).select("hyp_id", "token_id", rounded("logit").alias("logit"))
+
+
+#: Letters as phones: each letter of a word becomes the phone at its place.
+_PHONES = list(T.ARPABET)[:26]
+_WORDS = "w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark))"
+_PHONED = f"(list_transform(regexp_extract_all(word, '.'), lambda lt: {_sql_map(dict(zip(_ROMAN, _PHONES, strict=True)))}[lt] || '1'))"
+_SAID = f"(array_to_string(list_transform(regexp_extract_all(word, '.'), lambda lt: {_sql_map({c: T.ARPABET[p] for c, p in zip(_ROMAN, _PHONES, strict=True)})}[lt]), ''))"
+
+
+def pronunciations(spark, sf_dir) -> DataFrame:
+    """A pronouncing dictionary, written as a file and read again: words of the benchmark, each with a second pronunciation that doesn't count."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("word")).distinct()
+    phones = F.transform(F.regexp_extract_all("word", F.lit("(.)"), 1), lambda c: F.concat(X.mapping(dict(zip(_ROMAN, _PHONES, strict=True)))[c], F.lit("1")))
+    first = words.select(F.concat_ws("  ", F.upper("word"), F.array_join(phones, " ")).alias("value"))
+    second = words.select(F.concat(F.upper("word"), F.lit("(2)  ZH0 # not this one")).alias("value"))
+    path = new_path(spark, "pronunciations")
+    second.unionByName(first).union(spark.createDataFrame([(";;; a comment",)], "value string")).write.text(path)
+    return pronounce.read_pronunciations(spark, path)
+
+
+@query("x15_pronunciations", f"WITH {_WORDS} SELECT word, array_to_string({_PHONED}, ' ') AS phones FROM w")
+def read_pronunciations(spark, sf_dir):
+    return pronunciations(spark, sf_dir).select("word", F.array_join("phones", " ").alias("phones"))
+
+
+_ENTRIES = f"""{_WORDS}, every AS (SELECT word, {_SAID} AS ipa, 'en' AS lang, 0 AS priority FROM w UNION ALL SELECT unnest(map_keys(m)), unnest(map_values(m)), 'en', 1 FROM (SELECT {_sql_map(T.OVERRIDES)} AS m)
+  UNION ALL SELECT word, 'c' || word, 'en', 2 FROM w WHERE length(word) = 5 UNION ALL SELECT unnest(map_keys(m)), unnest(map_values(m)), 'hi', 3 FROM (SELECT {_sql_map(T.LOANWORDS)} AS m) UNION ALL SELECT word, 'l' || word, 'hi', 4 FROM w WHERE length(word) = 3),
+entries AS (SELECT word, arg_max(ipa, (priority, ipa)) AS ipa, arg_max(lang, (priority, ipa)) AS lang FROM every GROUP BY word)"""
+_TOKENS = f"tokens AS (SELECT conv_id, turn, t[i] AS token, i FROM (SELECT conv_id, turn, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT conv_id, turn, {_TOK} AS t FROM conversations)))"
+_SPOKEN = f"""spoken AS (SELECT token, coalesce(e.ipa, {Q.let('ow', 'token', f"CASE {_KIND.replace('(w', '(ow')} WHEN 'hi' THEN {Q.hindi_to_ipa('ow')} WHEN 'latin' THEN {Q.let('el', 'lower(ow)', Q.english_to_ipa('el'))} ELSE ow END")}) AS ipa,
+  coalesce(e.lang, CASE WHEN regexp_matches(token, '[{T.DEVANAGARI}]') THEN 'hi' WHEN regexp_matches(token, '[A-Za-z]') THEN CASE WHEN regexp_matches(lower(token), '{'|'.join(T.HINDI_HINTS)}') AND regexp_matches(lower(token), '[aeiou]$') THEN 'hi' ELSE 'en' END END) AS lang
+  FROM (SELECT DISTINCT token FROM tokens) LEFT JOIN entries e ON regexp_matches(token, '[A-Za-z]') AND e.word = lower(token))"""
+
+
+def entries(spark, sf_dir) -> DataFrame:
+    """All dictionaries as one: the file, and words of the benchmark of three letters as loanwords and of five as a custom dictionary."""
+    said = pronunciations(spark, sf_dir)
+    made = lambda n, first: said.where(F.length("word") == n).select(F.upper("word").alias("word") if n == 5 else "word", F.concat(F.lit(first), "word").alias("ipa"))
+    return pronounce.dictionary(spark, made(3, "l"), made(5, "c"), said)
+
+
+@query("j2_spoken_words", f"WITH {_ENTRIES}, {_TOKENS}, {_SPOKEN} SELECT * FROM spoken")
+def spoken_words(spark, sf_dir):
+    tokens = turns(spark, sf_dir).select(F.explode(X.hinglish_tokens(F.col("text"))).alias("token"))
+    return pronounce.spoken(tokens, entries(spark, sf_dir))
+
+
+@query(
+    "j2_text_to_ipa",
+    f"""WITH {_ENTRIES}, {_TOKENS}, {_SPOKEN}, said AS (SELECT conv_id, turn, i, ipa, lang, last_value(lang IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM tokens JOIN spoken USING (token) WHERE ipa <> ''),
+texts AS (SELECT conv_id, turn, string_agg(CASE WHEN lang <> before THEN '| ' ELSE '' END || ipa, ' ' ORDER BY i) AS ipa FROM said GROUP BY conv_id, turn)
+SELECT c.conv_id, CAST(c.turn AS BIGINT) AS turn, coalesce({_TIGHT.format('ipa')}, '') AS ipa FROM conversations c LEFT JOIN texts USING (conv_id, turn)""",
+)
+def text_by_dictionary(spark, sf_dir):
+    """Whole turns by the dictionaries of j2_spoken_words."""
+    docs = turns(spark, sf_dir).select(F.struct("conv_id", "turn").alias("doc_id"), "text")
+    found = pronounce.converted(docs, entries(spark, sf_dir))
+    return found.select("doc_id.conv_id", "doc_id.turn", "ipa")
