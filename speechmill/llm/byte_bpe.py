@@ -2,8 +2,8 @@
 
 Method: the documents of a task are taken in parts of about PART_BYTES of text, and each part is one corpus: its distinct
 pieces are laid out as one row of symbols. An inverted index leads from each merge (the token a pair makes) to the positions
-where the pair stands. A heap gives the merges by rank; each is applied to all its positions at once and only the pairs with the
-two neighbours change. The ids of a part's pieces are then looked up for its documents, and nothing is kept from part to part: the
+where the pair stands. A heap gives the merges by rank; each is applied to all its positions at once (by array operations where there are
+many) and only the pairs with the two neighbours change. The ids of a part's pieces are then looked up for its documents, and nothing is kept from part to part: the
 work for a GB and the memory of a task are the same however large the input is.
 
 One corpus of the whole input would need either all distinct pieces in every task or a row per piece occurrence in a join; the
@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 from .common import kept, map_batches, texts
 
 #: Text of one corpus, about; a longer document stands alone.
-PART_BYTES = 8 << 20
+PART_BYTES = 32 << 20
+#: Merges that are due at so many places or more are applied to all of them by array operations.
+MANY = 128
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -97,12 +99,56 @@ def replay(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
         else:
             found.append(i)
 
+    symbols_of, right_of, left_of, due_of = (np.frombuffer(x, np.int32) for x in (symbols, right, left, due))  # views of the same memory
+
+    def made_by(keys: np.ndarray) -> np.ndarray:
+        different, back = np.unique(keys, return_inverse=True)
+        return np.fromiter((pair(k, -1) for k in different.tolist()), np.int64, len(different))[back]
+
+    def all_at_once(r: int, here: np.ndarray) -> bool:
+        """The merge at all its places, from left to right in effect; False, and nothing done, where places overlap or a pair of lower rank comes up on the way."""
+        here = here[due_of[here] == r]
+        j = right_of[here]
+        after = right_of[j].astype(np.int64)
+        if np.intersect1d(j, here, assume_unique=True).size:
+            return False
+        before = left_of[here]
+        joined = np.isin(before, j)  # the place before is merged too: by then it is r
+        old = np.where(joined, r, symbols_of[before])
+        on_left = np.where(before >= 0, made_by(old.astype(np.int64) * step + r), -1)
+        on_right = made_by(r * step + symbols_of[after].astype(np.int64))
+        if ((on_right >= 0) & (on_right < r)).any() or ((on_left >= 0) & (on_left < r)).any():
+            return False
+        symbols_of[here], symbols_of[j], due_of[j] = r, gone, -1
+        right_of[here] = after
+        left_of[after] = here
+        due_of[here] = on_right = made_by(r * step + symbols_of[after].astype(np.int64))
+        alone = (before >= 0) & ~joined
+        due_of[before[alone]] = on_left[alone]
+        merge, where = np.r_[on_right, on_left[alone]], np.r_[here, before[alone]]
+        merge, where = merge[merge >= 0], where[merge >= 0]
+        by = np.argsort(merge, kind="stable")
+        merge, where = merge[by], where[by]
+        for own in np.split(np.arange(len(merge)), np.flatnonzero(np.diff(merge)) + 1) if len(merge) else []:
+            s, found = int(merge[own[0]]), where[own].tolist()
+            if s in places:
+                places[s] += found
+            else:
+                heapq.heappush(heap, s)
+                places[s] = found
+        return True
+
     while heap:
         r = heapq.heappop(heap)
         here = places.pop(r)
         if r in start:
             a, b = start.pop(r)
+            if b - a + len(here) >= MANY:
+                if all_at_once(r, np.unique(np.r_[at[a:b], np.array(here, np.int64)])):
+                    continue
             here += at[a:b].tolist()
+        elif len(here) >= MANY and all_at_once(r, np.unique(np.array(here, np.int64))):
+            continue
         here.sort()
         waiting, later, r_step = set(), [], r * step
         for i in here:

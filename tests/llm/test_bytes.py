@@ -41,7 +41,9 @@ def test_byte_bpe_equals_library(spark, docs):
     assert sorted(bytes(r.decoded).decode() for r in back) == sorted(t for _, t in whole())
 
 
-def test_replay_order_with_lower_ranks_made_late():
+@pytest.mark.parametrize("many", [1, 5, 1 << 30])
+def test_replay_order_with_lower_ranks_made_late(monkeypatch, many):
+    monkeypatch.setattr(B, "MANY", many)
     # "bc" merges first and makes "abc", whose rank is lower than that of the next "bc"
     ranks = {b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"bc": 4, b"abcbc": 5}
 
@@ -59,6 +61,25 @@ def test_replay_order_with_lower_ranks_made_late():
     assert [np.frombuffer(x, "<u4").tolist() for x in B.replay(pieces, B.Ranks(ranks))] == [plain(p) for p in pieces]
 
 
+@pytest.mark.parametrize("many", [1, 5, 1 << 30])
+def test_replay_of_random_ranks(monkeypatch, many):
+    """Merges at many places go by array operations, others one by one: tables in which pairs of lower rank come up late, and runs of one letter."""
+    monkeypatch.setattr(B, "MANY", many)
+    rng = np.random.default_rng(many)
+    for _ in range(30):
+        made = list({bytes(rng.choice(list(b"abc"), rng.integers(2, 6)).tolist()) for _ in range(rng.integers(3, 25))})
+        ranks = {bytes([k]): k for k in range(256)} | {t: 256 + k for k, t in enumerate(made)}
+        pieces = list({bytes(rng.choice(list(b"abc"), rng.integers(1, 14)).tolist()) for _ in range(120)})
+
+        def plain(piece, ranks=ranks):
+            parts = [piece[i : i + 1] for i in range(len(piece))]
+            while best := min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None):
+                parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            return [ranks[p] for p in parts]
+
+        assert [np.frombuffer(x, "<u4").tolist() for x in B.replay(pieces, B.Ranks(ranks))] == [plain(p) for p in pieces]
+
+
 def test_parts_of_any_size_give_the_same_ids():
     e = B.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     texts = [t or "" for t in TEXTS]
