@@ -78,3 +78,20 @@ def required_index(labels: DataFrame, *codes: str) -> DataFrame:
 def merged_entries(rows: DataFrame) -> DataFrame:
     """rows(word, target, priority): the entry of the highest priority for each word."""
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("priority")))).where("nth = 1").drop("nth", "priority")
+
+
+def translated_texts(transcripts: DataFrame, ipa: DataFrame, words: DataFrame) -> DataFrame:
+    """utt_id, translation of transcripts(utt_id, full_text), by words(word, target): marks stay, then the lexicon, digits, else transliteration.
+
+    The stage takes what the text sounds like, as its place in a run has it, and makes no use of it: ipa only has to have the same utterances. Tokens are rows,
+    each distinct one is looked up and transliterated once.
+    """
+    del ipa
+    rows = transcripts.select("utt_id", F.posexplode(hinglish_tokens(F.col("full_text"), True)).alias("pos", "token"))
+    token = F.col("token")
+    known = looked_up(rows.select("token").distinct(), words)
+    by_rule = F.coalesce(F.when(token.rlike(DIGITS_OR_NONE), gujarati_digits(token)), transliterate(token))
+    said = known.select("token", F.when(~token.rlike(r"[\p{L}\p{N}]"), token).otherwise(F.coalesce("target", by_rule)).alias("said"))
+    parts = rows.join(said, "token").groupBy("utt_id").agg(F.array_sort(F.collect_list(F.struct("pos", "said"))).alias("parts"))  # the tokens of one text
+    texts = parts.select("utt_id", join_tokens(F.transform("parts", lambda p: p["said"])).alias("translation"))
+    return transcripts.select("utt_id").join(texts, "utt_id", "left").select("utt_id", F.coalesce("translation", F.lit("")).alias("translation"))

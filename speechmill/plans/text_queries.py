@@ -308,3 +308,12 @@ def text_by_dictionary(spark, sf_dir):
     docs = turns(spark, sf_dir).select(F.struct("conv_id", "turn").alias("doc_id"), "text")
     found = pronounce.converted(docs, entries(spark, sf_dir))
     return found.select("doc_id.conv_id", "doc_id.turn", "ipa")
+
+
+@query("x28_translated_texts", f"SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce({Q.translated('text', T.SAMPLE_LEXICON)}, '') AS translation FROM conversations")
+def translated_texts(spark, sf_dir):
+    """The translation stage: takes texts and what they sound like, and makes use of the texts alone."""
+    docs = turns(spark, sf_dir).select(F.struct("conv_id", "turn").alias("utt_id"), F.col("text").alias("full_text"))
+    ipa = docs.select("utt_id", F.lit("").alias("ipa"))
+    found = translate.translated_texts(docs, ipa, translate.lexicon(spark, T.SAMPLE_LEXICON))
+    return found.select("utt_id.conv_id", "utt_id.turn", "translation")
