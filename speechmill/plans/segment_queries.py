@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import signal
 from ..operators import align, decode, intervals, scoring, segments, spectral
 from . import align_sql as A
-from .registry import FRAMES, frames, query, rounded, run_sql, table
+from . import spectral_sql as Z
+from .registry import FRAMES, SIGNALS, frames, query, rounded, run_sql, table
 
 def _times(df: DataFrame, *more: str) -> DataFrame:
     return df.select("utt_id", "seg_id", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "lang", *more)
@@ -366,7 +367,14 @@ def tiled_path(spark, sf_dir):
     return align.tiled_paths(left, right, 32).select("pair_id", "i", "j")
 
 
-@query("m3_mel_cepstral_distortion")
+_MEL = f"""mel AS MATERIALIZED (SELECT vec_id, list(c ORDER BY k) AS c FROM (SELECT vec_id, k, list(v ORDER BY c) AS c FROM cepstra GROUP BY vec_id, k) GROUP BY vec_id),
+mel_pairs AS (SELECT n.vec_id AS pair_id, p.c AS a, q.c AS b FROM (SELECT vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS other FROM embeddings) n JOIN mel p ON p.vec_id = n.vec_id JOIN mel q ON q.vec_id = n.other)"""
+
+
+@query(
+    "m3_mel_cepstral_distortion",
+    f"WITH {SIGNALS}, {Z.cepstra('mfcc')}, {_MEL}, {A.paths('list_distance(x, y)', 'mel_pairs')} SELECT pair_id, round({align.MCD_FACTOR!r}::DOUBLE * list_sum(list_transform(path, lambda st: list_distance(a[st[1]], b[st[2]]))) / len(path), 5) AS mcd FROM paths",
+)
 def distortion(spark, sf_dir):
     """Mel cepstra of the tones of each vector against those of the next one of its label."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
@@ -374,7 +382,7 @@ def distortion(spark, sf_dir):
     after = F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id"))
     both = table(spark, sf_dir, "embeddings").select("vec_id", after.alias("other")).where("other is not null")
     both = both.join(frames.withColumnRenamed("c", "a"), "vec_id").join(frames.select(F.col("vec_id").alias("other"), F.col("c").alias("b")), "other")
-    return align.mel_cepstral_distortion(align.dtw_paths(both.select(F.col("vec_id").alias("pair_id"), "a", "b")))
+    return align.mel_cepstral_distortion(align.dtw_paths(both.select(F.col("vec_id").alias("pair_id"), "a", "b"))).select("pair_id", F.round("mcd", 5).alias("mcd"))
 
 
 _BUNDLE = ("wer", "mcd", "eer", "lid_switching_accuracy", "anti_spoof_accuracy", "anti_spoof_validation_loss", "snr_db", "epsilon")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signal as S
 from ..operators import scoring, spectral
+from . import spectral_sql as Z
 from .registry import FRAMES, SIGNALS, frames, query, rounded, signals, table
 
 
@@ -122,24 +123,41 @@ def spectral_floor(spark, sf_dir):
     return spectral.subtracted(powers).select(F.col("frame_idx").alias("vec_id"), "bin", F.round("power", 6).alias("power"))
 
 
-def _features(kind: str, width: int) -> None:
-    @query(f"m_features_{kind}")
+def _features(kind: str) -> None:
+    @query(f"m_features_{kind}", f"WITH {SIGNALS}, {Z.cepstra(kind)} SELECT vec_id, CAST(k AS INTEGER) AS frame_idx, CAST(c AS INTEGER) AS c, round(v, 4) + 0.0::DOUBLE AS v FROM cepstra")
     def run(spark, sf_dir):
-        return spectral.features(spectral.tones(signals(spark, sf_dir)), kind)
+        rows = spectral.features(spectral.tones(signals(spark, sf_dir)), kind)
+        return rows.select("vec_id", "frame_idx", F.posexplode("coefficients").alias("c", "v")).select("vec_id", "frame_idx", "c", rounded("v", 4).alias("v"))
 
 
-for _kind, _width in (("mfcc", 13), ("lfcc", 20), ("cqcc", 20)):
-    _features(_kind, _width)
+for _kind in spectral.KINDS:
+    _features(_kind)
 
 
-@query("p5_resample")
+def _parts(rows, size: int):
+    """Sums and energies of parts of so many samples."""
+    each = rows.select("vec_id", F.posexplode("y").alias("i", "v")).groupBy("vec_id", F.floor(F.col("i") / size).alias("part"))
+    return each.agg(F.count("*").alias("n"), rounded(F.sum("v"), 5).alias("total"), rounded(F.sum(F.col("v") * F.col("v")), 5).alias("energy"))
+
+
+def _parts_sql(size: int) -> str:
+    return f"SELECT vec_id, i // {size} AS part, count(*) AS n, round(sum(v), 5) + 0.0::DOUBLE AS total, round(sum(v * v), 5) + 0.0::DOUBLE AS energy FROM samples GROUP BY ALL"
+
+
+@query("p5_resample", f"WITH {SIGNALS}, {Z.HALVED} {_parts_sql(20)}")
 def resample(spark, sf_dir):
-    return spectral.resampled(spectral.tones(signals(spark, sf_dir)), 16_000, 8_000)
+    return _parts(spectral.resampled(spectral.tones(signals(spark, sf_dir)), 16_000, 8_000), 20)
 
 
-@query("m9_spectral_subtraction")
+@query("m9_spectral_subtraction", f"WITH {SIGNALS}, {Z.SUBTRACTED} {_parts_sql(40)}")
 def spectral_subtraction(spark, sf_dir):
-    return spectral.denoised(spectral.tones(signals(spark, sf_dir)))
+    return _parts(spectral.denoised(spectral.tones(signals(spark, sf_dir))), 40)
+
+
+@query("m10_denoise_strategies", f"WITH {SIGNALS}, {Z.TONES}, samples AS (SELECT vec_id, unnest(y) AS v, unnest(range(len(y))) AS i FROM tone) {_parts_sql(400)}")
+def denoise_strategies(spark, sf_dir):
+    """The strategy that leaves signals as they are."""
+    return _parts(spectral.denoised(spectral.tones(signals(spark, sf_dir)), "none"), 400)
 
 
 @query("m11_pitch_contour")
