@@ -160,6 +160,7 @@ def denoise_strategies(spark, sf_dir):
     return _parts(spectral.denoised(spectral.tones(signals(spark, sf_dir)), "none"), 400)
 
 
-@query("m11_pitch_contour")
+@query("m11_pitch_contour", f"WITH {SIGNALS}, {Z.PITCH} SELECT vec_id, CAST(k AS INTEGER) AS frame_idx, round(k * 256 / 16000.0::DOUBLE, 6) AS t, round(f0, 3) + 0.0::DOUBLE AS f0, round(energy, 6) AS energy FROM pitch JOIN louds USING (vec_id, k)")
 def pitch_contour(spark, sf_dir):
-    return spectral.contours(spectral.tones(signals(spark, sf_dir)))
+    found = spectral.contours(spectral.tones(signals(spark, sf_dir)))
+    return found.select("vec_id", "frame_idx", rounded("t").alias("t"), rounded("f0", 3).alias("f0"), rounded("energy").alias("energy"))

@@ -60,7 +60,8 @@ plain AS MATERIALIZED (SELECT vec_id, k, c - {first} AS c, list_dot_product(x, w
 
 #: Common table expressions that end in samples(vec_id, i, v): tone at half its rate, by a windowed sinc of 65 taps.
 HALVED = f"""{TONES}, taps AS (SELECT list((CASE WHEN g = 0 THEN 0.5 ELSE sin({PI} * g / 2) / ({PI} * g) END) * (0.5 + 0.5 * cos({PI} * g / 32)) ORDER BY g) AS w FROM range(-32, 33) a(g)),
-samples AS (SELECT vec_id, i, list_dot_product(p[2 * i + 1:2 * i + 65], w) AS v FROM (SELECT vec_id, list_transform(range(32), lambda z: 0.0::DOUBLE) || y || list_transform(range(32), lambda z: 0.0::DOUBLE) AS p, unnest(range(2000)) AS i FROM tone), taps)"""
+cut AS MATERIALIZED (SELECT vec_id, unnest(range(2000)) AS i, unnest(list_transform(range(2000), lambda i: p[2 * i + 1:2 * i + 65])) AS x FROM (SELECT vec_id, list_transform(range(32), lambda z: 0.0::DOUBLE) || y || list_transform(range(32), lambda z: 0.0::DOUBLE) AS p FROM tone)),
+samples AS (SELECT vec_id, i, list_dot_product(x, w) AS v FROM cut, taps)"""
 
 #: Common table expressions that end in samples(vec_id, i, v): tone less twice the mean power of its first ten frames in each bin, with the phases as they were.
 SUBTRACTED = f"""{TONES}, {spectrum(512, 128)},
@@ -70,3 +71,14 @@ lists AS MATERIALIZED (SELECT vec_id, k, list(re ORDER BY f) AS re, list(im ORDE
 back AS MATERIALIZED (SELECT i, any_value({_window(512, 512)}) AS w, list(cos(2 * {PI} * ((f * i) % 512) / 512) ORDER BY f) AS c, list(sin(2 * {PI} * ((f * i) % 512) / 512) ORDER BY f) AS s FROM range(512) a(i), range(257) b(f) GROUP BY i),
 laid AS (SELECT vec_id, k * 128 + i - 256 AS i, sum(w * (list_dot_product(re, c) - list_dot_product(im, s))) AS v, sum(w * w) AS norm FROM lists, back GROUP BY vec_id, k * 128 + i - 256),
 samples AS (SELECT vec_id, i, v / (CASE WHEN norm > 1e-10 THEN norm ELSE 1 END) AS v FROM laid WHERE i >= 0 AND i < 4000)"""
+
+#: Common table expressions that end in pitch(vec_id, k, f0, energy): frames of 2,048 samples every 256; the first lag of 32 to 319 whose difference, over the mean of those up to
+#: it, is under 0.15 and then falls no further, placed by a parabola; 0 without one and in silence.
+PITCH = f"""{TONES}, framed AS MATERIALIZED (SELECT vec_id, k, p[k * 256 + 1:k * 256 + 2048] AS x FROM (SELECT vec_id, p, unnest(range((len(p) - 2048) // 256 + 1)) AS k FROM (SELECT vec_id, list_reverse(y[2:1025]) || y || list_reverse(y[len(y) - 1024:len(y) - 1]) AS p FROM tone))),
+gaps AS MATERIALIZED (SELECT vec_id, k, list_dot_product(x, x) AS power, list_transform(range(321), lambda g: list_dot_product(x[1:1024], x[1:1024]) + list_dot_product(x[g + 1:g + 1024], x[g + 1:g + 1024]) - 2 * list_dot_product(x[1:1024], x[g + 1:g + 1024])) AS d FROM framed),
+sums AS (SELECT vec_id, k, power, g, d[g + 1] AS d, sum(d[g + 1]) OVER (PARTITION BY vec_id, k ORDER BY g) AS total FROM (SELECT *, unnest(range(321)) AS g FROM gaps)),
+scaled AS MATERIALIZED (SELECT vec_id, k, any_value(power) AS power, list(d * g / greatest(total, 1e-12) ORDER BY g) AS d FROM sums GROUP BY vec_id, k),
+under AS (SELECT *, list_filter(range(32, 320), lambda g: d[g + 1] < 0.15::DOUBLE)[1] AS low FROM scaled),
+dips AS (SELECT *, list_filter(range(low, 320), lambda g: g = 319 OR NOT d[g + 2] < d[g + 1])[1] AS lag FROM under),
+pitch AS (SELECT vec_id, k, CASE WHEN lag IS NULL OR power <= 1e-8 THEN 0 ELSE 16000 / (lag + CASE WHEN abs(d[lag] - 2 * d[lag + 1] + d[lag + 2]) > 1e-12 THEN 0.5 * (d[lag] - d[lag + 2]) / (d[lag] - 2 * d[lag + 1] + d[lag + 2]) ELSE 0 END) END AS f0 FROM dips),
+louds AS (SELECT vec_id, k, sqrt(list_dot_product(x, x) / 1024) AS energy FROM (SELECT vec_id, k, p[k * 256 + 1:k * 256 + 1024] AS x FROM (SELECT vec_id, p, unnest(range((len(p) - 1024) // 256 + 1)) AS k FROM (SELECT vec_id, list_reverse(y[2:513]) || y || list_reverse(y[len(y) - 512:len(y) - 1]) AS p FROM tone))))"""
