@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signal as S
 from ..functions import tables as T
-from ..operators import detect, lm, prosody, spectral, transcribe, translate
+from ..operators import detect, lm, prosody, scoring, spectral, transcribe, translate
 from ..shared import new_path
 from ..sources import audio, tables
 from . import align_sql as A
@@ -278,3 +278,51 @@ def frames_with_labels(spark, sf_dir):
     """Two sequences by place: columns of one row, no join."""
     labels = F.transform("x", lambda v, i: i % 2)
     return signals(spark, sf_dir).select("vec_id", F.posexplode(F.arrays_zip(F.col("x").alias("v"), labels.alias("label"))).alias("i", "r")).select("vec_id", "i", rounded("r.v").alias("v"), "r.label")
+
+
+def _epochs_sql(epochs: int) -> str:
+    """Common table expressions of so many epochs over whole batches: w1 .. hold the weights (k, the bias last), p1 .. the probabilities."""
+    steps = ["""e AS (SELECT vec_id, label % 2 AS y, CASE WHEN vec_id % 4 = 0 THEN 'val' ELSE 'train' END AS part, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings),
+moments AS (SELECT k, avg(v) AS m, CASE WHEN stddev_pop(v) < 1e-8 THEN 1 ELSE stddev_pop(v) END AS s FROM e WHERE part = 'train' GROUP BY k),
+z AS MATERIALIZED (SELECT vec_id, y, part, k, (v - m) / s AS v FROM e JOIN moments USING (k) UNION ALL SELECT DISTINCT vec_id, y, part, (SELECT max(k) + 1 FROM e), 1.0::DOUBLE FROM e),
+w0 AS (SELECT DISTINCT k, 0.0::DOUBLE AS w FROM z), p0 AS MATERIALIZED (SELECT vec_id, y, part, 0.5::DOUBLE AS p FROM z GROUP BY ALL)"""]
+    for n in range(1, epochs + 1):
+        steps.append(f"""w{n} AS MATERIALIZED (SELECT k, w - (g + CASE WHEN k = (SELECT max(k) FROM z) THEN 0 ELSE 0.01::DOUBLE * w END) AS w FROM w{n - 1} JOIN (SELECT k, avg((p - p{n - 1}.y) * v) AS g FROM z JOIN p{n - 1} USING (vec_id) WHERE z.part = 'train' GROUP BY k) USING (k)),
+p{n} AS MATERIALIZED (SELECT vec_id, y, part, 1 / (1 + exp(-sum(v * w))) AS p FROM z JOIN w{n} USING (k) GROUP BY vec_id, y, part)""")
+    return ", ".join(steps)
+
+
+_LOSS = "-(y * ln(greatest(1e-7, least(1 - 1e-7, p))) + (1 - y) * ln(1 - greatest(1e-7, least(1 - 1e-7, p))))"
+
+
+def _by_epochs(spark, sf_dir) -> tuple[DataFrame, str]:
+    """The vectors, standardised, and the folder of three epochs over them; a quarter of them is kept for validation."""
+    part = F.when(F.col("vec_id") % 4 == 0, "val").otherwise("train")
+    rows = signals(spark, sf_dir).select("vec_id", F.col("x").alias("pooled"), (F.col("label") % 2).alias("label"), part.alias("part"))
+    rows, folder = detect.standardised(rows), new_path(spark, "epochs-of")
+    detect.fit_epochs(rows, folder, 3)
+    return rows, folder
+
+
+@query("l6_training_history", f"WITH {_epochs_sql(3)}, every AS ({' UNION ALL '.join(f'SELECT {n} AS n, * FROM p{n}' for n in (1, 2, 3))}) SELECT CAST(n - 1 AS INTEGER) AS epoch, round(avg({_LOSS}) FILTER (part = 'train'), 6) AS train_loss, round(avg({_LOSS}) FILTER (part = 'val'), 6) AS val_loss, round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0 END) FILTER (part = 'val'), 6) AS val_accuracy FROM every GROUP BY n")
+def training_history(spark, sf_dir):
+    _, folder = _by_epochs(spark, sf_dir)
+    return detect.history(spark, folder, 3).select("epoch", *(F.round(c, 6).alias(c) for c in ("train_loss", "val_loss", "val_accuracy")))
+
+
+@query("l7_scores_of_epochs", f"WITH {_epochs_sql(3)} SELECT vec_id, round(p, 6) AS p, CASE WHEN p >= 0.5 THEN 'bona_fide' ELSE 'spoof' END AS decision FROM p3")
+def scores_of_epochs(spark, sf_dir):
+    """All vectors by the model of the last epoch, as it was written."""
+    rows, folder = _by_epochs(spark, sf_dir)
+    last = detect.epochs_of(spark, folder, 3)[-1]
+    scored = rows.select("vec_id", detect.probability(last.weights, last.bias).alias("p"))
+    return scored.select("vec_id", F.round("p", 6).alias("p"), scoring.decision(F.col("p")).alias("decision"))
+
+
+@query("l8_s10_evaluated_epoch", f"WITH {_epochs_sql(3)} SELECT round(avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy, round(avg({_LOSS}), 6) AS loss, count(*) AS n FROM p3 WHERE part = 'val'")
+def evaluated_epoch(spark, sf_dir):
+    """The written model of the last epoch on the part kept for validation."""
+    rows, folder = _by_epochs(spark, sf_dir)
+    last = detect.epochs_of(spark, folder, 3)[-1]
+    found = scoring.accuracy_and_loss(rows.where("part = 'val'").select("label", detect.probability(last.weights, last.bias).alias("p")))
+    return found.select(F.round("accuracy", 6).alias("accuracy"), F.round("loss", 6).alias("loss"), "n")
