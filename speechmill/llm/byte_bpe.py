@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import re
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import kept, map_batches, texts
 
 #: Text of one corpus, about; a longer document stands alone.
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 #: Merges that are due at so many places or more are applied to all of them by array operations.
 MANY = 128
 
@@ -52,17 +53,30 @@ class Ranks(dict):
                 if a is not None and b is not None:
                     self.pairs[a * self.step + b] = r
         self.byte_rank = np.array([self.get(bytes([k]), -1) for k in range(256)], np.int64)
+        spelt = [self.spell.get(r, b"") for r in range(max(self.spell) + 1)]
+        self.spelt, self.spelt_size = np.frombuffer(b"".join(spelt), np.uint8), np.array([len(x) for x in spelt], np.int64)
+        self.spelt_at = np.cumsum(self.spelt_size) - self.spelt_size
 
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        return self.spelt[places_of(self.spelt_at, self.spelt_size, ids)].tobytes()
 
-def replay(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
-    """The ids of each piece as little-endian unsigned 32-bit integers.
+
+def places_of(starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The places of the given segments, one segment after the other."""
+    n = sizes[which]
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - (ends - n), n)
+
+
+def replay(pieces: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all pieces one after the other (unsigned 32-bit integers), and how many each piece has.
 
     All pieces stand in one row of symbols with a gap after each. `places` is the inverted index: merge to positions of its
     pair. Ties between equal pairs go to the left one. A piece in which a merge makes a pair of lower rank waits with its
     other positions until that pair is done; so each piece sees its merges in just the order it would see alone.
     """
     if not pieces:
-        return []
+        return np.zeros(0, "<u4"), np.zeros(0, np.int64)
     step, pair = ranks.step, ranks.pairs.get
     gap, gone = step - 2, step - 1
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -177,10 +191,7 @@ def replay(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
             wait(r, i)
 
     row = np.frombuffer(symbols, np.int32)
-    ids = row[row < gap].astype("<u4").tobytes()
-    counts = np.add.reduceat((row < gap).astype(np.int64), np.r_[0, ends[:-1] + 1])
-    stops = (4 * np.cumsum(counts)).tolist()
-    return [ids[a:b] for a, b in zip([0, *stops], stops)]
+    return row[row < gap].astype("<u4"), np.add.reduceat((row < gap).astype(np.int64), np.r_[0, ends[:-1] + 1])
 
 
 class Encoder:
@@ -214,22 +225,33 @@ class Encoder:
             out.insert(0, first)
         return out
 
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        cut = [self.pieces(x) for x in new]
-        corpus = list(dict.fromkeys(p for x in cut for p in x))
-        packed = dict(zip(corpus, replay([p.encode("utf-8", "surrogatepass") for p in corpus], self.ranks), strict=True))
-        return {x: b"".join([packed[p] for p in ps]) for x, ps in zip(new, cut, strict=True)}
+    def learn(self, chunks: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks one after the other, and how many each has. A piece that is a whole chunk is the same string, kept once."""
+        pieces: dict[str, int] = {}
+        of_chunk, n_pieces = array("i"), array("i")
+        for c in chunks:
+            cut = self.pieces(c)
+            if len(cut) == 1 and len(cut[0]) == len(c):
+                cut[0] = c
+            n_pieces.append(len(cut))
+            for p in cut:
+                of_chunk.append(pieces.setdefault(p, len(pieces)))
+        ids, sizes = replay([p.encode("utf-8", "surrogatepass") for p in pieces], self.ranks)
+        which = np.frombuffer(of_chunk, np.int32) if of_chunk else np.zeros(0, np.int32)
+        ends = np.cumsum(np.frombuffer(n_pieces, np.int32)) if n_pieces else np.zeros(0, np.int64)
+        upto = np.r_[0, np.cumsum(sizes[which])][np.r_[0, ends]]
+        return ids[places_of(np.cumsum(sizes) - sizes, sizes, which)], np.diff(upto)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; the texts are one corpus."""
-        known: set[str] = set()
-        for x in batch:
-            known.update(self.chunks(x))
-        ids = self.learn(list(known)).__getitem__
-        return [b"".join(map(ids, self.chunks(x))) for x in batch]
+        known: dict[str, int] = {}
+        places = [array("i", [known.setdefault(c, len(known)) for c in self.chunks(x)]) for x in batch]
+        ids, sizes = self.learn(known)
+        starts = np.cumsum(sizes) - sizes
+        return [ids[places_of(starts, sizes, np.frombuffer(x, np.int32))].tobytes() if x else b"" for x in places]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.ranks.spell.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.ranks.bytes_of(np.frombuffer(ids, "<u4")) if ids else b""
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
