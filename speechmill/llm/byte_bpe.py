@@ -53,6 +53,9 @@ class Ranks(dict):
                 if a is not None and b is not None:
                     self.pairs[a * self.step + b] = r
         self.byte_rank = np.array([self.get(bytes([k]), -1) for k in range(256)], np.int64)
+        first = [int(r) for r in self.byte_rank]
+        #: What two bytes make, at 256 times the one and the other; -1 for nothing.
+        self.byte_pairs = np.array([self.pairs.get(a * self.step + b, -1) if a >= 0 and b >= 0 else -1 for a in first for b in first], np.int32)
         spelt = [self.spell.get(r, b"") for r in range(max(self.spell) + 1)]
         self.spelt, self.spelt_size = np.frombuffer(b"".join(spelt), np.uint8), np.array([len(x) for x in spelt], np.int64)
         self.spelt_at = np.cumsum(self.spelt_size) - self.spelt_size
@@ -79,21 +82,19 @@ def replay(pieces: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, "<u4"), np.zeros(0, np.int64)
     step, pair = ranks.step, ranks.pairs.get
     gap, gone = step - 2, step - 1
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    ends = np.cumsum(sizes + 1) - 1  # places of the gaps
-    row = np.full(int(ends[-1]) + 1, gap, np.int64)
-    inside = np.ones(len(row), bool)
-    inside[ends] = False
-    row[inside] = ranks.byte_rank[np.frombuffer(b"".join(pieces), np.uint8)]
+    ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1) - 1  # places of the gaps
+    raw = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+    row = ranks.byte_rank.astype(np.int32)[raw]
+    row[ends] = gap
     # arrays of small integers: lists would hold an object for each
-    symbols = array("i", row.astype(np.int32).tobytes())
+    symbols = array("i", row.tobytes())
     right = array("i", np.arange(1, len(row) + 1, dtype=np.int32).tobytes())
     left = array("i", np.arange(-1, len(row) - 1, dtype=np.int32).tobytes())
 
     # merges of two single bytes, by rank and position
-    keys, which = np.unique(row[:-1] * step + row[1:], return_inverse=True)
-    del row
-    made = np.fromiter((pair(k, -1) for k in keys.tolist()), np.int64, len(keys))[which]
+    made = np.append(ranks.byte_pairs[raw[:-1].astype(np.int32) * 256 + raw[1:]], np.int32(-1))
+    made[ends] = made[ends[ends > 0] - 1] = -1
+    del row, raw
     at = np.flatnonzero(made >= 0)
     at = at[np.argsort(made[at], kind="stable")]
     merges, first = np.unique(made[at], return_index=True)
@@ -102,8 +103,8 @@ def replay(pieces: list[bytes], ranks: Ranks) -> tuple[np.ndarray, np.ndarray]:
     places: dict[int, list[int]] = {r: [] for r in start}
     heap = merges.tolist()
     # the merge of the pair that begins at each position, -1 for none: tells which entries of the index still hold
-    due = array("i", np.append(made, -1).astype(np.int32).tobytes())
-    del made, which
+    due = array("i", made.tobytes())
+    del made
 
     def wait(merge: int, i: int) -> None:
         found = places.get(merge)
