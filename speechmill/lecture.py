@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import signal
-from .operators import detect, intervals, prosody, pronounce, scoring, segments, spectral, transcribe, translate
+from .operators import detect, intervals, pitch, prosody, pronounce, scoring, segments, spectral, transcribe, translate
 from .shared import new_path
 from .ship import ship
 from .sources import audio
@@ -92,7 +92,10 @@ def _curves(frames: DataFrame, to: str) -> DataFrame:
 
 
 def warped(run: Run, lecture_contours: DataFrame, voice_contours: DataFrame, voice: DataFrame) -> DataFrame:
-    pairs = _curves(lecture_contours, "a").join(_curves(voice_contours, "b"), "pair_id").join(voice.select(F.col("utt_id").alias("pair_id"), "x"), "pair_id")
+    """The voice at the lecture's median pitch, with the lecture's energy along the alignment of the two."""
+    named = lambda df: df.withColumnRenamed("utt_id", "vec_id")
+    moved = pitch.shifted(named(voice.select("utt_id", "x")), pitch.ratios_of(named(lecture_contours), named(voice_contours)))
+    pairs = _curves(lecture_contours, "a").join(_curves(voice_contours, "b"), "pair_id").join(moved.select(F.col("vec_id").alias("pair_id"), F.col("y").alias("x")), "pair_id")
     return prosody.mapped_prosody(pairs, HOP).withColumnRenamed("pair_id", "utt_id")
 
 

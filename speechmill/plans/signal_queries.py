@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import functions as F
 
 from ..functions import signal as S
-from ..operators import scoring, spectral
+from ..operators import pitch, scoring, spectral
+from ..shared import written
 from . import spectral_sql as Z
 from .registry import FRAMES, SIGNALS, frames, query, rounded, signals, table
 
@@ -164,3 +166,14 @@ def denoise_strategies(spark, sf_dir):
 def pitch_contour(spark, sf_dir):
     found = spectral.contours(spectral.tones(signals(spark, sf_dir)))
     return found.select("vec_id", "frame_idx", rounded("t").alias("t"), rounded("f0", 3).alias("f0"), rounded("energy").alias("energy"))
+
+
+@query("m12_shifted_pitch", "SELECT vec_id, 4000 AS n, 1.0::DOUBLE AS measured, CASE WHEN label % 2 = 0 THEN 1.25::DOUBLE ELSE 0.8::DOUBLE END AS ratio FROM embeddings")
+def shifted_pitch(spark, sf_dir):
+    """A tone for each vector, as high as its id says, with its pitch changed by a ratio after its label: what the pitch then measures over what it should."""
+    rows = signals(spark, sf_dir).select("vec_id", F.when(F.col("label") % 2 == 0, 1.25).otherwise(0.8).alias("ratio"), (F.lit(150.0) + 10 * (F.col("vec_id") % 8)).alias("f0"))
+    tones = rows.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(3999)), lambda i: F.lit(0.3) * F.sin(2 * math.pi * F.col("f0") * i / 16_000)).alias("x"))
+    y = written(pitch.shifted(written(tones, "tones"), rows.select("vec_id", "ratio")), "shifted")
+    heard = spectral.contours(y.withColumnRenamed("y", "x")).where("f0 > 0").groupBy("vec_id").agg(F.median("f0").alias("heard"))
+    measured = F.round(F.col("heard") / (F.col("f0") * F.col("ratio")), 1)
+    return rows.join(heard, "vec_id").join(y.select("vec_id", F.size("y").alias("n")), "vec_id").select("vec_id", "n", measured.alias("measured"), "ratio")
