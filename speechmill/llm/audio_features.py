@@ -7,7 +7,8 @@ tensors of fixed shape TENSOR = (frames, bands) with the time span of each; the
 
 Memory: one recording at a time, its samples as floats and all its log-mel rows; spectra are made block by block.
 
-Defined results: null text is an empty text, whose payload is one unit of padding; other columns are not read; repeated rows give repeated rows.
+Defined results: null text is an empty text, whose payload is one unit of padding; other columns are not read; repeated rows give repeated rows; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ work for a GB and the memory of a task are the same however large the input is.
 One corpus of the whole input would need either all distinct pieces in every task or a row per piece occurrence in a join; the
 first has no bound and the second shuffles several times the input. The ids are the same, as a merge never reaches beyond its piece.
 
-Defined results: null text is empty text; an empty text has no ids; repeated rows are encoded one by one; columns other than the id and the text are not read; a null id stays null.
+Defined results: null text is empty text; an empty text has no ids; repeated rows are encoded one by one; columns other than the id and the text are not read; a null id stays null; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations

@@ -13,8 +13,10 @@ their id. Spark counts in how many texts of either kind each feature occurs; the
 their spread enter the fit. Scoring covers every whole text. Features are presences, so the weight of one toxic word doesn't
 shrink with the length of the text.
 
-Defined results: null text is empty; an empty text has the score of the bias alone; without positives each score is 0; repeated rows are
-scored one by one; null labels are unlabelled; null doc_id counts as the empty string in the fold; other columns are not read.
+Defined results: null text is empty; an empty text has the score of the bias alone; without positives, or with nothing unlabelled beside them, each
+score is that of a bias of -60 (under 1e-26); repeated rows are
+scored one by one; null labels are unlabelled; null doc_id counts as the empty string in the fold; other columns are not read; an
+empty table gives an empty table. reject() goes row by row: null and empty texts and repeats are rows like others, and all columns stay.
 """
 
 from __future__ import annotations
