@@ -30,7 +30,7 @@ OPERATORS = {
     "op3": stream_dedup.deduplicate,
     "op2": jaccard_join.near_duplicates,
     "op4": lambda d: mixing.mix(d, budget_share=0.9, max_epochs=1),
-    "op9": lambda d: backoff_lm.score(d).select("doc_id", "n_tokens"),
+    "op9": lambda d: backoff_lm.score(d, parts=1).select("doc_id", "n_tokens"),
     "op12": host_rules.keep_good,
 }
 
