@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as T
 from ..functions.text import DIGITS_OR_NONE, gujarati_digits, hinglish_tokens, join_tokens, mapping, transliterate
+from ..shared import written
 
 #: Dictionaries up to this number of entries go to all tasks.
 MAX_BROADCAST_ENTRIES = 200_000
@@ -62,6 +63,15 @@ def class_labels(spark: SparkSession, labels: list[str] | None = None) -> DataFr
     return spark.createDataFrame(list(enumerate(labels or T.CLASS_CODES)), "idx int, label string")
 
 
+def numbered(labels: DataFrame) -> DataFrame:
+    """labels(label), all different, with idx: their places in order from 0. Ranges of the order are tasks of their own; a range starts after the sizes of those before it."""
+    ranged = written(labels.select("label").repartitionByRange("label").withColumn("range", F.spark_partition_id()), "labels")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("label")) - 1
+    return ranged.withColumn("place", place).join(F.broadcast(sizes), "range").select("label", (F.col("before") + F.col("place")).alias("idx"))
+
+
 def class_index(labels: DataFrame) -> DataFrame:
     """labels(label, idx) to code, idx: the first class of each code; what follows a hyphen doesn't count."""
     code = F.split(F.trim(F.lower("label")), "-")[0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
@@ -101,9 +101,8 @@ def language_code(spark, sf_dir):
 
 @query("p14_label_index", "WITH l AS (SELECT DISTINCT lang || '-' || source AS label FROM documents), n AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS idx FROM l) SELECT split_part(trim(lower(label)), '-', 1) AS code, min(idx) AS idx FROM n GROUP BY code")
 def label_index(spark, sf_dir):
-    labels = table(spark, sf_dir, "documents").select(F.concat_ws("-", "lang", "source").alias("label")).distinct()  # a label list is a small dimension
-    numbered = labels.withColumn("idx", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))
-    return translate.class_index(numbered)
+    labels = table(spark, sf_dir, "documents").select(F.concat_ws("-", "lang", "source").alias("label")).distinct()
+    return translate.class_index(translate.numbered(labels))
 
 
 _LEX = ", ".join(f"('{_re(k)}', '{v}')" for k, v in T.SAMPLE_LEXICON.items())
