@@ -448,7 +448,9 @@ _CAND = "cand AS (SELECT user_id AS utt_id, event_id % 7 AS hyp_id, event_id AS
 
 
 def candidates(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("utt_id"), (F.col("event_id") % 7).alias("hyp_id"), F.col("event_id").alias("token_id"), F.ln(F.col("value") / 1000).alias("logprob"))
+    # the logarithm of 0 is null in Spark, but a token of probability 0 must pull its hypothesis down, not leave its sum
+    logprob = F.when(F.col("value") == 0, -float("inf")).otherwise(F.ln(F.col("value") / 1000))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("utt_id"), (F.col("event_id") % 7).alias("hyp_id"), F.col("event_id").alias("token_id"), logprob.alias("logprob"))
 
 
 @query("k2_top_tokens", f"WITH {_CAND} SELECT utt_id, hyp_id, token_id FROM cand QUALIFY row_number() OVER (PARTITION BY utt_id, hyp_id ORDER BY logprob DESC, token_id) <= 3")

@@ -4,9 +4,11 @@ import math
 import random
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from speechmill.operators import decode, lm
+from speechmill.plans import ORACLE_SQL, QUERIES
 
 END, BEAM, ALPHA, BETA, FLOOR, PROMPT = 9, 3, 1.5, 0.05, -10.0, 4
 
@@ -116,3 +118,17 @@ def test_probabilities_of_all_words_sum_to_one(spark):
     for r in lm.kneser_ney(asked, grams).collect():
         sums[r.ctx] += math.exp(r.logp)
     assert all(v == pytest.approx(1.0) for v in sums.values())
+
+
+@pytest.mark.parametrize("name", ["k4_best_per_token"])
+def test_a_token_of_probability_zero_pulls_its_hypothesis_down(spark, tmp_path, name):
+    # values of 0 as the whole of a pair of neighbours, and within a hypothesis
+    rows = [(e, "2024-01-01", u, "click", 0.0 if (e * 7 + u) % 3 == 0 else 1.0 + e % 50, "") for u in range(40) for e in range(u, 700, 41)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    same = lambda a, b: a == b or (a != a and b != b)
+    ours = QUERIES[name](spark, str(tmp_path))
+    theirs = con.execute(f"SELECT {', '.join(ours.columns)} FROM ({ORACLE_SQL[name]}) ORDER BY utt_id").fetchall()
+    got = [tuple(r) for r in ours.orderBy("utt_id").collect()]
+    assert len(got) == len(theirs) == 40 and all(same(a, b) for x, y in zip(got, theirs) for a, b in zip(x, y))
