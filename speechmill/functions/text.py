@@ -21,12 +21,12 @@ def hinglish_tokens(text: Column, gujarati: bool = False) -> Column:
 
 
 def lm_tokens(text: Column) -> Column:
-    """Lower case; all but Devanagari, a-z, 0-9, apostrophe and hyphen become blanks."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), rf"[^{T.DEVANAGARI}a-z0-9'\-]", " "), r"\s+"), lambda w: w != "")
+    """Lower case; runs of Devanagari, a-z, 0-9, apostrophe and hyphen."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"[{T.DEVANAGARI}a-z0-9'\-]+"), 0)
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, T.SENTENCE_END), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, T.SENTENCE_END), lambda s: F.btrim(s, F.lit(" \t\n\x0b\f\r"))), lambda s: s != "")
 
 
 def token_kind(token: Column) -> Column:

@@ -16,23 +16,23 @@ def sentence_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("doc_id", "pos", lm_tokens(F.col("sentence")).alias("tokens")).where(F.size("tokens") > 0)
 
 
-def _runs(tokens: Column, order: int) -> Column:
-    """All 1..order-grams: each place ends one of every size it has room for."""
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - n + 1)), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n - 1), " ").alias("ctx"), F.try_element_at(tokens, i + n - 1).alias("word")))
-    return F.filter(F.flatten(F.array(*(grams(n) for n in range(1, order + 1)))), lambda g: g["word"].isNotNull())
-
-
 def counts(rows: DataFrame, order: int = 3, padded: bool = False) -> DataFrame:
     """Counts of all 1..order-grams of rows(tokens): n, ctx (its words joined by blanks, as tokens have none), word, cnt; padded: with order - 1 marks at either end.
 
-    One pass over the text and one shuffle for all orders; the map side counts first.
+    One pass over the text: each place with the order - 1 words after it is one row, and equal ones are counted first, by the map side too. What they begin with are
+    the shorter n-grams, so these are summed over distinct rows and not over all places.
     """
     tokens = F.col("tokens")
     if padded and order > 1:
         pad = lambda m: F.array(*[F.lit(m)] * (order - 1))
         tokens = F.concat(pad(START), tokens, pad(END))
-    grams = rows.select(F.explode(_runs(tokens, order)).alias("g")).select("g.n", "g.ctx", "g.word")
-    return grams.groupBy("n", "ctx", "word").agg(F.count("*").alias("cnt"))
+    places = [f"w{n}" for n in range(1, order + 1)]
+    # a sequence and what is left of it from the second word on, the third ...: at its end words are null
+    after = F.arrays_zip(*(F.slice(tokens, n, F.size(tokens)).alias(w) for n, w in enumerate(places, 1)))
+    held = rows.select(F.inline(after).alias(*places)).groupBy(*places).agg(F.count("*").alias("cnt"))
+    gram = lambda n: F.struct(F.lit(n).alias("n"), (F.concat_ws(" ", *places[: n - 1]) if n > 1 else F.lit("")).alias("ctx"), F.col(places[n - 1]).alias("word"))
+    grams = held.select("cnt", F.inline(F.array(*map(gram, range(1, order + 1))))).where("word is not null")
+    return grams.groupBy("n", "ctx", "word").agg(F.sum("cnt").alias("cnt"))
 
 
 def train_lines(corpus: DataFrame, text: str = "text") -> DataFrame:
@@ -162,7 +162,8 @@ def token_bias(vocabulary: DataFrame, grams: DataFrame, alpha: float = 1.5, floo
     """vocabulary(token_id, token) with bias = alpha * max(logp of its first word, floor), for tokens whose first word the model has seen; none for tokens that begin with '<'."""
     token = F.trim(F.regexp_replace(F.lower("token"), r"\s+", " "))
     asked = vocabulary.select("token_id", F.element_at(F.split(token, " "), 1).alias("word"), F.lit("").alias("ctx"), token.alias("t")).where("word <> '' and t not like '<%'").drop("t")
-    known = asked.join(grams.where("n = 1").select("word"), "word", "left_semi")
+    grams = grams.where("n = 1")
+    known = asked.join(grams.select("word"), "word", "left_semi")
     return laplace(known, grams).select("token_id", "word", (F.greatest("logp", F.lit(floor)) * F.lit(alpha)).alias("bias")).where("bias <> 0")
 
 

@@ -179,9 +179,13 @@ def asked(spark, sf_dir) -> DataFrame:
     return lm.queries_of(rows, 3)
 
 
+def counted(spark, sf_dir) -> DataFrame:
+    return written(lm.counts(sentences(spark, sf_dir), 3), "counts")
+
+
 @query("j11_m14_laplace", f"WITH {_COUNTS}, {_ASKED}, t AS (SELECT ctx, sum(cnt) AS total FROM grams GROUP BY ctx), v AS (SELECT count(*) AS kinds FROM grams WHERE n = 1) SELECT a.doc_id, a.pos, CAST(place AS INTEGER) AS place, round(ln((coalesce(cnt, 0) + 1) / (coalesce(total, 0) + kinds)), 6) AS logp FROM asked a LEFT JOIN grams g ON a.ctx = g.ctx AND a.word = g.word LEFT JOIN t ON a.ctx = t.ctx CROSS JOIN v")
 def laplace(spark, sf_dir):
-    grams = lm.counts(sentences(spark, sf_dir), 3)
+    grams = counted(spark, sf_dir)
     return lm.laplace(asked(spark, sf_dir), grams).select("doc_id", "pos", "place", rounded("logp").alias("logp"))
 
 
@@ -204,7 +208,7 @@ def add_one(spark, sf_dir):
 
 @query("r6_perplexity", f"WITH {_COUNTS}, {_ASKED}, t AS (SELECT ctx, sum(cnt) AS total FROM grams GROUP BY ctx), v AS (SELECT count(*) AS kinds FROM grams WHERE n = 1) SELECT round(exp(-avg(ln((coalesce(cnt, 0) + 1) / (coalesce(total, 0) + kinds)))), 4) AS perplexity, count(*) AS n_words FROM asked a LEFT JOIN grams g ON a.ctx = g.ctx AND a.word = g.word LEFT JOIN t ON a.ctx = t.ctx CROSS JOIN v")
 def perplexity(spark, sf_dir):
-    grams = lm.counts(sentences(spark, sf_dir), 3)
+    grams = counted(spark, sf_dir)
     return lm.perplexity(lm.laplace(asked(spark, sf_dir), grams)).select(F.round("perplexity", 4).alias("perplexity"), "n_words")
 
 
@@ -229,7 +233,7 @@ _VOCAB = "vocab AS (SELECT item_id * 1000 + pos AS token_id, ws[pos + 1] AS toke
 @query("j9_m17_token_bias", f"WITH {_COUNTS}, {_VOCAB}, a AS (SELECT token_id, regexp_split_to_array(trim(lower(token)), '\\s+')[1] AS word FROM vocab WHERE trim(token) <> '' AND trim(token) NOT LIKE '<%'), u AS (SELECT word, cnt FROM grams WHERE n = 1), v AS (SELECT sum(cnt) AS total, count(*) AS kinds FROM u) SELECT token_id, word, round(greatest(ln((cnt + 1) / (total + kinds)), -10) * 1.5::DOUBLE, 6) AS bias FROM a JOIN u USING (word) CROSS JOIN v")
 def token_bias(spark, sf_dir):
     vocab = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("pos", "token")).select((F.col("item_id") * 1000 + F.col("pos")).alias("token_id"), "token")
-    return lm.token_bias(vocab, lm.counts(sentences(spark, sf_dir), 3)).select("token_id", "word", rounded("bias").alias("bias"))
+    return lm.token_bias(vocab, written(lm.counts(sentences(spark, sf_dir), 1), "word-counts")).select("token_id", "word", rounded("bias").alias("bias"))
 
 
 _NEXT = "cand AS (SELECT item_id AS hyp_id, item_id * 1000 + pos AS token_id, lower(ws[pos + 1]) AS word, {lm} AS ctx FROM (SELECT item_id, ws, pos, array_to_string(ws[greatest(pos - 1, 1):pos], ' ') AS before FROM (SELECT item_id, ws, unnest(range(len(ws))) AS pos FROM (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark))))".replace("{lm}", _lm("before"))
@@ -246,7 +250,7 @@ def contextual_bias(spark, sf_dir):
     words = F.split("text", " ")
     rows = table(spark, sf_dir, "benchmark").select("item_id", words.alias("ws"), F.posexplode(words).alias("pos", "token"))
     logits = rows.select(F.col("item_id").alias("hyp_id"), (F.col("item_id") * 1000 + F.col("pos")).alias("token_id"), F.lit(0.0).alias("logit"), X.lm_tokens(F.array_join(F.slice("ws", F.greatest(F.lit(1), F.col("pos") - 1), F.least(F.lit(2), F.col("pos"))), " ")).alias("ctx"), "token")
-    grams = lm.counts(sentences(spark, sf_dir), 3)
+    grams = counted(spark, sf_dir)
     bias = lm.token_bias(logits.select("token_id", "token"), grams)
     return lm.contextual_bias(logits, bias, grams).select("hyp_id", "token_id", rounded("logit").alias("logit"))
 
