@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import pieces, written
 
 MCD_FACTOR = 10 * 2**0.5 / 2.302585092994046
 
@@ -69,23 +70,24 @@ def _frames(values: list) -> np.ndarray:
     return np.array([list(v) for v in values], float)
 
 
+_PATHS = pa.schema([("pair_id", pa.int64()), ("cost", pa.float64()), ("path", pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())])))])
+
+
 def dtw_paths(pairs: DataFrame) -> DataFrame:
     """pairs(pair_id, a, b: array<array<double>>) to pair_id, cost, path: Euclidean distances of frames. A pair is one row and its matrix one task's: for pairs of
     a few thousand frames; longer ones go through tiled_paths."""
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
+        for part in (p for batch in batches for p in pieces(batch)):
             out = []
-            for pair_id, a, b in pdf[["pair_id", "a", "b"]].itertuples(index=False):
+            for pair_id, a, b in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 x, y = _frames(a), _frames(b)
                 total = _totals(x, y, *_begin(len(x), len(y), True, True, None, None))
                 path = _steps_back(total, len(x) - 1, len(y) - 1)[0][::-1]
-                out.append((pair_id, float(total[-1, -1]), [{"i": i, "j": j} for i, j in path]))
-            yield pd.DataFrame(out, columns=["pair_id", "cost", "path"])
+                out.append({"pair_id": pair_id, "cost": float(total[-1, -1]), "path": [{"i": i, "j": j} for i, j in path]})
+            yield pa.RecordBatch.from_pylist(out, _PATHS)
 
-    return pairs.select("pair_id", "a", "b").mapInPandas(run, "pair_id long, cost double, path array<struct<i:int,j:int>>")
+    return pairs.select("pair_id", "a", "b").mapInArrow(run, "pair_id long, cost double, path array<struct<i:int,j:int>>")
 
 
 #: Frames of a side of a tile: its matrix has 32 MB.

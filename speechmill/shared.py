@@ -34,3 +34,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pieces(batch, rows: int = 64):
+    """An Arrow batch in slices of a few rows, so that what is held as Python objects doesn't grow with the batch."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
