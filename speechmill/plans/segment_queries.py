@@ -364,7 +364,7 @@ def tiled_path(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("label", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("k"), v.alias("v"))
     left = rows.join(rows.select((F.col("label") - 1).alias("label")).distinct(), "label", "left_semi").withColumnRenamed("label", "pair_id")
     right = rows.withColumn("label", F.col("label") - 1).join(rows.select("label").distinct(), "label", "left_semi").withColumnRenamed("label", "pair_id")
-    return align.tiled_paths(left, right, 32).select("pair_id", "i", "j")
+    return align.tiled_paths(left, right).select("pair_id", "i", "j")
 
 
 _MEL = f"""mel AS MATERIALIZED (SELECT vec_id, list(c ORDER BY k) AS c FROM (SELECT vec_id, k, list(v ORDER BY c) AS c FROM cepstra GROUP BY vec_id, k) GROUP BY vec_id),

@@ -9,3 +9,13 @@ def test_a_batch_goes_by_a_few_rows():
     batch = pa.RecordBatch.from_pydict({"x": list(range(200))})
     parts = list(shared.pieces(batch))
     assert [p.num_rows for p in parts] == [64, 64, 64, 8] and [x for p in parts for x in p.column(0).to_pylist()] == list(range(200))
+
+
+def test_long_alignment_takes_tiles_of_full_size(spark, monkeypatch):
+    from speechmill.operators import align
+    from speechmill.plans import QUERIES
+
+    sides = []
+    own = align.tiled_paths
+    monkeypatch.setattr(align, "tiled_paths", lambda a, b, tile=align.TILE: sides.append(tile) or own(a, b, tile))
+    assert QUERIES["m1_tiled_path"](spark, "/root/testdata/sf0.001").count() > 0 and sides == [align.TILE]
