@@ -1,4 +1,8 @@
-"""Changing the pitch of signals and not their length: a stretch by running phases, frames, bins and samples as rows, and resampling."""
+"""Changing the pitch of signals and not their length: a stretch by running phases, and resampling.
+
+The frames of a signal of up to LONG samples are arrays of one task, signal by signal, so nothing of them is shuffled or written. A longer signal's frames, bins and
+samples are rows, of which no task holds all.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import written
-from .spectral import _hann, resample, spectrum
+from .spectral import _hann, _mapped, inverse, resample, spectrum
 
 N_FFT, HOP = 1024, 256
+#: Samples of the longest signal that is stretched within a task (65 s at 16,000 a second, whose frames take 34 MB).
+LONG = 1 << 20
+
+
+def stretched(spec: np.ndarray, ratio: float) -> np.ndarray:
+    """Frames by bins of one signal, ratio times as many frames: what stretched_bins() does by rows."""
+    mag, phase = np.abs(spec), np.angle(spec)
+    wide = 2 * np.pi * HOP / N_FFT * np.arange(spec.shape[1])
+    turn = np.diff(phase, axis=0) - wide
+    step = np.vstack([wide + turn - 2 * np.pi * np.round(turn / (2 * np.pi)), wide])
+    most = int(np.floor((len(spec) - 1) * ratio))
+    at = np.arange(most + 1) / ratio
+    k = np.minimum(np.floor(at).astype(int), len(spec) - 1)
+    part = (at - k)[:, None]
+    anchor = min(most, int(np.ceil(N_FFT / 2 / HOP * ratio)))
+    run = np.cumsum(step[k], axis=0) - step[k]
+    start = phase[k[anchor]] + part[anchor] * step[k[anchor]] - run[anchor]
+    return ((1 - part) * mag[k] + part * np.vstack([mag[1:], np.zeros_like(mag[:1])])[k]) * np.exp(1j * (start + run))
+
+
+def moved(x: np.ndarray, ratio: float) -> np.ndarray:
+    """One signal with its pitch times the ratio."""
+    spec = stretched(spectrum(x, N_FFT, N_FFT, HOP), ratio)
+    long = inverse(spec, (len(spec) - 1) * HOP + N_FFT // 2, N_FFT, N_FFT, HOP)
+    return fitted(long, ratio, len(x))
+
+
+def fitted(long: np.ndarray, ratio: float, n: int) -> np.ndarray:
+    """A stretched signal resampled to n samples."""
+    y = resample(long, round(ratio * 10_000), 10_000)[:n]
+    return np.pad(y, (0, n - len(y)))
 
 
 def bins(signals: DataFrame) -> DataFrame:
@@ -73,16 +108,21 @@ def samples(spec: DataFrame) -> DataFrame:
     return sums.select("vec_id", (F.col("at") - N_FFT // 2).alias("i"), (F.col("v") / F.when(norm > 1e-10, norm).otherwise(1.0)).alias("v"))
 
 
-def shifted(signals: DataFrame, ratios: DataFrame) -> DataFrame:
-    """signals(vec_id, x) with their pitch times ratios(vec_id, ratio) and their length as it was: vec_id, y. Signals without a ratio, with one of 1, or without samples stay.
+def shifted(signals: DataFrame, ratios: DataFrame | None = None) -> DataFrame:
+    """signals(vec_id, x) with their pitch times ratios(vec_id, ratio), or their own column ratio, and their length as it was: vec_id, y. Signals without a ratio, with one of 1, or without samples stay.
 
     The signal is stretched to ratio times its length at its own pitch, then resampled to its length.
     """
-    known = signals.join(ratios, "vec_id", "left").withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
-    moves = (F.abs(F.col("ratio") - 1) > 1e-9) & (F.col("ratio") > 0) & (F.coalesce(F.size("x"), F.lit(0)) > 0)
-    todo, stay = known.where(moves), known.where(~moves)
-    own = todo.select("vec_id", "ratio")
-    long = samples(stretched_bins(written(bins(todo), "bins"), own))
+    known = (signals if ratios is None else signals.join(ratios, "vec_id", "left")).withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
+    size = F.coalesce(F.size("x"), F.lit(0))
+    moves = (F.abs(F.col("ratio") - 1) > 1e-9) & (F.col("ratio") > 0) & (size > 0)
+    here = _mapped(known.where(moves & (size <= LONG)), lambda x, ratio: [(moved(x, ratio).tolist(),)], "y array<double>", ["ratio"])
+    return here.unionByName(_shifted_by_rows(known.where(moves & (size > LONG)))).unionByName(known.where(~moves).select("vec_id", F.col("x").alias("y")))
+
+
+def _shifted_by_rows(todo: DataFrame) -> DataFrame:
+    """todo(vec_id, x, ratio): vec_id, y of signals of any length."""
+    long = samples(stretched_bins(written(bins(todo), "bins"), todo.select("vec_id", "ratio")))
     listed = long.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s")).select("vec_id", F.col("s.v").alias("long"))  # the samples of one signal
     rows = todo.select("vec_id", "ratio", F.size("x").alias("n")).join(listed, "vec_id")
 
@@ -90,13 +130,10 @@ def shifted(signals: DataFrame, ratios: DataFrame) -> DataFrame:
         import pandas as pd
 
         for pdf in batches:
-            out = []
-            for key, ratio, n, x in pdf[["vec_id", "ratio", "n", "long"]].itertuples(index=False):
-                y = resample(np.asarray(x, float), round(ratio * 10_000), 10_000)[:n]
-                out.append((key, np.pad(y, (0, n - len(y))).tolist()))
+            out = [(key, fitted(np.asarray(x, float), ratio, n).tolist()) for key, ratio, n, x in pdf[["vec_id", "ratio", "n", "long"]].itertuples(index=False)]
             yield pd.DataFrame(out, columns=["vec_id", "y"])
 
-    return rows.mapInPandas(run, "vec_id long, y array<double>").unionByName(stay.select("vec_id", F.col("x").alias("y")))
+    return rows.mapInPandas(run, "vec_id long, y array<double>")
 
 
 def ratios_of(source: DataFrame, target: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import signal as S
 from ..operators import pitch, scoring, spectral
-from ..shared import written
 from . import spectral_sql as Z
 from .registry import FRAMES, SIGNALS, frames, query, rounded, signals, table
 
@@ -172,8 +171,9 @@ def pitch_contour(spark, sf_dir):
 def shifted_pitch(spark, sf_dir):
     """A tone for each vector, as high as its id says, with its pitch changed by a ratio after its label: what the pitch then measures over what it should."""
     rows = signals(spark, sf_dir).select("vec_id", F.when(F.col("label") % 2 == 0, 1.25).otherwise(0.8).alias("ratio"), (F.lit(150.0) + 10 * (F.col("vec_id") % 8)).alias("f0"))
-    tones = rows.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(3999)), lambda i: F.lit(0.3) * F.sin(2 * math.pi * F.col("f0") * i / 16_000)).alias("x"))
-    y = written(pitch.shifted(written(tones, "tones"), rows.select("vec_id", "ratio")), "shifted")
-    heard = spectral.contours(y.withColumnRenamed("y", "x")).where("f0 > 0").groupBy("vec_id").agg(F.median("f0").alias("heard"))
+    # a few bytes a row become 4,000 samples: dealt over so many tasks before that, which a count given here keeps from being joined again
+    tones = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id").select("vec_id", "ratio", F.transform(F.sequence(F.lit(0), F.lit(3999)), lambda i: F.lit(0.3) * F.sin(2 * math.pi * F.col("f0") * i / 16_000)).alias("x"))
+    y = pitch.shifted(tones).select("vec_id", F.col("y").alias("x"), F.size("y").alias("n"))
+    heard = spectral.contours(y, ("n",)).where("f0 > 0").groupBy("vec_id").agg(F.median("f0").alias("heard"), F.max("n").alias("n"))
     measured = F.round(F.col("heard") / (F.col("f0") * F.col("ratio")), 1)
-    return rows.join(heard, "vec_id").join(y.select("vec_id", F.size("y").alias("n")), "vec_id").select("vec_id", "n", measured.alias("measured"), "ratio")
+    return rows.join(heard, "vec_id").select("vec_id", "n", measured.alias("measured"), "ratio")
