@@ -81,18 +81,17 @@ def stratified_split(rows: DataFrame, label: str, order: str, train_share: float
     return placed.select(*rows.columns, F.explode(part).alias("part"))
 
 
-def word_errors(reference: Column, hypothesis: Column) -> tuple[Column, Column]:
-    """Edits and reference words: each distinct word becomes one character, so the built-in edit distance counts words."""
-    cut = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    a, b = cut(reference), cut(hypothesis)
-    known = F.array_distinct(F.concat(a, b))
-    coded = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 19967), 4, "0")), "UTF-16BE")), "")
-    return F.levenshtein(coded(a), coded(b)), F.size(a)
-
-
 def word_error_rate(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
-    edits, n = word_errors(F.col(reference), F.col(hypothesis))
-    return pairs.withColumn("edits", edits).withColumn("n_words", n).withColumn("wer", F.when(n > 0, edits / n))
+    """pairs with edits, n_words (of the reference) and wer. Each distinct word of a pair becomes one character, so the built-in edit distance counts words.
+
+    Words and their list are columns of steps of their own: what a lambda holds is worked out again for each element.
+    """
+    cut = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
+    rows = pairs.withColumns({"words_a": cut(reference), "words_b": cut(hypothesis)})
+    rows = rows.withColumn("words_known", F.array_distinct(F.concat("words_a", "words_b")))
+    coded = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position("words_known", w) + 19967), 4, "0")), "UTF-16BE")), "")
+    rows = rows.withColumns({"edits": F.levenshtein(coded("words_a"), coded("words_b")), "n_words": F.size("words_a")})
+    return rows.drop("words_a", "words_b", "words_known").withColumn("wer", F.when(F.col("n_words") > 0, F.col("edits") / F.col("n_words")))
 
 
 def snr_estimate(powers: DataFrame) -> DataFrame:
@@ -104,8 +103,9 @@ def snr_estimate(powers: DataFrame) -> DataFrame:
 
 def metric_bundle(spark, **metrics: DataFrame | None) -> DataFrame:
     """One row of metrics, each the only value of a one-row DataFrame, or null where it couldn't be had."""
-    out = spark.range(1).select()
+    rows = spark.createDataFrame([], "name string, value double")
     for name, df in metrics.items():
-        one = df.toDF(name).select(F.col(name).cast("double")) if df is not None else spark.range(1).select(F.lit(None).cast("double").alias(name))
-        out = out.crossJoin(F.broadcast(one))  # one row each
-    return out
+        if df is not None:
+            rows = rows.unionByName(df.toDF("value").select(F.lit(name).alias("name"), F.col("value").cast("double").alias("value")))
+    # no broadcast of a metric, which would have to be there within spark.sql.broadcastTimeout
+    return rows.agg(*(F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in metrics))

@@ -23,3 +23,17 @@ def test_counts_of_any_order(spark):
     rows = spark.createDataFrame([(["a", "b", "a"],), (["a"],), ([],)], "tokens array<string>")
     got = sorted((r.n, r.ctx, r.word, r.cnt) for r in lm.counts(rows, 4).collect())
     assert got == [(1, "", "a", 3), (1, "", "b", 1), (2, "a", "b", 1), (2, "b", "a", 1), (3, "a b", "a", 1)]
+
+
+def test_words_of_turns_are_cut_once(spark):
+    """Words and their list are worked out for a pair, not again for each word: long turns cost little beyond the edit distance."""
+    import time
+
+    from speechmill.operators import scoring
+
+    long = " ".join(f"w{i % 700}" for i in range(2500))
+    rows = spark.createDataFrame([(long, long + " end")] * 4 + [("a b c", "a c")], "reference string, hypothesis string").repartition(1)
+    start = time.monotonic()
+    got = scoring.word_error_rate(rows).collect()
+    assert sorted((r.edits, r.n_words) for r in got) == [(1, 3)] + [(1, 2500)] * 4 and time.monotonic() - start < 15
+    assert got[0].asDict().keys() == {"reference", "hypothesis", "edits", "n_words", "wer"}
