@@ -258,12 +258,30 @@ def _powers_to(n: int) -> list[np.ndarray]:
     return _powers
 
 
+#: Text of a slice that is hashed at once.
+HASHED_BYTES = 1 << 20
+
+
 def hashed_words(batch: list[str], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hashes of all words of the texts in order, and how many each text has. A-Z count as a-z if fold.
 
-    A word's hash is a polynomial over its bytes, taken from running sums over the whole batch: nothing is done word by word.
+    A word's hash is a polynomial over its bytes, taken from running sums over slices of the batch: nothing is done word by word, and what is held beside the
+    hashes (about 40 bytes for each byte of text) doesn't grow with the batch but for a longer text.
     """
-    raw = [x.encode("utf-8", "surrogatepass") for x in batch]
+    parts, own, size = [], [], 0
+    for x in batch:
+        own.append(x.encode("utf-8", "surrogatepass"))
+        size += len(own[-1]) + 1
+        if size >= HASHED_BYTES:
+            parts.append(_hashed(own, fold))
+            own, size = [], 0
+    if own or not parts:
+        parts.append(_hashed(own, fold))
+    return parts[0] if len(parts) == 1 else (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+
+def _hashed(raw: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """hashed_words() of one slice."""
     data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
     value = _TABLES[fold][data]
     inside = value != 0

@@ -20,3 +20,23 @@ def test_words_by_one_rule(spark):
     plain = F.filter(F.split(F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}.+-]+|[.+-]+(?![\p{L}\p{N}])", " "), " "), lambda w: w != "")
     for r in rows.select(license_scan.words(F.col("t")).alias("a"), plain.alias("b")).collect():
         assert r.a == r.b
+
+
+def test_words_are_hashed_by_slices(monkeypatch):
+    """Slices don't change the hashes, and memory follows the slice, not the batch."""
+    import tracemalloc
+
+    import numpy as np
+
+    from speechmill.llm import common
+
+    batch = ["one two  three", "", "x" * 300, "\n", "Four five"] * 20_000
+    plain = [common.hashed_words([x]) for x in batch[:5]]
+    tracemalloc.start()
+    words, sizes = common.hashed_words(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert words.tolist() == np.concatenate([p[0] for p in plain]).tolist() * 20_000 and sizes.tolist() == [3, 0, 1, 0, 2] * 20_000
+    assert peak < 120 << 20
+    monkeypatch.setattr(common, "HASHED_BYTES", 1 << 40)
+    assert np.array_equal(common.hashed_words(batch)[0], words)
