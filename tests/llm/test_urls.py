@@ -58,3 +58,20 @@ def test_long_and_repeated_urls(pages):
 
 def test_empty_table(pages):
     assert url_filter.judge(pages.where("false")).count() == 0
+
+
+def test_learns_from_all_urls(spark):
+    """More urls a side than the 20,000 that were once sampled: ratios and threshold against plain dictionaries over all of them."""
+    rows = [(i, f"http://e.example.net/en/{i * 7919 % 99991:x}") for i in range(21_000)] + [(50_000 + i, f"http://b{i % 7}.net/{i:o}") for i in range(300)]
+    urls = spark.createDataFrame(rows, "page_id long, url string")
+    parts = url_filter.with_parts(urls).selectExpr("concat(host, path) as u", "rule like '%/en/' as good").distinct()
+    sides = [(r.u.encode(), r.good, r.held) for r in parts.withColumn("held", url_filter.held_out(parts["u"])).collect()]
+    a, b = (plain_model([u for u, good, held in sides if good == side and not held], 2) for side in (True, False))
+    plain = lambda u: (a(u) - b(u)) / (len(u) + 1)
+    model = url_filter.train(urls, order=2)
+    asked = [b"e.example.net/en/1", b"b3.net/77", b"x.org/", "ü.example/中".encode()]
+    assert model.scores(asked) == pytest.approx([plain(u) for u in asked], abs=1e-6)
+    good, bad = (np.array([plain(u) for u, g, held in sides if g == side and held]) for side in (True, False))
+    errors = lambda cut: (good <= cut).mean() + (bad > cut).mean()
+    assert errors(model.threshold + 1e-6) == pytest.approx(min(errors(c) for c in np.unique(np.r_[-np.inf, good[:300], bad])), abs=1e-3)
+    assert model.counts.count() > 0 and sum(r.accepted for r in model.counts.where("gram >= shiftleft(1L, 48)").collect()) == sum(len(u) + 1 for u, g, held in sides if g and not held)
