@@ -7,17 +7,16 @@
 Kept are n-grams of order 2 and more that occur MIN_COUNT times or more in the whole corpus, so a text isn't certain of what
 it alone says. Counts cover all documents.
 
-Relations. Counts and joins take one of PARTS ranges of hashes after another, whose shuffle files are deleted before the next.
-1. Count tables, partitioned by hash: the map step lists the distinct n-grams of a part of the documents with their counts and the hashes of their
-   context (all words but the last) and their shorter n-gram (all but the first); a shuffle by the n-gram's hash sums them up.
-2. Weights: each count table joins the one of the next lower order twice, by context and by shorter n-gram. A word's log score is that of its
-   unigram, plus log ALPHA for each longer n-gram that has room before it, plus what each kept n-gram that ends there changes:
-   weight = log S of the n-gram - log ALPHA - log S of its shorter one.
-3. Documents' n-grams, one row for each distinct one of a document, join the weights by hash, and the sums are taken for each document.
-
-N-grams that have HOT_SHARE of all occurrences or more, of which there can be no more than its inverse for each order, are added up in the map
-step from a broadcast table, so no hash is hot in the join. Rows are named by file and place, so neither order nor partitions of a
-second pass matter, and rows that share an id are scored one by one.
+Relations. Rows are arrays, as a row for each n-gram costs more than the counting.
+1. Texts are read and cut once. A part is about PART_BYTES of them: its documents, its distinct word hashes, and its words as indexes of these.
+2. Exploded n-grams: the map step lists the distinct n-grams of a part with their counts, sorted by hash, a row for each bucket of hashes. A shuffle by
+   bucket brings the rows of all parts together; their sums are the count tables, and the join gives each row the counts of its n-grams in the
+   whole corpus. There are so many buckets that each has about GROUP n-grams. PARTS ranges of buckets are taken one after another, and the shuffle files of one
+   are deleted before the next; so are as many ranges of parts in the next step.
+3. Counts go back to their parts by a join on the part; there each word takes the counts of the n-grams that end at it, and the sums are taken for each document.
+
+Parts are stored with their numbers, so nothing rests on two scans that give the same batches. An n-gram comes once a part at most, so no frequent one makes a
+bucket large.
 
 Defined results: null text is empty; without words: n_tokens 0, log_score 0, mean null; repeated rows are scored one by one and both
 count; other columns are not read; an empty table gives an empty table.
@@ -28,18 +27,23 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark import Broadcast
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hashed_words, located, map_batches, mix, stored, texts
+from .common import discard, give_back, hashed_words, map_batches, mix, stored, texts
 
 ORDER, ALPHA, MIN_COUNT, FLOOR = 3, 0.4, 2, 1e-12
-HOT_SHARE = 1e-5
-#: Text of a part whose n-grams are counted together before the shuffle.
-PART_BYTES = 8 << 20
-#: Ranges of hashes, taken one after another. Each reads all texts again and shuffles its own n-grams alone, so disk for shuffles is 1 / PARTS of one for all.
-PARTS = 8
+#: Text of a part, whose n-grams are counted together before the shuffle.
+PART_BYTES = 4 << 20
+#: N-grams of all parts that meet in a bucket, counted before those of a part are made distinct.
+GROUP = 4 << 20
+#: Ranges of buckets, and of parts, taken one after another. Each shuffles its own rows alone, so disk for shuffles is 1 / PARTS of one for all.
+PARTS = 4
+#: Parts of a row group, so that a reader holds few at once.
+ROW_GROUP = {"compression": "zstd", "parquet.block.row.count.limit": "2"}
 
 
 def ngram_hashes(words: np.ndarray, sizes: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -62,136 +66,137 @@ def _back(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(min(1, len(x)), x.dtype), x[:-1]])
 
 
-def _in_range(h: np.ndarray, part: int, parts: int) -> np.ndarray:
-    return (h >> np.uint64(40)) % np.uint64(parts) == np.uint64(part)
+def _lists(values: np.ndarray, sizes) -> pa.Array:
+    """Consecutive pieces of an array as lists."""
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+    item = pa.from_numpy_dtype(values.dtype)
+    return pa.ListArray.from_arrays(offsets, pa.array(values), type=pa.list_(pa.field("element", item)))
+
+
+def _flat(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The values of all lists of a column, one after another."""
+    out = pc.list_flatten(column)
+    return (out.combine_chunks() if isinstance(out, pa.ChunkedArray) else out).to_numpy(zero_copy_only=False)
 
 
-def gram_counts(docs: DataFrame, k: int, part: int, parts: int) -> DataFrame:
-    """h, context, shorter, n: the distinct k-grams of each part of the documents whose hash is in a range; no context and shorter of single words."""
+def encoded(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """part, n_words, doc_id, size (of each document), words (distinct hashes), codes (the words of all documents, as indexes of these): a row for each part."""
 
     def make():
+        count = iter(range(1 << 31))
+        task = TaskContext.get().partitionId()
+
         def step(b):
             words, sizes = hashed_words(texts(b))
-            grams, place = ngram_hashes(words, sizes, k)
-            own = np.flatnonzero((place >= k - 1) & _in_range(grams[-1], part, parts))
-            h, first, n = np.unique(grams[-1][own], return_index=True, return_counts=True)
-            at = own[first]
-            longer = {"context": grams[k - 2][at - 1].view(np.int64), "shorter": grams[k - 2][at].view(np.int64)} if k > 1 else {}
-            return {"h": h.view(np.int64), "n": n.astype(np.int64), **longer}
+            known, codes = np.unique(words, return_inverse=True)
+            ids = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), pa.concat_arrays([b.column(0)]), type=pa.list_(pa.field("element", pa.int64())))
+            return {
+                "part": [task << 31 | next(count)], "n_words": [len(words)], "doc_id": ids, "size": _lists(sizes.astype(np.int32), [len(sizes)]),
+                "words": _lists(known.view(np.int64), [len(known)]), "codes": _lists(codes.astype(np.int32), [len(codes)]),
+            }
 
         return step
 
-    return map_batches(docs.select(docs["text"]), make, "h long, n long" + (", context long, shorter long" if k > 1 else ""), part_bytes=PART_BYTES)
-
-
-def counted(docs: DataFrame, k: int, min_count: int, parts: int) -> DataFrame:
-    """h, c, and for k > 1 context and shorter: all words, or the k-grams that occur min_count times. One range of hashes after another."""
-    ranges = []
-    for part in range(parts):
-        grams = gram_counts(docs, k, part, parts)
-        longer = [F.first(c).alias(c) for c in ("context", "shorter")] if k > 1 else []
-        found = grams.groupBy("h").agg(F.sum("n").alias("c"), *longer)
-        ranges.append(stored(found.where(F.col("c") >= min_count) if k > 1 else found, f"counts{k}"))
-    return reduce(DataFrame.unionByName, ranges)
-
-
-def weights(docs: DataFrame, order: int, alpha: float, min_count: int, parts: int) -> tuple[DataFrame, int]:
-    """h, c, w: what one occurrence of an n-gram adds to the log score; and the number of words."""
-    words = counted(docs, 1, 1, 1)
-    n_words = words.agg(F.sum("c")).first()[0] or 0
-    below = words.withColumn("s", F.ln(F.greatest(F.col("c") / F.lit(float(max(1, n_words))), F.lit(FLOOR))))
-    out = below.select("h", "c", F.col("s").alias("w"))
-    for k in range(2, order + 1):
-        own = counted(docs, k, min_count, parts)
-        context = below.select(F.col("h").alias("context"), F.col("c").alias("context_c"))
-        scored = stored(own.join(context, "context").select("h", "c", "shorter", F.ln(F.col("c") / F.col("context_c")).alias("s")), f"scores{k}")
-        discard(own)
-        shorter = below.select(F.col("h").alias("shorter"), F.col("s").alias("shorter_s"))
-        both = stored(scored.join(shorter, "shorter").select("h", "c", "s", (F.col("s") - F.lit(float(np.log(alpha))) - F.col("shorter_s")).alias("w")), f"order{k}")
-        discard(scored)
-        out, below = out.unionByName(both.select("h", "c", "w")), both
-    return out, n_words
-
-
-def _hot_places(h: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each hash its place in the sorted table of hot ones, and whether it is there."""
-    if not len(known):
-        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    where = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    return where, known[where] == h
-
-
-def document_bases(rows: DataFrame, order: int, alpha: float, hot: Broadcast) -> DataFrame:
-    """file, row, doc_id, n_tokens, base: a row for each document with what hot n-grams and room for longer ones add to its score."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    return map_batches(rows, make, "part long, n_words long, doc_id array<long>, size array<int>, words array<long>, codes array<int>", part_bytes)
 
-    def make():
-        known, weight = hot.value
 
-        def step(b):
-            words, sizes = hashed_words(texts(b))
-            grams, place = ngram_hashes(words, sizes, order)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            base = np.zeros(len(sizes))
-            for k, g in enumerate(grams, 1):
-                own = place >= k - 1
-                h, o = g[own], owner[own]
-                if k > 1:
-                    base += np.bincount(o, minlength=len(sizes)) * np.log(alpha)
-                where, held = _hot_places(h, known)
-                if len(known):
-                    base += np.bincount(o[held], weights=weight[where[held]], minlength=len(sizes))
-            return {"file": b.column(1), "row": b.column(2), "doc_id": b.column(0), "n_tokens": sizes.astype(np.int64), "base": base}
+def part_grams(words, codes, size, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """ngram_hashes() of a part's columns, and how many words each of its documents has."""
+    sizes = _flat(size).astype(np.int64)
+    return *ngram_hashes(_flat(words).view(np.uint64)[_flat(codes)], sizes, order), sizes
 
-        return step
 
-    return map_batches(rows, make, "file long, row long, doc_id long, n_tokens long, base double")
+def _first_top(bucket: int, buckets: int) -> np.uint64:
+    """The least upper half of a hash that falls into a bucket; buckets are equal intervals of hashes in their order."""
+    return np.uint64(-(-(bucket << 32) // buckets))
 
 
-def document_grams(rows: DataFrame, order: int, hot: Broadcast, part: int, parts: int) -> DataFrame:
-    """file, row, h, n: the distinct n-grams of each document whose hash is in a range, but the hot ones."""
+def exploded(parts: DataFrame, order: int, first: int, stop: int, buckets: int) -> DataFrame:
+    """part, bucket, h, n: the distinct n-grams of each part in order of their hashes, a row for each of the buckets from first to before stop."""
 
     def make():
-        known, _ = hot.value
+        low, high = _first_top(first, buckets), _first_top(stop, buckets)
 
         def step(b):
-            words, sizes = hashed_words(texts(b))
-            grams, place = ngram_hashes(words, sizes, order)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            hs, owners = [], []
-            for k, g in enumerate(grams, 1):
-                own = np.flatnonzero((place >= k - 1) & _in_range(g, part, parts))
-                own = own[~_hot_places(g[own], known)[1]]
-                hs.append(g[own])
-                owners.append(owner[own])
-            h, o = np.concatenate(hs), np.concatenate(owners)
-            sort = np.lexsort((h, o))
-            h, o = h[sort], o[sort]
-            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])]) if len(h) else np.zeros(0, np.int64)
-            file, row = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            return {"file": file[o[first]], "row": row[o[first]], "h": h[first].view(np.int64), "n": np.diff(np.r_[first, len(h)])}
+            out = []
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                grams, place, _ = part_grams(row.column(1), row.column(2), row.column(3), order)
+                own = []
+                for k, g in enumerate(grams):
+                    top = g >> np.uint64(32)
+                    own.append(g[(top >= low) & (top < high) & (place >= k)])
+                h = np.sort(np.concatenate(own))
+                at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+                n, h = np.diff(np.r_[at, len(h)]), h[at]
+                bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(h) else at
+                sizes = np.diff(np.r_[starts, len(h)])
+                out.append((np.full(len(starts), row.column(0)[0].as_py()), bucket[starts], h.view(np.int64), n.astype(np.int32), sizes))
+            part, bucket, h, n, sizes = (np.concatenate(x) for x in zip(*out, strict=True))
+            return {"part": part, "bucket": bucket, "h": _lists(h, sizes), "n": _lists(n, sizes)}
 
         return step
 
-    return map_batches(rows, make, "file long, row long, h long, n long")
+    return map_batches(parts.select("part", "words", "codes", "size"), make, "part long, bucket long, h array<long>, n array<int>", PART_BYTES)
+
+
+def _counts(rows: pa.Table) -> pa.Table:
+    """part, bucket, c: of a bucket's rows with the counts of their n-grams in all of them."""
+    h, n, sizes = _flat(rows["h"]), _flat(rows["n"]), pc.list_value_length(rows["h"]).to_numpy()
+    known, at = np.unique(h, return_inverse=True)
+    total = np.bincount(at, weights=n, minlength=len(known)).astype(np.int64)
+    return pa.table({"part": rows["part"], "bucket": rows["bucket"], "c": _lists(total[at], sizes)})
+
+
+def _scores(n_words: int, order: int, alpha: float, min_count: int):
+    """The step that scores the documents of a part by the counts of its n-grams."""
+
+    def step(part: pa.Table, counts: pa.Table) -> pa.Table:
+        grams, place, sizes = part_grams(part["words"], part["codes"], part["size"], order)
+        c = _flat(counts.sort_by("bucket")["c"])
+        known, at = np.unique(np.concatenate([g[place >= k] for k, g in enumerate(grams)]), return_inverse=True)
+        if len(known) != len(c):
+            raise ValueError("counts don't fit the part")
+        at, begin, s, shorter = c[at], 0, np.zeros(len(place)), None
+        for k in range(order):
+            room = place >= k
+            own = np.zeros(len(place), np.int64)
+            own[room] = at[begin : (begin := begin + int(room.sum()))]
+            if k == 0:
+                s = np.log(np.maximum(own / max(1, n_words), FLOOR))
+            else:
+                kept = room & (own >= min_count)
+                s[room] += np.log(alpha)
+                s[kept] = np.log(own[kept] / _back(shorter)[kept])
+            shorter = own
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        total = np.bincount(owner, weights=s, minlength=len(sizes)).astype(float)  # whole numbers where there are no words
+        out = pa.table({"doc_id": pc.list_flatten(part["doc_id"]), "n_tokens": sizes, "log_score": total})
+        grams = known = at = c = s = own = shorter = None
+        give_back()
+        return out
+
+    return step
 
 
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, parts: int = PARTS) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, parts: int = PARTS, part_bytes: int = PART_BYTES, group: int = GROUP) -> DataFrame:
     """doc_id, n_tokens, log_score (sum over words of log S), mean_log_score, perplexity."""
-    docs, at = located(docs)
-    known, n_words = weights(docs, order, alpha, min_count, parts)
-    is_hot = F.col("c") >= max(1.0, n_words * HOT_SHARE)
-    hot = known.where(is_hot).select("h", "w").toPandas()  # at most order / HOT_SHARE rows
-    keys = hot["h"].to_numpy(np.int64).view(np.uint64)
-    sort = np.argsort(keys)
-    sent = docs.sparkSession.sparkContext.broadcast((keys[sort], hot["w"].to_numpy(float)[sort]))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(at["file"]).alias("file"), at["row"].alias("row"), docs["text"])
-    sums = document_bases(rows, order, alpha, sent)
-    for part in range(parts):
-        own = known.where(~is_hot & (F.pmod(F.shiftrightunsigned("h", 40), F.lit(parts)) == part)).select("h", "w")
-        joined = document_grams(rows, order, sent, part, parts).join(own.hint("merge"), "h")
-        added = stored(joined.groupBy("file", "row").agg(F.sum(F.col("n") * F.col("w")).alias("base")), "sums")
-        sums = sums.unionByName(added, allowMissingColumns=True)
-    scored = sums.groupBy("file", "row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("base").alias("log_score"))
+    rows = stored(encoded(docs, part_bytes), "words", **ROW_GROUP)
+    n_words = rows.agg(F.sum("n_words")).first()[0] or 0
+    own = -(-order * n_words // (group * parts)) or 1
+    found = []
+    for k in range(parts):
+        grams = exploded(rows, order, k * own, (k + 1) * own, parts * own)
+        found.append(stored(grams.groupBy("bucket").applyInArrow(_counts, "part long, bucket long, c array<long>"), "counts", compression="zstd"))
+    counts = reduce(DataFrame.unionByName, found)
+    step = _scores(n_words, order, alpha, min_count)
+    # ranges of parts too: one shuffles its own parts and their counts alone
+    own_parts = lambda x, k: x.where(F.pmod(F.xxhash64("part"), F.lit(parts)) == k).groupBy("part")
+    joined = [own_parts(rows, k).cogroup(own_parts(counts, k)).applyInArrow(step, "doc_id long, n_tokens long, log_score double") for k in range(parts)]
+    scored = reduce(DataFrame.unionByName, [stored(x, "scores") for x in joined])
+    discard(rows, *found)
     mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens"))
     return scored.select("doc_id", "n_tokens", "log_score", mean.alias("mean_log_score"), F.exp(-mean).alias("perplexity"))
 

@@ -135,6 +135,16 @@ def test_op9_brute_force(docs):
     assert all((r.mean_log_score is None) == (r.n_tokens == 0) for r in got)
 
 
+def test_op9_parts_and_buckets(docs):
+    """Texts are cut once into parts; parts of a few documents and buckets of a few n-grams give the same scores as one of each."""
+    parts = backoff_lm.encoded(docs, 200).collect()
+    assert len(parts) > 3 and len({r.part for r in parts}) == len(parts) and sum(len(r.doc_id) for r in parts) == len(made())
+    assert sum(r.n_words for r in parts) == sum(len(r.codes) for r in parts) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in made())
+    scored = lambda n, size, group: sorted((r.doc_id, round(r.log_score, 6)) for r in backoff_lm.score(docs, parts=n, part_bytes=size, group=group).collect())
+    one, many = scored(1, 1 << 20, 1 << 20), scored(2, 200, 100)
+    assert [i for i, _ in many] == [i for i, _ in one] and [s for _, s in many] == pytest.approx([s for _, s in one]) and len(many) == len(made())
+
+
 def test_op1_rules_and_method(spark):
     good = [(i, f"https://a{i % 50}.example.net/en/good-story-{i}", 1) for i in range(200)]
     bad = [(1000 + i, f"http://b{i % 50}.other.net/zzqq{i}", 1) for i in range(200)]
