@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import new_path
+from ..shared import RELEASE, new_path
 
 #: The six characters that separate words in every contract of this folder.
 BLANK = r"[\x20\x09-\x0D]"
@@ -26,10 +26,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-#: The setting by which a query's shuffle files go when it ends, not when the driver next collects garbage.
-RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts the lineage, survives lost executors. Shuffle files are deleted once their
     query has ended; the session's setting for that is turned on and stays on, so that queries that run side by side don't turn it off for each other."""

@@ -154,7 +154,7 @@ def ngrams(spark, sf_dir):
 
 @query("r3_context_totals", f"WITH {_COUNTS} SELECT CAST(n AS INTEGER) AS n, ctx, CAST(sum(cnt) AS BIGINT) AS total, count(*) AS kinds FROM grams GROUP BY n, ctx")
 def context_totals(spark, sf_dir):
-    return lm.context_totals(lm.counts(sentences(spark, sf_dir), 3)).select("n", "ctx", "total", "kinds")
+    return lm.context_totals_of(lm.blocks(sentences(spark, sf_dir), 3)).select("n", "ctx", "total", "kinds")
 
 
 _PAD = "(['<s>', '<s>'] || tokens || ['</s>', '</s>'])"
@@ -179,8 +179,9 @@ def asked(spark, sf_dir) -> DataFrame:
     return lm.queries_of(rows, 3)
 
 
-def counted(spark, sf_dir) -> DataFrame:
-    return written(lm.counts(sentences(spark, sf_dir), 3), "counts")
+def counted(spark, sf_dir) -> lm.Blocks:
+    """Counts of the documents' n-grams, made where they are read."""
+    return lm.blocks(sentences(spark, sf_dir), 3)
 
 
 @query("j11_m14_laplace", f"WITH {_COUNTS}, {_ASKED}, t AS (SELECT ctx, sum(cnt) AS total FROM grams GROUP BY ctx), v AS (SELECT count(*) AS kinds FROM grams WHERE n = 1) SELECT a.doc_id, a.pos, CAST(place AS INTEGER) AS place, round(ln((coalesce(cnt, 0) + 1) / (coalesce(total, 0) + kinds)), 6) AS logp FROM asked a LEFT JOIN grams g ON a.ctx = g.ctx AND a.word = g.word LEFT JOIN t ON a.ctx = t.ctx CROSS JOIN v")
@@ -192,8 +193,8 @@ def laplace(spark, sf_dir):
 _PADDED = f"{_ROWS}, grams AS ({' UNION ALL '.join(_grams(n, _PAD) for n in (1, 2, 3))})"
 
 
-def padded(spark, sf_dir) -> DataFrame:
-    return written(lm.counts(sentences(spark, sf_dir), 3, True), "padded-counts")
+def padded(spark, sf_dir) -> lm.Blocks:
+    return lm.blocks(sentences(spark, sf_dir), 3, True)
 
 
 @query("m15_maximum_likelihood", f"WITH {_PADDED}, {_ASKED}, t AS (SELECT ctx, sum(cnt) AS total FROM grams GROUP BY ctx) SELECT a.doc_id, a.pos, CAST(place AS INTEGER) AS place, round(ln(greatest(coalesce(cnt / total, 0), 1e-12)), 6) AS logp FROM asked a LEFT JOIN grams g ON a.ctx = g.ctx AND a.word = g.word LEFT JOIN t ON a.ctx = t.ctx")
@@ -224,7 +225,7 @@ SELECT doc_id, pos, CAST(place AS INTEGER) AS place, round(ln(greatest(p3, 1e-12
 )
 def kneser_ney(spark, sf_dir):
     """Each word of the turns after the two words before it, by a model of the documents."""
-    return lm.kneser_ney(asked(spark, sf_dir), padded(spark, sf_dir)).select("doc_id", "pos", "place", rounded("logp").alias("logp"))
+    return lm.kneser_ney_of(asked(spark, sf_dir), sentences(spark, sf_dir)).select("doc_id", "pos", "place", rounded("logp").alias("logp"))
 
 
 _VOCAB = "vocab AS (SELECT item_id * 1000 + pos AS token_id, ws[pos + 1] AS token FROM (SELECT item_id, ws, unnest(range(len(ws))) AS pos FROM (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark)))"
@@ -250,9 +251,9 @@ def contextual_bias(spark, sf_dir):
     words = F.split("text", " ")
     rows = table(spark, sf_dir, "benchmark").select("item_id", words.alias("ws"), F.posexplode(words).alias("pos", "token"))
     logits = rows.select(F.col("item_id").alias("hyp_id"), (F.col("item_id") * 1000 + F.col("pos")).alias("token_id"), F.lit(0.0).alias("logit"), X.lm_tokens(F.array_join(F.slice("ws", F.greatest(F.lit(1), F.col("pos") - 1), F.least(F.lit(2), F.col("pos"))), " ")).alias("ctx"), "token")
-    grams = counted(spark, sf_dir)
-    bias = lm.token_bias(logits.select("token_id", "token"), grams)
-    return lm.contextual_bias(logits, bias, grams).select("hyp_id", "token_id", rounded("logit").alias("logit"))
+    known = written(lm.counts(sentences(spark, sf_dir), 1), "word-counts")
+    bias = lm.token_bias(logits.select("token_id", "token"), known)
+    return lm.contextual_bias(logits, bias, counted(spark, sf_dir), words=known).select("hyp_id", "token_id", rounded("logit").alias("logit"))
 
 
 #: Letters as phones: each letter of a word becomes the phone at its place.

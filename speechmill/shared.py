@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The setting by which a query's shuffle files go when it ends, not when the driver next collects garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session, else the checkpoint folder set on its context.
 
@@ -29,10 +33,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/speechmill/{uuid.uuid4().hex[:12]}-{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: read many times, computed once, and kept when executors are lost."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: read many times, computed once, and kept when executors are lost. Shuffle files are deleted once their query has
+    ended; the session's setting for that is turned on and stays on."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.sparkSession.conf.set(RELEASE, "true")
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
