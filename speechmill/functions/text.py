@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def mapping(entries: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in entries.items() for x in pair))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once; inside a lambda Spark works out each mention of an expression again."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def hinglish_tokens(text: Column, gujarati: bool = False) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({T.TOKEN_GUJARATI if gujarati else T.TOKEN})"), 1)
 
@@ -69,11 +76,11 @@ def english_to_ipa(word: Column) -> Column:
     units = F.regexp_extract_all(source, F.lit(f"({'|'.join(T.ENGLISH_GROUPS)}|.)"), 1)
     # a lone c or g is soft before e, i or y: the first letter of the next unit
     spoken = mapping(T.ENGLISH_GROUPS | T.ENGLISH_LETTERS)
-    soft = F.transform(
-        units,
-        lambda u, i: F.when(u.isin("c", "g") & (F.coalesce(F.substring(F.get(units, i + 1), 1, 1), F.lit("")).isin("e", "i", "y")), F.when(u == "c", "s").otherwise("dʒ")).otherwise(F.coalesce(spoken[u], F.lit("?"))),
+    soft = lambda us: F.transform(
+        us,
+        lambda u, i: F.when(u.isin("c", "g") & (F.coalesce(F.substring(F.get(us, i + 1), 1, 1), F.lit("")).isin("e", "i", "y")), F.when(u == "c", "s").otherwise("dʒ")).otherwise(F.coalesce(spoken[u], F.lit("?"))),
     )
-    return F.when(word == "", "?").otherwise(squash(F.array_join(soft, "")))
+    return F.when(word == "", "?").otherwise(squash(F.array_join(let(units, soft), "")))
 
 
 def hindi_to_ipa(text: Column) -> Column:
@@ -97,16 +104,14 @@ def hindi_rules(ipa: Column) -> Column:
 
 
 def latin_to_ipa(token: Column) -> Column:
-    low = F.lower(token)
     said = {w: "".join(T.ARPABET.get(p.rstrip("0123456789"), "?") for p in ps) for w, ps in T.PRONUNCIATIONS.items()}
     known = mapping({**said, **T.OVERRIDES, **T.LOANWORDS})
-    return F.coalesce(known[low], english_to_ipa(low))
+    return let(F.lower(token), lambda low: F.coalesce(known[low], english_to_ipa(low)))
 
 
 def token_to_ipa(token: Column) -> Column:
     """A token to IPA; digits and punctuation stay. Tokens never mix scripts, so a token is one run."""
-    kind = token_kind(token)
-    return F.when(kind == "hi", hindi_to_ipa(token)).when(kind == "latin", latin_to_ipa(token)).otherwise(token)
+    return let(token_kind(token), lambda kind: F.when(kind == "hi", hindi_to_ipa(token)).when(kind == "latin", latin_to_ipa(token)).otherwise(token))
 
 
 def token_language(token: Column) -> Column:
@@ -139,7 +144,7 @@ def ipa_to_gujarati(ipa: Column) -> Column:
     clean = F.regexp_replace(ipa, "[| ]", "")
     units = F.filter(F.regexp_extract_all(clean, F.lit(f"({'|'.join(T.IPA_GROUPS)}|(?s:.))"), 1), lambda u: u != "ː")
     out = F.transform(units, lambda u: mapping(T.IPA_GROUPS | T.IPA_SIGNS)[u])
-    return F.when(F.exists(out, lambda x: x.isNull()), "").otherwise(F.array_join(out, ""))
+    return let(out, lambda o: F.when(F.exists(o, lambda x: x.isNull()), "").otherwise(F.array_join(o, "")))
 
 
 def latin_to_gujarati(word: Column) -> Column:
@@ -156,11 +161,11 @@ def gujarati_digits(text: Column) -> Column:
 
 
 def transliterate(word: Column) -> Column:
-    """Gujarati stays; else by way of IPA; else letter by letter from Devanagari or Latin."""
-    ipa = F.trim(text_to_ipa(word, " "))
-    by_ipa = F.when((ipa != "") & ~ipa.contains("?") & ipa.rlike(T.PHONETIC), ipa_to_gujarati(ipa))
+    """Gujarati stays; else by way of IPA, in which a change of language makes no mark; else letter by letter from Devanagari or Latin."""
+    said = F.trim(join_ipa(F.filter(F.transform(hinglish_tokens(word), token_to_ipa), lambda x: x != "")))
+    by_ipa = let(said, lambda ipa: F.when((ipa != "") & ~ipa.contains("?") & ipa.rlike(T.PHONETIC), let(ipa_to_gujarati(ipa), lambda g: F.when(g != "", g))))
     letters = F.when(word.rlike(rf"[{T.DEVANAGARI}]"), devanagari_to_gujarati(word)).otherwise(latin_to_gujarati(word))
-    return F.when(word.rlike(rf"[{T.GUJARATI}]"), word).otherwise(F.coalesce(F.when(by_ipa != "", by_ipa), letters))
+    return F.when(word.rlike(rf"[{T.GUJARATI}]"), word).otherwise(F.coalesce(by_ipa, letters))
 
 
 def join_tokens(parts: Column) -> Column:

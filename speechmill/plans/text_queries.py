@@ -19,12 +19,14 @@ def turns(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(*_TURN, "text")
 
 
-def _each(name: str, make, sql: str | None, source: str = "conversations") -> None:
-    """A query that gives one value for each turn of a conversation."""
+def _each(name: str, make, sql: str | None, source: str = "conversations", spread: bool = False) -> None:
+    """A query that gives one value for each turn of a conversation. spread: values take long, so turns are dealt over as many tasks as the session has shuffle partitions."""
 
     @query(name, sql and f"SELECT conv_id, turn, {sql} AS y FROM {source}")
     def run(spark, sf_dir):
-        return turns(spark, sf_dir).select(*_TURN, make(F.col("text")).alias("y"))
+        rows = turns(spark, sf_dir)
+        rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *_TURN) if spread else rows
+        return rows.select(*_TURN, make(F.col("text")).alias("y"))
 
 
 def _re(pattern: str) -> str:
@@ -75,8 +77,8 @@ _each("x12_arpabet", lambda t: X.arpabet_to_ipa(F.transform(F.filter(X.lm_tokens
 _TIGHT = r"trim(regexp_replace(regexp_replace(regexp_replace({}, '\s+([,.;:!?])', '\1', 'g'), '\s+\|\s+', ' | ', 'g'), '\s{{2,}}', ' ', 'g'))"
 _each("x13_join_ipa", lambda t: X.join_ipa(X.hinglish_tokens(t)), _TIGHT.format(f"array_to_string({_TOK}, ' ')"))
 _each("x14_text_to_ipa", X.text_to_ipa, Q.text_to_ipa("text"))
-_each("x16_translate", lambda t: translate.translated(t, T.SAMPLE_LEXICON), Q.translated("text", T.SAMPLE_LEXICON))
-_each("x17_transliterate", lambda t: F.array_join(F.transform(X.lm_tokens(t), X.transliterate), " "), Q.joined(f"list_transform({_lm('text')}, lambda w: {Q.transliterate('w')})", " "))
+_each("x16_translate", lambda t: translate.translated(t, T.SAMPLE_LEXICON), Q.translated("text", T.SAMPLE_LEXICON), spread=True)
+_each("x17_transliterate", lambda t: F.array_join(F.transform(X.lm_tokens(t), X.transliterate), " "), Q.joined(f"list_transform({_lm('text')}, lambda w: {Q.transliterate('w')})", " "), spread=True)
 _each("x19_ipa_to_gujarati", lambda t: F.array_join(F.transform(X.hinglish_tokens(t), lambda w: X.ipa_to_gujarati(X.text_to_ipa(w, " "))), ""), Q.joined(f"list_transform({_TOK}, lambda w: {Q.ipa_to_gujarati(Q.text_to_ipa('w', ' '))})"))
 _each("x20_latin_to_gujarati", lambda t: F.array_join(F.transform(X.lm_tokens(t), X.latin_to_gujarati), " "), Q.joined(f"list_transform({_lm('text')}, lambda w: {Q.latin_to_gujarati('w')})", " "))
 _drop = "".join(T.DROPPED)
