@@ -56,3 +56,13 @@ def _logp(df):
 def test_kneser_ney_without_a_table_of_all_ngrams(corpus, asked):
     known = asked.where("word is not null and size(split(ctx, ' ')) < 3")
     assert _logp(lm.kneser_ney_of(known, corpus)) == _logp(lm.kneser_ney(known, lm.counts(corpus, 3, True)))
+
+
+@pytest.mark.parametrize("of", [lm.laplace, lm.maximum_likelihood, lm.add_one])
+def test_scores_without_a_table_of_all_ngrams(corpus, asked, of):
+    assert _logp(of(asked, lm.blocks(corpus, 3, True))) == _logp(of(asked, lm.counts(corpus, 3, True)))
+
+
+def test_context_totals_by_blocks(corpus):
+    rows = lambda df: sorted(map(tuple, df.select("n", "ctx", "total", "kinds").collect()))
+    assert rows(lm.context_totals_of(lm.blocks(corpus))) == rows(lm.context_totals(lm.counts(corpus)))
